@@ -12,17 +12,42 @@ from docstrata.llm.decontam import contamination
 from docstrata.llm.exact_dedup import exact_dedup
 from docstrata.llm.licenses import license_scan, license_scan_sql
 from docstrata.llm.mixing import mix
+from docstrata.llm.quality import quality
+from docstrata.llm.secret_scan import scan_secrets
 from docstrata.llm.simhash import near_duplicates
+from docstrata.llm.toxicity import toxicity
+from docstrata.llm.url_filters import filter_urls, filter_urls_sql
+from docstrata.llm.warc import archive_round_trip, archive_sql
+
+
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_urls(table(spark, sf_dir, "pages"))
 
 
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"))
 
 
+def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return archive_round_trip(table(spark, sf_dir, "pages"))
+
+
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_secrets(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return found.select(
@@ -71,9 +96,17 @@ FROM d LEFT JOIN n_hit USING (doc_id) LEFT JOIN n_items USING (doc_id)"""
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op4_exact_dedup, op6_simhash, op8_decontamination, op9_mixing, op10_license_scan]
+    found = [
+        op1_toxicity, op2_quality, op3_url_filter, op4_exact_dedup, op5_warc, op6_simhash, op7_secret_scan, op8_decontamination, op9_mixing, op10_license_scan,
+    ]
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_exact_dedup": EXACT_DEDUP_SQL, "op8_decontamination": DECONTAMINATION_SQL, "op10_license_scan": license_scan_sql()}
+    return {
+        "op3_url_filter": filter_urls_sql(),
+        "op4_exact_dedup": EXACT_DEDUP_SQL,
+        "op5_warc": archive_sql(),
+        "op8_decontamination": DECONTAMINATION_SQL,
+        "op10_license_scan": license_scan_sql(),
+    }
