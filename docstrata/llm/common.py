@@ -53,9 +53,10 @@ def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
 
-def byte_texts(batch: pa.RecordBatch, column: str) -> list[bytes]:
-    """The UTF-8 bytes of a string column; null counts as empty."""
-    return [x or b"" for x in batch.column(batch.schema.get_field_index(column)).cast(pa.binary()).to_pylist()]
+def byte_texts(batch: pa.RecordBatch | pa.Array, column: str = "") -> list[bytes]:
+    """The UTF-8 bytes of a string array, or of a column; null counts as empty."""
+    array = batch.column(batch.schema.get_field_index(column)) if column else batch
+    return [x or b"" for x in array.cast(pa.binary()).to_pylist()]
 
 
 def slabs(sizes: Iterable[int], limit: int = SLAB_BYTES) -> Iterator[tuple[int, int]]:

@@ -97,36 +97,57 @@ def benchmark_shards(benchmark: DataFrame, id_col: str = "item_id", text_col: st
         yield [((b" " + b" ".join(w) + b" ").decode("latin-1"), len(w), sorted(items, key=lambda x: x or "")) for w, items in patterns.items()]
 
 
-def _pass(patterns: Broadcast, key: str):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+STATE = "struct<n_words:bigint,ranges:array<struct<first:int,last:int>>,items:array<string>>"
+FOUND = "struct<n_words:bigint,n_hit:bigint,items:array<string>,spans:array<struct<start:int,end:int>>>"
+
+
+def _scanner(patterns: Broadcast, key: str):
+    """Arrow function of a text and what earlier automata found in it."""
+
+    def run(columns: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
         automaton = _automaton(patterns.value, key)
-        ranges_type = pa.list_(pa.struct([("first", pa.int32()), ("last", pa.int32())]))
-        for batch in batches:
-            counts, ranges, items = [], [], []
-            old_ranges, old_items = batch.column(3).to_pylist(), batch.column(4).to_pylist()
-            for text, before, known in zip(byte_texts(batch, "text"), old_ranges, old_items):
-                n, found, hit = scan(text, automaton)
-                counts.append(n)
-                ranges.append([{"first": a, "last": b} for a, b in (_merged([*found, *((x["first"], x["last"]) for x in before)]) if before else found)])
-                items.append(sorted({*hit, *known}, key=lambda x: (x is None, x or "")))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(counts, pa.int64()), pa.array(ranges, ranges_type), pa.array(items, pa.list_(pa.string()))],
-                names=["doc_id", "text", "n_words", "ranges", "items"],
-            )
-
-    return run
-
-
-def _spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    span_type = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
-    for batch in batches:
-        ranges = [[(x["first"], x["last"]) for x in r] for r in batch.column(3).to_pylist()]
-        spans = [[{"start": a, "end": b} for a, b in offsets(t, r)] if r else [] for t, r in zip(byte_texts(batch, "text"), ranges)]
-        hits = [sum(b - a for a, b in r) for r in ranges]
-        yield pa.RecordBatch.from_arrays(
-            [batch.column(0), batch.column(2), pa.array(hits, pa.int64()), batch.column(4), pa.array(spans, span_type)],
-            names=["doc_id", "n_words", "n_hit", "items", "spans"],
-        )
+        kind = pa.struct([("n_words", pa.int64()), ("ranges", pa.list_(pa.struct([("first", pa.int32()), ("last", pa.int32())]))), ("items", pa.list_(pa.string()))])
+        for texts, before in columns:
+            out = []
+            for text, old in zip(byte_texts(texts), before.to_pylist()):
+                n, ranges, items = scan(text, automaton)
+                if old:
+                    ranges = _merged([*ranges, *((x["first"], x["last"]) for x in old["ranges"])])
+                    items = items | set(old["items"])
+                out.append({"n_words": n, "ranges": [{"first": a, "last": b} for a, b in ranges], "items": sorted(items, key=lambda x: (x is None, x or ""))})
+            yield pa.array(out, kind)
+
+    run.__annotations__ = {"columns": Iterator[tuple[pa.Array, pa.Array]], "return": Iterator[pa.Array]}
+    return F.arrow_udf(run, STATE).asNondeterministic()
+
+
+def _located():
+    def run(columns: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        kind = pa.struct([("n_words", pa.int64()), ("n_hit", pa.int64()), ("items", pa.list_(pa.string())), ("spans", pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())])))])
+        for texts, states in columns:
+            out = []
+            for text, state in zip(byte_texts(texts), states.to_pylist()):
+                ranges = [(x["first"], x["last"]) for x in state["ranges"]]
+                spans = [{"start": a, "end": b} for a, b in offsets(text, ranges)] if ranges else []
+                out.append({"n_words": state["n_words"], "n_hit": sum(b - a for a, b in ranges), "items": state["items"], "spans": spans})
+            yield pa.array(out, kind)
+
+    run.__annotations__ = {"columns": Iterator[tuple[pa.Array, pa.Array]], "return": Iterator[pa.Array]}
+    return F.arrow_udf(run, FOUND).asNondeterministic()
+
+
+def with_contamination(df: DataFrame, benchmark: DataFrame, text_col: str = "text", found: str = "found", size: int = WINDOW) -> DataFrame:
+    """``df`` with a column of type ``FOUND``; no row moves. A benchmark of more than ``WORDS_PER_AUTOMATON`` words is
+    scanned for shard by shard, with the table written between, so that a worker's automaton is bounded."""
+    spark = df.sparkSession
+    small_batches(spark)
+    text = F.col(text_col).cast("string")
+    out = df.withColumn(found, F.lit(None).cast(STATE))
+    for shard, patterns in enumerate(benchmark_shards(benchmark, size=size)):
+        if shard:
+            out = materialise(out, "scanned")
+        out = out.withColumn(found, _scanner(spark.sparkContext.broadcast(patterns), uuid.uuid4().hex)(text, F.col(found)))
+    return out.withColumn(found, _located()(text, F.col(found)))
 
 
 def contamination(df: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = WINDOW) -> DataFrame:
@@ -135,19 +156,7 @@ def contamination(df: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", t
     ``items``: the ids, as sorted strings, of the items of which a window occurs; an item without id counts as a null
     at the end. ``spans``: merged hit passages, as code point offsets in the original text. Null and empty texts have
     no words; items without words have no window; repeated items and repeated documents are each judged alike. An
-    empty table on either side gives no hits. Other columns, whatever their names, play no part. A benchmark of more
-    than ``WORDS_PER_AUTOMATON`` words is scanned for shard by shard, so a worker's automaton is bounded.
+    empty table on either side gives no hits. Other columns, whatever their names, play no part.
     """
-    spark = df.sparkSession
-    small_batches(spark)
-    state = "doc_id long, text string, n_words long, ranges array<struct<first:int,last:int>>, items array<string>"
-    out = df.select(
-        F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.lit(0).cast("long").alias("n_words"),
-        F.expr("cast(array() as array<struct<first:int,last:int>>)").alias("ranges"), F.expr("cast(array() as array<string>)").alias("items"),
-    )
-    for shard, patterns in enumerate(benchmark_shards(benchmark, size=size)):
-        if shard:
-            out = materialise(out, "scanned")
-        shared = spark.sparkContext.broadcast(patterns)
-        out = out.mapInArrow(_pass(shared, uuid.uuid4().hex), state)
-    return out.mapInArrow(_spans, "doc_id long, n_words long, n_hit long, items array<string>, spans array<struct<start:int,end:int>>")
+    rows = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    return with_contamination(rows, benchmark, "text", "found", size).select("doc_id", "found.*")

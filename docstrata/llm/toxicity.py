@@ -12,12 +12,12 @@ from __future__ import annotations
 import math
 import re
 import uuid
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark import Broadcast
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docstrata.llm.common import byte_texts, held_out, materialise, slabs, small_batches
@@ -244,25 +244,33 @@ def learn(sample: DataFrame, model: Broadcast) -> tuple[dict[str, float], float]
 _restorers: dict[str, Restorer] = {}
 
 
-def _scores(model: Broadcast, weights: Broadcast, key: str):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def toxicity_score(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Callable[[Column], Column]:
+    """Learn from a corpus and its labels; the result turns a text column into a score column, without moving a row."""
+    spark = docs.sparkSession
+    small_batches(spark)
+    model = spark.sparkContext.broadcast(log_model(count_grams(docs)))
+    weights = spark.sparkContext.broadcast(learn(labelled_sample(docs, labels, "toxic", sample_rows), model))
+    key = uuid.uuid4().hex
+
+    def score(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         if key not in _restorers:
             _restorers.clear()
             _restorers[key] = Restorer(model.value)
         restorer, (weight, bias) = _restorers[key], weights.value
         words = {f[1:]: w for f, w in weight.items() if f[0] == "="}
         starts = {f: w for f, w in weight.items() if f[0] != "="}
-        for batch in batches:
+        for batch in texts:
             scores = []
-            for text in byte_texts(batch, "text"):
+            for text in byte_texts(batch):
                 restored = restorer.restored(text.decode("utf-8", "replace"))
                 total = bias + sum(map(words.__getitem__, restored & words.keys()))
                 begun = {w[:4] for w in restored if len(w) > 4} | {w[:5] for w in restored if len(w) > 5}
                 total += sum(map(starts.__getitem__, begun & starts.keys()))
                 scores.append(1 / (1 + math.exp(-max(-500.0, min(500.0, total)))))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores, pa.float64())], names=["doc_id", "score"])
+            yield pa.array(scores, pa.float64())
 
-    return run
+    score.__annotations__ = {"texts": Iterator[pa.Array], "return": Iterator[pa.Array]}
+    return F.arrow_udf(score, "double").asNondeterministic()
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
@@ -274,9 +282,6 @@ def toxicity(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS)
     class only, the score is the smoothed share of label 1. An empty table gives an empty result. All texts are counted
     for the character model and scored whole; only the classifier is fitted on at most ``sample_rows`` rows.
     """
-    spark = docs.sparkSession
-    model = spark.sparkContext.broadcast(log_model(count_grams(docs)))
-    weights = spark.sparkContext.broadcast(learn(labelled_sample(docs, labels, "toxic", sample_rows), model))
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    scored = rows.mapInArrow(_scores(model, weights, uuid.uuid4().hex), "doc_id long, score double")
+    score = toxicity_score(docs, labels, sample_rows)
+    scored = docs.select(F.col("doc_id").cast("long").alias("doc_id"), score(F.col("text").cast("string")).alias("score"))
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
