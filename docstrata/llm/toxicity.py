@@ -206,11 +206,12 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, steps: int = 400, rate: float = 0
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, rows: int = SAMPLE_ROWS) -> DataFrame:
     """``y, text`` of at most ``rows`` labelled documents that are not held out, a written table. Their ids are chosen
-    from the labels alone, by hash; at most ``rows`` ids are broadcast."""
+    from the labels alone, by hash; at most ``rows`` ids are broadcast. Copies count once, so that no copied text leans on
+    what is learned."""
     ids = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
     ids = ids.select(F.col("doc_id").alias("_id"), F.col(label).cast("int").alias("y")).orderBy(F.xxhash64("_id"), "_id", "y").limit(rows)
     joined = docs.select(F.col("doc_id").alias("_d"), F.col("text").cast("string").alias("text")).join(F.broadcast(ids), F.col("_d") == F.col("_id"))
-    return materialise(joined.select("y", "text"), "labelled")
+    return materialise(joined.groupBy("text").agg(F.max("y").alias("y")).select("y", "text"), "labelled")
 
 
 def _feature_rows(model: Broadcast):
@@ -234,7 +235,7 @@ def learn(sample: DataFrame, model: Broadcast) -> tuple[dict[str, float], float]
     place = {f: i for i, f in enumerate(chosen)}
     kept = F.filter("features", lambda f: f.isin(chosen)) if chosen else F.array().cast("array<string>")
     got = rows.select("y", kept.alias("f")).collect()
-    x, y = np.zeros((len(got), len(chosen)), np.float32), np.array([r[0] for r in got], np.float64)
+    x, y = np.zeros((len(got), len(chosen))), np.array([r[0] for r in got], np.float64)
     for i, r in enumerate(got):
         x[i, [place[f] for f in r[1]]] = 1
     w, bias = fit_logistic(x, y)
