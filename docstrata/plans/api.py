@@ -10,6 +10,7 @@ from docstrata.config import Settings
 from docstrata.operators import catalogue, clustering, layout, pages, paragraphs, topics, vectors
 from docstrata.plans.embedding import DIM, Embedder, HashedNgrams, embedded
 from docstrata.sources import readers, sinks
+from docstrata.sources.shared import materialise
 
 KEYS = ("document_md5", "paragraph_id")
 
@@ -110,30 +111,34 @@ class TopicModel:
         return self.rows.select("vec_id", "embedding").join(near.select("vec_id", "pull"), "vec_id", "left").select("vec_id", pulled.alias("embedding"))
 
     def run(self) -> TopicModel:
-        """Reduce, cluster, merge topics, reassign outliers, describe, and save."""
+        """Reduce, cluster, merge topics, reassign outliers, describe, and save. Each step is a written table, which the
+        next ones read, so that nothing is worked out twice and a lost executor costs one step at most."""
         s, rows = self.s, self.rows
-        reduced = clustering.umap_layout(self.guided(), dims=s.components, s=s).withColumnRenamed("coordinates", "embedding").cache()
-        clustered = clustering.hdbscan(reduced, s=s)
-        means = vectors.as_arrays(vectors.centroids(rows.join(clustered, "vec_id"), "topic_nr"), "topic_nr")
+        vecs = materialise(rows.select("vec_id", "embedding"), "vectors")
+        reduced = materialise(clustering.umap_layout(materialise(self.guided(), "guided"), dims=s.components, s=s).withColumnRenamed("coordinates", "embedding"), "reduced")
+        clustered = materialise(clustering.hdbscan(reduced, s=s), "clustered")
+        means = vectors.as_arrays(vectors.centroids(vecs.join(clustered, "vec_id"), "topic_nr"), "topic_nr")
         merged = clustered.join(F.broadcast(clustering.merge_topics(means, s.num_topics)), "topic_nr").select("vec_id", F.col("merged_topic").alias("topic_nr"))
-        docs = rows.join(merged, "vec_id").select("vec_id", *KEYS, "paragraph", "topic_nr").cache()
+        docs = materialise(rows.select("vec_id", *KEYS, "paragraph").join(merged, "vec_id"), "merged")
         new = topics.reassigned(docs, "vec_id", s=s).select("vec_id", F.col("new_topic"))
-        docs = docs.join(new, "vec_id").withColumn("topic_nr", F.col("new_topic"))
-        sizes = topics.sizes_relabelled(docs)
-        docs = docs.join(F.broadcast(sizes.select("topic_nr", F.col("new_topic").alias("t"))), "topic_nr").select("vec_id", *KEYS, "paragraph", F.col("t").alias("topic_nr")).cache()
-        words = self.reranked(topics.ctfidf(topics.term_counts(docs, "topic_nr")), docs)
+        docs = materialise(docs.drop("topic_nr").join(new, "vec_id").withColumnRenamed("new_topic", "topic_nr"), "reassigned")
+        sizes = materialise(topics.sizes_relabelled(docs), "sizes")
+        number = sizes.select("topic_nr", F.col("new_topic").alias("t"))
+        docs = materialise(docs.join(number, "topic_nr").select("vec_id", *KEYS, "paragraph", F.col("t").alias("topic_nr")), "topics")
+        representatives = materialise(topics.representative_docs(docs, "vec_id", s=s), "representatives")
+        words = materialise(self.reranked(materialise(topics.ctfidf(topics.term_counts(docs, "topic_nr")), "weights"), representatives), "words")
+        flat = clustering.umap_layout(vecs, dims=2, s=s).select("vec_id", F.col("coordinates")[0].alias("x"), F.col("coordinates")[1].alias("y"))
         self.tables = {
-            "assignments": docs.select("vec_id", *KEYS, "topic_nr"), "topic_words": words, "labels": topics.labels(words, s), "representatives": topics.representative_docs(docs, "vec_id", s=s),
-            "distribution": topics.topic_distribution(docs, "vec_id", s=s), "sizes": sizes,
-            "coordinates": clustering.umap_layout(rows.select("vec_id", "embedding"), dims=2, s=s).select("vec_id", F.col("coordinates")[0].alias("x"), F.col("coordinates")[1].alias("y")),
+            "assignments": docs.select("vec_id", *KEYS, "topic_nr"), "topic_words": words, "labels": topics.labels(words, s), "representatives": representatives,
+            "distribution": topics.topic_distribution(docs, "vec_id", s=s), "sizes": sizes, "coordinates": flat,
         }
         sinks.save_model(self.tables, self.folder, s.num_topics)
         return self.load()
 
-    def reranked(self, weights: DataFrame, docs: DataFrame, candidates: int = 50) -> DataFrame:
+    def reranked(self, weights: DataFrame, representatives: DataFrame, candidates: int = 50) -> DataFrame:
         """Of a topic's heaviest terms, those whose vectors are most like the mean vector of its representative documents."""
         some = topics.top_words(weights, Settings(top_words=candidates))
-        rep = topics.representative_docs(docs, "vec_id", s=self.s).join(self.rows.select("vec_id", "embedding"), "vec_id")
+        rep = representatives.join(self.rows.select("vec_id", "embedding"), "vec_id")
         means = vectors.as_arrays(vectors.centroids(rep, "topic_nr"), "topic_nr").withColumnRenamed("embedding", "mean")
         dim = self.rows.select(F.size("embedding")).head()[0]
         both = some.join(F.broadcast(means), "topic_nr", "left").withColumn("e", embedded(F.col("term"), self.embedder, dim))
