@@ -46,7 +46,8 @@ def random_strings(spark: SparkSession, rows: int = RANDOM_ROWS) -> DataFrame:
 def ordinary_identifiers(docs: DataFrame | None, labels: DataFrame | None, spark: SparkSession, rows: int = SAMPLE_ROWS) -> DataFrame:
     """``token``: identifiers composed of common words, and of words of at most ``rows`` labelled documents, those with
     the least hash of their id."""
-    words = spark.createDataFrame([(list(WORDS),), (list(WORDS[1:] + WORDS[:1]) + list(WORDS[::2] + WORDS[1::2]),)], "words array<string>")
+    common = F.split(F.lit(",".join(WORDS)), ",")
+    words = spark.range(4).select(F.transform(common, lambda w, i: F.element_at(common, (i * (F.col("id") * 2 + 1) % len(WORDS) + 1).cast("int"))).alias("words"))
     if docs is not None and labels is not None:
         ids = labels.where("doc_id is not null").select(F.col("doc_id").alias("_id")).distinct().orderBy(F.xxhash64("_id"), "_id").limit(rows)
         own = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(ids), F.col("doc_id") == F.col("_id"))
