@@ -109,12 +109,12 @@ def exact_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     ``kept``. Other columns of ``df``, whatever their names, play no part. An empty table gives an empty result.
 
     The groups are pre-aggregated before their shuffle, so a group of copies of any size is one row per task. Only
-    groups of two or more are joined back, by an equi-join whose hot keys the adaptive planner splits.
+    groups of two or more are joined back, from a written table, so that the adaptive planner can split hot keys.
     """
     recipes = materialise(chunk_recipes(df, id_col, text_col), "recipes")
     best = F.max(F.struct("n_points", F.bitwise_not("doc_id").alias("inverse"))).alias("best")
     groups = recipes.groupBy("recipe", "text_sha256").agg(best, F.count("*").alias("n")).where("n > 1")
-    groups = groups.select("recipe", "text_sha256", F.bitwise_not("best.inverse").alias("keep"), "n")
+    groups = materialise(groups.select("recipe", "text_sha256", F.bitwise_not("best.inverse").alias("keep"), "n"), "groups")
     joined = recipes.join(groups, ["recipe", "text_sha256"], "left")
     keep = F.when(F.col("n").isNull(), F.col("doc_id")).otherwise(F.col("keep"))
     return joined.select(
