@@ -2,40 +2,45 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docstrata.config import Settings
 from docstrata.functions import text as T
 
 
+def once(rows: DataFrame, name: str, value: Column) -> DataFrame:
+    """Adds or replaces a column that is worked out once per row. A plain column would be substituted into every later
+    filter and be worked out again in each; nothing is pushed through a generator's output."""
+    return rows.select(*[c for c in rows.columns if c != name], F.explode(F.array(value)).alias(name))
+
+
 def cleaned(candidates: DataFrame) -> DataFrame:
     """Candidates (column ``candidate``) cleaned, captions left out."""
-    return candidates.withColumn("candidate", T.clean(F.col("candidate"))).where(~T.is_caption(F.col("candidate")))
+    return once(candidates, "candidate", T.clean(F.col("candidate"))).where(~T.is_caption(F.col("candidate")))
 
 
 def split(candidates: DataFrame, language: str | None = None) -> DataFrame:
     """Adds ``sentences``; a candidate of one sentence is left out."""
-    found = T.sentences(F.col("candidate"), F.col(language) if language else None)
-    return candidates.withColumn("sentences", found).where(F.size("sentences") != 1)
+    return once(candidates, "sentences", T.sentences(F.col("candidate"), F.col(language) if language else None)).where(F.size("sentences") != 1)
 
 
 def filtered(found: DataFrame, s: Settings = Settings()) -> DataFrame:
     """Unfit sentences dropped; candidates with too few left are left out."""
-    return found.withColumn("sentences", T.fit_sentences(F.col("sentences"), s)).where(F.size("sentences") >= s.min_sentences)
+    return once(found, "sentences", T.fit_sentences(F.col("sentences"), s)).where(F.size("sentences") >= s.min_sentences)
 
 
 def kept_paragraphs(candidates: DataFrame, language: str | None = None, s: Settings = Settings()) -> DataFrame:
     """The candidates that stay, with ``paragraph``, before packing."""
-    return filtered(split(cleaned(candidates), language), s).withColumn("paragraph", F.array_join("sentences", " "))
+    return once(filtered(split(cleaned(candidates), language), s), "paragraph", F.array_join("sentences", " "))
 
 
 def packed_paragraphs(kept: DataFrame, language: str | None = None, s: Settings = Settings(), drop_empty: bool = False) -> DataFrame:
     """One row per final paragraph, with ``chunk_no``: long paragraphs are split anew into sentences and packed."""
     again = T.sentences(F.col("paragraph"), F.col(language) if language else None)
-    chunks = F.when(T.n_words(F.col("paragraph")) > s.split_words, T.pack(F.col("_again"), s, drop_empty)).otherwise(F.array("paragraph"))
+    chunks = F.when(F.col("_again").isNotNull(), T.pack(F.col("_again"), s, drop_empty)).otherwise(F.array("paragraph"))
     rest = [c for c in kept.columns if c not in ("candidate", "sentences", "paragraph")]
-    return kept.withColumn("_again", again).select(*rest, F.posexplode(chunks).alias("chunk_no", "paragraph"))
+    return once(kept, "_again", F.when(T.n_words(F.col("paragraph")) > s.split_words, again)).select(*rest, F.posexplode(chunks).alias("chunk_no", "paragraph"))
 
 
 def process(candidates: DataFrame, language: str | None = None, s: Settings = Settings(), drop_empty: bool = False) -> DataFrame:

@@ -45,8 +45,8 @@ def ctfidf(counts: DataFrame, by: str = "topic_nr") -> DataFrame:
 
 
 def top_words(weights: DataFrame, s: Settings = Settings()) -> DataFrame:
-    """``topic_nr, rank, term, weight``: the heaviest terms, of equals the first."""
-    return rank_within(weights.select("topic_nr", "term", "weight"), "topic_nr", s.top_words, F.desc("weight"), "term").select("topic_nr", "rank", "term", "weight")
+    """``topic_nr, rank, term, weight``: the heaviest terms, of equals (to nine places) the first."""
+    return rank_within(weights.select("topic_nr", "term", "weight"), "topic_nr", s.top_words, F.desc(F.round("weight", 9)), "term").select("topic_nr", "rank", "term", "weight")
 
 
 def labels(words: DataFrame, s: Settings = Settings()) -> DataFrame:

@@ -144,7 +144,7 @@ class TopicModel:
         both = some.join(F.broadcast(means), "topic_nr", "left").withColumn("e", embedded(F.col("term"), self.embedder, dim))
         dot = F.aggregate(F.zip_with("e", "mean", lambda x, y: x.cast("double") * y), F.lit(0.0), lambda a, x: a + x)
         scored = both.select("topic_nr", "term", F.coalesce(dot, F.lit(0.0)).alias("weight"))
-        return topics.top_words(scored.withColumn("weight", F.round("weight", 9)), self.s)
+        return topics.top_words(scored, self.s)
 
     def load(self) -> TopicModel:
         self.tables = sinks.load_model(self.spark, self.folder, self.s.num_topics)

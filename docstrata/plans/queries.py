@@ -305,7 +305,7 @@ def _weights(spark, sf):
 
 
 def _top(spark, sf):
-    return topics.top_words(_weights(spark, sf).withColumn("weight", F.round("weight", 9)))
+    return topics.top_words(_weights(spark, sf))
 
 
 @query(f"WITH {CTFIDF} SELECT topic_nr, term, n FROM counts")
@@ -422,16 +422,16 @@ def _seeds(spark, sf):
 
 @query(f"""WITH {CENTROIDS}, s AS (SELECT label AS seed, list(value ORDER BY dim) AS ce FROM c GROUP BY label),
 r AS (SELECT vec_id, seed, round(list_dot_product(e, ce) / sqrt(list_dot_product(e, e) * list_dot_product(ce, ce)), 9) AS sim FROM v, s)
-SELECT vec_id, seed, round(sim, 6) AS sim FROM (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY sim DESC, seed) AS k FROM r) WHERE k = 1""")
+SELECT vec_id, seed, sim FROM (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY sim DESC, seed) AS k FROM r) WHERE k = 1""")
 def nearest_seed(spark, sf):
-    return vectors.nearest_seed(M.table(spark, sf, "embeddings"), _seeds(spark, sf)).withColumn("sim", F.round("sim", 6))
+    return vectors.nearest_seed(M.table(spark, sf, "embeddings"), _seeds(spark, sf))
 
 
 @query(f"""WITH {VEC}, r AS (SELECT a.vec_id, b.vec_id AS neighbour, round(list_cosine_similarity(a.e, b.e), 9) AS sim FROM v a JOIN v b ON a.vec_id <> b.vec_id)
-SELECT vec_id, CAST(rank AS INTEGER) AS rank, neighbour, round(sim, 6) AS sim FROM (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY sim DESC, neighbour) AS rank FROM r) WHERE rank <= 16""")
+SELECT vec_id, CAST(rank AS INTEGER) AS rank, neighbour, sim FROM (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY sim DESC, neighbour) AS rank FROM r) WHERE rank <= 16""")
 def knn16(spark, sf):
     e = M.table(spark, sf, "embeddings")
-    return vectors.nearest(e, e, "vec_id").withColumn("sim", F.round("sim", 6))
+    return vectors.nearest(e, e, "vec_id")
 
 
 @query("SELECT count(*) AS n, 0.0001 AS sd_0, CAST(15 AS BIGINT) AS n_components FROM embeddings")

@@ -12,10 +12,21 @@ from pyspark.sql import functions as F
 PREFIXES = ("* ", "Table ", "see http://a.b/c ", "me@a.org ", "cli- mate ", "Use coal, e.g. ", "", "")
 
 
+#: A table with fewer bytes for each core is dealt out anew: a small file may be one row group, and so one task.
+SPREAD_BYTES = 32 << 20
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(rows: DataFrame) -> DataFrame:
+    """Rows over all cores if the table is small; large tables stay as their files divide them, and nothing moves."""
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    known = int(rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return rows.repartition(cores) if known < SPREAD_BYTES * cores else rows
+
+
 def overview(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = table(spark, sf_dir, "documents")
     return d.select(
@@ -32,7 +43,7 @@ OVERVIEW = """overview AS (
 
 def blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``md5, doc_id, lang, page_no, block_no, text``."""
-    d = table(spark, sf_dir, "documents").select("doc_id", "lang", F.posexplode(F.split("text", "\n")).alias("block_no", "text"))
+    d = spread(table(spark, sf_dir, "documents").select("doc_id", "lang", "text")).select("doc_id", "lang", F.posexplode(F.split("text", "\n")).alias("block_no", "text"))
     return d.select(F.col("doc_id").cast("string").alias("md5"), "doc_id", "lang", F.floor(F.col("block_no") / 5).cast("int").alias("page_no"), "block_no", "text")
 
 
@@ -90,7 +101,7 @@ OCR_WORDS = f"""{BLOCKS}, ocr_words AS (
 def topic_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``doc_id, topic_nr, paragraph`` of the documents that have a vector; every seventh is an outlier."""
     e = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("doc_id"), F.when(F.col("vec_id") % 7 == 0, F.lit(-1)).otherwise(F.col("label")).alias("topic_nr"))
-    return e.join(table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("paragraph")), "doc_id")
+    return e.join(spread(table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("paragraph"))), "doc_id")
 
 
 TOPIC_DOCS = """topic_docs AS (
