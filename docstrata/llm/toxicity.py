@@ -12,6 +12,7 @@ from __future__ import annotations
 import math
 import re
 import uuid
+from collections import Counter
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
@@ -155,12 +156,13 @@ class Restorer:
             self.memo[token] = found
         return found
 
-    def restored(self, text: str) -> set[str]:
-        """The distinct restored words of a text."""
+    def restored(self, text: str) -> Counter[str]:
+        """The restored words of a text, and how often each stands there."""
         tokens = text.lower().split()
-        out: set[str] = set()
-        for token in set(tokens):
-            out.update(self.words(token))
+        out: Counter[str] = Counter()
+        for token, n in Counter(tokens).items():
+            for word in self.words(token):
+                out[word] += n
         if sum(len(t) == 1 or len(t) == 2 and t[1] in SPREADERS for t in tokens) > 2:
             line, joined = [], []
             for t in tokens:  # runs of single characters, as far as the lattice may join them
@@ -174,17 +176,20 @@ class Restorer:
 
 
 def features(words: Iterable[str]) -> set[str]:
-    """Words, and beginnings of longer words."""
+    """Words, and beginnings of words of four letters or more."""
     out: set[str] = set()
     for w in words:
         out.add("=" + w)
-        if len(w) > 4:
-            out.add(w[:4])
-            if len(w) > 5:
-                out.add(w[:5])
+        if len(w) > 3:
+            out.update((w[:4], w[:5]))
     return out
 
 
+def marks(words: dict[str, int], whole: set[str], starts: set[str]) -> dict[str, int]:
+    """Of counted words, those with a feature that is looked at."""
+    return {w: n for w, n in words.items() if w in whole or w[:4] in starts or w[:5] in starts}
+
+
 # --- the classifier
 
 
@@ -218,28 +223,33 @@ def _feature_rows(model: Broadcast):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         restorer = Restorer(model.value)
         for batch in batches:
-            found = [sorted(features(restorer.restored(x.decode("utf-8", "replace")))) for x in byte_texts(batch, "text")]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.string()))], names=["y", "features"])
+            words = [restorer.restored(x.decode("utf-8", "replace")) for x in byte_texts(batch, "text")]
+            counted = [[{"word": w, "n": n} for w, n in sorted(x.items())] for x in words]
+            kind = pa.list_(pa.struct([("word", pa.string()), ("n", pa.int32())]))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([sorted(features(x)) for x in words], pa.list_(pa.string())), pa.array(counted, kind)], names=["y", "features", "words"])
 
     return run
 
 
-def learn(sample: DataFrame, model: Broadcast) -> tuple[dict[str, float], float]:
-    """Feature weights and intercept, from a table ``y, text`` of bounded size."""
-    rows = materialise(sample.mapInArrow(_feature_rows(model), "y int, features array<string>"), "features")
+def learn(sample: DataFrame, model: Broadcast) -> tuple[dict[str, float], tuple[float, float], float]:
+    """Feature weights, the weights of how many marks and how many different ones there are, and the intercept, from a
+    table ``y, text`` of bounded size."""
+    rows = materialise(sample.mapInArrow(_feature_rows(model), "y int, features array<string>, words array<struct<word:string,n:int>>"), "features")
     n, pos = rows.agg(F.count("*"), F.coalesce(F.sum("y"), F.lit(0))).head()
     a, b = F.col("a"), F.col("n") - F.col("a")
     lean = (F.log((a + 0.5) / (F.lit(pos) - a + 0.5)) - F.log((b + 0.5) / (F.lit(n - pos) - b + 0.5))) / F.sqrt(1 / (a + 0.5) + 1 / (b + 0.5))
     counted = rows.select("y", F.explode("features").alias("f")).groupBy("f").agg(F.sum("y").alias("a"), F.count("*").alias("n")).withColumn("z", lean)
     chosen = [r[0] for r in counted.where(F.col("z") >= LEAST_Z).orderBy(F.desc("z"), "f").limit(FEATURES).select("f").collect()]
     place = {f: i for i, f in enumerate(chosen)}
-    kept = F.filter("features", lambda f: f.isin(chosen)) if chosen else F.array().cast("array<string>")
-    got = rows.select("y", kept.alias("f")).collect()
-    x, y = np.zeros((len(got), len(chosen))), np.array([r[0] for r in got], np.float64)
-    for i, r in enumerate(got):
-        x[i, [place[f] for f in r[1]]] = 1
+    is_mark = lambda w: F.concat(F.lit("="), w["word"]).isin(chosen) | F.left(w["word"], F.lit(4)).isin(chosen) | F.left(w["word"], F.lit(5)).isin(chosen)
+    kept = F.filter("words", is_mark) if chosen else F.slice("words", 1, 0)
+    got = sorted((r[0], [(w[0], w[1]) for w in r[1]]) for r in rows.select("y", kept).collect())
+    x, y = np.zeros((len(got), len(chosen) + 2)), np.array([r[0] for r in got], np.float64)
+    for i, (_, found) in enumerate(got):
+        x[i, [place[f] for f in features(w for w, _ in found) if f in place]] = 1
+        x[i, -2:] = math.log1p(sum(k for _, k in found)), math.log1p(len(found))
     w, bias = fit_logistic(x, y)
-    return dict(zip(chosen, map(float, w))), bias
+    return dict(zip(chosen, map(float, w))), (float(w[-2]), float(w[-1])), bias
 
 
 _restorers: dict[str, Restorer] = {}
@@ -257,16 +267,14 @@ def toxicity_score(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE
         if key not in _restorers:
             _restorers.clear()
             _restorers[key] = Restorer(model.value)
-        restorer, (weight, bias) = _restorers[key], weights.value
-        words = {f[1:]: w for f, w in weight.items() if f[0] == "="}
-        starts = {f: w for f, w in weight.items() if f[0] != "="}
+        restorer, (weight, (many, different), bias) = _restorers[key], weights.value
+        whole, starts = {f[1:] for f in weight if f[0] == "="}, {f for f in weight if f[0] != "="}
         for batch in texts:
             scores = []
             for text in byte_texts(batch):
-                restored = restorer.restored(text.decode("utf-8", "replace"))
-                total = bias + sum(map(words.__getitem__, restored & words.keys()))
-                begun = {w[:4] for w in restored if len(w) > 4} | {w[:5] for w in restored if len(w) > 5}
-                total += sum(map(starts.__getitem__, begun & starts.keys()))
+                found = marks(restorer.restored(text.decode("utf-8", "replace")), whole, starts)
+                total = bias + sum(weight[f] for f in features(found) if f in weight)
+                total += many * math.log1p(sum(found.values())) + different * math.log1p(len(found))
                 scores.append(1 / (1 + math.exp(-max(-500.0, min(500.0, total)))))
             yield pa.array(scores, pa.float64())
 
