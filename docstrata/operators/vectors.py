@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docstrata.config import Settings
+from docstrata.operators.catalogue import rank_within
 
 #: Bytes of vectors that are broadcast at a time; more are compared block by block.
 BLOCK_BYTES = 64 << 20
@@ -81,9 +82,7 @@ def nearest(queries: DataFrame, base: DataFrame, key: str = "vec_id", vector: st
         part = queries.select(F.col(key).cast("long").alias("key"), vector).mapInArrow(run, "key long, neighbour long, sim double")
         found = part if found is None else found.unionByName(part)
     if found is None:
-        found = queries.sparkSession.createDataFrame([], "key long, neighbour long, sim double")
-    from docstrata.operators.catalogue import rank_within
-
+        found = spark.createDataFrame([], "key long, neighbour long, sim double")
     return rank_within(found, "key", k, F.desc("sim"), "neighbour").select(F.col("key").alias(key), "rank", "neighbour", "sim")
 
 
