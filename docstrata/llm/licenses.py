@@ -7,6 +7,9 @@ between them.
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -89,6 +92,12 @@ RULES = (
 #: break is a lone one within a paragraph, so single breaks are also read as blanks.
 MARK = r"[.!?:;]+[\x20\x09-\x0D]+"
 BREAK = r"\n"
+#: In the reading by paragraphs a line without letters and digits ends a sentence; a colon, a semicolon or the full stop of
+#: a one-letter abbreviation may stand within a known sentence or end it.
+EMPTY_LINE = r"\n[^A-Za-z0-9\n]*(?=\n)"
+SOFT_MARK, HARD_MARK = r"(?:[:;]+|(?<=\b[A-Za-z])\.)[\x20\x0B-\x0D]+", r"[.!?]+[\x20\x0B-\x0D]+"
+#: Rules of that reading. A title with a grant alone is a license only where the readings by lines and by texts find it.
+PARAGRAPH_RULES = tuple((name, rule) for name, rule in RULES if rule[0] not in ("mit-title", "mit-title-2"))
 
 
 def _normalised(text: Column) -> Column:
@@ -111,22 +120,44 @@ def fits(ids: Column, rule: tuple[str, ...]) -> Column:
     return ids.like("%" + "%".join(f"|{i}|" for i in rule) + "%")
 
 
+def paragraphs(text: Column) -> Column:
+    """A normalised text in which breaks end sentences, tabs stand for marks that may do so, and lone line breaks are blanks."""
+    flat = F.translate(F.regexp_replace(text, EMPTY_LINE, "."), "\n\t", "  ")
+    cut = F.regexp_replace(F.regexp_replace(flat, SOFT_MARK, "\t"), HARD_MARK, "\n")
+    return F.regexp_replace(lower_ascii(cut), "[^a-z0-9\n\t]+", " ")
+
+
+def in_order(rule: tuple[str, ...]) -> str:
+    """Pattern of a text by paragraphs in which the sentences of a rule occur in order."""
+    sentence = lambda i: r"(?<=^|[\n\t]|[\n\t]\x20|^\x20)" + r"[\x20\t]+".join(SENTENCES[i].split()) + r"(?=\x20?(?:$|[\n\t]))"
+    return r"(?s)" + ".*".join(map(sentence, rule))
+
+
+def telling_word(rule: tuple[str, ...]) -> str:
+    """The longest word of a rule: a text without it cannot fit."""
+    return max((w for i in rule for w in SENTENCES[i].split()), key=len)
+
+
 def license_scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: ``doc_id, n_sentences, sentence_ids, licenses``.
 
-    A text is read twice: with line breaks as ends of sentences, and with line breaks as blanks, so that both a notice
-    on a line of its own and one wrapped over lines are found; rules are matched in each reading. ``n_sentences``:
-    known sentences of the first reading; ``sentence_ids``: theirs, comma-joined in order; ``licenses``: those that a
-    rule finds in either reading, sorted, comma-joined, empty if none. Null and empty texts have none. Repeated rows
+    A text is read three times: with line breaks as ends of sentences, with line breaks as blanks, and by paragraphs, so
+    that a notice on a line of its own, one wrapped over lines and one of wrapped paragraphs are found; rules are matched
+    in each reading. ``n_sentences``: known sentences of the first reading; ``sentence_ids``: theirs, comma-joined in
+    order; ``licenses``: those that a rule finds in any reading, sorted, comma-joined, empty if none. Null and empty texts have none. Repeated rows
     are judged alike; other columns, whatever their names, play no part; an empty table gives an empty result.
     Nothing is shuffled.
     """
     text = F.col(text_col)
-    read = df.select(F.col(id_col).cast("long").alias("doc_id"), sentence_ids(text, False).alias("ids"), sentence_ids(text, True).alias("wrapped"))
+    low = lower_ascii(F.coalesce(text.cast("string"), F.lit("")))
+    told = reduce(or_, [F.contains(low, F.lit(w)) for w in sorted({telling_word(r) for _, r in PARAGRAPH_RULES})])
+    whole = F.when(told, paragraphs(F.coalesce(text.cast("string"), F.lit("")))).otherwise(F.lit(""))  # most texts need no third reading
+    read = df.select(F.col(id_col).cast("long").alias("doc_id"), sentence_ids(text, False).alias("ids"), sentence_ids(text, True).alias("wrapped"), whole.alias("whole"))
     barred = lambda c: F.concat_ws("", F.transform(c, lambda i: F.concat(F.lit("|"), i, F.lit("|"))))
-    read = read.select("doc_id", "ids", barred("ids").alias("bars"), barred("wrapped").alias("bars_wrapped"))
-    found = F.array(*[F.when(fits(F.col("bars"), r) | fits(F.col("bars_wrapped"), r), F.lit(name)) for name, r in RULES])
-    licenses = F.when((F.col("bars") != "") | (F.col("bars_wrapped") != ""), F.array_join(F.array_sort(F.array_distinct(F.array_compact(found))), ",")).otherwise(F.lit(""))
+    read = read.select("doc_id", "ids", barred("ids").alias("bars"), barred("wrapped").alias("bars_wrapped"), "whole")
+    found = [F.when(fits(F.col("bars"), r) | fits(F.col("bars_wrapped"), r), F.lit(name)) for name, r in RULES]
+    found = F.array(*found, *[F.when(F.contains("whole", F.lit(telling_word(r))) & F.col("whole").rlike(in_order(r)), F.lit(name)) for name, r in PARAGRAPH_RULES])
+    licenses = F.when((F.col("bars") != "") | (F.col("bars_wrapped") != "") | (F.col("whole") != ""), F.array_join(F.array_sort(F.array_distinct(F.array_compact(found))), ",")).otherwise(F.lit(""))
     return read.select("doc_id", F.size("ids").cast("long").alias("n_sentences"), F.array_join("ids", ",").alias("sentence_ids"), licenses.alias("licenses"))
 
 
