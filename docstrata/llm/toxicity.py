@@ -4,7 +4,8 @@ A character trigram model is counted over all texts. Tokens that may be disguise
 spread by blanks or marks, letters repeated) become lattices of what each character may stand for, with a cost for each
 reading; Viterbi finds the likeliest reading under the model. The restored words are then scored by a logistic
 regression on words and word beginnings, learned from labelled rows. A token that only admits one reading is that
-reading, so plain words pass unchanged.
+reading; a plain word with doubled letters counts as it stands and as it is decoded. Neighbouring fragments of a few
+characters count as one word, too, where the model finds that likelier than the blank between them.
 """
 
 from __future__ import annotations
@@ -14,6 +15,7 @@ import re
 import uuid
 from collections import Counter
 from collections.abc import Callable, Iterable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -40,7 +42,13 @@ SUBSTITUTED, DROPPED, SQUEEZED = 1.0, 0.5, 0.5
 KEPT = 4.0
 EDGE = "".join(map(chr, range(33, 48))) + ":;<=>?[\\]^_`{|}~«»„“”‘’…"
 PIECES = re.compile(r"[^\W\d_]+")
-REPEATED = re.compile(r"([^\W\d_])\1\1")
+#: The signs at the edge of a token that cannot stand for a letter, and those that may but often are marks.
+BARE_EDGE = "".join(c for c in EDGE if c not in LEET)
+MARKS = "!|+("
+RUNS = re.compile(r"(.)\1*", re.S)
+REPEATED = re.compile(r"([^\W\d_])\1")
+#: Characters in a fragment of a word that a blank may have parted.
+FRAGMENT = 5
 MEMO_SIZE = 200_000
 
 
@@ -91,34 +99,37 @@ def _class(ch: str) -> int:
     return ord(ch) - 96 if "a" <= ch <= "z" else 27 if ch.isalpha() else 0
 
 
-def lattice(token: str) -> list[list[tuple[str, float]]]:
-    """For each run of a character in a lower-case token, its readings and their costs."""
+def lattice(token: str, lead: int = 0, trail: int = 0) -> list[list[tuple[str, float]]]:
+    """For each run of a character in a lower-case token, its readings and their costs. The first ``lead`` and the last
+    ``trail`` characters are signs at its edges, where those in ``MARKS`` may be breaks."""
     steps = []
-    for run in re.finditer(r"(.)\1*", token, re.S):
-        ch, n = run[1], len(run[0])
-        if ch.isalpha():
-            steps.append([(ch * min(n, 2), SQUEEZED * (n > 2))] + ([(ch, SQUEEZED)] if n > 1 else []))
-        elif ch in LEET:
-            letters = [(x * m, SUBSTITUTED * n) for x in LEET[ch] for m in {1, min(n, 2)}]
-            steps.append([(ch * n, KEPT)] + letters + ([("", KEPT)] if ch in "!|+(" else []))
-        elif ch in SPREADERS:
-            steps.append([(" ", KEPT), ("", DROPPED * n)])
-        else:
-            steps.append([(" ", 0.0)])
+    for run in RUNS.finditer(token):
+        steps.append(_readings(run[1], run.end() - run.start(), run.start() < lead or run.end() > len(token) - trail))
     return steps
 
 
-def decode(token: str, model: np.ndarray) -> str:
-    """The likeliest reading of a lower-case token."""
+@lru_cache(1 << 14)
+def _readings(ch: str, n: int, edge: bool) -> list[tuple[str, float]]:
+    if ch.isalpha():
+        return [(ch * min(n, 2), SQUEEZED * (n > 2))] + ([(ch, SQUEEZED)] if n > 1 else [])
+    if ch in LEET:
+        letters = [(x * m, SUBSTITUTED * n) for x in LEET[ch] for m in {1, min(n, 2)}]
+        return [(ch * n, KEPT)] + letters + ([(" ", 0.0) if edge else ("", KEPT)] if ch in MARKS else [])
+    return [(" ", KEPT), ("", DROPPED * n)] if ch in SPREADERS else [(" ", 0.0)]
+
+
+def decode(token: str, model: np.ndarray | list[float], lead: int = 0, trail: int = 0) -> str:
+    """The likeliest reading of a lower-case token. ``model``: as an array, or its values in a flat list."""
+    flat = model if isinstance(model, list) else model.ravel().tolist()
     beam: dict[tuple[int, int], tuple[float, tuple]] = {(0, 0): (0.0, ())}
-    for step in [*lattice(token), [(" ", 0.0)]]:
+    for step in [*lattice(token, lead, trail), [(" ", 0.0)]]:
         ahead: dict[tuple[int, int], tuple[float, tuple]] = {}
         for (a, b), (score, path) in beam.items():
             for text, cost in step:
                 x, y, s = a, b, score - cost
                 for ch in text:
                     c = _class(ch)
-                    s += float(model[x, y, c])
+                    s += flat[(x * N_CLASSES + y) * N_CLASSES + c]
                     x, y = y, c
                 if (x, y) not in ahead or s > ahead[x, y][0]:
                     ahead[x, y] = (s, (path, text))
@@ -131,39 +142,111 @@ def decode(token: str, model: np.ndarray) -> str:
     return "".join(reversed(out)).rstrip(" ")
 
 
+NEVER, DISGUISED, ASK = N_CLASSES**2, N_CLASSES**2 + 1, 2
+
+
+class FragmentCodes(dict):
+    """For each token, its code as a left fragment, times 1,024, plus its code as a right one: the two classes beside the
+    blank of a plain fragment, ``DISGUISED``, or ``NEVER``."""
+
+    def left(self, t: str) -> int:
+        return _class(t[-2]) * N_CLASSES + _class(t[-1]) if len(t) > 1 else _class(t)
+
+    def right(self, t: str) -> int:
+        return _class(t[0]) * N_CLASSES + (_class(t[1]) if len(t) > 1 else 0)
+
+    def __missing__(self, token: str) -> int:
+        core = token.rstrip(BARE_EDGE)
+        left = right = NEVER
+        if 0 < len(core) <= FRAGMENT:
+            right = self.right(core) if core.isalpha() else DISGUISED
+            if core == token:
+                left = self.left(core) if core.isalpha() else DISGUISED
+        if len(self) >= MEMO_SIZE:
+            self.clear()
+        self[token] = left << 10 | right
+        return self[token]
+
+
+def link_table(model: np.ndarray) -> np.ndarray:
+    """By the codes of a left and a right fragment: 1 where they are likelier without the blank between them, 0 where not,
+    ``ASK`` where one is disguised. Beyond two characters on either side both readings are alike."""
+    m, n = model, N_CLASSES
+    whole = m[:, :, :, None] + m[None, :, :, :] - DROPPED
+    parted = m[:, :, 0, None, None] + m[None, :, 0, :, None] + m[0][None, None, :, :]
+    plain = whole > parted
+    plain[0, :, :, 0] = False  # single characters
+    out = np.zeros((n * n + 2, n * n + 2), np.uint8)
+    out[: n * n, : n * n] = plain.reshape(n * n, n * n)
+    out[DISGUISED, :] = out[:, DISGUISED] = ASK
+    out[NEVER, :] = out[:, NEVER] = 0
+    return out
+
+
 class Restorer:
     """Turns texts into restored words; remembers what it has decoded."""
 
     def __init__(self, model: np.ndarray):
-        self.model, self.memo = model, {}
+        self.flat, self.memo, self.links, self.codes, self.link_table = model.ravel().tolist(), {}, {}, FragmentCodes(), link_table(model)
 
     def words(self, token: str) -> tuple[str, ...]:
         """The words of a lower-case token."""
         found = self.memo.get(token)
         if found is None:
-            core = token.strip(EDGE)
-            if core.isalpha() and not REPEATED.search(core):
-                found = (core,)
-            elif core and any(map(str.isalpha, token)):
-                lead = token[: len(token) - len(token.lstrip(EDGE))]
-                disguised = (lead[-1:] if lead[-1:] in LEET else "") + core  # a leading sign may stand for a letter
-                words = [w for x in ((core,) if disguised == core else (core, disguised)) for w in PIECES.findall(decode(x, self.model))]
-                found = tuple(dict.fromkeys(words))
-            else:
-                found = ()
+            core, whole = token.strip(EDGE), token.strip(BARE_EDGE)
+            plain = core.isalpha()
+            words = [core] if plain else []
+            if core and not plain or REPEATED.search(core):
+                words += PIECES.findall(decode(core, self.flat))
+            if whole != core:  # signs at the edges may stand for letters
+                lead = len(whole) - len(whole.lstrip(EDGE))
+                words += PIECES.findall(decode(whole, self.flat, lead, len(whole) - len(whole.rstrip(EDGE))))
+            found = tuple(dict.fromkeys(words))
             if len(self.memo) >= MEMO_SIZE:
                 self.memo.clear()
             self.memo[token] = found
         return found
 
+    def linked(self, a: str, b: str) -> bool:
+        """Whether two neighbouring fragments, one of them disguised, are likelier without the blank between them; their
+        likeliest readings decide."""
+        if (a, b) not in self.links:
+            x, y = (max(PIECES.findall(decode(t, self.flat)), key=len, default="") for t in (a, b))
+            found = any(map(str.isalpha, a + b)) and x and y and self.link_table[self.codes.left(x), self.codes.right(y)]
+            if len(self.links) >= MEMO_SIZE:
+                self.links.clear()
+            self.links[a, b] = bool(found)
+        return self.links[a, b]
+
+    def joined(self, tokens: list[str]) -> list[str]:
+        """What runs of linked fragments are when joined. Single characters beside each other are left to the lattice."""
+        if len(tokens) < 2:
+            return []
+        codes = np.fromiter(map(self.codes.__getitem__, tokens), np.int64, len(tokens))
+        found = self.link_table[codes[:-1] >> 10, codes[1:] & 1023]
+        out, run, last = [], [], -2
+        for i in np.flatnonzero(found).tolist():
+            a, b = tokens[i], tokens[i + 1].rstrip(BARE_EDGE)
+            if found[i] == ASK and (len(a) == 1 == len(b) or not self.linked(a, b)):
+                continue
+            if i != last + 1:
+                out.append("".join(run))
+                run = [a]
+            run.append(b)
+            last = i
+        return [x for x in [*out, "".join(run)] if x]
+
     def restored(self, text: str) -> Counter[str]:
         """The restored words of a text, and how often each stands there."""
         tokens = text.lower().split()
         out: Counter[str] = Counter()
-        for token, n in Counter(tokens).items():
+        counted = Counter(tokens)
+        for token, n in counted.items():
             for word in self.words(token):
                 out[word] += n
-        if sum(len(t) == 1 or len(t) == 2 and t[1] in SPREADERS for t in tokens) > 2:
+        for token in self.joined(tokens):
+            out.update(self.words(token))
+        if sum(n for t, n in counted.items() if len(t) == 1 or len(t) == 2 and t[1] in SPREADERS) > 2:
             line, joined = [], []
             for t in tokens:  # runs of single characters, as far as the lattice may join them
                 if len(t) == 1 or len(t) == 2 and t[1] in SPREADERS:
@@ -171,7 +254,7 @@ class Restorer:
                 else:
                     joined, line = joined + ([" ".join(line)] if len(line) > 2 else []), []
             for spread in joined + ([" ".join(line)] if len(line) > 2 else []):
-                out.update(PIECES.findall(decode(spread, self.model)))
+                out.update(PIECES.findall(decode(spread, self.flat)))
         return out
 
 

@@ -241,6 +241,16 @@ def test_toxicity_of_disguised_words(spark):
     assert {r["predicted"] for r in toxicity.toxicity(frame(spark, docs), lab.limit(0)).collect()} == {0}
 
 
+def test_every_disguise_is_decoded():
+    words = "the idiot moron stupid trash scum ass people report of a meeting little good committee was on time and in class".split()
+    r = random.Random(5)
+    restorer = toxicity.Restorer(toxicity.log_model(toxicity.gram_counts([" ".join(r.choices(words, k=4000)).encode()])))
+    for text, word in (("a$$", "ass"), ("$(um", "scum"), ('"$(um",', "scum"), ("stuupid", "stupid"), ("trrash", "trash"), ("iidiot", "idiot"), ("455", "ass"), ("the stu pid report", "stupid"), ("a mo ron.", "moron"), ("st up id people", "stupid"), ("5tu p1d", "stupid")):
+        assert restorer.restored(text)[word] == 1, (text, restorer.restored(text))
+    plain = "the committee was in a little class, a good report!"
+    assert restorer.restored(plain) == {w.strip(",!"): 2 if w == "a" else 1 for w in plain.split()}
+
+
 def test_viterbi_is_the_best_path():
     texts = [b"idiot stupid student little island", b"second outside idea period"]
     model = toxicity.log_model(toxicity.gram_counts(texts))
