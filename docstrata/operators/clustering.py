@@ -1,20 +1,23 @@
 """Iterative steps without a Spark form: density clustering, layout, merging of topics.
 
-Each runs in numpy in one task over a bounded, documented number of vectors; more vectors are handled by fitting on a
-hash sample of that size and placing the rest by their nearest fitted neighbour, by blocks.
+All of them cover every vector. Up to a documented number of vectors one task has their distance matrix; beyond it
+distances are worked out block by block on all cores, and one task has the spanning tree's edges or the neighbour graph.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docstrata.config import Settings
-from docstrata.operators.vectors import nearest, unit
+from docstrata.operators.vectors import blocks, components, matrix, nearest, rescaled, unit
 
-#: Vectors that are fitted at once: their distance matrix takes 200 MB.
+#: Vectors that one task compares at once: their distance matrix takes 200 MB.
 FIT_ROWS = 5000
 
 
@@ -48,7 +51,11 @@ def spanning_tree(d: np.ndarray) -> np.ndarray:
 
 def leaf_clusters(x: np.ndarray, min_cluster_size: int, min_samples: int) -> np.ndarray:
     """Labels of the leaves of the condensed cluster tree; -1 for points in none."""
-    n = len(x)
+    return leaves(spanning_tree(mutual_reachability(x, min_samples)) if len(x) >= 2 * min_cluster_size else np.empty((0, 3)), len(x), min_cluster_size)
+
+
+def leaves(tree: np.ndarray, n: int, min_cluster_size: int) -> np.ndarray:
+    """``leaf_clusters`` of ``n`` points from the edges of their least spanning tree, by rising distance."""
     labels = np.full(n, -1)
     if n < 2 * min_cluster_size:
         return labels
@@ -61,7 +68,7 @@ def leaf_clusters(x: np.ndarray, min_cluster_size: int, min_samples: int) -> np.
             a = parent[a]
         return a
 
-    for a, b, _ in spanning_tree(mutual_reachability(x, min_samples)):
+    for a, b, _ in tree:
         a, b = find(int(a)), find(int(b))
         node = n + len(children)
         children[node] = (top[a], top[b])
@@ -92,24 +99,88 @@ def leaf_clusters(x: np.ndarray, min_cluster_size: int, min_samples: int) -> np.
     return labels
 
 
-def _sampled(vectors: DataFrame, key: str, rows: int) -> DataFrame:
-    return vectors.orderBy(F.xxhash64(key), key).limit(rows)
+def _compared(vectors: DataFrame, key: str, vector: str, keys: np.ndarray, found: Callable[..., list[np.ndarray]], schema: str) -> DataFrame:
+    """What ``found`` makes of the places in ``keys`` of some vectors and of a block, and of their distances; all pairs."""
+    sc, out = vectors.sparkSession.sparkContext, None
+    names = [c.split()[0] for c in schema.split(",")]
+    places = sc.broadcast(keys)
+    for block in blocks(vectors, key, vector):
+        shared = sc.broadcast(block)
+
+        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            others, y = shared.value
+            j, squares = np.searchsorted(places.value, others), (y * y).sum(axis=1)
+            for batch in batches:
+                for a in range(0, batch.num_rows, 256):
+                    part = batch.slice(a, 256)
+                    x, i = matrix(part.column(1)), np.searchsorted(places.value, part.column(0).to_numpy(zero_copy_only=False))
+                    d = np.sqrt(np.maximum((x * x).sum(axis=1)[:, None] + squares[None, :] - 2 * x @ y.T, 0))
+                    d[i[:, None] == j[None, :]] = 0
+                    yield pa.RecordBatch.from_arrays([pa.array(list(c) if c.ndim > 1 else c) for c in found(i, j, d)], names=names)
+
+        part = vectors.select(key, vector).mapInArrow(run, schema)
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+def spanning_tree_by_blocks(vectors: DataFrame, key: str, vector: str, keys: np.ndarray, min_samples: int) -> np.ndarray:
+    """``spanning_tree`` of the mutual reachability of all vectors (Boruvka): in each round every component finds its
+    shortest edge to another. ``keys``: theirs, sorted. The driver holds a component and a core distance for each vector."""
+    sc, n = vectors.sparkSession.sparkContext, len(keys)
+    m = min(min_samples, n)
+    least = lambda i, j, d: [i, np.sort(np.partition(d, min(m, len(j)) - 1, axis=1)[:, :m], axis=1)]
+    cores = _compared(vectors, key, vector, keys, least, "i long, d array<double>").groupBy("i").agg(F.sort_array(F.flatten(F.collect_list("d")))[m - 1].alias("core")).toPandas()
+    core, component, edges = np.zeros(n), np.arange(n), []
+    core[cores["i"].to_numpy()] = cores["core"].to_numpy()
+    while len(edges) < n - 1:
+        state = sc.broadcast((core, component))
+
+        def shortest(i: np.ndarray, j: np.ndarray, d: np.ndarray, state=state) -> list[np.ndarray]:
+            core, component = state.value
+            d = np.maximum(d, np.maximum(core[i][:, None], core[j][None, :]))
+            d[component[i][:, None] == component[j][None, :]] = np.inf
+            w = d.min(axis=1)
+            lo, hi = np.minimum(i[:, None], j[None, :]), np.maximum(i[:, None], j[None, :])
+            code = np.where(d == w[:, None], lo * n + hi, np.iinfo(np.int64).max).min(axis=1)
+            on = np.isfinite(w)
+            return [component[i][on], w[on], code[on]]
+
+        found = _compared(vectors, key, vector, keys, shortest, "c long, w double, e long").groupBy("c").agg(F.min(F.struct("w", "e")).alias("b")).select("b.w", "b.e").distinct().orderBy("w", "e").toPandas()
+        parent = np.arange(n)
+
+        def find(a: int) -> int:
+            while parent[a] != a:
+                parent[a] = parent[parent[a]]
+                a = parent[a]
+            return a
+
+        for w, e in zip(found["w"].tolist(), found["e"].tolist()):
+            a, b = find(component[e // n]), find(component[e % n])
+            if a != b:
+                parent[max(a, b)] = min(a, b)
+                edges.append((e // n, e % n, w))
+        while (parent != parent[parent]).any():
+            parent = parent[parent]
+        component = parent[component]
+        state.unpersist()
+    edges.sort(key=lambda e: e[2])
+    return np.array(edges).reshape(-1, 3)
 
 
 def hdbscan(vectors: DataFrame, key: str = "vec_id", vector: str = "embedding", s: Settings = Settings(), fit_rows: int = FIT_ROWS) -> DataFrame:
-    """``key, topic_nr``: leaf clusters by density, -1 for outliers. Beyond ``fit_rows`` vectors, those with the least hash
-    of their key are clustered and every other one takes the cluster of its nearest neighbour among them."""
-    chosen = _sampled(vectors.select(key, vector), key, fit_rows)
+    """``key, topic_nr``: leaf clusters by density of all vectors, -1 for outliers. Beyond ``fit_rows`` vectors the distances
+    are worked out by blocks."""
+    if vectors.count() > fit_rows:
+        keys = np.sort(vectors.select(F.col(key).cast("long")).toArrow().column(0).to_numpy())
+        labels = leaves(spanning_tree_by_blocks(vectors, key, vector, keys, s.min_samples), len(keys), s.min_cluster_size)
+        return vectors.sparkSession.createDataFrame(pa.table({key: keys, "topic_nr": labels.astype(np.int32)}))
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(key)
         x = np.array(pdf[vector].tolist(), np.float64).reshape(len(pdf), -1)
         return pd.DataFrame({key: pdf[key].to_numpy(), "topic_nr": leaf_clusters(x, s.min_cluster_size, s.min_samples)})
 
-    fitted = chosen.groupBy(F.lit("all")).applyInPandas(run, f"{key} long, topic_nr int")
-    rest = vectors.join(chosen.select(key), key, "left_anti")
-    placed = nearest(rest, chosen, key, vector, 1).join(fitted.withColumnRenamed(key, "neighbour"), "neighbour").select(key, "topic_nr")
-    return fitted.unionByName(placed) if vectors.count() > fit_rows else fitted
+    return vectors.select(key, vector).groupBy(F.lit("all")).applyInPandas(run, f"{key} long, topic_nr int")
 
 
 # --- layout
@@ -135,12 +206,28 @@ def umap(x: np.ndarray, init: np.ndarray, k: int, seed: int, epochs: int = 200)
     d = 1 - x @ x.T
     np.fill_diagonal(d, np.inf)
     order = np.argsort(d, axis=1, kind="stable")[:, :k]
-    w = np.zeros((n, n))
-    np.put_along_axis(w, order, fuzzy_weights(np.take_along_axis(d, order, axis=1), k), axis=1)
-    w = w + w.T - w * w.T
+    return layout(order, np.take_along_axis(d, order, axis=1), init, seed, epochs)
+
+
+def fuzzy_union(order: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The symmetric graph of k neighbours each and their memberships: heads, tails and memberships, by head and tail."""
+    n, k = order.shape
+    head = np.repeat(np.arange(n), k)
+    codes = np.concatenate((head * n + order.ravel(), order.ravel() * n + head))
+    found, place = np.unique(codes, return_inverse=True)
+    there, back = np.zeros(len(found)), np.zeros(len(found))
+    there[place[: n * k]], back[place[n * k :]] = w.ravel(), w.ravel()
+    union = there + back - there * back
+    found, union = found[union != 0], union[union != 0]
+    return found // n, found % n, union
+
+
+def layout(order: np.ndarray, distances: np.ndarray, init: np.ndarray, seed: int, epochs: int = 200) -> np.ndarray:
+    """``umap`` from the k nearest neighbours of all points and their distances."""
+    n, k = order.shape
+    head, tail, w = fuzzy_union(order, fuzzy_weights(distances, k))
     a, b = 1.93, 0.79  # the curve for least distance 0 and spread 1
-    head, tail = np.nonzero(w)
-    p = w[head, tail] / w.max()
+    p = w / w.max()
     r, y = np.random.Generator(np.random.PCG64(seed)), init * 1e4 * 10
     for epoch in range(epochs):
         rate = 1 - epoch / epochs
@@ -160,9 +247,22 @@ def umap(x: np.ndarray, init: np.ndarray, k: int, seed: int, epochs: int = 200)
 
 
 def umap_layout(vectors: DataFrame, key: str = "vec_id", vector: str = "embedding", dims: int = 2, s: Settings = Settings(), fit_rows: int = FIT_ROWS) -> DataFrame:
-    """``key, coordinates``: a layout from rescaled principal components, seeded. Beyond ``fit_rows`` vectors the rest stand
-    where their nearest fitted neighbour stands."""
-    chosen = _sampled(vectors.select(key, vector), key, fit_rows)
+    """``key, coordinates``: a layout of all vectors from rescaled principal components, seeded. Beyond ``fit_rows`` vectors
+    neighbours and components are worked out by blocks, and one task lays their graph out."""
+    n = vectors.count()
+    if n > fit_rows:
+        k = min(s.neighbours, n - 1)
+        near = nearest(vectors, vectors, key, vector, k).groupBy(key).agg(F.sort_array(F.collect_list(F.struct("rank", "neighbour", "sim"))).alias("near"))
+        begun = rescaled(components(vectors, dims, key, vector)).withColumnRenamed("pc", "begin")
+        graph = near.join(begun, key).select(key, "begin", F.transform("near", lambda x: x["neighbour"]).alias("others"), F.transform("near", lambda x: 1 - x["sim"]).alias("far"))
+
+        def run_graph(pdf: pd.DataFrame) -> pd.DataFrame:
+            pdf = pdf.sort_values(key)
+            keys = pdf[key].to_numpy()
+            order, d, init = np.searchsorted(keys, np.array(pdf["others"].tolist())), np.array(pdf["far"].tolist()), np.array(pdf["begin"].tolist())
+            return pd.DataFrame({key: keys, "coordinates": list(layout(order, d, init, s.seed))})
+
+        return graph.groupBy(F.lit("all")).applyInPandas(run_graph, f"{key} long, coordinates array<double>")
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(key)
@@ -175,12 +275,7 @@ def umap_layout(vectors: DataFrame, key: str = "vec_id", vector: str = "embeddin
         y = umap(unit(x), pc / (sd * 10000) if sd else pc, s.neighbours, s.seed)
         return pd.DataFrame({key: pdf[key].to_numpy(), "coordinates": list(y)})
 
-    fitted = chosen.groupBy(F.lit("all")).applyInPandas(run, f"{key} long, coordinates array<double>")
-    if vectors.count() <= fit_rows:
-        return fitted
-    rest = vectors.join(chosen.select(key), key, "left_anti")
-    placed = nearest(rest, chosen, key, vector, 1).join(fitted.withColumnRenamed(key, "neighbour"), "neighbour").select(key, "coordinates")
-    return fitted.unionByName(placed)
+    return vectors.select(key, vector).groupBy(F.lit("all")).applyInPandas(run, f"{key} long, coordinates array<double>")
 
 
 # --- merging of topics

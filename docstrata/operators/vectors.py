@@ -49,15 +49,15 @@ def _ranked(keys: np.ndarray, sims: np.ndarray, others: np.ndarray, k: int) -> t
     return np.repeat(keys, rows.sum(axis=1)), others[order][rows], best[rows]
 
 
-def _blocks(vectors: DataFrame, key: str, vector: str) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """The vectors in blocks of bounded size: how many blocks is measured first; each is fetched on its own."""
+def blocks(vectors: DataFrame, key: str, vector: str) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The keys and vectors in blocks of bounded size: how many blocks is measured first; each is fetched on its own."""
     n, dim = vectors.agg(F.count("*"), F.max(F.size(vector))).head()
     parts = max(1, -(-(n * (dim or 0) * 8) // BLOCK_BYTES))
     for part in range(parts):
         got = vectors.where(F.pmod(F.xxhash64(key), F.lit(parts)) == part).select(key, vector).toArrow()
         got = got.combine_chunks()
         if got.num_rows:
-            yield got.column(0).chunk(0).to_numpy(zero_copy_only=False), unit(matrix(got.column(1).chunk(0)))
+            yield got.column(0).chunk(0).to_numpy(zero_copy_only=False), matrix(got.column(1).chunk(0))
 
 
 def nearest(queries: DataFrame, base: DataFrame, key: str = "vec_id", vector: str = "embedding", k: int = Settings.neighbours) -> DataFrame:
@@ -68,8 +68,8 @@ def nearest(queries: DataFrame, base: DataFrame, key: str = "vec_id", vector: st
     """
     spark = queries.sparkSession
     found = None
-    for block in _blocks(base, key, vector):
-        shared = spark.sparkContext.broadcast(block)
+    for others, rows in blocks(base, key, vector):
+        shared = spark.sparkContext.broadcast((others, unit(rows)))
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             others, rows = shared.value

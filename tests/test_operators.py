@@ -107,6 +107,20 @@ def test_clusters_beyond_the_fitted_rows(spark):
     assert len(found) == 132 and len({found[i] for i in range(40)} - {-1}) <= 2
 
 
+def test_all_vectors_are_fitted_by_blocks(spark, monkeypatch):
+    r = np.random.Generator(np.random.PCG64(8))
+    x = np.vstack([r.standard_normal((n, 4)) * 0.05 + c for n, c in zip((60, 60, 20), np.eye(4)[:3] * 3)] + [r.uniform(-6, 6, (12, 4))])
+    df, s = vector_rows(spark, x), Settings(min_cluster_size=15, min_samples=5)
+    monkeypatch.setattr(vectors, "BLOCK_BYTES", 2000)
+    keys = np.arange(len(x))
+    tree, whole = clustering.spanning_tree_by_blocks(df, "vec_id", "embedding", keys, 5), clustering.spanning_tree(clustering.mutual_reachability(x, 5))
+    assert np.allclose(tree[:, 2], whole[:, 2], atol=1e-6)
+    found = dict(rows(clustering.hdbscan(df, s=s, fit_rows=50)))
+    assert len({found[i] for i in range(120, 140)} - {-1}) == 1 and sum(found[i] != -1 for i in range(120, 140)) >= 15
+    got = dict(rows(clustering.umap_layout(df, fit_rows=50), "vec_id"))
+    assert len(got) == len(x) == len({tuple(c) for c in got.values()})
+
+
 def test_merge_and_layout(spark):
     t = np.array([[1, 0], [0.9, 0.1], [0, 1], [0.1, 0.9]])
     assert clustering.merged(t, 2).tolist() == [0, 0, 1, 1] and clustering.merged(t, 9).tolist() == [0, 1, 2, 3]
