@@ -19,6 +19,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -27,8 +28,9 @@ from docstrata.llm.common import byte_texts, held_out, materialise, slabs, small
 
 #: Labelled rows that the classifier learns from at most, those with the least hash of their id.
 SAMPLE_ROWS = 6000
-#: Words and word beginnings that the classifier looks at, and how far (in standard errors) each must lean to label 1.
-FEATURES, LEAST_Z = 1024, 4.0
+#: How far a word or word beginning must lean to label 1 for the classifier to look at it: the signed root of its
+#: likelihood-ratio statistic, which is near a standard normal value where there is nothing in it.
+LEAST_Z = 3.5
 #: Character classes of the model: 0 break, 1-26 letters, 27 any byte of another script.
 N_CLASSES = 28
 CLASS_OF = np.array([0 if b < 128 and not 97 <= b <= 122 else b - 96 if b < 128 else 27 for b in range(256)], np.uint8)
@@ -46,10 +48,11 @@ PIECES = re.compile(r"[^\W\d_]+")
 BARE_EDGE = "".join(c for c in EDGE if c not in LEET)
 MARKS = "!|+("
 RUNS = re.compile(r"(.)\1*", re.S)
-REPEATED = re.compile(r"([^\W\d_])\1")
+REPEATED, REPEATS = re.compile(r"([^\W\d_])\1"), re.compile(r"(.)\1+", re.S)
 #: Characters in a fragment of a word that a blank may have parted.
 FRAGMENT = 5
-MEMO_SIZE = 200_000
+#: Tokens that a worker remembers, and the characters of the longest of them: what is remembered is bounded in bytes.
+MEMO_SIZE, MEMO_CHARACTERS = 200_000, 48
 
 
 # --- the character model
@@ -142,6 +145,20 @@ def decode(token: str, model: np.ndarray | list[float], lead: int = 0, trail: in
     return "".join(reversed(out)).rstrip(" ")
 
 
+def squeezed(token: str, flat: list[float]) -> str:
+    """``decode`` of a token of letters only. A repetition is followed by the same state in either reading, so that each is
+    decided on its own: by the letter before it, the letter itself and the one after."""
+
+    def reading(run: re.Match) -> str:
+        c = _class(run[1])
+        b = _class(token[run.start() - 1]) if run.start() else 0
+        d = _class(token[run.end()]) if run.end() < len(token) else 0
+        twice = flat[(b * N_CLASSES + c) * N_CLASSES + c] + flat[(c * N_CLASSES + c) * N_CLASSES + d] - SQUEEZED * (run.end() - run.start() > 2)
+        return run[1] * 2 if twice >= flat[(b * N_CLASSES + c) * N_CLASSES + d] - SQUEEZED else run[1]
+
+    return REPEATS.sub(reading, token)
+
+
 NEVER, DISGUISED, ASK = N_CLASSES**2, N_CLASSES**2 + 1, 2
 
 
@@ -162,10 +179,11 @@ class FragmentCodes(dict):
             right = self.right(core) if core.isalpha() else DISGUISED
             if core == token:
                 left = self.left(core) if core.isalpha() else DISGUISED
-        if len(self) >= MEMO_SIZE:
-            self.clear()
-        self[token] = left << 10 | right
-        return self[token]
+        if len(token) <= MEMO_CHARACTERS:
+            if len(self) >= MEMO_SIZE:
+                self.clear()
+            self[token] = left << 10 | right
+        return left << 10 | right
 
 
 def link_table(model: np.ndarray) -> np.ndarray:
@@ -184,10 +202,15 @@ def link_table(model: np.ndarray) -> np.ndarray:
 
 
 class Restorer:
-    """Turns texts into restored words; remembers what it has decoded."""
+    """Turns texts into restored words; remembers what it has decoded. ``wanted``, if given: which words to return."""
 
-    def __init__(self, model: np.ndarray):
+    def __init__(self, model: np.ndarray, wanted: Callable[[str], bool] | None = None):
         self.flat, self.memo, self.links, self.codes, self.link_table = model.ravel().tolist(), {}, {}, FragmentCodes(), link_table(model)
+        self.wanted = wanted
+
+    def pieces(self, decoded: str) -> list[str]:
+        found = PIECES.findall(decoded)
+        return found if self.wanted is None else list(filter(self.wanted, found))
 
     def words(self, token: str) -> tuple[str, ...]:
         """The words of a lower-case token."""
@@ -195,16 +218,19 @@ class Restorer:
         if found is None:
             core, whole = token.strip(EDGE), token.strip(BARE_EDGE)
             plain = core.isalpha()
-            words = [core] if plain else []
-            if core and not plain or REPEATED.search(core):
-                words += PIECES.findall(decode(core, self.flat))
+            words = self.pieces(core) if plain else []
+            if plain and REPEATED.search(core):
+                words += self.pieces(squeezed(core, self.flat))
+            elif core and not plain:
+                words += self.pieces(decode(core, self.flat))
             if whole != core:  # signs at the edges may stand for letters
                 lead = len(whole) - len(whole.lstrip(EDGE))
-                words += PIECES.findall(decode(whole, self.flat, lead, len(whole) - len(whole.rstrip(EDGE))))
+                words += self.pieces(decode(whole, self.flat, lead, len(whole) - len(whole.rstrip(EDGE))))
             found = tuple(dict.fromkeys(words))
-            if len(self.memo) >= MEMO_SIZE:
-                self.memo.clear()
-            self.memo[token] = found
+            if len(token) <= MEMO_CHARACTERS:
+                if len(self.memo) >= MEMO_SIZE:
+                    self.memo.clear()
+                self.memo[token] = found
         return found
 
     def linked(self, a: str, b: str) -> bool:
@@ -218,44 +244,59 @@ class Restorer:
             self.links[a, b] = bool(found)
         return self.links[a, b]
 
-    def joined(self, tokens: list[str]) -> list[str]:
-        """What runs of linked fragments are when joined. Single characters beside each other are left to the lattice."""
-        if len(tokens) < 2:
-            return []
-        codes = np.fromiter(map(self.codes.__getitem__, tokens), np.int64, len(tokens))
-        found = self.link_table[codes[:-1] >> 10, codes[1:] & 1023]
-        out, run, last = [], [], -2
+    def joined(self, tokens: list[str], index: np.ndarray, codes: np.ndarray, owner: np.ndarray) -> Iterator[tuple[int, str]]:
+        """What runs of linked fragments are when joined, each with its text. Single characters beside each other are left
+        to the lattice. Token i is ``tokens[index[i]]`` of text ``owner[i]``."""
+        code = codes[index]
+        found = self.link_table[code[:-1] >> 10, code[1:] & 1023] * (owner[:-1] == owner[1:])
+        run, last = [], -2
         for i in np.flatnonzero(found).tolist():
-            a, b = tokens[i], tokens[i + 1].rstrip(BARE_EDGE)
+            a, b = tokens[index[i]], tokens[index[i + 1]].rstrip(BARE_EDGE)
             if found[i] == ASK and (len(a) == 1 == len(b) or not self.linked(a, b)):
                 continue
-            if i != last + 1:
-                out.append("".join(run))
+            if i != last + 1 or owner[i] != owner[last]:
+                if run:
+                    yield int(owner[last]), "".join(run)
                 run = [a]
             run.append(b)
             last = i
-        return [x for x in [*out, "".join(run)] if x]
+        if run:
+            yield int(owner[last]), "".join(run)
+
+    def spread(self, tokens: list[str], index: np.ndarray, single: np.ndarray, owner: np.ndarray) -> Iterator[tuple[int, str]]:
+        """Runs of three single characters or more, as the lattice reads them, each with its text."""
+        on = np.flatnonzero(single[index])
+        for run in np.split(on, np.flatnonzero((np.diff(on) > 1) | (np.diff(owner[on]) > 0)) + 1):
+            if len(run) > 2:
+                yield int(owner[run[0]]), " ".join(tokens[k][0] for k in index[run].tolist())
+
+    def restored_texts(self, texts: list[bytes]) -> list[Counter[str]]:
+        """The restored words of each text, and how often each stands there. The tokens of many texts are told apart at
+        once, and each different one is restored once."""
+        out: list[Counter[str]] = [Counter() for _ in texts]
+        for first, last in slabs(map(len, texts)):
+            lists = pc.utf8_split_whitespace(pc.utf8_lower(pa.array([t.decode("utf-8", "replace") for t in texts[first:last]], pa.large_string())))
+            flat = lists.flatten().dictionary_encode()
+            tokens, index = flat.dictionary.to_pylist(), flat.indices.to_numpy()
+            owner = np.repeat(np.arange(first, last), pc.list_value_length(lists).to_numpy())
+            words = list(map(self.words, tokens))
+            at = np.flatnonzero(np.fromiter(map(bool, words), bool, len(words))[index]) if len(index) else index
+            pairs, counts = np.unique(owner[at] * len(tokens) + index[at], return_counts=True)
+            for pair, n in zip(pairs.tolist(), counts.tolist()):
+                for word in words[pair % len(tokens)]:
+                    out[pair // len(tokens)][word] += n
+            if len(index) < 2:
+                continue
+            codes = np.fromiter(map(self.codes.__getitem__, tokens), np.int64, len(tokens))
+            for text, token in self.joined(tokens, index, codes, owner):
+                out[text].update(self.words(token))
+            single = np.fromiter((len(t) == 1 or len(t) == 2 and t[1] in SPREADERS for t in tokens), bool, len(tokens))
+            for text, spread in self.spread(tokens, index, single, owner):
+                out[text].update(self.pieces(decode(spread, self.flat)))
+        return out
 
     def restored(self, text: str) -> Counter[str]:
-        """The restored words of a text, and how often each stands there."""
-        tokens = text.lower().split()
-        out: Counter[str] = Counter()
-        counted = Counter(tokens)
-        for token, n in counted.items():
-            for word in self.words(token):
-                out[word] += n
-        for token in self.joined(tokens):
-            out.update(self.words(token))
-        if sum(n for t, n in counted.items() if len(t) == 1 or len(t) == 2 and t[1] in SPREADERS) > 2:
-            line, joined = [], []
-            for t in tokens:  # runs of single characters, as far as the lattice may join them
-                if len(t) == 1 or len(t) == 2 and t[1] in SPREADERS:
-                    line.append(t[0])
-                else:
-                    joined, line = joined + ([" ".join(line)] if len(line) > 2 else []), []
-            for spread in joined + ([" ".join(line)] if len(line) > 2 else []):
-                out.update(PIECES.findall(decode(spread, self.flat)))
-        return out
+        return self.restored_texts([text.encode()])[0]
 
 
 def features(words: Iterable[str]) -> set[str]:
@@ -268,9 +309,10 @@ def features(words: Iterable[str]) -> set[str]:
     return out
 
 
-def marks(words: dict[str, int], whole: set[str], starts: set[str]) -> dict[str, int]:
-    """Of counted words, those with a feature that is looked at."""
-    return {w: n for w, n in words.items() if w in whole or w[:4] in starts or w[:5] in starts}
+def marking(chosen: Iterable[str]) -> Callable[[str], bool]:
+    """Whether a word has one of the features that are looked at."""
+    whole, starts = {f[1:] for f in chosen if f[0] == "="}, {f for f in chosen if f[0] != "="}
+    return lambda w: w in whole or w[:4] in starts or w[:5] in starts
 
 
 # --- the classifier
@@ -306,7 +348,7 @@ def _feature_rows(model: Broadcast):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         restorer = Restorer(model.value)
         for batch in batches:
-            words = [restorer.restored(x.decode("utf-8", "replace")) for x in byte_texts(batch, "text")]
+            words = restorer.restored_texts(byte_texts(batch, "text"))
             counted = [[{"word": w, "n": n} for w, n in sorted(x.items())] for x in words]
             kind = pa.list_(pa.struct([("word", pa.string()), ("n", pa.int32())]))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([sorted(features(x)) for x in words], pa.list_(pa.string())), pa.array(counted, kind)], names=["y", "features", "words"])
@@ -314,15 +356,23 @@ def _feature_rows(model: Broadcast):
     return run
 
 
+def leaning(a: Column, n: Column, pos: int, rows: int) -> Column:
+    """Signed root of the likelihood-ratio statistic of a feature that stands in ``n`` of ``rows`` rows, ``a`` of them among
+    the ``pos`` rows with label 1."""
+    part = lambda x: F.when(x > 0, x * F.log(x)).otherwise(F.lit(0.0))
+    total, share = F.lit(float(rows)), F.lit(float(pos))
+    inside = part(a) + part(n - a) + part(share - a) + part(total - share - n + a)
+    g = 2 * (inside + part(total) - part(n) - part(total - n) - part(share) - part(total - share))
+    return F.signum(a * total - n * share) * F.sqrt(F.greatest(g, F.lit(0.0)))
+
+
 def learn(sample: DataFrame, model: Broadcast) -> tuple[dict[str, float], tuple[float, float], float]:
     """Feature weights, the weights of how many marks and how many different ones there are, and the intercept, from a
     table ``y, text`` of bounded size."""
     rows = materialise(sample.mapInArrow(_feature_rows(model), "y int, features array<string>, words array<struct<word:string,n:int>>"), "features")
     n, pos = rows.agg(F.count("*"), F.coalesce(F.sum("y"), F.lit(0))).head()
-    a, b = F.col("a"), F.col("n") - F.col("a")
-    lean = (F.log((a + 0.5) / (F.lit(pos) - a + 0.5)) - F.log((b + 0.5) / (F.lit(n - pos) - b + 0.5))) / F.sqrt(1 / (a + 0.5) + 1 / (b + 0.5))
-    counted = rows.select("y", F.explode("features").alias("f")).groupBy("f").agg(F.sum("y").alias("a"), F.count("*").alias("n")).withColumn("z", lean)
-    chosen = [r[0] for r in counted.where(F.col("z") >= LEAST_Z).orderBy(F.desc("z"), "f").limit(FEATURES).select("f").collect()]
+    counted = rows.select("y", F.explode("features").alias("f")).groupBy("f").agg(F.sum("y").alias("a"), F.count("*").alias("n"))
+    chosen = sorted(r[0] for r in counted.where(leaning(F.col("a"), F.col("n"), pos, n) >= LEAST_Z).select("f").collect())
     place = {f: i for i, f in enumerate(chosen)}
     is_mark = lambda w: F.concat(F.lit("="), w["word"]).isin(chosen) | F.left(w["word"], F.lit(4)).isin(chosen) | F.left(w["word"], F.lit(5)).isin(chosen)
     kept = F.filter("words", is_mark) if chosen else F.slice("words", 1, 0)
@@ -347,15 +397,13 @@ def toxicity_score(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE
     key = uuid.uuid4().hex
 
     def score(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        weight, (many, different), bias = weights.value
         if key not in _restorers:
             _restorers.clear()
-            _restorers[key] = Restorer(model.value)
-        restorer, (weight, (many, different), bias) = _restorers[key], weights.value
-        whole, starts = {f[1:] for f in weight if f[0] == "="}, {f for f in weight if f[0] != "="}
+            _restorers[key] = Restorer(model.value, marking(weight))
         for batch in texts:
             scores = []
-            for text in byte_texts(batch):
-                found = marks(restorer.restored(text.decode("utf-8", "replace")), whole, starts)
+            for found in _restorers[key].restored_texts(byte_texts(batch)):
                 total = bias + sum(weight[f] for f in features(found) if f in weight)
                 total += many * math.log1p(sum(found.values())) + different * math.log1p(len(found))
                 scores.append(1 / (1 + math.exp(-max(-500.0, min(500.0, total)))))

@@ -280,6 +280,19 @@ def test_every_disguise_is_decoded():
     assert restorer.restored(plain) == {w.strip(",!"): 2 if w == "a" else 1 for w in plain.split()}
 
 
+def test_long_texts_and_neighbours_change_nothing():
+    r = random.Random(6)
+    base = ["the", "cl-ass", "i", "d", "1", "o", "t", "stu", "pid", "commmittee,", "a$$!", "$$$", "éé", "tooth", "x" * 40]
+    texts = ["", " \n ", "a", " ".join(r.choices(base, k=40_000)), "ab" * 200_000, "a1" * 20_000] + [" ".join(r.choices(base, k=r.randrange(30))) for _ in range(200)]
+    restorer = toxicity.Restorer(toxicity.log_model(toxicity.gram_counts(t.encode() for t in texts)))
+    whole = restorer.restored_texts([t.encode() for t in texts])
+    assert whole == [restorer.restored(t) for t in texts] and whole[0] == whole[1] == {}
+    some = toxicity.Restorer(toxicity.log_model(toxicity.gram_counts(t.encode() for t in texts)), toxicity.marking(["=the", "toot"]))
+    assert some.restored_texts([t.encode() for t in texts]) == [{w: n for w, n in x.items() if w in ("the", "tooth")} for x in whole]
+    words = {"".join(r.choices("aabboott", k=r.randrange(1, 9))) for _ in range(2000)} | {"éé", "öäää", "ssä"}
+    assert [toxicity.squeezed(w, restorer.flat) for w in words] == [toxicity.decode(w, restorer.flat) for w in words]
+
+
 def test_viterbi_is_the_best_path():
     texts = [b"idiot stupid student little island", b"second outside idea period"]
     model = toxicity.log_model(toxicity.gram_counts(texts))
