@@ -288,7 +288,7 @@ def test_long_texts_and_neighbours_change_nothing():
     whole = restorer.restored_texts([t.encode() for t in texts])
     assert whole == [restorer.restored(t) for t in texts] and whole[0] == whole[1] == {}
     some = toxicity.Restorer(toxicity.log_model(toxicity.gram_counts(t.encode() for t in texts)), toxicity.marking(["=the", "toot"]))
-    assert some.restored_texts([t.encode() for t in texts]) == [{w: n for w, n in x.items() if w in ("the", "tooth")} for x in whole]
+    assert some.restored_texts([t.encode() for t in texts]) == [{w: n for w, n in x.items() if w == "the" or w[:4] == "toot"} for x in whole]
     words = {"".join(r.choices("aabboott", k=r.randrange(1, 9))) for _ in range(2000)} | {"éé", "öäää", "ssä"}
     assert [toxicity.squeezed(w, restorer.flat) for w in words] == [toxicity.decode(w, restorer.flat) for w in words]
 
