@@ -9,9 +9,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: ``spark.checkpoint.dir``, or a local one where that is unset."""
+    """The folder that all executors share: ``spark.checkpoint.dir``. Where that is unset a local folder is made if all
+    executors are in this process; on a cluster it is an error, since they would not see each other's files."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         base = "file://" + tempfile.mkdtemp(prefix="docstrata-")
         spark.sparkContext.setCheckpointDir(base)
     return base.rstrip("/")
@@ -30,10 +33,26 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return written
 
 
-def discard(df: DataFrame) -> None:
-    """Delete the files of a table that ``materialise`` itself returned and that nothing reads any more; any other frame's
-    files are left alone."""
-    path = getattr(df, "_written_to", None)
-    if path:
-        hadoop = df.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
-        hadoop.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(hadoop, True)
+def owning(df: DataFrame, *tables: DataFrame | str) -> DataFrame:
+    """``df``, which reads written tables (or folders of ``new_path``): ``discard`` of it deletes them too."""
+    df._owned = [*getattr(df, "_owned", ()), *tables]
+    return df
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+    hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop, True)
+
+
+def discard(*frames: DataFrame) -> None:
+    """Delete the files of tables that ``materialise`` itself returned, and those that a frame owns, when nothing reads them
+    any more; any other frame's files are left alone."""
+    for df in frames:
+        for part in getattr(df, "_owned", ()):
+            if isinstance(part, str):
+                _delete(df.sparkSession, part)
+            else:
+                discard(part)
+        path = getattr(df, "_written_to", None)
+        if path:
+            _delete(df.sparkSession, path)
