@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docstrata.sources.shared import discard, materialise, new_path, shared_dir  # noqa: F401
+from docstrata.sources.shared import discard, materialise, new_path, owning, shared_dir  # noqa: F401
 
 #: Rows in one Arrow batch sent to Python; small, because a single text may be very long.
 BATCH_ROWS = 512
@@ -52,5 +52,25 @@ def held_out(doc_id: Column) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % 5 == 0
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """A column name that ``df`` does not have, whatever the case of its letters."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def with_row_key(df: DataFrame) -> tuple[DataFrame, tuple[str, str]]:
+    """``df`` with two columns of type long that tell its rows apart, repeated ones too, and their names: which file a row
+    comes from, and its place there. Nothing is moved where ``df`` is files as they were read; any other frame is written
+    first, since its rows need not be rows of a file."""
+    if df._jdf.queryExecution().analyzed().getClass().getSimpleName() != "LogicalRelation":
+        df = materialise(df, "rows")
+    found = df.metadataColumn("_metadata")
+    names = (free_name(df, "_file"), free_name(df, "_place"))
+    keys = (F.xxhash64(found["file_path"]), found["row_index"].cast("long"))
+    return owning(df.select("*", *[k.alias(n) for k, n in zip(keys, names)]), df), names
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

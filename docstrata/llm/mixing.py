@@ -2,6 +2,7 @@
 
 A source's target number of tokens is divided into blocks of equal tokens. Blocks are apportioned first to sources, then
 to the hashed shards of a source, by highest quotients: each next block goes to the largest ``votes / (2 seats + 1)``.
+A document's id and text decide its shard, so that rows that share an id, or have none, are spread.
 A shard's documents stand end to end in a seeded order; its quota is whole passes over the shard and, for the rest,
 blocks picked evenly from a seeded start. What a document gives is the overlap of its tokens with the blocks picked.
 """
@@ -11,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from docstrata.llm.common import materialise
+from docstrata.llm.common import discard, materialise, owning
 
 #: Weights of sources in order of their names, repeating; passes over a source at most; seed.
 WEIGHTS, MAX_EPOCHS, SEED = (5.0, 2.0, 1.0), 3, 42
@@ -90,22 +91,25 @@ def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_co
         F.col(id_col).cast("long").alias("doc_id"),
         F.when(F.col(source_col).isNull(), F.lit("1")).otherwise(F.concat(F.lit("0"), F.col(source_col).cast("string"))).alias("skey"),
         F.coalesce(F.regexp_count(text_col, F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
+        F.xxhash64(F.col(id_col).cast("long"), F.col(text_col).cast("string")).alias("key"),
     )
     rows = materialise(rows, "sizes")
     sources = rows.groupBy("skey").agg(F.sum("size").alias("source_size"), F.count("*").alias("n_docs"))
     place = (F.row_number().over(Window.orderBy("skey")) - 1) % len(weights)
     weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (place + 1).cast("int"))
-    sources = materialise(targets(materialise(sources.withColumn("weight", weight), "sources"), max_epochs), "targets")
+    weighed = materialise(sources.withColumn("weight", weight), "sources")
+    sources = materialise(targets(weighed, max_epochs), "targets")
     least = sources.where("target > 0").agg(F.min("target"), F.sum("target")).head()
     block = max(1, min(BLOCK_TOKENS, int((least[0] or 0) // LEAST_BLOCKS)))
     seats = sources.withColumn("seats", F.lit(int((least[1] or 0) / block + 0.5)).cast("long")).withColumn("all", F.lit(0))
     quotas = apportion(seats, ["all"], "skey", "target", "seats")
     quotas = materialise(quotas.select("skey", "source_size", "target", "quota", F.ceil(F.col("n_docs") / shard_docs).cast("long").alias("n_shards")), "quotas")
-    shard = F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.col("n_shards"))
+    discard(weighed, sources)
+    shard = F.pmod(F.xxhash64("key", F.lit(seed)), F.col("n_shards"))
     sharded = rows.join(quotas, "skey").withColumn("shard", shard)
     units = sharded.groupBy("skey", "shard").agg(F.sum("size").alias("shard_size"), F.first("quota").alias("seats"))
     units = apportion(units, ["skey"], "shard", "shard_size", "seats").select("skey", "shard", "shard_size", F.col("quota").alias("shard_quota"))
-    w = Window.partitionBy("skey", "shard").orderBy(F.xxhash64("doc_id", F.lit(seed + 1)), "doc_id", "size")
+    w = Window.partitionBy("skey", "shard").orderBy(F.xxhash64("key", F.lit(seed + 1)), "doc_id", "size", "key")
     placed = sharded.withColumn("end", F.sum("size").over(w.rowsBetween(Window.unboundedPreceding, 0))).join(units, ["skey", "shard"])
     n_blocks = F.ceil(F.col("shard_size") / block)
     wanted = F.least(F.col("shard_quota") * block, F.col("shard_size") * max_epochs)
@@ -114,4 +118,5 @@ def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_co
     offset = F.pmod(F.xxhash64("skey", "shard", F.lit(seed + 2)), n_blocks)
     part = _picked_before(F.col("end"), k, n_blocks, offset, block) - _picked_before(F.col("end") - F.col("size"), k, n_blocks, offset, block)
     taken = F.when(F.col("shard_size") > 0, passes * F.col("size") + part).otherwise(F.lit(0)).cast("long")
-    return placed.select("doc_id", "size", "source_size", F.col("target").cast("double").alias("target"), taken.alias("taken"))
+    found = placed.select("doc_id", "size", "source_size", F.col("target").cast("double").alias("target"), taken.alias("taken"))
+    return owning(found, rows, quotas)

@@ -11,7 +11,9 @@ sub-blocks whose pairs go to different tasks. Only a spanning forest of the link
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 from itertools import combinations
+from operator import and_
 
 import numpy as np
 import pyarrow as pa
@@ -19,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docstrata.llm.common import byte_texts, materialise, small_batches
+from docstrata.llm.common import byte_texts, discard, materialise, owning, small_batches
 from docstrata.llm.components import components
 
 SEED = 42
@@ -55,17 +57,21 @@ def fingerprint(text: bytes, k: int = SHINGLE) -> int:
     return int(np.packbits(counts * 2 > m, bitorder="little").view("<u8")[0])
 
 
-def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = SHINGLE) -> DataFrame:
-    """``doc_id, fp`` of each row: the fingerprint as a signed long. Null and blank texts have fingerprint 0."""
+def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = SHINGLE, row: tuple[str, ...] = ()) -> DataFrame:
+    """``doc_id, fp`` of each row, and the columns ``row`` by place (``row_0``...): the fingerprint as a signed long. Null and
+    blank texts have fingerprint 0."""
     small_batches(df.sparkSession)
+    names = ["doc_id", *(f"row_{i}" for i in range(len(row)))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             fps = np.array([fingerprint(x, k) for x in byte_texts(batch, "text")], np.uint64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps.view(np.int64))], names=["doc_id", "fp"])
+            kept = [batch.column(i) for i in range(len(names))]
+            yield pa.RecordBatch.from_arrays([*kept, pa.array(fps.view(np.int64))], names=[*names, "fp"])
 
-    rows = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, fp long")
+    longs = [F.col(c).cast("long").alias(n) for c, n in zip((id_col, *row), names)]
+    rows = df.select(*longs, F.col(text_col).cast("string").alias("text"))
+    return rows.mapInArrow(run, ", ".join(f"{n} long" for n in [*names, "fp"]))
 
 
 def _add3(a: np.ndarray, b: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -83,11 +89,13 @@ def bit_planes(fps: np.ndarray) -> np.ndarray:
 
 
 def within_radius(queries: np.ndarray, planes: np.ndarray, wanted: np.ndarray, radius: int = RADIUS) -> np.ndarray:
-    """Of the lanes in ``wanted`` (queries x words), those at most ``radius`` (below 8) bits from each query."""
+    """Of the lanes in ``wanted`` (queries x words), those at most ``radius`` (below 8) bits from each query. A query all of
+    whose lanes exceed the radius is abandoned: the rest go on without it."""
     bits = (queries[None, :] >> np.arange(64, dtype=np.uint64)[:, None]) & np.uint64(1)
     masks = (np.uint64(0) - bits)[:, :, None]
     ones = np.zeros(wanted.shape, np.uint64)
     twos, fours, over = ones.copy(), ones.copy(), ~wanted
+    rows, out = np.arange(len(queries)), np.zeros(wanted.shape, np.uint64)
     for p in range(0, 64, 4):
         d = planes[p : p + 4, None, :] ^ masks[p : p + 4]
         ones, c1 = _add3(ones, d[0], d[1])
@@ -103,9 +111,15 @@ def within_radius(queries: np.ndarray, planes: np.ndarray, wanted: np.ndarray, r
             else:
                 above |= equal & counter
                 equal = equal & ~counter
-        if (over | above == ALL_BITS).all():  # the whole block is out of reach
-            return np.zeros_like(over)
-    return ~(over | above)
+        live = (over | above != ALL_BITS).any(axis=1)
+        n = np.count_nonzero(live)
+        if not n:
+            return out
+        if 4 * n < 3 * len(rows):
+            rows, masks, above = rows[live], masks[:, live], above[live]
+            ones, twos, fours, over = ones[live], twos[live], fours[live], over[live]
+    out[rows] = ~(over | above)
+    return out
 
 
 def spanning_links(fps: np.ndarray, group: np.ndarray, radius: int = RADIUS) -> np.ndarray:
@@ -176,8 +190,11 @@ def _forests(radius: int):
     """Arrow function: rows sorted by ``part, t, key, i, j`` to links of each group's spanning forest."""
 
     def links(fps: list[np.ndarray], groups: list[np.ndarray]) -> pa.RecordBatch:
-        fp = np.concatenate(fps) if fps else np.empty(0, np.uint64)
-        root = spanning_links(fp, np.concatenate(groups), radius) if fps else np.empty(0, np.int64)
+        fp, group = (np.concatenate(x) if x else np.empty(0, np.uint64) for x in (fps, groups))
+        twin = group[1:] == group[:-1]
+        several = np.append(twin, False) | np.append(False, twin) if len(fp) else np.empty(0, bool)
+        fp, group = fp[several], group[several]  # most keys have one fingerprint only
+        root = spanning_links(fp, group, radius)
         rows = np.flatnonzero(root != np.arange(len(root)))
         return pa.RecordBatch.from_arrays([pa.array(fp[rows].view(np.int64)), pa.array(fp[root[rows]].view(np.int64))], names=["u", "v"])
 
@@ -225,21 +242,45 @@ def near_links(distinct: DataFrame, radius: int = RADIUS, blocks: int | None = N
     )
     dealt = split.select("t", "key", F.explode(pairs).alias("p"), "fp").select("t", "key", "p.i", "p.j", "fp")
     small_batches(spark, 8192)
-    return dealt.repartition("t", "key", "i", "j").sortWithinPartitions("t", "key", "i", "j", "fp").mapInArrow(_forests(radius), "u long, v long")
+    sorted_rows = dealt.repartition("t", "key", "i", "j").sortWithinPartitions("t", "key", "i", "j", "fp")
+    return owning(sorted_rows.mapInArrow(_forests(radius), "u long, v long"), hot)
 
 
-def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
+def near_duplicates(
+    df: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = SHINGLE, radius: int = RADIUS, row: tuple[str, ...] = ()
+) -> DataFrame:
     """One row per input row: ``doc_id, fingerprint, component_id``.
 
     Words are runs of non-blank characters, A-Z lower-cased; fewer than ``k`` words make one shingle. Null, empty and
     blank texts have fingerprint 0 and are linked like any others. ``component_id`` is the smallest id that links
-    reach, null only if no row of the component has an id. Equal texts, and rows that repeat an id, fall into one
-    component. Other columns of ``df``, whatever their names, play no part. An empty table gives an empty result.
+    reach, null only if no row of the component has an id. Equal texts fall into one component; rows are linked by their
+    fingerprints alone, so rows that repeat an id may be in several. If ``row`` names columns of type long that tell
+    every row apart, ``kept`` says for one row of each component, of those with its id the first by ``row``, that it stays,
+    and ``row_0``... come back beside the rest. Other columns of ``df``, whatever their names, play
+    no part. An empty table gives an empty result.
+
+    Only fingerprints and ids move. Minima are aggregated and written before they are joined, so that the adaptive planner
+    can split a fingerprint or a component that very many rows share.
     """
-    rows = materialise(fingerprints(df, id_col, text_col, k), "fingerprints")
-    distinct = materialise(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct")
-    found = materialise(components(near_links(distinct, radius)), "components")
-    rooted = distinct.join(found, distinct.fp == found.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    classes = rooted.join(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("fp", "component_id")
-    joined = rows.join(classes, "fp")
-    return joined.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    places = [f"row_{i}" for i in range(len(row))]
+    rows = materialise(fingerprints(df, id_col, text_col, k, row), "fingerprints")
+    first = F.struct(F.isnull("doc_id").alias("unknown"), "doc_id", *places)
+    distinct = materialise(rows.groupBy("fp").agg(F.min(first).alias("least")), "distinct")
+    links = near_links(distinct, radius)
+    stars = components(links)
+    found = materialise(stars, "components")
+    discard(links, stars)
+    joined = distinct.join(found, distinct.fp == found.node, "left")
+    rooted = materialise(joined.select("fp", "least", F.coalesce("root", "fp").alias("root")), "rooted")
+    minima = materialise(rooted.groupBy("root").agg(F.min("least").alias("first")), "minima")
+    classes = materialise(rooted.join(minima, "root").select("fp", "first"), "classes")
+    discard(distinct, found, rooted, minima)
+    is_first = [reduce(and_, [F.col(c).eqNullSafe(F.col(f"first.{c}")) for c in places]).alias("kept")] if row else []
+    told = rows.join(classes, "fp").select(
+        "doc_id",
+        F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"),
+        F.col("first.doc_id").alias("component_id"),
+        *is_first,
+        *places,
+    )
+    return owning(told, rows, classes)

@@ -24,7 +24,7 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docstrata.llm.common import byte_texts, held_out, materialise, slabs, small_batches
+from docstrata.llm.common import byte_texts, discard, held_out, materialise, slabs, small_batches
 
 #: Labelled rows that the classifier learns from at most, those with the least hash of their id.
 SAMPLE_ROWS = 6000
@@ -377,6 +377,7 @@ def learn(sample: DataFrame, model: Broadcast) -> tuple[dict[str, float], tuple[
     is_mark = lambda w: F.concat(F.lit("="), w["word"]).isin(chosen) | F.left(w["word"], F.lit(4)).isin(chosen) | F.left(w["word"], F.lit(5)).isin(chosen)
     kept = F.filter("words", is_mark) if chosen else F.slice("words", 1, 0)
     got = sorted((r[0], [(w[0], w[1]) for w in r[1]]) for r in rows.select("y", kept).collect())
+    discard(rows)
     x, y = np.zeros((len(got), len(chosen) + 2)), np.array([r[0] for r in got], np.float64)
     for i, (_, found) in enumerate(got):
         x[i, [place[f] for f in features(w for w, _ in found) if f in place]] = 1
@@ -393,7 +394,9 @@ def toxicity_score(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE
     spark = docs.sparkSession
     small_batches(spark)
     model = spark.sparkContext.broadcast(log_model(count_grams(docs)))
-    weights = spark.sparkContext.broadcast(learn(labelled_sample(docs, labels, "toxic", sample_rows), model))
+    sample = labelled_sample(docs, labels, "toxic", sample_rows)
+    weights = spark.sparkContext.broadcast(learn(sample, model))
+    discard(sample)
     key = uuid.uuid4().hex
 
     def score(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:

@@ -10,8 +10,20 @@ import pytest
 import xxhash
 
 from docstrata.llm import simhash
+from docstrata.llm.common import with_row_key
 from docstrata.llm.components import components
-from docstrata.llm.exact_dedup import MAX_CHUNK, MIN_CHUNK, chunk_dictionary, chunk_recipes, cut_points, exact_dedup, recipes_of, rolling_hash
+from docstrata.llm.exact_dedup import (
+    MAX_CHUNK,
+    MIN_CHUNK,
+    chunk_dictionary,
+    chunk_recipes,
+    chunks_of,
+    colliding,
+    cut_points,
+    exact_dedup,
+    recipe_of,
+    rolling_hash,
+)
 
 SCHEMA = "doc_id long, text string, kept string, fp string, recipe string, n long"
 
@@ -52,14 +64,35 @@ def test_chunks(spark):
     sizes = np.diff([0, *ends])
     assert ends[-1] == len(data) and sizes[:-1].min() >= MIN_CHUNK and sizes.max() <= MAX_CHUNK
     text = data.tobytes()
-    (a, sha), (b, _) = recipes_of([text, text[:100_000] + b"INSERTED" + text[100_000:]])
-    ids = lambda x: {x[i : i + 36] for i in range(0, len(x), 36)}
-    assert len(ids(a) - ids(b)) <= 3 and sha == hashlib.sha256(text).hexdigest()
-    assert [x for x, _ in recipes_of([b"short", text])] == [next(iter(recipes_of([b"short"])))[0], a]  # the neighbour plays no part
+    a, b = (recipe_of(x, {}) for x in chunks_of([text, text[:100_000] + b"INSERTED" + text[100_000:]]))
+    ids = lambda x: {x[i : i + 22] for i in range(0, len(x), 22)}
+    assert len(ids(a) - ids(b)) <= 3
+    alone = [recipe_of(next(chunks_of([x])), {}) for x in (b"short", text)]
+    assert [recipe_of(x, {}) for x in chunks_of([b"short", text])] == alone and alone[1] == a  # the neighbour plays no part
     d = chunk_dictionary(chunk_recipes(frame(spark, [(1, "same"), (2, "sa me"), (3, "")]))).collect()
     assert [(x["n_bytes"], x["copies"]) for x in d] == [(4, 2)]
 
 
+def test_chunks_of_equal_digests_are_told_apart(spark):
+    """With digests of no and of one byte most chunks of a length collide; comparing bytes must still part them."""
+    rows = [(i, f"text {i % 70:02d}") for i in range(140)] + [(200, "text 0 0"), (201, None), (202, "")]
+    wanted = sorted(tuple(r) for r in exact_dedup(frame(spark, rows)).collect())
+    assert len({r[1] for r in wanted}) == 71
+    for size in (0, 1):
+        assert colliding(frame(spark, rows), "text", chunk_recipes(frame(spark, rows), digest_bytes=size), size)
+        assert sorted(tuple(r) for r in exact_dedup(frame(spark, rows), digest_bytes=size).collect()) == wanted
+    assert not colliding(frame(spark, rows), "text", chunk_recipes(frame(spark, rows)))
+
+
+def test_one_row_of_each_group(spark):
+    rows = [(1, "aa bb cc"), (1, "aa bb cc"), (2, "aa bbcc"), (None, "zz"), (None, "zz"), (None, "aa bb cc"), (3, "unique one"), (3, "aabbcc")]
+    keyed, row = with_row_key(frame(spark, rows))
+    found = exact_dedup(keyed, row=row)
+    kept = sorted(((r["doc_id"], r["group_size"]) for r in found.where("kept").collect()), key=str)
+    assert kept == sorted([(1, 5), (None, 2), (3, 1)], key=str) and found.count() == 8
+    assert found.select("row_0", "row_1").distinct().count() == 8
+
+
 def brute_fingerprint(text):
     words = [w for w in re.split(rb"[\x20\x09-\x0d]+", (text or "").encode().lower()) if w]
     if not words:
