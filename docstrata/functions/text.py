@@ -136,10 +136,22 @@ def join_list(values: Column) -> Column:
     return F.array_join(values, ";")
 
 
+_ITEM = r"""'(?:[^'\\]|\\[\s\S])*'|"(?:[^"\\]|\\[\s\S])*"|None"""
+_LIST = rf"^\s*\[\s*(?:(?:{_ITEM})\s*(?:,\s*(?:{_ITEM})\s*)*(?:,\s*)?)?\]\s*$"
+
+
 def parse_list_literal(text: Column) -> Column:
-    """A bracketed list of quoted strings as an array; anything else is an error. Nothing is evaluated."""
-    checked = F.when((F.left(text, F.lit(1)) == "[") & (F.right(text, F.lit(1)) == "]"), text).otherwise(F.raise_error(F.concat(F.lit("not a bracketed list: "), text)))
-    return F.from_json(checked, "array<string>")
+    """A bracketed list of quoted strings as an array; ``None`` within it is null. Null stays null, anything else is an error.
+    Nothing is evaluated: quotes are taken off, and a backslash before a quote, a backslash, ``n`` or ``t`` is read."""
+
+    def value(item: Column) -> Column:
+        inner = F.regexp_replace(F.substring(item, F.lit(2), F.length(item) - 2), r"\\\\", "\x00")
+        for mark, by in ((r"\\n", "\n"), (r"\\t", "\t"), (r"\\(['\"])", "$1"), ("\x00", r"\\")):
+            inner = F.regexp_replace(inner, mark, by)
+        return F.when(item != "None", inner)
+
+    fault = F.raise_error(F.concat(F.lit("not a bracketed list of strings: "), text))
+    return F.when(text.isNull() | text.rlike(_LIST), F.transform(F.regexp_extract_all(text, F.lit(_ITEM), F.lit(0)), value)).otherwise(fault)
 
 
 def base_name(path: Column) -> Column:

@@ -15,8 +15,12 @@ def from_overview(rows: DataFrame) -> DataFrame:
 
 
 def from_textdf(rows: DataFrame) -> DataFrame:
-    """The twelve columns of the second format, list literals parsed; ``md5_sum`` follows ``document_md5_sum``."""
-    return rows.select(*config.TEXTDF_COLUMNS).withColumns({c: T.parse_list_literal(F.col(c)) for c in ("author", "types")}).withColumn("md5_sum", F.col("document_md5_sum"))
+    """The twelve columns of the second format, list literals parsed; ``md5_sum`` follows ``document_md5_sum``, and ``doc_id``
+    is the row's label, where the frame has a column of that name (else ``document_id``)."""
+    label = F.col("doc_id") if "doc_id" in rows.columns else F.col("document_id")
+    lists = {c: T.parse_list_literal(F.col(c)) for c in ("author", "types")}
+    found = rows.select(label.alias("doc_id"), *config.TEXTDF_COLUMNS)
+    return found.withColumns(lists).withColumn("md5_sum", F.col("document_md5_sum"))
 
 
 def to_overview(documents: DataFrame) -> DataFrame:
@@ -75,12 +79,12 @@ def attach_embeddings(paragraphs: DataFrame, embeddings: DataFrame, keys: tuple[
     return paragraphs.join(embeddings, list(keys))
 
 
-def embedding_gaps(paragraphs: DataFrame, embeddings: DataFrame, key: str = "document_md5") -> DataFrame:
-    """Documents whose numbers of paragraphs and embeddings differ: ``key, n_paragraphs, n_embeddings``."""
-    p = paragraphs.groupBy(key).agg(F.count("*").alias("n_paragraphs"))
-    e = embeddings.groupBy(key).agg(F.count("*").alias("n_embeddings"))
-    both = p.join(e, key, "full_outer").na.fill(0, ["n_paragraphs", "n_embeddings"])
-    return both.where("n_paragraphs <> n_embeddings")
+def embedding_gaps(paragraphs: DataFrame, embeddings: DataFrame, key: str = "document_md5", place: str = "paragraph_id") -> DataFrame:
+    """Documents whose paragraphs and embeddings are not the same places, each once: ``key, n_paragraphs, n_embeddings``."""
+    both = paragraphs.select(key, place, F.lit(1).alias("p"), F.lit(0).alias("e")).unionByName(embeddings.select(key, place, F.lit(0).alias("p"), F.lit(1).alias("e")))
+    places = both.groupBy(key, place).agg(F.sum("p").alias("p"), F.sum("e").alias("e"))
+    found = places.groupBy(key).agg(F.sum("p").alias("n_paragraphs"), F.sum("e").alias("n_embeddings"), F.max((F.col("p") != F.col("e")).cast("int")).alias("gap"))
+    return found.where("gap = 1").drop("gap")
 
 
 def rank_within(rows: DataFrame, by: str, k: int, *order) -> DataFrame:

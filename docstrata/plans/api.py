@@ -69,9 +69,12 @@ class Collection:
         return catalogue.duplicate_keys(self.documents, "md5_sum", "doc_id")
 
     def filter_by_name(self, words: tuple[str, ...] = config.NAME_BLACKLIST, path: str | None = None) -> Collection:
-        """Leave out documents by words of their names, and write the catalogue that is left."""
-        self.documents = catalogue.without_names(self.documents, words)
-        sinks.write_overview(self.documents, path or f"{self.folder}/overview_filtered.csv")
+        """Leave out documents by words of their names, and write the catalogue that is left: in place, so that it is the one
+        that is loaded next, or to another path."""
+        left = catalogue.without_names(self.documents, words)
+        sinks.write_overview(left, path or f"{self.folder}/{self.name}")
+        # the files read so far are gone if they were written over
+        self.documents = left if path else readers.overview(self.spark, f"{self.folder}/{self.name}", self.folder)
         return self
 
     def embed(self, embedder: Embedder = HashedNgrams(), dim: int = DIM) -> DataFrame:

@@ -278,8 +278,10 @@ def paragraph_frame(spark, sf):
     return found.select("document_md5", "paragraph_id", "paragraph", "language", F.size("embedding").alias("n_dims"))
 
 
-@query(f"""WITH {M.BLOCKS}, {PARAGRAPH_EMBEDDINGS} SELECT document_md5, coalesce(p.n, 0) AS n_paragraphs, coalesce(e.n, 0) AS n_embeddings
-FROM (SELECT md5 AS document_md5, count(*) AS n FROM blocks GROUP BY 1) p FULL JOIN (SELECT document_md5, count(*) AS n FROM pe GROUP BY 1) e USING (document_md5) WHERE coalesce(p.n, 0) <> coalesce(e.n, 0)""")
+@query(f"""WITH {M.BLOCKS}, {PARAGRAPH_EMBEDDINGS}, places AS (
+  SELECT document_md5, paragraph_id, sum(p) AS p, sum(e) AS e FROM (
+    SELECT md5 AS document_md5, block_no AS paragraph_id, 1 AS p, 0 AS e FROM blocks UNION ALL SELECT document_md5, paragraph_id, 0, 1 FROM pe) GROUP BY ALL)
+SELECT document_md5, CAST(sum(p) AS BIGINT) AS n_paragraphs, CAST(sum(e) AS BIGINT) AS n_embeddings FROM places GROUP BY document_md5 HAVING bool_or(p <> e)""")
 def embedding_integrity(spark, sf):
     return catalogue.embedding_gaps(M.paragraph_frame(spark, sf), M.paragraph_embeddings(spark, sf))
 

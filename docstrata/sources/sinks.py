@@ -8,11 +8,15 @@ from pyspark.sql import functions as F
 from docstrata.config import Settings
 from docstrata.operators import catalogue
 from docstrata.sources import readers
+from docstrata.sources.shared import discard, free_name, materialise, owning
 
 
 def write_overview(documents: DataFrame, path: str, mode: str = "overwrite") -> None:
-    """A catalogue as one CSV file without row numbers, lists joined."""
-    catalogue.to_overview(documents).coalesce(1).write.mode(mode).option("header", True).option("escape", '"').csv(path)
+    """A catalogue as one CSV file without row numbers, lists joined. It is written aside first, since the rows may come from
+    the very files that it takes the place of."""
+    rows = materialise(catalogue.to_overview(documents), "overview")
+    rows.coalesce(1).write.mode(mode).option("header", True).option("escape", '"').csv(path)
+    discard(rows)
 
 
 def write_documents(documents: DataFrame, path: str, mode: str = "append") -> None:
@@ -25,21 +29,25 @@ def write_table(rows: DataFrame, path: str, mode: str = "append") -> None:
 
 
 def numbered(rows: DataFrame, *order: str | Column) -> DataFrame:
-    """``rows`` in an order, with their number from 0 as first column without name. Ranges are numbered apart and shifted by
-    the sizes of those before; only one count per range reaches the driver."""
-    ranged = rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_id", F.monotonically_increasing_id())
-    part = F.shiftright("_id", 33)
+    """``rows`` in an order, with their number from 0 as first column without name. Ranges are written once, each row with its
+    range and its place there, and shifted by the sizes of the ranges before; one count per range reaches the driver."""
+    part, place = free_name(rows, "_part"), free_name(rows, "_place")
+    ranged = rows.repartitionByRange(*order).sortWithinPartitions(*order)
+    within = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+    stored = materialise(ranged.withColumns({part: F.spark_partition_id(), place: within}), "ranged")
     shift, offsets = 0, []
-    for p, n in ranged.groupBy(part.alias("p")).count().orderBy("p").collect():
+    for p, n in stored.groupBy(part).count().orderBy(part).collect():
         offsets += [F.lit(p), F.lit(shift)]
         shift += n
-    number = (F.create_map(*offsets)[part] + F.col("_id").bitwiseAND(F.lit((1 << 33) - 1))) if offsets else F.lit(0)
-    return ranged.select(number.cast("long").alias(""), *rows.columns)
+    number = (F.create_map(*offsets)[F.col(part)] + F.col(place)) if offsets else F.lit(0)
+    return owning(stored.select(number.cast("long").alias(""), *rows.columns), stored)
 
 
 def write_report(rows: DataFrame, path: str, *order: str | Column, mode: str = "overwrite") -> None:
     """A report as CSV files with row numbers."""
-    numbered(rows, *order).write.mode(mode).option("header", True).option("escape", '"').csv(path)
+    found = numbered(rows, *order)
+    found.write.mode(mode).option("header", True).option("escape", '"').csv(path)
+    discard(found)
 
 
 BUNDLE = ("assignments", "topic_words", "labels", "representatives", "distribution", "coordinates", "sizes")

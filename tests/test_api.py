@@ -1,6 +1,7 @@
 """Files, streams, and the whole course from words to reports."""
 
 import glob
+import os
 
 import numpy as np
 import pytest
@@ -10,6 +11,7 @@ from docstrata.__main__ import get_args
 from docstrata.config import Settings
 from docstrata.plans.api import Collection, TopicModel
 from docstrata.sources import readers, sinks
+from docstrata.sources.shared import shared_dir
 from docstrata.streaming import stateless
 
 HEAD = "doc_id,name,md5_sum,source_url,family_id,variant,author,author_is_party,date,language,types,version\n"
@@ -30,9 +32,10 @@ def test_missing_paths(spark, tmp_path):
 def test_overview_round_trip(spark, folder):
     c = Collection(spark, folder)
     assert len(c) == 4 and c.documents.head()["author"] == ["A", "B"] and str(c).startswith("4 documents")
+    assert len(Collection(spark, folder).filter_by_name(path=f"{folder}/other.csv")) == 3 and len(Collection(spark, folder)) == 4
     left = c.filter_by_name()
-    assert len(left) == 3
-    again = readers.overview(spark, f"{folder}/overview_filtered.csv")
+    assert len(left) == 3 == len(Collection(spark, folder))
+    again = readers.overview(spark, f"{folder}/overview.csv")
     assert again.columns == HEAD.strip().split(",") and sorted(r["name"] for r in again.collect()) == [f"Report, {i}" for i in range(3)]
 
 
@@ -97,6 +100,23 @@ def test_numbers_of_rows(spark):
     assert sorted((r[0], r[1]) for r in sinks.numbered(df, "x").collect()) == [(i, i) for i in range(100)]
 
 
+def test_numbers_of_many_wide_rows(spark):
+    """Beyond the sizes at which adaptive execution joins ranges, and with columns of the names used inside."""
+    df = spark.range(400_000).select(F.xxhash64("id").alias("x"), F.repeat(F.sha2(F.col("id").cast("string"), 256), 4).alias("_part"), F.lit(1).alias("_place"))
+    found = sinks.numbered(df, "x").toDF("n", "x", "_part", "_place")
+    assert tuple(found.agg(F.count("n"), F.countDistinct("n"), F.min("n"), F.max("n")).head()) == (400_000, 400_000, 0, 399_999)
+    assert found.orderBy("n").select("x").limit(1000).collect() == df.orderBy("x").select("x").limit(1000).collect()
+
+
+def test_report_is_written_and_nothing_is_left(spark, tmp_path):
+    folder = shared_dir(spark).removeprefix("file://") + "/docstrata"
+    before = set(os.listdir(folder)) if os.path.exists(folder) else set()
+    sinks.write_report(spark.range(10).toDF("x"), str(tmp_path / "r.csv"), "x")
+    lines = [x for f in glob.glob(f"{tmp_path}/r.csv/*.csv") for x in open(f).read().split()[1:]]
+    assert sorted(lines) == [f"{i},{i}" for i in range(10)]
+    assert set(os.listdir(folder)) <= before
+
+
 def test_listing_and_options(spark, tmp_path):
     (tmp_path / "a.b.pdf").write_bytes(b"x")
     assert [r["key"] for r in readers.listing(spark, str(tmp_path)).collect()] == ["a"]
