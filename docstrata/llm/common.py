@@ -8,10 +8,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docstrata.sources.shared import discard, materialise, new_path, owning, shared_dir  # noqa: F401
+from docstrata.sources.shared import discard, free_name, materialise, new_path, owning, shared_dir  # noqa: F401
 
-#: Rows in one Arrow batch sent to Python; small, because a single text may be very long.
-BATCH_ROWS = 512
+#: Bytes in one Arrow batch sent to Python, or one row where that is larger.
+BATCH_BYTES = 8 << 20
 #: Bytes of text that a Python worker handles as one numpy array.
 SLAB_BYTES = 1 << 22
 #: ASCII blanks that separate words.
@@ -19,9 +19,10 @@ BLANKS = b" \t\n\x0b\x0c\r"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
-def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
-    """Bound the memory of Python workers: few rows in a batch."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+def bounded_batches(spark: SparkSession) -> None:
+    """Bound the memory of Python workers by bytes. Every operator sets the same bound, so the order of calls, and that plans
+    run later, change nothing."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
 def byte_texts(batch: pa.RecordBatch | pa.Array, column: str = "") -> list[bytes]:
@@ -52,14 +53,6 @@ def held_out(doc_id: Column) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % 5 == 0
 
 
-def free_name(df: DataFrame, name: str) -> str:
-    """A column name that ``df`` does not have, whatever the case of its letters."""
-    taken = {c.lower() for c in df.columns}
-    while name.lower() in taken:
-        name += "_"
-    return name
-
-
 def with_row_key(df: DataFrame) -> tuple[DataFrame, tuple[str, str]]:
     """``df`` with two columns of type long that tell its rows apart, repeated ones too, and their names: which file a row
     comes from, and its place there. Nothing is moved where ``df`` is files as they were read; any other frame is written

@@ -17,7 +17,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docstrata.llm.common import byte_texts, materialise, small_batches
+from docstrata.llm.common import byte_texts, materialise, bounded_batches
 
 #: Consecutive words of an item that make a window.
 WINDOW = 10
@@ -140,7 +140,7 @@ def with_contamination(df: DataFrame, benchmark: DataFrame, text_col: str = "tex
     """``df`` with a column of type ``FOUND``; no row moves. A benchmark of more than ``WORDS_PER_AUTOMATON`` words is
     scanned for shard by shard, with the table written between, so that a worker's automaton is bounded."""
     spark = df.sparkSession
-    small_batches(spark)
+    bounded_batches(spark)
     text = F.col(text_col).cast("string")
     out = df.withColumn(found, F.lit(None).cast(STATE))
     for shard, patterns in enumerate(benchmark_shards(benchmark, size=size)):

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docstrata.llm.common import BLANKS, byte_texts, discard, materialise, owning, slabs, small_batches
+from docstrata.llm.common import BLANKS, byte_texts, discard, materialise, owning, slabs, bounded_batches
 
 #: Chunk sizes in bytes: least, mean beyond the least (a power of 2), most.
 MIN_CHUNK, MEAN_CHUNK, MAX_CHUNK = 512, 2048, 16384
@@ -92,7 +92,7 @@ def _normal(batch: pa.RecordBatch) -> list[bytes]:
 
 def chunk_recipes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", row: tuple[str, ...] = (), known: dict[bytes, list[bytes]] | None = None, digest_bytes: int = DIGEST_BYTES) -> DataFrame:
     """``doc_id, n_points, recipe, text_sha256`` of each row, and the columns ``row`` of type long, by place: ``row_0``..."""
-    small_batches(df.sparkSession)
+    bounded_batches(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -143,7 +143,7 @@ def chunk_filter(chunks: DataFrame, bits: int = FILTER_BITS) -> np.ndarray:
 
 def chunk_bytes(df: DataFrame, text_col: str, wanted: np.ndarray, digest_bytes: int = DIGEST_BYTES) -> DataFrame:
     """``chunk, data`` of the chunks that a filter lets through; a task passes a chunk on once while it remembers it."""
-    small_batches(df.sparkSession)
+    bounded_batches(df.sparkSession)
     shared = df.sparkSession.sparkContext.broadcast(wanted)
     bits = len(wanted) * 64
 

@@ -18,7 +18,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docstrata.llm.common import byte_texts, held_out, slabs, small_batches
+from docstrata.llm.common import byte_texts, held_out, slabs, bounded_batches
 from docstrata.llm.toxicity import labelled_sample
 
 #: Labelled rows that the network learns from at most, and bytes of each: even parts of a longer text.
@@ -204,7 +204,7 @@ def quality(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS,
     driver fetches.
     """
     spark = docs.sparkSession
-    small_batches(spark)
+    bounded_batches(spark)
     got = labelled_sample(docs, labels, "quality", sample_rows).mapInArrow(_parts, "y int, part binary").collect()
     got.sort(key=lambda r: (bytes(r[1]), r[0]))
     net = spark.sparkContext.broadcast(train([bytes(r[1]) for r in got], np.array([r[0] for r in got], np.float32)))

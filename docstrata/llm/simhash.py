@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docstrata.llm.common import byte_texts, discard, materialise, owning, small_batches
+from docstrata.llm.common import byte_texts, discard, materialise, owning, bounded_batches
 from docstrata.llm.components import components
 
 SEED = 42
@@ -60,7 +60,7 @@ def fingerprint(text: bytes, k: int = SHINGLE) -> int:
 def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = SHINGLE, row: tuple[str, ...] = ()) -> DataFrame:
     """``doc_id, fp`` of each row, and the columns ``row`` by place (``row_0``...): the fingerprint as a signed long. Null and
     blank texts have fingerprint 0."""
-    small_batches(df.sparkSession)
+    bounded_batches(df.sparkSession)
     names = ["doc_id", *(f"row_{i}" for i in range(len(row)))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -241,7 +241,7 @@ def near_links(distinct: DataFrame, radius: int = RADIUS, blocks: int | None = N
         )
     )
     dealt = split.select("t", "key", F.explode(pairs).alias("p"), "fp").select("t", "key", "p.i", "p.j", "fp")
-    small_batches(spark, 8192)
+    bounded_batches(spark)
     sorted_rows = dealt.repartition("t", "key", "i", "j").sortWithinPartitions("t", "key", "i", "j", "fp")
     return owning(sorted_rows.mapInArrow(_forests(radius), "u long, v long"), hot)
 

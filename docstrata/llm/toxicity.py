@@ -24,7 +24,7 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docstrata.llm.common import byte_texts, discard, held_out, materialise, slabs, small_batches
+from docstrata.llm.common import byte_texts, discard, held_out, materialise, slabs, bounded_batches
 
 #: Labelled rows that the classifier learns from at most, those with the least hash of their id.
 SAMPLE_ROWS = 6000
@@ -70,7 +70,7 @@ def gram_counts(texts: Iterable[bytes]) -> np.ndarray:
 
 def count_grams(df: DataFrame, text_col: str = "text") -> np.ndarray:
     """Trigram counts over all rows: one row for each trigram and task is shuffled, at most 28**3 sums are fetched."""
-    small_batches(df.sparkSession)
+    bounded_batches(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(N_CLASSES**3, np.int64)
@@ -392,7 +392,7 @@ _restorers: dict[str, Restorer] = {}
 def toxicity_score(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Callable[[Column], Column]:
     """Learn from a corpus and its labels; the result turns a text column into a score column, without moving a row."""
     spark = docs.sparkSession
-    small_batches(spark)
+    bounded_batches(spark)
     model = spark.sparkContext.broadcast(log_model(count_grams(docs)))
     sample = labelled_sample(docs, labels, "toxic", sample_rows)
     weights = spark.sparkContext.broadcast(learn(sample, model))

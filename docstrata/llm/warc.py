@@ -1,30 +1,30 @@
 """WARC archives: writing whole-file gzip streams, normalising them to one member per record, reading them back.
 
 A whole-file stream cannot be entered in its middle. The normaliser inflates it once, in bounded pieces, writes every
-record as a gzip member of its own, and a sidecar index of offsets; after that any record is one short read. Files go to
-the shared folder through ``pyarrow.fs``, under the name of the task's own attempt first and then renamed, so a task that
-is lost and run again leaves whole files only.
+record as a gzip member of its own, and a sidecar index of offsets; after that any record is one short read. Payloads that
+occur more than once become revisits in the same pass: which ones is worked out from digests alone, so a payload goes from
+its row to the archive and is never shuffled. Every attempt of a task writes files of its own names, and only those of the
+attempt that succeeds are known to the next step, so lost executors leave nothing that is read.
 """
 
 from __future__ import annotations
 
 import base64
 import hashlib
-import io
-import uuid
 import zlib
 from collections.abc import Callable, Iterator
-from contextlib import contextmanager
 
 import pyarrow as pa
-from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docstrata.llm.common import materialise, new_path, small_batches
+from docstrata.llm.common import bounded_batches, discard, materialise, new_path, owning
+from docstrata.sources.files import new_file, opened, qualified, unique
 
 #: Bytes of payload after which a writer starts a new archive; bytes inflated at a time; gzip level.
 ARCHIVE_BYTES, PIECE, LEVEL = 64 << 20, 1 << 18, 3
+#: Archives are normalised in as many tasks, up to this number.
+MAX_TASKS = 20_000
 #: Payloads of fewer bytes are never revisits.
 REVISIT_BYTES = 0
 DATE = "2024-01-01T00:00:00Z"
@@ -32,37 +32,36 @@ GZIP = 31
 BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 
 
-def opened(path: str) -> tuple[fs.FileSystem, str]:
-    """File system and path of a uri; a plain path is local."""
-    return fs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (fs.LocalFileSystem(), path)
-
-
-@contextmanager
-def whole_file(path: str) -> Iterator[io.RawIOBase]:
-    """A file that appears under its name only when it is complete."""
-    system, at = opened(path)
-    system.create_dir(at.rsplit("/", 1)[0], recursive=True)
-    own = f"{at}.{uuid.uuid4().hex}"
-    with system.open_output_stream(own) as out:
-        yield out
-    system.move(own, at)
-
-
 def digest32(payload: bytes) -> str:
     return base64.b32encode(hashlib.sha1(payload).digest()).decode()
 
 
-def record(page_id: int | None, url: str | None, payload: bytes, refers_to: int | None = None, revisit: bool = False) -> bytes:
-    """A WARC/1.1 resource record, or a revisit of an equal payload, which carries none."""
+def record(page_id: int | None, url: str | None, payload: bytes) -> bytes:
+    """A WARC/1.1 response record."""
     one_line = (url or "").replace("\r", "%0D").replace("\n", "%0A")
     head = [
-        "WARC/1.1", f"WARC-Type: {'revisit' if revisit else 'response'}", f"WARC-Record-ID: <urn:page:{'' if page_id is None else page_id}>", f"WARC-Date: {DATE}",
+        "WARC/1.1", "WARC-Type: response", f"WARC-Record-ID: {page_urn(page_id)}", f"WARC-Date: {DATE}",
         f"WARC-Target-URI: {one_line}", f"WARC-Payload-Digest: sha1:{digest32(payload)}", f"X-Payload-Length: {len(payload)}",
+        "Content-Type: text/html", f"Content-Length: {len(payload)}",
     ]
-    if revisit:
-        head += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To: <urn:page:{'' if refers_to is None else refers_to}>"]
-    body = b"" if revisit else payload
-    return "\r\n".join([*head, "Content-Type: text/html", f"Content-Length: {len(body)}", "", ""]).encode() + body + b"\r\n\r\n"
+    return "\r\n".join([*head, "", ""]).encode() + payload + b"\r\n\r\n"
+
+
+def page_urn(page_id: int | None) -> str:
+    return f"<urn:page:{'' if page_id is None else page_id}>"
+
+
+def as_revisit(data: bytes, refers_to: int | None) -> bytes:
+    """A response record as a revisit of an equal payload: the same headers, without the payload."""
+    head = data.partition(b"\r\n\r\n")[0].decode().split("\r\n")
+    head = [x for x in head if not x.lower().startswith(("warc-type:", "content-length:"))]
+    head[1:1] = ["WARC-Type: revisit"]
+    head += [
+        "WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest",
+        f"WARC-Refers-To: {page_urn(refers_to)}",
+        "Content-Length: 0",
+    ]
+    return "\r\n".join([*head, "", ""]).encode() + b"\r\n\r\n"
 
 
 def parse_record(data: bytes) -> tuple[dict[str, str], bytes]:
@@ -113,101 +112,130 @@ def inflated(read: Callable[[int], bytes]) -> Iterator[bytes]:
                 left, z, data = z.unused_data, zlib.decompressobj(GZIP), b""
 
 
-def normalise(source: str, target: str) -> Iterator[tuple[int, int, int]]:
-    """Rewrite an archive, one member per record, with a sidecar ``target + '.idx'`` of ``number offset length`` lines;
-    yields those numbers."""
+def normalise(source: str, target: str, revisits: dict[int, int | None] | None = None) -> list[tuple[int, int, int]]:
+    """Rewrite an archive, one member per record, with a sidecar ``target + '.idx'`` of ``number offset length`` lines, and
+    return those numbers. The records whose numbers are in ``revisits`` become revisits of the page given there."""
     system, at = opened(source)
     index, offset = [], 0
-    with system.open_input_stream(at, compression=None) as src, whole_file(target) as out:
+    with system.open_input_stream(at, compression=None) as src, new_file(target) as out:
         for i, data in enumerate(records_of(inflated(src.read))):
+            if revisits and i in revisits:
+                data = as_revisit(data, revisits[i])
             z = zlib.compressobj(LEVEL, zlib.DEFLATED, GZIP)
             member = z.compress(data) + z.flush()
             out.write(member)
             index.append((i, offset, len(member)))
             offset += len(member)
-    with whole_file(target + ".idx") as out:
+    with new_file(target + ".idx") as out:
         out.write("".join(f"{i} {a} {n}\n" for i, a, n in index).encode())
-    yield from index
+    return index
+
+
+RECORDS = "path string, number long, page_id long, digest string, payload_bytes long"
 
 
 def _write(folder: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        part, number, done = TaskContext.get().partitionId(), 0, []
+        part = TaskContext.get().partitionId()
         rows = (r for b in batches for r in zip(*(c.to_pylist() for c in b.columns)))
         row = next(rows, None)
         while row is not None:
-            path, size, n = f"{folder}/whole-{part:06d}-{number:04d}.warc.gz", 0, 0
-            with whole_file(path) as out:
+            path, size, found = unique(f"{folder}/whole-{part:06d}.warc.gz"), 0, []
+            with new_file(path) as out:
                 z = zlib.compressobj(LEVEL, zlib.DEFLATED, GZIP)
                 while row is not None and size < ARCHIVE_BYTES:
-                    page_id, url, html, refers_to, revisit = row
-                    data = record(page_id, url, html or b"", refers_to, revisit)
+                    page_id, url, html = row
+                    payload = html or b""
+                    data = record(page_id, url, payload)
                     out.write(z.compress(data))
-                    size, n, row = size + len(data), n + 1, next(rows, None)
+                    found.append((path, len(found), page_id, digest32(payload), len(payload)))
+                    size, row = size + len(data), next(rows, None)
                 out.write(z.flush())
-            done.append((path, n))
-            number += 1
-        yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in done], pa.string()), pa.array([x[1] for x in done], pa.int64())], names=["path", "n_records"])
+            columns = list(zip(*found))
+            types = (pa.string(), pa.int64(), pa.int64(), pa.string(), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names=[c.split()[0] for c in RECORDS.split(", ")])
 
     return run
 
 
-def _normalise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for path in batch.column(0).to_pylist():
-            target = path.replace("/whole-", "/members-")
-            index = list(normalise(path, target))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([target] * len(index), pa.string()), *(pa.array([x[k] for x in index], pa.int64()) for k in range(3))], names=["path", "number", "offset", "length"]
-            )
+def _normalise(folder: str):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for path, revisits in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                target = unique(f"{folder}/{path.rpartition('/')[2].replace('whole-', 'members-')}")
+                index = normalise(path, target, {r["number"]: r["best"] for r in revisits or ()})
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([target] * len(index), pa.string()), *(pa.array([x[k] for x in index], pa.int64()) for k in range(3))],
+                    names=["path", "number", "offset", "length"],
+                )
+
+    return run
 
 
 def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     number = lambda s: int(s[10:-1]) if len(s) > 11 else None  # noqa: E731  <urn:page:N>
-    for batch in batches:
-        rows, last, file = [], None, None
-        for path, offset, length in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), batch.column(3).to_pylist()):
-            if path != last:
-                system, at = opened(path)
-                last, file = path, system.open_input_file(at)
-            fields, body = parse_record(zlib.decompress(file.read_at(length, offset), GZIP))
-            kind, said = fields["warc-type"], fields["warc-payload-digest"].removeprefix("sha1:")
-            if kind == "response" and digest32(body) != said:
-                raise ValueError(f"payload digest does not fit in {path} at {offset}")
-            n = len(body) if kind == "response" else int(fields["x-payload-length"])
-            rows.append((number(fields["warc-record-id"]), n, said, kind, number(fields.get("warc-refers-to", ""))))
-        yield pa.RecordBatch.from_arrays(
-            [pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64()))],
-            names=["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"],
-        )
-
-
-def marked(pages: DataFrame, revisit_bytes: int = REVISIT_BYTES) -> DataFrame:
-    """``page_id, url, html, refers_to, revisit``: of equal payloads of ``revisit_bytes`` or more, the one with the largest
-    id is the response. Only ids and digests move to find it; each html moves once, to be joined by id."""
-    html = F.coalesce(F.encode(F.col("html").cast("string"), "UTF-8"), F.to_binary(F.lit(""), F.lit("utf-8")))
-    pages = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), html.alias("html"))
-    pages = pages.withColumn("digest", F.sha1("html"))
-    keys = materialise(pages.select("page_id", "digest", F.length("html").alias("n")), "digests")
-    best = keys.where(F.col("n") >= revisit_bytes).groupBy("digest").agg(F.max("page_id").alias("best"), F.count("*").alias("copies")).where("copies > 1")
-    found = keys.join(best, "digest").where("not (page_id <=> best)").select(F.col("page_id").alias("_id"), F.col("digest").alias("_digest"), "best").distinct()
-    joined = pages.join(materialise(found, "revisits"), pages.page_id.eqNullSafe(F.col("_id")) & (F.col("digest") == F.col("_digest")), "left")
-    return joined.select("page_id", "url", "html", F.col("best").alias("refers_to"), F.col("_digest").isNotNull().alias("revisit"))
-
-
-def write_archives(rows: DataFrame, folder: str) -> DataFrame:
-    """Write rows of ``marked`` as whole-file gzip archives; a written table ``path, n_records``."""
-    small_batches(rows.sparkSession)
-    return materialise(rows.mapInArrow(_write(folder), "path string, n_records long"), "archives")
-
-
-def normalise_archives(archives: DataFrame) -> DataFrame:
-    """Normalise the archives of a table with a column ``path``, each in a task; a written table of the index:
-    ``path, number, offset, length``."""
-    paths = archives.select("path").repartition(max(1, archives.count()), "path")
-    return materialise(paths.mapInArrow(_normalise, "path string, number long, offset long, length long"), "index")
+    file, last = None, None
+    try:
+        for batch in batches:
+            rows = []
+            for path, offset, length in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), batch.column(3).to_pylist()):
+                if path != last:
+                    if file:
+                        file.close()
+                    system, at = opened(path)
+                    last, file = path, system.open_input_file(at)
+                fields, body = parse_record(zlib.decompress(file.read_at(length, offset), GZIP))
+                kind, said = fields["warc-type"], fields["warc-payload-digest"].removeprefix("sha1:")
+                if kind == "response" and digest32(body) != said:
+                    raise ValueError(f"payload digest does not fit in {path} at {offset}")
+                n = len(body) if kind == "response" else int(fields["x-payload-length"])
+                rows.append((number(fields["warc-record-id"]), n, said, kind, number(fields.get("warc-refers-to", ""))))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64()))],
+                names=["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"],
+            )
+    finally:
+        if file:
+            file.close()
+
+
+def write_archives(pages: DataFrame, folder: str) -> DataFrame:
+    """Write a response record per row of ``page_id, url, html`` into whole-file gzip archives, each task its own; a written
+    table of what stands where: ``path, number, page_id, digest, payload_bytes``. No row moves."""
+    bounded_batches(pages.sparkSession)
+    rows = pages.select(
+        F.col("page_id").cast("long").alias("page_id"),
+        F.col("url").cast("string").alias("url"),
+        F.encode(F.col("html").cast("string"), "UTF-8").alias("html"),
+    )
+    return materialise(rows.mapInArrow(_write(qualified(pages.sparkSession, folder)), RECORDS), "records")
+
+
+def revisits(records: DataFrame, revisit_bytes: int = REVISIT_BYTES) -> DataFrame:
+    """Every archive of a table of records, and its records that are to be revisits: ``path, revisits``, the latter a list of
+    ``number, best``. Of equal payloads of ``revisit_bytes`` or more the one with the largest id is the response. Only
+    digests and numbers move; the largest ids are written before they are joined, so that a payload which very many
+    records share is split."""
+    large = records.where(F.col("payload_bytes") >= revisit_bytes)
+    best = large.groupBy("digest").agg(F.max("page_id").alias("best"), F.count("*").alias("copies")).where("copies > 1")
+    best = materialise(best.select("digest", "best"), "best")
+    found = large.join(best, "digest").where("not (page_id <=> best)").select("path", "number", "best")
+    lists = found.groupBy("path").agg(F.collect_list(F.struct("number", "best")).alias("revisits"))
+    return owning(records.select("path").distinct().join(lists, "path", "left"), best)
+
+
+def normalise_archives(archives: DataFrame, folder: str) -> DataFrame:
+    """Normalise the archives of a table ``path, revisits`` into ``folder``; a written table of the index: ``path, number,
+    offset, length``. Each archive is a task's, and its index holds only as many rows as the archive has records."""
+    spark = archives.sparkSession
+    listed = materialise(archives, "archives")
+    paths = listed.repartition(max(1, min(listed.count(), MAX_TASKS)), "path")
+    index = paths.mapInArrow(_normalise(qualified(spark, folder)), "path string, number long, offset long, length long")
+    found = materialise(index, "index")
+    discard(listed)
+    return found
 
 
 def read_archives(index: DataFrame) -> DataFrame:
@@ -223,8 +251,13 @@ def archive_round_trip(pages: DataFrame, revisit_bytes: int = REVISIT_BYTES) ->
     a null url is an empty target. A null id is smaller than any other. Rows that repeat the id and payload of the
     response are responses too. An empty table gives no archives and an empty result. Records are held one at a time.
     """
-    folder = new_path(pages.sparkSession, "warc")
-    return read_archives(normalise_archives(write_archives(marked(pages, revisit_bytes), folder)))
+    spark = pages.sparkSession
+    whole, members = new_path(spark, "warc-whole"), new_path(spark, "warc-members")
+    records = owning(write_archives(pages, whole), whole)
+    marked = revisits(records, revisit_bytes)
+    index = normalise_archives(marked, members)
+    discard(marked, records)
+    return owning(read_archives(index), index, members)
 
 
 def archive_sql() -> str:

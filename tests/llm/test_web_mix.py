@@ -10,6 +10,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from docstrata.llm import mixing, queries, url_filters, warc
+from docstrata.llm.common import discard, shared_dir
+from docstrata.sources.files import opened
 
 
 def pages(spark, rows):
@@ -57,11 +59,12 @@ def test_archives(spark, tmp_path):
 def test_normaliser(tmp_path, members):
     records = [warc.record(i, f"http://x/{i}", bytes([i]) * (i * 5000)) for i in range(60)]
     source, target = str(tmp_path / "in.warc.gz"), str(tmp_path / "out" / "out.warc.gz")
+    source_uri, target_uri = f"file://{source}", f"file://{target}"
     n = len(records) // members
     with open(source, "wb") as f:
         for a in range(0, len(records), n):
             f.write(gzip.compress(b"".join(records[a : a + n])))
-    index = list(warc.normalise(source, target))
+    index = warc.normalise(source_uri, target_uri)
     data = open(target, "rb").read()
     assert gzip.decompress(data) == b"".join(records)
     assert [gzip.decompress(data[a : a + k]) for _, a, k in index] == records
@@ -69,7 +72,44 @@ def test_normaliser(tmp_path, members):
     assert sorted(os.listdir(tmp_path / "out")) == ["out.warc.gz", "out.warc.gz.idx"]
     open(source, "wb").write(gzip.compress(b"".join(records)[:-9]))
     with pytest.raises(ValueError):
-        list(warc.normalise(source, target))
+        warc.normalise(source_uri, f"file://{tmp_path}/out/again.warc.gz")
+    assert sorted(os.listdir(tmp_path / "out")) == ["out.warc.gz", "out.warc.gz.idx"]  # no part of a file is left
+
+
+def test_revisits_in_the_normaliser(tmp_path):
+    records = [warc.record(i, "http://x/", b"same \r\n\r\n body") for i in range(3)]
+    source, target = f"file://{tmp_path}/in.warc.gz", f"file://{tmp_path}/out.warc.gz"
+    open(f"{tmp_path}/in.warc.gz", "wb").write(gzip.compress(b"".join(records)))
+    index = warc.normalise(source, target, {0: 2, 1: 2})
+    data = open(f"{tmp_path}/out.warc.gz", "rb").read()
+    parsed = [warc.parse_record(gzip.decompress(data[a : a + n])) for _, a, n in index]
+    assert [(f["warc-type"], f.get("warc-refers-to"), f["x-payload-length"], len(b)) for f, b in parsed] == [
+        ("revisit", "<urn:page:2>", "14", 0), ("revisit", "<urn:page:2>", "14", 0), ("response", None, "14", 14),
+    ]
+    assert len({f["warc-payload-digest"] for f, _ in parsed}) == 1
+
+
+def test_a_task_that_is_run_twice(spark, tmp_path):
+    """A second attempt writes files of its own; what the first one left is not read."""
+    rows = pages(spark, [(i, f"http://x/{i}", "page " * i) for i in range(20)]).repartition(2)
+    folder = str(tmp_path / "w")
+    first = warc.write_archives(rows, folder)
+    again = warc.write_archives(rows, folder)
+    paths = [{r[0] for r in t.select("path").distinct().collect()} for t in (first, again)]
+    assert not paths[0] & paths[1] and len(os.listdir(folder)) == len(paths[0] | paths[1])
+    for uri in ("relative/x", "/plain", "nowhere://x/y"):
+        with pytest.raises(ValueError):
+            opened(uri)
+    assert opened("file:/a/b")[1] == "/a/b" and opened("file:///a")[1] == "/a"
+
+
+def test_archives_leave_nothing(spark):
+    folder = shared_dir(spark).removeprefix("file://") + "/docstrata"
+    before = set(os.listdir(folder)) if os.path.exists(folder) else set()
+    found = warc.archive_round_trip(pages(spark, [(1, "u", "x"), (2, "u", "x")]))
+    assert found.count() == 2
+    discard(found)
+    assert set(os.listdir(folder)) <= before
 
 
 def mix_rows(seed=1):
