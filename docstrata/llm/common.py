@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from docstrata.sources.shared import discard, free_name, materialise, new_path, owning, shared_dir  # noqa: F401
 
 #: Bytes in one Arrow batch sent to Python, or one row where that is larger.
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 2 << 20
 #: Bytes of text that a Python worker handles as one numpy array.
 SLAB_BYTES = 1 << 22
 #: ASCII blanks that separate words.
