@@ -2,10 +2,13 @@
 
 import gzip
 import hashlib
+import html
 import os
 import random
+from urllib.parse import urljoin, urlsplit
 
 import duckdb
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -41,6 +44,75 @@ def test_urls(spark):
     assert url_filters.filter_urls(pages(spark, rows).limit(0)).collect() == []
 
 
+def test_targets_as_the_standard_resolves_them(spark):
+    """Against urllib, on every kind of reference."""
+    bases = ["http://a.net", "http://a.net/b/c/d;p?q#f", "https://A.Net:443/x/", "http://u:p@b.org:8080/y?z=/../", "http://a.net/a/./b/../c/.."]
+    targets = ["g", "./g", "g/", "/g", "//G.com/x", "?y", "g?y", "#s", "g#s", "", ".", "./", "..", "../", "../g", "../../../g", "g/./h/../i", "mailto:a@b", "HTTP://C.d:80/%7E", "g;x=1/../y", "a&amp;b", "a?x=1&#38;y"]
+    df = spark.createDataFrame([(b, t) for b in bases for t in targets], "b string, t string").withColumn("n", url_filters.node_of(F.col("b")))
+    for r in url_filters.resolved(df, "n", "t", "v").collect():
+        joined = urljoin(r["n"], html.unescape(r["t"]))
+        assert r["v"] == (plain_node(joined) if "://" in joined else None), (r["n"], r["t"], r["v"], joined)
+    assert url_filters.resolved(spark.createDataFrame([("none", "x"), ("none", "http://a/")], "n string, t string"), "n", "t", "v").select("v").collect() == [(None,), ("http://a/",)]
+
+
+def plain_node(url):
+    p = urlsplit(url)
+    host = p.netloc.rpartition("@")[2].lower()
+    host = host.removesuffix({"http": ":80", "https": ":443"}.get(p.scheme, "-"))
+    whole = urlsplit(urljoin(f"{p.scheme}://{p.netloc}/", p.path or "/")).path
+    return f"{p.scheme}://{p.netloc[: len(p.netloc) - len(p.netloc.rpartition('@')[2])]}{host}{whole or '/'}" + (f"?{p.query}" if p.query else "")
+
+
+def planted_pages(n):
+    """Pages in chains, cycles and stars, written in many ways, some ending on a blocked or an allowed url."""
+    r = random.Random(8)
+    rows = []
+    while len(rows) < n:
+        size, shape = r.choice([1, 1, 2, 3, 5, 8]) if r.random() < 0.999 else 30, r.choice("chain cycle star".split())
+        host = f"site{len(rows)}.net"
+        end = r.choice([None, None, "http://x.com/de/1", "HTTP://X.COM:80/a/../de/2", "http://y.org/", "http://z.example.org/es/"])
+        for i in range(size):
+            to = (i + 1) % size if shape == "cycle" else 0 if shape == "star" else i + 1
+            target = [f"http://{host}/p/{to}", f"HTTP://{host.upper()}:80/p/{to}#x", f"/p/./{to}", f"{to}", f"../p/{to}"][r.randrange(5)]
+            if to == size or size == 1:
+                target = end or "#"
+            tag = f'<link rel="canonical" href="{target}">' if r.random() < 0.6 else f"<META http-equiv='refresh' content='3;URL={target}'>"
+            noise = r.choice(["", "<!-- <link rel=canonical href=http://x.com/de/> -->", "<script>'<link rel=canonical href=http://x.com/de/>'</script>"])
+            rows.append((len(rows), f"http://{host}/p/{i}" + r.choice(["", "", "#top"]), f"<html>{noise}{tag}</html>", end if to == size or size == 1 else f"http://{host}/p/{to}"))
+    return rows
+
+
+def test_planted_links(spark):
+    """A hundred thousand pages against union-find and beside the SQL."""
+    rows = planted_pages(100_000)
+    root = {}
+
+    def find(x):
+        root.setdefault(x, x)
+        while root[x] != x:
+            root[x] = root[root[x]]
+            x = root[x]
+        return x
+
+    for _, u, _, to in rows:
+        if to:
+            root[find(plain_node(u.partition("#")[0]))] = find(plain_node(to))
+    said = {"x.com": "block", "y.org": "allow", "z.example.org": "block"}
+    seen = {}
+    for x in list(root):
+        seen.setdefault(find(x), set()).add(said.get(urlsplit(x).netloc))
+    blocked = {x for x in root if "block" in seen[find(x)] and "allow" not in seen[find(x)]}
+    wanted = {i: "block" if plain_node(u.partition("#")[0]) in blocked else "allow" for i, u, _, _ in rows}
+    assert 10_000 < sum(v == "block" for v in wanted.values()) < 80_000
+    df = pages(spark, [r[:3] for r in rows]).repartition(4)
+    got = url_filters.filter_urls(df).collect()
+    assert {r["page_id"]: r["verdict"] for r in got} == wanted
+    con = duckdb.connect()
+    con.register("rows", pa.table({"page_id": [r[0] for r in rows], "url": [r[1] for r in rows], "html": [r[2] for r in rows]}))
+    con.sql("CREATE TABLE pages AS SELECT * FROM rows")
+    assert sorted(con.sql(url_filters.filter_urls_sql()).fetchall()) == sorted(tuple(r) for r in got)
+
+
 def test_archives(spark, tmp_path):
     big = "x é \r\n\r\nWARC/1.1\r\n" * 30_000
     rows = [(1, "http://a/", "same"), (5, "http://b/", "same"), (3, None, "same"), (2, "http://c/\nd", big), (4, "u", None), (6, "u", ""), (7, "u", "own"), (None, "u", "same"), (7, "u", "own")]
