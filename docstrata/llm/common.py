@@ -11,9 +11,9 @@ from pyspark.sql import functions as F
 from docstrata.sources.shared import discard, free_name, materialise, new_path, owning, shared_dir  # noqa: F401
 
 #: Bytes in one Arrow batch sent to Python, or one row where that is larger.
-BATCH_BYTES = 2 << 20
-#: Bytes of text that a Python worker handles as one numpy array.
-SLAB_BYTES = 1 << 22
+BATCH_BYTES = 1 << 20
+#: Bytes of text that a Python worker handles at once, as one numpy array or one list of tokens.
+SLAB_BYTES = 1 << 20
 #: ASCII blanks that separate words.
 BLANKS = b" \t\n\x0b\x0c\r"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"

@@ -25,7 +25,7 @@ from docstrata.llm.common import BLANKS, byte_texts, discard, materialise, ownin
 #: Chunk sizes in bytes: least, mean beyond the least (a power of 2), most.
 MIN_CHUNK, MEAN_CHUNK, MAX_CHUNK = 512, 2048, 16384
 #: Bytes of a chunk's digest, beside four for its length; and bytes of chunks that a task remembers having passed on.
-DIGEST_BYTES, SEEN_BYTES = 16, 32 << 20
+DIGEST_BYTES, SEEN_BYTES = 16, 8 << 20
 #: Bits of the filter that tells tasks which chunks to pass on: 4 MB, whatever the number of chunks.
 FILTER_BITS = 1 << 25
 #: One random 32-bit number per byte value, from a fixed seed.

@@ -52,7 +52,7 @@ REPEATED, REPEATS = re.compile(r"([^\W\d_])\1"), re.compile(r"(.)\1+", re.S)
 #: Characters in a fragment of a word that a blank may have parted.
 FRAGMENT = 5
 #: Tokens that a worker remembers, and the characters of the longest of them: what is remembered is bounded in bytes.
-MEMO_SIZE, MEMO_CHARACTERS = 100_000, 48
+MEMO_SIZE, MEMO_CHARACTERS = 30_000, 48
 
 
 # --- the character model
