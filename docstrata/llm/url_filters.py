@@ -169,7 +169,7 @@ def filter_urls(pages: DataFrame, redirects: DataFrame | None = None, rules: tup
 
 
 def filter_urls_sql(rules: tuple[tuple[str, str], ...] = RULES) -> str:
-    """DuckDB SQL of ``filter_urls`` over ``pages``; its recursion is meant for components of moderate size."""
+    """DuckDB SQL of ``filter_urls`` over ``pages``: verdicts of rules spread along the links, both ways."""
     q = lambda s: "'" + s.replace("'", "''") + "'"
     lower = lambda x: f"translate({x}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
     part = lambda url, i: f"regexp_extract({url}, {q(ABSOLUTE)}, {i})"
@@ -217,10 +217,10 @@ tags AS (SELECT u, {first(BASE, HREF)} AS b, unnest([{first(LINK, HREF)}, {first
 {aimed("based", "tags", "u", "b", "base_url")},
 told AS (SELECT u, t, CASE WHEN b = '' THEN u ELSE coalesce(base_url, u) END AS base FROM based WHERE t <> ''),
 {aimed("aims", "told", "base", "t", "v")},
-e AS (SELECT u, v FROM aims WHERE u <> v UNION SELECT v, u FROM aims WHERE u <> v
-), reach(a, b) AS (SELECT u, u FROM e UNION SELECT u, v FROM e UNION SELECT reach.a, e.v FROM reach JOIN e ON reach.b = e.u
-), ruled AS (SELECT a, {verdict("r")} AS v FROM (SELECT a, {rule("h", "p")} AS r FROM (SELECT a, {host("b")} AS h, {path("b")} AS p FROM reach))
-), blocked AS (SELECT a FROM ruled GROUP BY a HAVING bool_or(v = 'block') AND NOT coalesce(bool_or(v = 'allow'), false)
+e AS MATERIALIZED (SELECT u, v FROM aims WHERE u <> v UNION SELECT v, u FROM aims WHERE u <> v
+), ruled AS (SELECT a, {verdict("r")} AS said FROM (SELECT a, {rule("h", "p")} AS r FROM (SELECT a, {host("a")} AS h, {path("a")} AS p FROM (SELECT DISTINCT u AS a FROM e)))
+), marks(a, said) AS (SELECT a, said FROM ruled WHERE said IS NOT NULL UNION SELECT e.v, marks.said FROM marks JOIN e ON marks.a = e.u
+), blocked AS (SELECT a FROM marks GROUP BY a HAVING bool_or(said = 'block') AND NOT bool_or(said = 'allow')
 ), judged AS (SELECT page_id, u, host, path, {rule("host", "path")} AS rule FROM (SELECT page_id, u, {host("url")} AS host, {path("url")} AS path FROM urls))
 SELECT page_id, host, path, rule, coalesce({verdict("rule")}, CASE WHEN blocked.a IS NOT NULL THEN 'block' END, 'allow') AS verdict
 FROM judged LEFT JOIN blocked ON judged.u = blocked.a"""
