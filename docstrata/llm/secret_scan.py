@@ -1,8 +1,9 @@
 """Secret scans with patterns and character Markov models, with DataFrame operations only.
 
 Fixed patterns find assigned values, access keys and long hexadecimal strings. Beyond them, every long run of key
-characters that has a digit and a letter is scored by two first-order Markov models, one of random strings and one of
-ordinary identifiers, both trained here from labelled samples; a run is a secret where the log-likelihood ratio is high.
+characters is scored by two first-order Markov models, one of random strings and one of ordinary identifiers, both trained
+here from labelled samples; a run is a secret where the log-likelihood ratio of its best stretch is high, so that a key at
+the end of a long path is found.
 """
 
 from __future__ import annotations
@@ -12,6 +13,8 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from docstrata.llm.common import held_out
+
 _EITHER = lambda word: "".join(f"[{c}{c.upper()}]" if c.isalpha() else c for c in word)
 KEYWORDS = ("password", "passwd", "secret", "token", "api_?key")
 ASSIGN = rf"""({"|".join(map(_EITHER, KEYWORDS))})["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -19,18 +22,27 @@ ASSIGN_LEAST = 6
 #: A run of these that is too short is dropped, and nothing within it is longer, so the length can stand in the pattern.
 ACCESS, HEX = r"AKIA[A-Z0-9]{16,}", r"[0-9a-f]{24,}"
 KINDS = ("assign", "access", "hex", "markov")
-#: Runs that the models judge, and the log-likelihood ratio (in nats) from which one is a secret.
+#: Runs that the models judge, and the log-likelihood ratio (in nats) of a stretch of one from which it is a secret.
 RUN, LEAST_RATIO = r"[A-Za-z0-9+/_-]{20,}={0,2}", 10.0
+#: The share of a character's own frequency in its probability after another one.
+MIXED = 0.1
 #: Characters from + to z are told apart by their codes.
 FIRST, N_CODES = 43, 80
 #: Random strings made for training, and labelled rows whose words make the ordinary identifiers.
 RANDOM_ROWS, SAMPLE_ROWS = 4000, 500
-#: Words of identifiers, so that there are some without any document.
+#: Words of identifiers, so that there are some without any document; and how often each pair of them counts.
+COMMON_WEIGHT = 2
 WORDS = (
-    "account", "address", "array", "buffer", "builder", "cache", "client", "config", "connection", "controller", "count", "customer", "data", "default", "document", "element", "error", "event", "factory", "field",
-    "file", "format", "handler", "header", "image", "index", "input", "item", "label", "length", "library", "manager", "message", "method", "model", "module", "name", "node", "number", "object", "order", "output",
-    "package", "page", "parser", "path", "player", "process", "project", "property", "query", "record", "report", "request", "response", "result", "server", "service", "session", "source", "status", "string", "system",
-    "table", "target", "template", "text", "thread", "title", "type", "update", "user", "value", "version", "view", "width", "window", "worker",
+    "about", "above", "access", "account", "action", "active", "address", "after", "again", "agent", "amount", "another", "answer", "archive", "array", "attribute", "background", "balance", "before", "between",
+    "body", "border", "branch", "buffer", "builder", "button", "cache", "category", "change", "channel", "chapter", "check", "child", "choice", "city", "class", "client", "cloud", "color", "column",
+    "command", "company", "config", "connection", "content", "controller", "count", "country", "create", "current", "customer", "daily", "data", "date", "default", "delete", "device", "different", "display", "document",
+    "domain", "download", "driver", "editor", "element", "email", "empty", "engine", "error", "event", "example", "exchange", "export", "external", "factory", "family", "field", "file", "filter", "first",
+    "folder", "font", "format", "friday", "function", "general", "global", "group", "growth", "handler", "header", "health", "height", "history", "home", "house", "image", "import", "index", "info",
+    "input", "instance", "internal", "item", "january", "journal", "july", "june", "keyboard", "knowledge", "label", "language", "layout", "length", "level", "library", "light", "limit", "list", "local",
+    "machine", "manager", "market", "member", "message", "method", "model", "module", "month", "music", "name", "network", "node", "november", "number", "object", "office", "option", "order", "output",
+    "package", "page", "parent", "parser", "path", "people", "photo", "picture", "player", "policy", "position", "price", "process", "product", "profile", "project", "property", "public", "quality", "query",
+    "question", "random", "record", "region", "report", "request", "resource", "response", "result", "review", "school", "science", "search", "section", "server", "service", "session", "simple", "size", "source",
+    "special", "state", "station", "status", "string", "student", "summary", "system", "table", "target", "template", "text", "thread", "title", "type", "update", "user", "value", "version", "view",
 )
 
 
@@ -44,18 +56,19 @@ def random_strings(spark: SparkSession, rows: int = RANDOM_ROWS) -> DataFrame:
 
 
 def ordinary_identifiers(docs: DataFrame | None, labels: DataFrame | None, spark: SparkSession, rows: int = SAMPLE_ROWS) -> DataFrame:
-    """``token``: identifiers composed of common words, and of words of at most ``rows`` labelled documents, those with
+    """``token, n``, the latter how often it counts: identifiers composed of common words, and of words of at most ``rows`` labelled documents, those with
     the least hash of their id."""
     common = F.split(F.lit(",".join(WORDS)), ",")
-    words = spark.range(4).select(F.transform(common, lambda w, i: F.element_at(common, (i * (F.col("id") * 2 + 1) % len(WORDS) + 1).cast("int"))).alias("words"))
+    words = spark.range(len(WORDS)).select(F.transform(common, lambda w, i: F.element_at(common, (i * (F.col("id") * 2 + 1) % len(WORDS) + 1).cast("int"))).alias("words"), F.lit(COMMON_WEIGHT).alias("n"))
     if docs is not None and labels is not None:
-        ids = labels.where("doc_id is not null").select(F.col("doc_id").alias("_id")).distinct().orderBy(F.xxhash64("_id"), "_id").limit(rows)
+        ids = labels.where(F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).select(F.col("doc_id").alias("_id")).distinct().orderBy(F.xxhash64("_id"), "_id").limit(rows)
         own = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(ids), F.col("doc_id") == F.col("_id"))
-        words = words.unionByName(own.select(F.regexp_extract_all("text", F.lit("[A-Za-z]{4,}"), F.lit(0)).alias("words")))
-    pairs = words.select(F.explode(F.arrays_zip(F.col("words").alias("a"), F.slice("words", 2, 100_000_000).alias("b"))).alias("p")).where("p.b is not null")
+        words = words.unionByName(own.select(F.regexp_extract_all("text", F.lit("[A-Za-z]{4,}"), F.lit(0)).alias("words"), F.lit(1).alias("n")))
+    pairs = words.select("n", F.explode(F.arrays_zip(F.col("words").alias("a"), F.slice("words", 2, 100_000_000).alias("b"))).alias("p")).where("p.b is not null")
     a, b = F.col("p.a"), F.col("p.b")
-    n = F.pmod(F.xxhash64(a, b), F.lit(1000)).cast("string")
+    n = F.pmod(F.xxhash64(a, b), F.lit(3000)).cast("string")
     return pairs.select(
+        "n",
         F.explode(F.array(a, F.concat(a, F.lit("_"), b, F.lit("_"), n), F.concat(a, F.initcap(b), n), F.concat(F.initcap(a), F.initcap(b)), F.concat(F.upper(a), F.lit("_"), F.upper(b)), F.concat(a, F.lit("-"), b, F.lit("-"), n), F.concat(a, F.lit("/"), b, F.lit("/"), n))).alias("token")
     )
 
@@ -66,42 +79,64 @@ def learn(random: DataFrame, ordinary: DataFrame) -> list[float]:
     chars = F.split("token", "")
     code = lambda c: F.ascii(c) - FIRST
     steps = F.transform(F.sequence(F.lit(2), F.size("c")), lambda i: code(F.element_at("c", i - 1)) * N_CODES + code(F.element_at("c", i)))
-    both = random.select("token", F.lit(1).alias("y")).unionByName(ordinary.select("token", F.lit(0).alias("y")))
-    pairs = both.where(r"token rlike '^[A-Za-z0-9+/=_-]{2,}$'").select("y", chars.alias("c")).select("y", F.explode(steps).alias("pair"))
-    counts = [[1.0] * N_CODES**2, [1.0] * N_CODES**2]  # one of each pair, so that none is impossible
-    for y, pair, n in pairs.groupBy("y", "pair").count().collect():
+    both = random.select("token", F.lit(1).alias("y"), F.lit(1).alias("n")).unionByName(ordinary.select("token", F.lit(0).alias("y"), "n"))
+    pairs = both.where(r"token rlike '^[A-Za-z0-9+/=_-]{2,}$'").select("y", "n", chars.alias("c")).select("y", "n", F.explode(steps).alias("pair"))
+    counts = [[0.0] * N_CODES**2, [0.0] * N_CODES**2]
+    for y, pair, n in pairs.groupBy("y", "pair").agg(F.sum("n")).collect():
         counts[y][pair] += n
-    ratio = []
-    for a in range(N_CODES):
-        rows = [c[a * N_CODES : (a + 1) * N_CODES] for c in counts]
-        totals = [sum(r) for r in rows]
-        ratio += [math.log(r1 / totals[1]) - math.log(r0 / totals[0]) for r0, r1 in zip(*rows)]
-    return ratio
+
+    def log_model(n: list[float]) -> list[float]:
+        """Log-probability of a code after another, mixed with that of the code alone, so that a pair which was never seen
+        is unlikely by no more than that mixture says; one of each code, so that none is impossible."""
+        alone = [1 + sum(n[b::N_CODES]) for b in range(N_CODES)]
+        whole, out = sum(alone), []
+        for a in range(N_CODES):
+            row = n[a * N_CODES : (a + 1) * N_CODES]
+            seen = sum(row)
+            mix = MIXED if seen else 1.0
+            out += [math.log((1 - mix) * x / max(seen, 1) + mix * one / whole) for x, one in zip(row, alone)]
+        return out
+
+    return [r1 - r0 for r0, r1 in zip(*map(log_model, counts))]
 
 
 def log_ratio(token: Column, table: list[float]) -> Column:
-    """The log-likelihood ratio of a run, from the first to the last pair of its characters."""
+    """The greatest log-likelihood ratio of a stretch of a run, 0 at least: the sum over its pairs of characters starts anew
+    wherever it falls below 0."""
     values = F.split(F.lit(",".join(f"{x:.4f}" for x in table)), ",").cast("array<double>")  # folded to a constant
     codes = F.transform(F.split(token, ""), lambda c: F.ascii(c) - FIRST)
     # the state carries the code before, so a run is read once
-    start = F.struct(F.lit(-1).alias("last"), F.lit(0.0).alias("sum"))
-    step = lambda s, c: F.struct(c.alias("last"), (s["sum"] + F.when(s["last"] < 0, F.lit(0.0)).otherwise(F.element_at(values, s["last"] * N_CODES + c + 1))).alias("sum"))
-    return F.aggregate(codes, start, step, lambda s: s["sum"])
+    start = F.struct(F.lit(-1).alias("last"), F.lit(0.0).alias("sum"), F.lit(0.0).alias("best"))
+
+    def step(s: Column, c: Column) -> Column:
+        gain = F.when(s["last"] < 0, F.lit(0.0)).otherwise(F.element_at(values, s["last"] * N_CODES + c + 1))
+        total = F.greatest(s["sum"] + gain, F.lit(0.0))
+        return F.struct(c.alias("last"), total.alias("sum"), F.greatest(s["best"], total).alias("best"))
+
+    return F.aggregate(codes, start, step, lambda s: s["best"])
+
+
+def running_sums(numbers: Column) -> Column:
+    """The running sums of an array of integers. An array is only ever copied to grow by one, so it is cut into about as many
+    parts as a part has numbers: n numbers cost n times the root of n steps, not n times n."""
+    size = F.greatest(F.ceil(F.sqrt(F.size(numbers))).cast("int"), F.lit(1))
+    n_parts = F.ceil(F.size(numbers) / size).cast("int")
+    total = lambda part: F.aggregate(part, F.lit(0), lambda a, x: a + x)
+    parts = F.transform(F.sequence(F.lit(0), n_parts - 1), lambda i: F.slice(numbers, i * size + 1, size))
+    whole = F.transform(parts, total)
 
+    def within(part: Column, i: Column) -> Column:
+        start = F.struct(total(F.slice(whole, F.lit(1), i)).alias("at"), F.array().cast("array<int>").alias("ends"))
+        add = lambda s, x: F.struct((s["at"] + x).alias("at"), F.concat(s["ends"], F.array(s["at"] + x)).alias("ends"))
+        return F.aggregate(part, start, add, lambda s: s["ends"])
 
-def _spans(kind: str, matches: Column, pieces: Column, keep: Column) -> Column:
-    """Spans of matches, in code points, from what stands between them; those with a true ``keep``."""
-    of = "struct<at:int,spans:array<struct<start:int,kind_no:int,end:int,keep:boolean>>>"
-    start = F.from_json(F.lit('{"at":0,"spans":[]}'), of)
+    return F.when(F.size(numbers) > 0, F.flatten(F.transform(parts, within))).otherwise(F.array().cast("array<int>"))
 
-    def step(s: Column, i: Column) -> Column:
-        a = s["at"] + F.length(F.element_at(pieces, i))
-        b = a + F.length(F.element_at(matches, i))
-        span = F.struct(a.alias("start"), F.lit(KINDS.index(kind)).alias("kind_no"), b.alias("end"), F.element_at(keep, i).alias("keep"))
-        return F.struct(b.alias("at"), F.concat(s["spans"], F.array(span)).alias("spans")).cast(of)
 
-    found = F.aggregate(F.sequence(F.lit(1), F.size(matches)), start, step, lambda s: F.filter(s["spans"], lambda x: x["keep"]))
-    return F.when(F.size(matches) > 0, found).otherwise(F.from_json(F.lit("[]"), "array<struct<start:int,kind_no:int,end:int,keep:boolean>>"))
+def _spans(kind: str, matches: Column, ends: Column, keep: Column) -> Column:
+    """Spans of matches, in code points, from where they end; those with a true ``keep``."""
+    found = F.zip_with(matches, ends, lambda m, b: F.struct((b - F.length(m)).alias("start"), F.lit(KINDS.index(kind)).alias("kind_no"), b.alias("end")))
+    return F.transform(F.filter(F.arrays_zip(found.alias("span"), keep.alias("keep")), lambda x: x["keep"]), lambda x: x["span"])
 
 
 def _listed(spans: Column) -> Column:
@@ -126,13 +161,19 @@ def scan_secrets(docs: DataFrame, labels: DataFrame | None = None) -> DataFrame:
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     rows = rows.select("*", *[F.regexp_extract_all("text", F.lit(p), F.lit(0)).alias(k) for k, p in patterns.items()])
     none = F.array().cast("array<string>")
+    lengths = lambda k, p: F.zip_with(F.slice(F.split("text", p, -1), F.lit(1), F.size(k)), F.col(k), lambda a, b: F.length(a) + F.length(b))
     located = rows.select(
         "doc_id", *KINDS, F.when(F.size("assign") > 0, F.regexp_extract_all("text", F.lit(ASSIGN), F.lit(2))).otherwise(none).alias("value"),
-        *[F.when(F.size(k) > 0, F.split("text", p, -1)).otherwise(none).alias(f"{k}_pieces") for k, p in patterns.items()],
+        *[F.when(F.size(k) > 0, lengths(k, p)).otherwise(F.array().cast("array<int>")).alias(f"{k}_lengths") for k, p in patterns.items()],
     )
-    secret = lambda t: t.rlike("[0-9]") & t.rlike("[A-Za-z]") & (log_ratio(t, table) >= LEAST_RATIO)
-    keep = {k: F.transform(k, lambda _: F.lit(True)) for k in KINDS} | {"assign": F.transform("value", lambda v: F.length(v) >= ASSIGN_LEAST), "markov": F.transform("markov", secret)}
-    spanned = located.select("doc_id", *[_spans(k, F.col(k), F.col(f"{k}_pieces"), keep[k]).alias(k) for k in KINDS])
+    # one generator for all, after which columns are plain: an expression that is used often would be worked out as often
+    worked = located.select("doc_id", *KINDS, "value", F.explode(F.array(F.struct(*[f"{k}_lengths" for k in KINDS]))).alias("l"))
+    ended = worked.select("doc_id", *KINDS, "value", F.explode(F.array(F.struct(*[running_sums(F.col(f"l.{k}_lengths")).alias(k) for k in KINDS]))).alias("ends"))
+    keep = {k: F.transform(k, lambda _: F.lit(True)) for k in KINDS} | {
+        "assign": F.transform("value", lambda v: F.length(v) >= ASSIGN_LEAST),
+        "markov": F.transform("markov", lambda t: log_ratio(t, table) >= LEAST_RATIO),
+    }
+    spanned = ended.select("doc_id", *[_spans(k, F.col(k), F.col(f"ends.{k}"), keep[k]).alias(k) for k in KINDS])
     base = F.concat(*[F.col(k) for k in KINDS[:3]])
     return spanned.select(
         "doc_id", *[F.size(k).cast("long").alias(f"n_{k}") for k in KINDS],

@@ -86,6 +86,43 @@ def test_secrets_against_brute_force(spark):
     assert secret_scan.scan_secrets(frame(spark, rows).limit(0)).collect() == []
 
 
+def best_stretch(token, table):
+    """The greatest sum over neighbouring pairs, over all stretches."""
+    at = [ord(c) - secret_scan.FIRST for c in token]
+    gains = [float(f"{table[a * secret_scan.N_CODES + b]:.4f}") for a, b in zip(at, at[1:])]
+    return max((sum(gains[i:j]) for i in range(len(gains)) for j in range(i + 1, len(gains) + 1)), default=0.0)
+
+
+def test_all_spans_against_brute_force(spark):
+    r = random.Random(3)
+    token = lambda n: "".join(r.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/") for _ in range(n))
+    parts = lambda: [
+        token(r.randrange(15, 45)), "customer_order_history_manager", "/usr/share/default/service/" + token(24), "é", f"secret={token(9)}", "AKIA" + token(20).upper(),
+        hashlib.sha256(token(3).encode()).hexdigest(), "token: 'ab'", "x" * 30, "日本", "a+b/c-d_e==", token(20) + "==",
+    ]
+    rows = [(i, r.choice(" \n,;").join(r.sample(parts(), r.randrange(12)))) for i in range(150)] + [(900, None), (901, ""), (None, token(30))]
+    table = secret_scan.learn(secret_scan.random_strings(spark), secret_scan.ordinary_identifiers(None, None, spark))
+    wanted = []
+    for i, t in rows:
+        found = [(m.start(), 0, m.end()) for m in BASE.finditer(t or "") if len(m[2]) >= 6]
+        found += [(m.start(), 1, m.end()) for m in re.finditer("AKIA[A-Z0-9]{16,}", t or "")]
+        found += [(m.start(), 2, m.end()) for m in re.finditer("[0-9a-f]{24,}", t or "")]
+        found += [(m.start(), 3, m.end()) for m in re.finditer(secret_scan.RUN, t or "") if best_stretch(m[0], table) >= secret_scan.LEAST_RATIO]
+        wanted.append((i, ",".join(f"{secret_scan.KINDS[k]}:{a}:{b}" for a, k, b in sorted(found))))
+    got = [(x["doc_id"], x["spans"]) for x in secret_scan.scan_secrets(frame(spark, rows)).collect()]
+    assert sorted(got, key=str) == sorted(wanted, key=str) and sum("markov" in s for _, s in got) > 80
+
+
+def test_very_many_matches_in_one_text(spark):
+    """A hundred thousand in one text: what is located is the same at the end as at the beginning."""
+    n, piece = 100_000, "é token=abc12345 "
+    x = secret_scan.scan_secrets(frame(spark, [(1, piece * n)])).head()
+    assert x["n_assign"] == n
+    assert x["spans"] == ",".join(f"assign:{i * len(piece) + 2}:{(i + 1) * len(piece) - 1}" for i in range(n))
+    sums = spark.range(12).select(secret_scan.running_sums(F.transform(F.sequence(F.lit(0), F.col("id").cast("int")), lambda i: i * i)).alias("s")).collect()
+    assert [r[0] for r in sums] == [[sum(k * k for k in range(j + 1)) for j in range(i + 1)] for i in range(12)]
+
+
 def test_markov_models_tell_random_from_ordinary(spark):
     table = secret_scan.learn(secret_scan.random_strings(spark), secret_scan.ordinary_identifiers(None, None, spark))
     fresh = spark.range(300).select(F.translate(F.base64(F.unhex(F.sha2(F.concat(F.lit("new"), F.col("id")), 256))), "+/=", "").alias("t"))
