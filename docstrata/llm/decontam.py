@@ -1,14 +1,18 @@
 """Benchmark decontamination with an Aho-Corasick automaton.
 
-Every window of benchmark words becomes a pattern of one automaton. A document is normalised once (A-Z lower-cased,
-words joined by one space) and scanned once; a match is turned into word numbers, and those into offsets in the
-original text.
+The automaton's letters are the words of the benchmark, its patterns short blocks of words, every seventh, so that every
+window of ten holds one whole block; items of fewer words than a window are patterns themselves. A document is normalised
+(A-Z lower-cased, cut into words) and scanned once, one step a word. Where a block occurs, the windows that hold it are
+looked up among all windows of the benchmark and compared word by word; hits are then turned into offsets in the original
+text. So one automaton has fewer nodes than the benchmark has words, whatever its size.
 """
 
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterator
+from array import array
+from collections.abc import Iterable, Iterator
+from dataclasses import dataclass
 
 import ahocorasick
 import numpy as np
@@ -17,62 +21,166 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docstrata.llm.common import byte_texts, materialise, bounded_batches
+from docstrata.llm.common import bounded_batches, byte_texts
 
-#: Consecutive words of an item that make a window.
-WINDOW = 10
-#: Benchmark words in one automaton; a larger benchmark is scanned for in several passes.
-WORDS_PER_AUTOMATON = 50_000
+#: Consecutive words of an item that make a window, and words of a block.
+WINDOW, BLOCK = 10, 4
+#: Bytes of text in a benchmark at most, which the driver packs and every worker holds.
+BENCHMARK_BYTES = 1 << 30
 #: ASCII separators become blanks, A-Z become a-z, all other bytes stay; one byte stays one byte.
 TO_WORDS = bytes(ord(chr(b).lower()) if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
-
-_automata: dict[str, ahocorasick.Automaton] = {}
+#: Characters that stand for words: all but 0, which stands for any word that the benchmark does not have, and surrogates.
+SYMBOLS, SURROGATES = 0x110000 - 0x800, 0xD800
+#: Multiplier of the windows' hash, modulo 2**64.
+FACTOR = np.uint64(0x9E3779B97F4A7C15)
 
 
 def words_of(text: bytes) -> list[bytes]:
-    return text.translate(TO_WORDS).split(b" ")
-
-
-def windows(text: bytes, size: int = WINDOW) -> set[tuple[bytes, ...]]:
-    """The windows of an item: ``size`` consecutive words, or all its words if they are fewer."""
-    words = [w for w in words_of(text) if w]
-    return {tuple(words[i : i + size]) for i in range(max(1, len(words) - size + 1))} if words else set()
-
-
-def _automaton(patterns: list[tuple[str, int, list[str | None]]], key: str) -> ahocorasick.Automaton:
-    if key not in _automata:
-        _automata.clear()
-        made = ahocorasick.Automaton()
-        for text, n, items in patterns:
-            made.add_word(text, (n, items))
-        if patterns:
-            made.make_automaton()
-        _automata[key] = made
-    return _automata[key]
-
-
-def _merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
-    out: list[tuple[int, int]] = []
-    for a, b in sorted(spans):
-        if out and a <= out[-1][1]:
-            out[-1] = (out[-1][0], max(b, out[-1][1]))
-        else:
-            out.append((a, b))
-    return out
-
-
-def scan(text: bytes, automaton: ahocorasick.Automaton) -> tuple[int, list[tuple[int, int]], set]:
-    """Number of words of a text, merged ranges of hit word numbers, and the items whose windows occur."""
-    words = [w for w in words_of(text) if w]
-    if not words or not len(automaton):
-        return len(words), [], set()
-    joined = b" " + b" ".join(words) + b" "
-    found = list(automaton.iter(joined.decode("latin-1")))
-    if not found:
-        return len(words), [], set()
-    blanks = np.flatnonzero(np.frombuffer(joined, np.uint8) == 32)
-    last = np.searchsorted(blanks, [end for end, _ in found]).tolist()
-    return len(words), _merged([(k - n, k) for k, (_, (n, _)) in zip(last, found)]), {x for _, (_, items) in found for x in items}
+    return text.translate(TO_WORDS).split()
+
+
+@dataclass
+class Packed:
+    """A benchmark as arrays. Words are numbered from 1."""
+
+    names: list[str | None]  # of the items
+    vocabulary: list[bytes]  # word 1, 2, ...
+    ids: np.ndarray  # the words of all items, end to end
+    starts: np.ndarray  # where each item begins, and the end
+    size: int  # words in a window
+    hashes: np.ndarray  # of the windows, sorted
+    places: np.ndarray  # where each of them begins in ids
+    owners: np.ndarray  # the item of each
+
+
+def window_hashes(ids: np.ndarray, size: int) -> np.ndarray:
+    """A hash of each ``size`` consecutive numbers."""
+    n = max(0, len(ids) - size + 1)
+    h = np.zeros(n, np.uint64)
+    for j in range(size):
+        h = h * FACTOR + ids[j : j + n].astype(np.uint64)
+        h ^= h >> np.uint64(29)
+    return h
+
+
+def pack_benchmark(items: Iterable[tuple[str | None, str | None]], size: int = WINDOW) -> Packed:
+    """``items``: id and text of each."""
+    numbers: dict[bytes, int] = {}
+    names, ids, ends = [], array("i"), [0]
+    for name, text in items:
+        ids.extend(numbers.setdefault(w, len(numbers) + 1) for w in words_of((text or "").encode("utf-8", "replace")))
+        names.append(name)
+        ends.append(len(ids))
+    all_ids, starts = np.array(ids, np.int32), np.array(ends, np.int64)
+    hashes = window_hashes(all_ids, size)
+    owners = (np.searchsorted(starts, np.arange(len(hashes)), "right") - 1).astype(np.int32)
+    whole = np.arange(len(hashes)) + size <= starts[owners + 1]
+    places = np.flatnonzero(whole)
+    places = places[np.argsort(hashes[places], kind="stable")].astype(np.int32 if len(ids) < 1 << 31 else np.int64)
+    return Packed(names, list(numbers), all_ids, starts, size, hashes[places], places, owners[places])
+
+
+class Matcher:
+    """The automaton over a packed benchmark, and what a document's hits are looked up in."""
+
+    def __init__(self, packed: Packed, symbols: int = SYMBOLS):
+        self.packed, self.symbols = packed, symbols
+        self.width = 1
+        while symbols**self.width <= len(packed.vocabulary):
+            self.width += 1
+        self.letters = {w: self.letter(i) for i, w in enumerate(packed.vocabulary, 1)}
+        self.other = self.letter(0)
+        self.short: list[tuple[int, set[int]]] = [(0, set())]
+        values: dict[str, int] = {}
+        self.block = min(BLOCK, packed.size)
+        for item, (a, b) in enumerate(zip(packed.starts.tolist(), packed.starts[1:].tolist())):
+            text = "".join(self.letter(i) for i in packed.ids[a:b].tolist())
+            n = b - a
+            if n >= packed.size:
+                for at in range(0, n - self.block + 1, packed.size - self.block + 1):
+                    block = text[at * self.width : (at + self.block) * self.width]
+                    values[block] = values.get(block, 0) | 1
+            elif n:
+                place = values.get(text, 0) >> 1
+                if not place:
+                    place = len(self.short)
+                    self.short.append((n, set()))
+                    values[text] = values.get(text, 0) | place << 1
+                self.short[place][1].add(item)
+        self.automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS)
+        for text, value in values.items():
+            self.automaton.add_word(text, value)
+        if values:
+            self.automaton.make_automaton()
+
+    def letter(self, number: int) -> str:
+        """A word's number as ``width`` characters."""
+        out = []
+        for _ in range(self.width):
+            number, digit = divmod(number, self.symbols)
+            out.append(chr(digit if digit < SURROGATES else digit + 0x800))
+        return "".join(out)
+
+    def numbers(self, letters: str) -> np.ndarray:
+        """The numbers of words from their letters."""
+        codes = np.frombuffer(letters.encode("utf-32-le"), "<u4").astype(np.int64)
+        codes -= 0x800 * (codes >= SURROGATES)
+        return codes.reshape(-1, self.width) @ (np.int64(self.symbols) ** np.arange(self.width, dtype=np.int64))
+
+    def scan(self, text: bytes) -> tuple[int, list[tuple[int, int]], set[int]]:
+        """Number of words of a text, merged ranges of hit word numbers, and the items whose windows occur."""
+        words = words_of(text)
+        if not words or not len(self.automaton):
+            return len(words), [], set()
+        get, other, width = self.letters.get, self.other, self.width
+        letters = "".join([get(w, other) for w in words])
+        firsts, lasts, blocks, items = array("q"), array("q"), array("q"), set()
+        for end, value in self.automaton.iter(letters):
+            if (end + 1) % width:
+                continue
+            last = (end + 1) // width
+            if value & 1:
+                blocks.append(last - self.block)
+            if value >> 1:
+                n, found = self.short[value >> 1]
+                firsts.append(last - n)
+                lasts.append(last)
+                items |= found
+        if blocks:
+            at, found = self.windows(self.numbers(letters), np.array(blocks))
+            firsts.extend(at.tolist())
+            lasts.extend((at + self.packed.size).tolist())
+            items |= found
+        if not firsts:
+            return len(words), [], set()
+        cover = np.zeros(len(words) + 2, np.int64)
+        np.add.at(cover, np.array(firsts) + 1, 1)
+        np.add.at(cover, np.array(lasts) + 1, -1)
+        edge = np.flatnonzero(np.diff((np.cumsum(cover) > 0).astype(np.int8)))
+        return len(words), list(zip(edge[::2].tolist(), edge[1::2].tolist())), items
+
+    def windows(self, ids: np.ndarray, blocks: np.ndarray) -> tuple[np.ndarray, set[int]]:
+        """Where windows of the benchmark begin in a document of word numbers ``ids``, of those that hold one of its blocks,
+        and their items."""
+        p = self.packed
+        at = np.unique(blocks[:, None] - np.arange(p.size - self.block + 1)[None, :])
+        at = at[(at >= 0) & (at + p.size <= len(ids))]
+        if not len(at) or not len(p.hashes):
+            return at[:0], set()
+        reach = np.arange(p.size)
+        own = ids[at[:, None] + reach]
+        h = np.zeros(len(at), np.uint64)
+        for j in range(p.size):
+            h = h * FACTOR + own[:, j].astype(np.uint64)
+            h ^= h >> np.uint64(29)
+        lo, hi = np.searchsorted(p.hashes, h), np.searchsorted(p.hashes, h, "right")
+        hits, items = [], set()
+        for k in np.flatnonzero(lo < hi).tolist():
+            equal = (p.ids[p.places[lo[k] : hi[k], None] + reach] == own[k]).all(axis=1)
+            if equal.any():
+                hits.append(k)
+                items.update(np.unique(p.owners[lo[k] : hi[k]][equal]).tolist())
+        return at[hits], items
 
 
 def offsets(text: bytes, ranges: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -84,77 +192,56 @@ def offsets(text: bytes, ranges: list[tuple[int, int]]) -> list[tuple[int, int]]
     return [(int(starts[a]), int(ends[b - 1])) for a, b in ranges]
 
 
-def benchmark_shards(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text", size: int = WINDOW, limit: int = WORDS_PER_AUTOMATON) -> Iterator[list[tuple[str, int, list[str | None]]]]:
-    """Patterns of the benchmark, in shards of a bounded number of words: measured first, then fetched shard by shard."""
+def read_benchmark(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text", size: int = WINDOW) -> Packed:
+    """A benchmark packed on the driver, after its size has been measured."""
     rows = benchmark.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).cast("string").alias("text"))
-    total = rows.agg(F.sum(F.length(F.regexp_replace("text", r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", "x")))).head()[0] or 0
-    n = -(-total // (2 * limit)) or 1  # words and separators alternate at least
-    for shard in range(n):
-        patterns: dict[tuple[bytes, ...], set] = {}
-        for item, text in rows.where(F.pmod(F.xxhash64("id", "text"), F.lit(n)) == shard).toLocalIterator():
-            for w in windows((text or "").encode(), size):
-                patterns.setdefault(w, set()).add(item)
-        yield [((b" " + b" ".join(w) + b" ").decode("latin-1"), len(w), sorted(items, key=lambda x: x or "")) for w, items in patterns.items()]
+    n_bytes = rows.agg(F.sum(F.octet_length("text"))).head()[0] or 0
+    if n_bytes > BENCHMARK_BYTES:
+        raise ValueError(f"a benchmark of {n_bytes} bytes: one automaton takes {BENCHMARK_BYTES}; scan for its parts one by one")
+    return pack_benchmark(sorted(map(tuple, rows.collect()), key=lambda r: (r[0] is None, r[0] or "", r[1] or "")), size)
 
 
-STATE = "struct<n_words:bigint,ranges:array<struct<first:int,last:int>>,items:array<string>>"
 FOUND = "struct<n_words:bigint,n_hit:bigint,items:array<string>,spans:array<struct<start:int,end:int>>>"
+_matchers: dict[str, Matcher] = {}
 
 
-def _scanner(patterns: Broadcast, key: str):
-    """Arrow function of a text and what earlier automata found in it."""
-
-    def run(columns: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
-        automaton = _automaton(patterns.value, key)
-        kind = pa.struct([("n_words", pa.int64()), ("ranges", pa.list_(pa.struct([("first", pa.int32()), ("last", pa.int32())]))), ("items", pa.list_(pa.string()))])
-        for texts, before in columns:
-            out = []
-            for text, old in zip(byte_texts(texts), before.to_pylist()):
-                n, ranges, items = scan(text, automaton)
-                if old:
-                    ranges = _merged([*ranges, *((x["first"], x["last"]) for x in old["ranges"])])
-                    items = items | set(old["items"])
-                out.append({"n_words": n, "ranges": [{"first": a, "last": b} for a, b in ranges], "items": sorted(items, key=lambda x: (x is None, x or ""))})
-            yield pa.array(out, kind)
-
-    run.__annotations__ = {"columns": Iterator[tuple[pa.Array, pa.Array]], "return": Iterator[pa.Array]}
-    return F.arrow_udf(run, STATE).asNondeterministic()
-
+def _scanner(packed: Broadcast, key: str):
+    """Arrow function of a text. The automaton is built once in a worker."""
 
-def _located():
-    def run(columns: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
-        kind = pa.struct([("n_words", pa.int64()), ("n_hit", pa.int64()), ("items", pa.list_(pa.string())), ("spans", pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())])))])
-        for texts, states in columns:
+    def run(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        if key not in _matchers:
+            _matchers.clear()
+            _matchers[key] = Matcher(packed.value)
+        matcher = _matchers[key]
+        names = matcher.packed.names
+        spans_kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
+        kind = pa.struct([("n_words", pa.int64()), ("n_hit", pa.int64()), ("items", pa.list_(pa.string())), ("spans", spans_kind)])
+        for texts in columns:
             out = []
-            for text, state in zip(byte_texts(texts), states.to_pylist()):
-                ranges = [(x["first"], x["last"]) for x in state["ranges"]]
+            for text in byte_texts(texts):
+                n, ranges, items = matcher.scan(text)
                 spans = [{"start": a, "end": b} for a, b in offsets(text, ranges)] if ranges else []
-                out.append({"n_words": state["n_words"], "n_hit": sum(b - a for a, b in ranges), "items": state["items"], "spans": spans})
+                listed = sorted({names[i] for i in items}, key=lambda x: (x is None, x or ""))
+                out.append({"n_words": n, "n_hit": sum(b - a for a, b in ranges), "items": listed, "spans": spans})
             yield pa.array(out, kind)
 
-    run.__annotations__ = {"columns": Iterator[tuple[pa.Array, pa.Array]], "return": Iterator[pa.Array]}
+    run.__annotations__ = {"columns": Iterator[pa.Array], "return": Iterator[pa.Array]}
     return F.arrow_udf(run, FOUND).asNondeterministic()
 
 
 def with_contamination(df: DataFrame, benchmark: DataFrame, text_col: str = "text", found: str = "found", size: int = WINDOW) -> DataFrame:
-    """``df`` with a column of type ``FOUND``; no row moves. A benchmark of more than ``WORDS_PER_AUTOMATON`` words is
-    scanned for shard by shard, with the table written between, so that a worker's automaton is bounded."""
+    """``df`` with a column of type ``FOUND``; no row moves, and every text is scanned once."""
     spark = df.sparkSession
     bounded_batches(spark)
-    text = F.col(text_col).cast("string")
-    out = df.withColumn(found, F.lit(None).cast(STATE))
-    for shard, patterns in enumerate(benchmark_shards(benchmark, size=size)):
-        if shard:
-            out = materialise(out, "scanned")
-        out = out.withColumn(found, _scanner(spark.sparkContext.broadcast(patterns), uuid.uuid4().hex)(text, F.col(found)))
-    return out.withColumn(found, _located()(text, F.col(found)))
+    packed = spark.sparkContext.broadcast(read_benchmark(benchmark, size=size))
+    return df.withColumn(found, _scanner(packed, uuid.uuid4().hex)(F.col(text_col).cast("string")))
 
 
 def contamination(df: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = WINDOW) -> DataFrame:
     """One row per input row: ``doc_id, n_words, n_hit, items, spans``.
 
-    ``items``: the ids, as sorted strings, of the items of which a window occurs; an item without id counts as a null
-    at the end. ``spans``: merged hit passages, as code point offsets in the original text. Null and empty texts have
+    ``items``: the ids, as sorted strings, of the items of which a window occurs; items without id count as one null at
+    the end. ``spans``: merged hit passages, as code point offsets in the original text. Null and empty texts have
     no words; items without words have no window; repeated items and repeated documents are each judged alike. An
     empty table on either side gives no hits. Other columns, whatever their names, play no part.
     """

@@ -50,9 +50,10 @@ def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    named = F.array_compact("items")  # items without id hit words, but cannot be listed
     return found.select(
-        "doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
-        F.sha2(F.array_join(F.array_compact("items"), ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"),
+        "doc_id", "n_words", "n_hit", F.size(named).cast("long").alias("n_items"),
+        F.sha2(F.array_join(named, ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"),
     )
 
 

@@ -4,7 +4,6 @@ import hashlib
 import random
 import re
 
-import ahocorasick
 import duckdb
 import numpy as np
 from pyspark.sql import functions as F
@@ -22,7 +21,7 @@ def words(text):
     return re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
 
 
-def test_contamination_against_brute_force(spark, monkeypatch):
+def test_contamination_against_brute_force(spark):
     r = random.Random(2)
     item = lambda n: " ".join(r.choice(["Été", "alpha", "beta2", "γ", "delta"]) + str(r.randrange(40)) for _ in range(n))
     items = [(i, item(n)) for i, n in enumerate((25, 10, 11, 3, 1, 9))] + [(6, ""), (7, None), (8, "!!"), (0, "one two"), (None, item(12))]
@@ -46,20 +45,61 @@ def test_contamination_against_brute_force(spark, monkeypatch):
                     found.add(None if k is None else str(k))
         wanted.append((i, len(w), len(hit), sorted(found, key=lambda x: (x is None, x or ""))))
     b = spark.createDataFrame([(k, u, 1) for k, u in items], "item_id long, text string, found int")
-    for limit in (50_000, 10):  # one automaton, and several
-        monkeypatch.setattr(decontam.benchmark_shards, "__defaults__", ("item_id", "text", 10, limit))
-        got = decontam.contamination(frame(spark, docs), b).collect()
-        assert sorted((tuple(x)[:4] for x in got), key=str) == sorted(wanted, key=str)
-        text = dict(docs)
-        for x in got:
-            if x["doc_id"] is not None:
-                assert sum(len(words(text[x["doc_id"]][s["start"] : s["end"]])) for s in x["spans"]) == x["n_hit"]
+    got = decontam.contamination(frame(spark, docs), b).collect()
+    assert sorted((tuple(x)[:4] for x in got), key=str) == sorted(wanted, key=str)
+    text = dict(docs)
+    for x in got:
+        if x["doc_id"] is not None:
+            assert sum(len(words(text[x["doc_id"]][s["start"] : s["end"]])) for s in x["spans"]) == x["n_hit"]
     none = decontam.contamination(frame(spark, docs), b.limit(0)).agg(F.sum("n_hit")).head()[0]
     assert none == 0 and decontam.contamination(frame(spark, docs).limit(0), b).collect() == []
 
 
-def test_scan_without_patterns():
-    assert decontam.scan(b"a b", ahocorasick.Automaton()) == (2, [], set())
+def brute_scan(text, items, size):
+    w, hit, found = decontam.words_of(text), set(), set()
+    for k, (_, t) in enumerate(items):
+        v = decontam.words_of(t.encode())
+        n = min(size, len(v))
+        wins = {tuple(v[a : a + n]) for a in range(len(v) - n + 1)} if v else set()
+        for a in range(len(w) - n + 1):
+            if tuple(w[a : a + n]) in wins:
+                hit |= set(range(a, a + n))
+                found.add(k)
+    return len(w), hit, found
+
+
+def test_blocks_find_every_window():
+    """Windows of every size, at every place of an item, with few words, so that blocks occur where windows do not; letters
+    of one and of several characters."""
+    r = random.Random(7)
+    for size in (1, 2, 3, 4, 5, 7, 10):
+        items = [(str(i), " ".join(r.choices("abc", k=r.randrange(0, 31)))) for i in range(25)]
+        packed = decontam.pack_benchmark(items, size)
+        for symbols in (decontam.SYMBOLS, 2, 3):
+            matcher = decontam.Matcher(packed, symbols)
+            assert matcher.width == {decontam.SYMBOLS: 1, 2: 2, 3: 2}[symbols]
+            for _ in range(15):
+                text = " ".join(r.choices("abcd", [8, 8, 8, 1], k=r.randrange(0, 80))).encode()
+                n, ranges, found = matcher.scan(text)
+                assert (n, {k for a, b in ranges for k in range(a, b)}, found) == brute_scan(text, items, size)
+                assert all(b < c for (_, b), (c, _) in zip(ranges, ranges[1:]))
+    assert decontam.Matcher(decontam.pack_benchmark([])).scan(b"a b") == (2, [], set())
+
+
+def test_large_benchmark_in_one_automaton():
+    """200,000 words: every passage of a window or more is found, none of fewer words."""
+    r = random.Random(9)
+    vocabulary = [f"w{i}" for i in range(20_000)]
+    items = [(str(i), " ".join(r.choices(vocabulary, k=100))) for i in range(2000)]
+    matcher = decontam.Matcher(decontam.pack_benchmark(items))
+    assert matcher.automaton.get_stats()["nodes_count"] < 200_000
+    for _ in range(300):
+        item, n = r.randrange(2000), r.randrange(5, 20)
+        at = r.randrange(100 - n)
+        passage = items[item][1].split()[at : at + n]
+        text = " ".join(r.choices(vocabulary, k=30) + ["?"] + passage + ["! x"] + r.choices(vocabulary, k=30)).encode()
+        n_words, ranges, found = matcher.scan(text)
+        assert (ranges, found) == (([(30, 30 + n)], {item}) if n >= 10 else ([], set()))
 
 
 BASE = re.compile(r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.A)
