@@ -18,11 +18,14 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docstrata.llm.common import byte_texts, held_out, slabs, bounded_batches
+from docstrata.llm.common import bounded_batches, byte_texts, discard, held_out, slabs
 from docstrata.llm.toxicity import labelled_sample
 
-#: Labelled rows that the network learns from at most, and bytes of each: even parts of a longer text.
-SAMPLE_ROWS, SAMPLE_BYTES = 3000, 1 << 15
+#: Labelled rows that the network learns from at most, and their bytes in all; rows of longer texts than that of one are
+#: scored whole like any others, but not learned from.
+SAMPLE_ROWS, SAMPLE_BYTES, LONGEST_BYTES = 3000, 32 << 20, 1 << 20
+#: Bytes of texts in a training batch at most, or one text where that is longer.
+STEP_BYTES = 2 << 20
 #: Embedding, filters, hidden units; bytes between filter positions; filter positions in half a chunk.
 DIM, FILTERS, HIDDEN, STRIDE, HALF = 8, 24, 16, 4, 32
 HALF_BYTES = STRIDE * HALF
@@ -139,6 +142,13 @@ def gradients(net: Net, p: Packed, y: np.ndarray) -> list[np.ndarray]:
     return [d_embed, f["blocks"].T @ d_a, f["blocks"][1:].T @ d_a[:-1], d_a.sum(axis=0), f["mean"].T @ d_h, d_h.sum(axis=0), f["pooled"].T @ error, np.array([error.sum()])]
 
 
+def batches(rows: np.ndarray, sizes: list[int]) -> Iterator[tuple[np.ndarray, float]]:
+    """``rows`` in batches of at most BATCH rows and STEP_BYTES, each with the share of all rows that came before it."""
+    for a in range(0, len(rows), BATCH):
+        for i, j in slabs(sizes[a : a + BATCH], STEP_BYTES):
+            yield rows[a + i : a + j], (a + i) / len(rows)
+
+
 def train(texts: list[bytes], y: np.ndarray, epochs: int = EPOCHS, seed: int = SEED) -> Net:
     """A network fitted by Adam on shuffled batches; equal inputs give equal networks. Without both labels, the network
     says the smoothed share of label 1 for every text."""
@@ -151,12 +161,12 @@ def train(texts: list[bytes], y: np.ndarray, epochs: int = EPOCHS, seed: int = S
     order = np.random.Generator(np.random.PCG64(seed))
     m = [np.zeros_like(x, np.float64) for x in net.parts()]
     v = [np.zeros_like(x, np.float64) for x in net.parts()]
-    t, steps = 0, epochs * -(-len(texts) // BATCH)
-    for _ in range(epochs):
+    t = 0
+    for epoch in range(epochs):
         shuffled = order.permutation(len(texts))
-        for at in range(0, len(texts), BATCH):
-            rows, t = shuffled[at : at + BATCH], t + 1
-            rate = RATE * (1 - t / (steps + 1))
+        for rows, done in batches(shuffled, [len(texts[i]) for i in shuffled]):
+            t += 1
+            rate = RATE * (1 - (epoch + done) / epochs)
             for x, g, a, b in zip(net.parts(), gradients(net, pack([texts[i] for i in rows]), y[rows]), m, v):
                 a += 0.1 * (g - a)
                 b += 0.001 * (g * g - b)
@@ -172,14 +182,6 @@ def score(net: Net, texts: list[bytes]) -> np.ndarray:
     return out
 
 
-def even_parts(text: bytes, limit: int = SAMPLE_BYTES) -> bytes:
-    """A text to learn from: whole, or eight even parts of a longer one."""
-    if len(text) <= limit:
-        return text
-    part = limit // 8
-    return b" ".join(text[(len(text) - part) * i // 7 :][:part] for i in range(8))
-
-
 def _scores(net: Broadcast):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -188,9 +190,18 @@ def _scores(net: Broadcast):
     return run
 
 
-def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([even_parts(x) for x in byte_texts(batch, "text")], pa.binary())], names=["y", "part"])
+def sampled(sample: DataFrame, limit: int = SAMPLE_BYTES, longest: int = LONGEST_BYTES) -> tuple[list[bytes], np.ndarray]:
+    """Whole texts and labels of a table ``y, text``, in the order of their hashes, as many as ``limit`` bytes hold."""
+    texts, y, total = [], [], 0
+    rows = sample.select("y", F.coalesce("text", F.lit("")).alias("text")).where(F.octet_length("text") <= longest)
+    for label, text in rows.orderBy(F.xxhash64("text"), "text", "y").toLocalIterator():
+        texts.append(text.encode("utf-8", "replace"))
+        total += len(texts[-1])
+        if total > limit:
+            texts.pop()
+            break
+        y.append(label)
+    return texts, np.array(y, np.float32)
 
 
 def quality(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, threshold: float = 0.3) -> DataFrame:
@@ -200,14 +211,14 @@ def quality(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS,
     ``held_out``: the fifth of the ids that nothing is learned from. Null and empty texts get the network's value for a
     text without bytes; a null id is scored like any other; repeated rows get equal scores; without labels of both
     kinds the score is the smoothed share of label 1. An empty table gives an empty result. Every text is scored whole,
-    in slabs of bounded size; the network is fitted on at most ``sample_rows`` rows of SAMPLE_BYTES, which is what the
-    driver fetches.
+    in slabs of bounded size; the network is fitted on whole texts, at most ``sample_rows`` of them and SAMPLE_BYTES in
+    all, which is what the driver fetches.
     """
     spark = docs.sparkSession
     bounded_batches(spark)
-    got = labelled_sample(docs, labels, "quality", sample_rows).mapInArrow(_parts, "y int, part binary").collect()
-    got.sort(key=lambda r: (bytes(r[1]), r[0]))
-    net = spark.sparkContext.broadcast(train([bytes(r[1]) for r in got], np.array([r[0] for r in got], np.float32)))
+    sample = labelled_sample(docs, labels, "quality", sample_rows)
+    net = spark.sparkContext.broadcast(train(*sampled(sample)))
+    discard(sample)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     scored = rows.mapInArrow(_scores(net), "doc_id long, score double")
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))

@@ -1,6 +1,7 @@
 """Contamination, secrets, licences, toxicity and quality."""
 
 import hashlib
+import math
 import random
 import re
 
@@ -423,6 +424,47 @@ def test_network_gradients():
         assert abs((up - down) / (2 * step) - g[i]) < 0.05 * abs(g[i]) + 1e-4
 
 
+def naive_score(net, text):
+    """The network by its definition, one byte after another."""
+    embed, near, far = (x.astype(np.float64) for x in (net.embed, net.near, net.far))
+    halves = max(2, -(-len(text) // quality.HALF_BYTES))
+    data = text + bytes(halves * quality.HALF_BYTES - len(text))
+    seen = lambda i: any(data[i : i + 4] == data[i - lag : i - lag + 4] for lag in range(1, min(quality.LAGS, i) + 1))
+    rows = [np.append(embed[c], float(c > 0 and i + 4 <= len(data) and seen(i))) for i, c in enumerate(data)]
+    blocks = [np.concatenate(rows[i : i + quality.STRIDE]) for i in range(0, len(data), quality.STRIDE)]
+    active = []
+    for i, block in enumerate(blocks):
+        on = any(data[i * quality.STRIDE : (i + 1) * quality.STRIDE]) and i + 1 < len(blocks)
+        active.append(np.maximum(block @ near + blocks[i + 1] @ far + net.bias, 0) if on else np.zeros(quality.FILTERS))
+    best = np.full(quality.HIDDEN, -np.inf)
+    for k in range(halves - 1):
+        chunk = active[k * quality.HALF : (k + 2) * quality.HALF]
+        on_text = max(1, sum(i * quality.STRIDE < len(text) for i in range(k * quality.HALF, (k + 2) * quality.HALF)))
+        best = np.maximum(best, np.maximum(sum(chunk) / on_text @ net.hidden + net.hidden_bias, 0))
+    return 1 / (1 + math.exp(-(best @ net.out + net.out_bias[0])))
+
+
+def test_scores_by_definition():
+    r = np.random.default_rng(2)
+    net = quality.new_net()
+    for p in net.parts():
+        p += (r.standard_normal(p.shape) * 0.1).astype(np.float32)
+    texts = [b"", b"a", b"word " * 60, bytes(r.integers(97, 110, 127, dtype=np.uint8))] + [bytes(r.integers(1, 256, n, dtype=np.uint8)) for n in (128, 129, 255, 256, 257, 700, 1500)]
+    assert np.allclose(quality.score(net, texts), [naive_score(net, t) for t in texts], atol=1e-4)
+
+
+def test_sample_is_of_whole_texts(spark):
+    texts = ["short", "x" * 3000, "y" * 90, None] + [f"text {i}" for i in range(30)]
+    sample = spark.createDataFrame([(i % 2, t) for i, t in enumerate(texts)], "y int, text string")
+    got, y = quality.sampled(sample, limit=1 << 20, longest=1000)
+    assert sorted(got) == sorted((t or "").encode() for t in texts if len(t or "") <= 1000) and len(y) == len(got)
+    some, y = quality.sampled(sample, limit=100, longest=1000)
+    assert some == got[: len(some)] and len(y) == len(some) and sum(map(len, some)) <= 100 < sum(map(len, got[: len(some) + 1]))
+    rows = np.arange(100)
+    parts = [(p.tolist(), d) for p, d in quality.batches(rows, [quality.STEP_BYTES] * 3 + [1] * 97)]
+    assert [x for p, _ in parts for x in p] == rows.tolist() and [p for p, _ in parts[:3]] == [[0], [1], [2]] and parts[0][1] == 0
+
+
 def test_scores_do_not_depend_on_neighbours():
     r = np.random.default_rng(1)
     texts = [bytes(r.integers(0, 256, n, dtype=np.uint8)) for n in (0, 5, 127, 128, 129, 5000, 40_000)]
