@@ -1,7 +1,7 @@
 """Mixing sources to target weights by Sainte-Laguë apportionment, with DataFrame operations only.
 
 A source's target number of tokens is divided into blocks of equal tokens. Blocks are apportioned first to sources, then
-to the hashed shards of a source, by highest quotients: each next block goes to the largest ``votes / (2 seats + 1)``.
+to the pools of a source's shards, then to the hashed shards of a pool, by highest quotients: each next block goes to the largest ``votes / (2 seats + 1)``.
 A document's id and text decide its shard, so that rows that share an id, or have none, are spread.
 A shard's documents stand end to end in a seeded order; its quota is whole passes over the shard and, for the rest,
 blocks picked evenly from a seeded start. What a document gives is the overlap of its tokens with the blocks picked.
@@ -16,8 +16,9 @@ from docstrata.llm.common import discard, materialise, owning
 
 #: Weights of sources in order of their names, repeating; passes over a source at most; seed.
 WEIGHTS, MAX_EPOCHS, SEED = (5.0, 2.0, 1.0), 3, 42
-#: Documents in a shard, on average.
-SHARD_DOCS = 2048
+#: Documents in a shard, and shards in a pool, on average: a task ranks the quotients of one pool's shards, or of the pools of
+#: one source.
+SHARD_DOCS, POOL_SHARDS = 2048, 1024
 #: A block has as many tokens as leave the smallest target this many blocks, between 1 and BLOCK_TOKENS.
 LEAST_BLOCKS, BLOCK_TOKENS = 256, 64
 WORD = r"[^\x20\x09-\x0D]+"
@@ -74,7 +75,9 @@ def _picked_before(x: Column, k: Column, n: Column, offset: Column, block: int)
     return before * block + is_picked * (x - j * block)
 
 
-def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[float, ...] = WEIGHTS, max_epochs: int = MAX_EPOCHS, seed: int = SEED, shard_docs: int = SHARD_DOCS) -> DataFrame:
+def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[float, ...] = WEIGHTS, max_epochs: int = MAX_EPOCHS, seed: int = SEED,
+    shard_docs: int = SHARD_DOCS, pool_shards: int = POOL_SHARDS,
+) -> DataFrame:
     """One row per input row: ``doc_id, size, source_size, target, taken``.
 
     ``size``: words of the text, 0 for null. Sources stand in code point order, null last as a source of its own, and
@@ -85,7 +88,7 @@ def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_co
     empty result.
 
     Documents are read once. Sources and shards are aggregated before each shuffle; windows run within a shard of
-    about ``shard_docs`` rows, or over one row per source or per shard of a source.
+    about ``shard_docs`` rows, over one row per shard of a pool, per pool of a source, or per source.
     """
     rows = df.select(
         F.col(id_col).cast("long").alias("doc_id"),
@@ -107,10 +110,16 @@ def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_co
     discard(weighed, sources)
     shard = F.pmod(F.xxhash64("key", F.lit(seed)), F.col("n_shards"))
     sharded = rows.join(quotas, "skey").withColumn("shard", shard)
-    units = sharded.groupBy("skey", "shard").agg(F.sum("size").alias("shard_size"), F.first("quota").alias("seats"))
-    units = apportion(units, ["skey"], "shard", "shard_size", "seats").select("skey", "shard", "shard_size", F.col("quota").alias("shard_quota"))
+    units = sharded.groupBy("skey", "shard").agg(F.sum("size").alias("shard_size"), F.first("quota").alias("seats"), F.first("n_shards").alias("n_shards"))
+    units = materialise(units.withColumn("pool", F.pmod("shard", F.ceil(F.col("n_shards") / pool_shards))).drop("n_shards"), "units")
+    pools = units.groupBy("skey", "pool").agg(F.sum("shard_size").alias("votes"), F.first("seats").alias("seats"))
+    pools = apportion(pools, ["skey"], "pool", "votes", "seats").select("skey", "pool", F.col("quota").alias("seats"))
+    pooled = units.drop("seats").join(pools, ["skey", "pool"])
+    found = apportion(pooled, ["skey", "pool"], "shard", "shard_size", "seats")
+    shares = materialise(found.select("skey", "shard", "shard_size", F.col("quota").alias("shard_quota")), "shares")
+    discard(units)
     w = Window.partitionBy("skey", "shard").orderBy(F.xxhash64("key", F.lit(seed + 1)), "doc_id", "size", "key")
-    placed = sharded.withColumn("end", F.sum("size").over(w.rowsBetween(Window.unboundedPreceding, 0))).join(units, ["skey", "shard"])
+    placed = sharded.withColumn("end", F.sum("size").over(w.rowsBetween(Window.unboundedPreceding, 0))).join(shares, ["skey", "shard"])
     n_blocks = F.ceil(F.col("shard_size") / block)
     wanted = F.least(F.col("shard_quota") * block, F.col("shard_size") * max_epochs)
     passes = F.floor(wanted / F.col("shard_size"))
@@ -119,4 +128,4 @@ def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_co
     part = _picked_before(F.col("end"), k, n_blocks, offset, block) - _picked_before(F.col("end") - F.col("size"), k, n_blocks, offset, block)
     taken = F.when(F.col("shard_size") > 0, passes * F.col("size") + part).otherwise(F.lit(0)).cast("long")
     found = placed.select("doc_id", "size", "source_size", F.col("target").cast("double").alias("target"), taken.alias("taken"))
-    return owning(found, rows, quotas)
+    return owning(found, rows, quotas, shares)

@@ -193,11 +193,12 @@ def mix_rows(seed=1):
     return rows + [(9001, None, "b"), (9002, "", "d"), (9003, "tiny one", "e"), (5, "again here", "a"), (None, "x y z", "c"), (9004, "w " * 30_000, "c")]
 
 
-def test_mixing(spark):
+@pytest.mark.parametrize("pool_shards", [1024, 4])
+def test_mixing(spark, pool_shards):
     rows = mix_rows()
     df = spark.createDataFrame([(i, t, s, 1, 2, 3) for i, t, s in rows], "doc_id long, text string, source string, size int, target int, shard int")
-    got = mixing.mix(df, shard_docs=100).withColumn("s", F.lit(0)).collect()
-    assert sorted(map(str, got)) == sorted(map(str, mixing.mix(df.repartition(5), shard_docs=100).withColumn("s", F.lit(0)).collect()))
+    got = mixing.mix(df, shard_docs=100, pool_shards=pool_shards).withColumn("s", F.lit(0)).collect()
+    assert sorted(map(str, got)) == sorted(map(str, mixing.mix(df.repartition(5), shard_docs=100, pool_shards=pool_shards).withColumn("s", F.lit(0)).collect()))
     assert len(got) == len(rows) and all(0 <= r["taken"] <= 3 * r["size"] for r in got)
     sizes, target, taken = {}, {}, {}
     for i, t, s in rows:
