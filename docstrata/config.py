@@ -47,6 +47,9 @@ NAME_BLACKLIST = ("archived", "cover letter", "table", "experts")
 TEXTDF_COLUMNS = ("author", "author_is_party", "date", "document_id", "document_md5_sum", "document_name", "document_family_id", "document_source_url", "document_variant", "language", "types", "version")
 OVERVIEW_COLUMNS = ("doc_id", "name", "md5_sum", "source_url", "family_id", "variant", "author", "author_is_party", "date", "language", "types", "version")
 
+# Fixed value: the sentence model that embeddings come from where its library is installed.
+EMBEDDING_MODEL = "sentence-transformers/distiluse-base-multilingual-cased-v1"
+
 
 @dataclass(frozen=True)
 class Settings:
@@ -80,6 +83,8 @@ class Settings:
     render_dpi: int = 300
     sample_size: int = 32
     seed: int = 42
+    worker_documents: int = 32
+    embedding_model: str = EMBEDDING_MODEL
 
 
 def seed_topics(spark: SparkSession) -> DataFrame:

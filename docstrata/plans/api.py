@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -10,7 +12,8 @@ from docstrata.config import Settings
 from docstrata.operators import catalogue, clustering, layout, pages, paragraphs, topics, vectors
 from docstrata.plans.embedding import DIM, Embedder, HashedNgrams, embedded
 from docstrata.sources import readers, sinks
-from docstrata.sources.shared import materialise
+from docstrata.sources.files import qualified
+from docstrata.sources.shared import discard, materialise
 
 KEYS = ("document_md5", "paragraph_id")
 
@@ -34,22 +37,41 @@ class Collection:
         self.documents = catalogue.load_from_store(self.documents, store)
         return self
 
-    def download(self, **how) -> DataFrame:
-        """What is fetched for every document that has no file yet."""
+    def _stored(self, kind: str, key: str) -> DataFrame:
+        """Keys of what a folder holds, as ``md5_sum``; none where there is no such folder."""
         try:
-            rest = catalogue.remaining(self.documents, readers.listing(self.spark, f"{self.folder}/pdfs").withColumnRenamed("key", "md5_sum"))
+            found = readers.listing(self.spark, f"{self.folder}/{kind}") if kind == "pdfs" else readers.stored(self.spark, f"{self.folder}/{kind}")
+            return found.select(F.col(key).alias("md5_sum"))
         except FileNotFoundError:
-            rest = self.documents
-        return readers.downloads(rest, **how)
+            return self.documents.select("md5_sum").limit(0)
 
-    def extract_paragraphs(self, words: DataFrame, votes: DataFrame, s: Settings = Settings()) -> Collection:
-        """From recognised words and language votes to documents with paragraphs, stored. Documents that are stored already
-        are left alone, so a broken run is simply run again."""
-        try:
-            words = catalogue.remaining(words, readers.stored(self.spark, f"{self.folder}/docs").select(F.col("md5_sum").alias("md5")), "md5")
-        except FileNotFoundError:
-            pass
-        language = pages.vote(votes, words, s)
+    def download(self, **how) -> DataFrame:
+        """Fetch and save the file of every document that has none yet: ``key, ok, path, length, error``."""
+        rest = catalogue.remaining(self.documents, self._stored("pdfs", "key"))
+        return materialise(readers.save_downloads(rest, qualified(self.spark, f"{self.folder}/pdfs"), **how), "downloads")
+
+    def recognise(
+        self, s: Settings = Settings(), blocks: Callable = readers.text_blocks, render: Callable = readers.rendered, recognise: Callable = readers.recognised
+    ) -> DataFrame:
+        """Read the words of every saved file that has not been read yet, each in the language that its text blocks vote for,
+        and store them in ``ocr``. Documents that failed come back, as ``md5, error``, and are tried again next time."""
+        files = readers.listing(self.spark, f"{self.folder}/pdfs", "*.pdf").withColumnRenamed("key", "md5_sum")
+        rest = materialise(catalogue.remaining(files, self._stored("ocr", "md5")).withColumnRenamed("md5_sum", "key"), "files")
+        spoken = materialise(readers.file_languages(readers.in_small_tasks(rest, s), blocks, s), "languages")
+        told = rest.join(spoken.select(F.col("md5").alias("key"), "language"), "key")
+        words = materialise(readers.ocr_words(readers.in_small_tasks(told, s), s, render, recognise), "words")
+        sinks.write_table(words.where("error is null").drop("error"), f"{self.folder}/ocr")
+        failed = materialise(words.where("error is not null").select("md5", "error"), "failed")
+        discard(rest, spoken, words)
+        return failed
+
+    def extract_paragraphs(self, words: DataFrame | None = None, votes: DataFrame | None = None, s: Settings = Settings()) -> Collection:
+        """From stored words, or from given words and language votes, to documents with paragraphs, stored. Documents that are
+        stored already are left alone, so a broken run is simply run again."""
+        if words is None:
+            words = readers.stored(self.spark, f"{self.folder}/ocr")
+        words = catalogue.remaining(words, self._stored("docs", "md5_sum").withColumnRenamed("md5_sum", "md5"), "md5")
+        language = words.groupBy("md5").agg(F.min("language").alias("language")) if votes is None else pages.vote(votes, words, s)
         found = layout.page_paragraphs(words, s).groupBy("md5", "page_no").agg(F.transform(F.sort_array(F.collect_list(F.struct("par_idx", "paragraph"))), lambda x: x["paragraph"]).alias("paragraphs"))
         candidates = pages.trim_pages(found).select("md5", "page_no", F.posexplode("paragraphs").alias("block_no", "candidate")).join(language, "md5")
         kept = paragraphs.process(candidates, "language", s)
@@ -58,6 +80,13 @@ class Collection:
         sinks.write_documents(declared.join(whole.withColumnRenamed("md5", "md5_sum"), "md5_sum"), f"{self.folder}/docs")
         return self
 
+    def extract_all(self, s: Settings = Settings(), **how) -> DataFrame:
+        """From saved files to stored paragraphs; the documents that have some are this collection's from then on. Returns the
+        files that failed; ``how``: as for ``recognise``."""
+        failed = self.recognise(s, **how)
+        self.extract_paragraphs(s=s).load_documents()
+        return failed
+
     def paragraph_frame(self) -> DataFrame:
         return catalogue.number_paragraphs(self.documents, F.col("md5_sum").alias("document_md5"), "language").select(*KEYS, "paragraph", "language")
 

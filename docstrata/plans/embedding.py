@@ -11,6 +11,8 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from docstrata.config import EMBEDDING_MODEL
+
 DIM = 64
 
 
@@ -32,6 +34,26 @@ class HashedNgrams:
         return out / np.where(norm > 0, norm, 1)
 
 
+_models: dict[str, object] = {}
+
+
+class SentenceModel:
+    """Vectors of a sentence model, by its name; loaded once in a worker. Needs sentence-transformers."""
+
+    def __init__(self, name: str = EMBEDDING_MODEL):
+        self.name = name
+
+    def embed(self, texts: list[str], dim: int) -> np.ndarray:
+        if self.name not in _models:
+            from sentence_transformers import SentenceTransformer
+
+            _models[self.name] = SentenceTransformer(self.name)
+        found = np.asarray(_models[self.name].encode(texts)).reshape(len(texts), -1)
+        if len(texts) and found.shape[1] != dim:
+            raise ValueError(f"{self.name} gives {found.shape[1]} dimensions, not {dim}")
+        return found
+
+
 def embedded(text: Column, embedder: Embedder = HashedNgrams(), dim: int = DIM) -> Column:
     """The vector of a text; null counts as empty. The embedder is sent to the workers once per task."""
 

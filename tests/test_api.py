@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from docstrata.__main__ import get_args
+from docstrata.__main__ import arguments
 from docstrata.config import Settings
 from docstrata.plans.api import Collection, TopicModel
 from docstrata.sources import readers, sinks
@@ -51,6 +51,53 @@ def test_downloads(spark, folder):
     assert {r["key"]: r["ok"] for r in found.collect()} == {"m0": True, "m1": False, "m2": True, "m3": True}
     assert tuple(readers.n_downloaded(found).head()) == (3, 4)
     assert not tried
+    assert sorted(os.listdir(f"{folder}/pdfs")) == ["m0.pdf", "m2.pdf", "m3.pdf"] and open(f"{folder}/pdfs/m0.pdf", "rb").read() == b"http://x/0"
+    again = Collection(spark, folder).download(get=lambda url: b"late", pause=0)  # only what is missing
+    assert [(r["key"], r["length"], r["error"]) for r in again.collect()] == [("m1", 4, None)]
+    assert Collection(spark, folder).download(get=get, pause=0).count() == 0
+
+
+TEXT = {
+    "en": "The committee met in the capital and agreed on a common plan for the region. Members then discussed the budget of the next year in some detail and voted.",
+    "es": "La comisión se reunió en la capital y acordó un plan común para la región con los países. Los miembros discutieron luego el presupuesto que la junta votó por la tarde.",
+}
+
+
+def test_files_to_paragraphs(spark, folder):
+    """From saved files on, with readers that need no library: a page's image is its text."""
+    seen = []
+
+    def blocks(content):
+        if content == b"broken":
+            raise OSError("not a file of pages")
+        return ((0, i, t) for i, t in enumerate(content.decode().split("\f")))
+
+    def render(content, settings):
+        assert settings.render_dpi == 300
+        return ((i, 10, 10, t.encode()) for i, t in enumerate(content.decode().split("\f")))
+
+    def recognise(image, language):
+        if image == b"FAIL":
+            raise RuntimeError("no memory")
+        words = image.decode().split()
+        words += [language] if words else []
+        return ((i, 0, 0, i // 8, 90.0, w) for i, w in enumerate(words))
+
+    os.makedirs(f"{folder}/pdfs")
+    for name, content in (("m0", f"{TEXT['en']}\f{TEXT['en']}"), ("m1", TEXT["es"]), ("m2", f"{TEXT['en']}\fFAIL"), ("m3", "broken"), ("x9", " ")):
+        open(f"{folder}/pdfs/{name}.pdf", "w").write(content)
+    c = Collection(spark, folder)
+    failed = c.extract_all(blocks=blocks, render=render, recognise=recognise)
+    assert {r["md5"]: r["error"].split(":")[0] for r in failed.collect()} == {"m2": "RuntimeError"}
+    found = {r["md5_sum"]: r for r in c.documents.collect()}
+    assert {k: (r["language"], len(r["paragraphs"])) for k, r in found.items()} == {"m0": ("en", 2), "m1": ("es", 1)}
+    stored = readers.stored(spark, f"{folder}/ocr")
+    assert {(r["md5"], r["text"]) for r in stored.where("text in ('eng', 'spa')").collect()} == {("m0", "eng"), ("m1", "spa"), ("m3", "eng")}
+    assert stored.where("page_no is null").count() == 4  # m0, m1, m3 and the empty x9 are done
+    again = Collection(spark, folder).recognise(blocks=blocks, render=render, recognise=lambda image, language: iter([(0, 0, 0, 0, 1.0, "late")]))
+    assert again.count() == 0 and stored.where("text = 'late'").count() == 0
+    assert {r["md5"] for r in readers.stored(spark, f"{folder}/ocr").where("text = 'late'").collect()} == {"m2"}
+    assert not seen and readers.in_small_tasks(spark.range(70)).rdd.getNumPartitions() == 3
 
 
 def ocr_rows(spark):
@@ -120,9 +167,9 @@ def test_report_is_written_and_nothing_is_left(spark, tmp_path):
 def test_listing_and_options(spark, tmp_path):
     (tmp_path / "a.b.pdf").write_bytes(b"x")
     assert [r["key"] for r in readers.listing(spark, str(tmp_path)).collect()] == ["a"]
-    assert get_args(["f"]).num_topics == 72 and get_args(["f", "--load", "True"]).load is True
+    assert arguments(["f"]).num_topics == 72 and arguments(["f", "--load", "True"]).load is True
     with pytest.raises(SystemExit):
-        get_args(["f", "--load", "true"])
+        arguments(["f", "--load", "true"])
 
 
 def test_textdf(spark, tmp_path):
