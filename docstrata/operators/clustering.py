@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docstrata.config import Settings
-from docstrata.operators.vectors import blocks, components, matrix, nearest, rescaled, unit
+from docstrata.operators.vectors import compared, components, nearest, rescaled, unit
 
 #: Vectors that one task compares at once: their distance matrix takes 200 MB.
 FIT_ROWS = 5000
@@ -100,27 +100,18 @@ def leaves(tree: np.ndarray, n: int, min_cluster_size: int) -> np.ndarray:
 
 
 def _compared(vectors: DataFrame, key: str, vector: str, keys: np.ndarray, found: Callable[..., list[np.ndarray]], schema: str) -> DataFrame:
-    """What ``found`` makes of the places in ``keys`` of some vectors and of a block, and of their distances; all pairs."""
-    sc, out = vectors.sparkSession.sparkContext, None
-    names = [c.split()[0] for c in schema.split(",")]
-    places = sc.broadcast(keys)
-    for block in blocks(vectors, key, vector):
-        shared = sc.broadcast(block)
-
-        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            others, y = shared.value
-            j, squares = np.searchsorted(places.value, others), (y * y).sum(axis=1)
-            for batch in batches:
-                for a in range(0, batch.num_rows, 256):
-                    part = batch.slice(a, 256)
-                    x, i = matrix(part.column(1)), np.searchsorted(places.value, part.column(0).to_numpy(zero_copy_only=False))
-                    d = np.sqrt(np.maximum((x * x).sum(axis=1)[:, None] + squares[None, :] - 2 * x @ y.T, 0))
-                    d[i[:, None] == j[None, :]] = 0
-                    yield pa.RecordBatch.from_arrays([pa.array(list(c) if c.ndim > 1 else c) for c in found(i, j, d)], names=names)
-
-        part = vectors.select(key, vector).mapInArrow(run, schema)
-        out = part if out is None else out.unionByName(part)
-    return out
+    """What ``found`` makes of the places in ``keys`` of some vectors and of others, and of their distances; all pairs."""
+    places = vectors.sparkSession.sparkContext.broadcast(keys)
+
+    def run(own: np.ndarray, x: np.ndarray, others: np.ndarray, y: np.ndarray) -> Iterator[list[np.ndarray]]:
+        j, squares = np.searchsorted(places.value, others), (y * y).sum(axis=1)
+        for a in range(0, len(own), 256):
+            i, z = np.searchsorted(places.value, own[a : a + 256]), x[a : a + 256]
+            d = np.sqrt(np.maximum((z * z).sum(axis=1)[:, None] + squares[None, :] - 2 * z @ y.T, 0))
+            d[i[:, None] == j[None, :]] = 0
+            yield found(i, j, d)
+
+    return compared(vectors, vectors, key, vector, run, schema)
 
 
 def spanning_tree_by_blocks(vectors: DataFrame, key: str, vector: str, keys: np.ndarray, min_samples: int) -> np.ndarray:

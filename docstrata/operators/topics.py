@@ -1,19 +1,26 @@
 """Topics from terms: class-based TF-IDF, labels, representative documents, reassignment of outliers, distributions.
 
-Term tables are counted where they lie before they move. Joins on terms meet at most one row per topic and term on the
-topic side, so what a term brings out is bounded by the number of topics, however common the term.
+Term tables are counted where they lie before they move. What topics make of a term is one row per term, which is written
+once: joins with it have no more rows than they are given, and a common term is split among tasks.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from docstrata.config import Settings
 from docstrata.functions import text as T
 from docstrata.operators.catalogue import rank_within
+from docstrata.sources.shared import discard, materialise, owning
 
 OUTLIER = -1
+#: Topics that windows are compared with at most, as one matrix.
+MAX_TOPICS = 10_000
 
 
 def term_counts(docs: DataFrame, *by: str, text: str = "paragraph") -> DataFrame:
@@ -68,40 +75,55 @@ def sizes_relabelled(assigned: DataFrame, topic: str = "topic_nr") -> DataFrame:
     return sizes.select("topic_nr", "n", F.when(F.col("topic_nr") == OUTLIER, F.lit(OUTLIER)).otherwise(F.row_number().over(order) - 1).alias("new_topic"))
 
 
-def similarity(a: DataFrame, b: DataFrame, a_key: str, b_key: str) -> DataFrame:
-    """``a_key, b_key, sim``: cosines of sparse term vectors that share a term."""
-    norm = lambda d, k, to: d.groupBy(k).agg(F.sqrt(F.sum(F.col("weight") * F.col("weight"))).alias(to))
-    dots = a.select(a_key, "term", F.col("weight").alias("wa")).join(b.select(b_key, "term", F.col("weight").alias("wb")), "term")
-    dots = dots.groupBy(a_key, b_key).agg(F.sum(F.col("wa") * F.col("wb")).alias("dot"))
-    return dots.join(norm(a, a_key, "na"), a_key).join(norm(b, b_key, "nb"), b_key).select(a_key, b_key, (F.col("dot") / (F.col("na") * F.col("nb"))).alias("sim"))
+def term_table(docs: DataFrame, text: str = "paragraph", s: Settings = Settings()) -> DataFrame:
+    """``term, idf, topics``, a written table: for each term its idf and a list of ``topic_nr, weight`` of the topics that have
+    it, outliers among them, each weight over the length of its topic's whole vector, so that products are cosines."""
+    counts = materialise(term_counts(docs, "topic_nr", text=text), "counts")
+    sums = counts.groupBy("topic_nr").agg(F.sum("n").alias("total"))
+    whole = sums.agg(F.map_from_entries(F.collect_list(F.struct("topic_nr", "total"))).alias("totals"), F.floor(F.sum("total") / F.count("*")).alias("a"))
+    by_term = counts.groupBy("term").agg(F.sum("n").alias("f"), F.collect_list(F.struct("topic_nr", "n")).alias("in"))
+    idf = F.log(1 + F.col("a") / F.col("f"))  # one row per topic makes the sums, so they are broadcast
+    weights = F.transform("in", lambda x: F.struct(x["topic_nr"].alias("topic_nr"), (frequency(x["n"], F.col("totals")[x["topic_nr"]]) * F.col("idf")).alias("weight")))
+    told = by_term.join(F.broadcast(whole)).withColumn("idf", idf).select("term", "idf", weights.alias("topics"))
+    raw = materialise(told, "terms")
+    each = raw.select(F.explode("topics").alias("t")).groupBy("t.topic_nr").agg(F.sqrt(F.sum(F.col("t.weight") * F.col("t.weight"))).alias("length"))
+    lengths = each.agg(F.map_from_entries(F.collect_list(F.struct("topic_nr", "length"))).alias("lengths"))
+    scaled = F.transform("topics", lambda x: F.struct(x["topic_nr"].alias("topic_nr"), (x["weight"] / F.col("lengths")[x["topic_nr"]]).alias("weight")))
+    found = materialise(raw.join(F.broadcast(lengths)).select("term", "idf", scaled.alias("topics")), "terms")
+    discard(counts, raw)
+    return found
+
+
+def similarities(own: DataFrame, terms: DataFrame, *key: str) -> DataFrame:
+    """``key..., topic_nr, sim``: cosines of the sparse term vectors of ``own`` (``key..., term, n``) and of topics that share a
+    term with them, outliers left out. Everything after the join on terms stays where the first key is."""
+    met = own.join(terms, "term").select(*key, (F.sqrt("n") * F.col("idf")).alias("w"), "topics").repartition(key[0])
+    length = met.groupBy(*key).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("length"))
+    dots = met.select(*key, "w", F.explode("topics").alias("t")).where(F.col("t.topic_nr") != OUTLIER)
+    dots = dots.groupBy(*key, F.col("t.topic_nr").alias("topic_nr")).agg(F.sum(F.col("w") * F.col("t.weight")).alias("dot"))
+    return dots.join(length, list(key)).select(*key, "topic_nr", (F.col("dot") / F.col("length")).alias("sim"))
 
 
 def reassigned(docs: DataFrame, key: str, text: str = "paragraph", s: Settings = Settings()) -> DataFrame:
     """``key, topic_nr, new_topic``: outliers go to the topic most like them, if any is like enough; of equals the least.
     ``docs``: ``key, topic_nr`` and a text."""
-    counts = term_counts(docs, "topic_nr", text=text)
-    idf = term_idf(counts)
-    topics = weighted(counts, idf, "topic_nr").where(F.col("topic_nr") != OUTLIER)
-    outliers = docs.where(F.col("topic_nr") == OUTLIER)
-    own = weighted(term_counts(outliers, key, text=text), idf, key)
-    near = similarity(own, topics, key, "topic_nr").where(F.col("sim") >= s.min_similarity)
+    terms = term_table(docs, text, s)
+    own = term_counts(docs.where(F.col("topic_nr") == OUTLIER), key, text=text)
+    near = similarities(own, terms, key).where(F.col("sim") >= s.min_similarity)
     best = near.groupBy(key).agg(F.min(F.struct((-F.col("sim")).alias("s"), "topic_nr"))["topic_nr"].alias("best"))
-    return docs.select(key, "topic_nr").join(best, key, "left").select(key, "topic_nr", F.coalesce("best", "topic_nr").alias("new_topic"))
+    found = docs.select(key, "topic_nr").join(best, key, "left").select(key, "topic_nr", F.coalesce("best", "topic_nr").alias("new_topic"))
+    return owning(found, terms)
 
 
 def representative_docs(docs: DataFrame, key: str, text: str = "paragraph", s: Settings = Settings()) -> DataFrame:
     """``topic_nr, rank, key, sim``: the documents of a topic most like it, outliers left out."""
-    counts = term_counts(docs, "topic_nr", text=text)
-    idf = term_idf(counts)
-    topics = weighted(counts, idf, "topic_nr")
-    inside = docs.where(F.col("topic_nr") != OUTLIER)
-    own = weighted(term_counts(inside, key, "topic_nr", text=text), idf, key, "topic_nr")
-    # like is compared with like only: the join is on topic and term
-    norm = lambda d, *k: d.groupBy(*k).agg(F.sqrt(F.sum(F.col("weight") * F.col("weight"))).alias("_".join(("norm", *k))))
-    dots = own.join(topics.select("topic_nr", "term", F.col("weight").alias("wt")), ["topic_nr", "term"])
-    dots = dots.groupBy(key, "topic_nr").agg(F.sum(F.col("weight") * F.col("wt")).alias("dot"), F.sqrt(F.sum(F.col("weight") * F.col("weight"))).alias("norm"))
-    sims = dots.join(norm(topics, "topic_nr"), "topic_nr").select("topic_nr", key, (F.col("dot") / (F.col("norm") * F.col("norm_topic_nr"))).alias("sim"))
-    return rank_within(sims, "topic_nr", s.top_docs, F.desc(F.round("sim", 9)), key).select("topic_nr", "rank", key, "sim")
+    terms = term_table(docs, text, s)
+    own = term_counts(docs.where(F.col("topic_nr") != OUTLIER), key, "topic_nr", text=text)
+    mine = F.filter("topics", lambda x: x["topic_nr"] == F.col("topic_nr"))[0]["weight"]
+    met = own.join(terms, "term").select(key, "topic_nr", (F.sqrt("n") * F.col("idf")).alias("w"), mine.alias("t"))
+    sims = met.groupBy(key, "topic_nr").agg((F.sum(F.col("w") * F.col("t")) / F.sqrt(F.sum(F.col("w") * F.col("w")))).alias("sim"))
+    ranked = rank_within(sims, "topic_nr", s.top_docs, F.desc(F.round("sim", 9)), key)
+    return owning(ranked.select("topic_nr", "rank", key, "sim"), terms)
 
 
 def words_and_docs(wide: DataFrame, representatives: DataFrame, key: str, s: Settings = Settings()) -> DataFrame:
@@ -116,26 +138,52 @@ def token_windows(docs: DataFrame, key: str, text: str = "paragraph", s: Setting
     return words.select(key, F.posexplode(F.transform(T.windows(F.col("_words"), s), lambda w: F.array_join(w, " "))).alias("window_no", "window"))
 
 
-def topic_distribution(docs: DataFrame, key: str, text: str = "paragraph", s: Settings = Settings()) -> DataFrame:
-    """``key, topic_nr, weight``: similarities of a document's windows to the topics, small ones left out, summed and made
-    to sum to one. Only topics with a weight have a row."""
-    counts = term_counts(docs, "topic_nr", text=text)
-    idf = term_idf(counts)
-    topics = weighted(counts, idf, "topic_nr").where(F.col("topic_nr") != OUTLIER)
-    seen = token_windows(docs, key, text, s).select(key, "window_no", F.split("window", " ").alias("_words"))
-    seen = seen.select(key, "window_no", F.explode(T.ngrams(F.col("_words"))).alias("term"))
-    counted = seen.groupBy(key, "window_no", "term").agg(F.count("*").alias("n"))
-    # within a window the total cancels out of the cosine, so it is not joined
-    own = counted.join(idf, "term").select(key, "window_no", "term", (F.sqrt("n") * F.col("idf")).alias("weight"))
-    norms = topics.groupBy("topic_nr").agg(F.sqrt(F.sum(F.col("weight") * F.col("weight"))).alias("nt"))
-    scaled = topics.join(F.broadcast(norms), "topic_nr").select("topic_nr", "term", (F.col("weight") / F.col("nt")).alias("wt"))
-    own_norm = own.groupBy(key, "window_no").agg(F.sqrt(F.sum(F.col("weight") * F.col("weight"))).alias("nw"))
-    dots = own.join(scaled, "term").groupBy(key, "window_no", "topic_nr").agg(F.sum(F.col("weight") * F.col("wt")).alias("dot"))
-    sims = dots.join(own_norm, [key, "window_no"]).select(key, "topic_nr", (F.col("dot") / F.col("nw")).alias("sim")).where(F.col("sim") >= s.min_similarity)
-    summed = sims.groupBy(key, "topic_nr").agg(F.sum("sim").alias("w"))
+def shares(sims: DataFrame, key: str, s: Settings = Settings()) -> DataFrame:
+    """``key, topic_nr, weight``: similarities of windows to topics, small ones left out, summed and made to sum to one."""
+    summed = sims.where(F.col("sim") >= s.min_similarity).groupBy(key, "topic_nr").agg(F.sum("sim").alias("w"))
     return summed.select(key, "topic_nr", (F.col("w") / F.sum("w").over(Window.partitionBy(key))).alias("weight"))
 
 
+def topic_distribution(docs: DataFrame, key: str, text: str = "paragraph", s: Settings = Settings()) -> DataFrame:
+    """``key, topic_nr, weight`` by the terms of a document's windows. Only topics with a weight have a row."""
+    terms = term_table(docs, text, s)
+    seen = docs.select(key, T.tokens(F.col(text)).alias("_words"))
+    seen = seen.select(key, F.posexplode(T.windows(F.col("_words"), s)).alias("window_no", "_words"))
+    found = seen.select(key, "window_no", F.explode(F.array(T.ngrams(F.col("_words")))).alias("_terms"))
+    counted = F.transform(F.array_distinct("_terms"), lambda t: F.struct(t.alias("term"), F.size(F.filter("_terms", lambda x: x == t)).alias("n")))
+    own = found.select(key, "window_no", F.explode(counted).alias("t")).select(key, "window_no", "t.term", "t.n")  # a window's terms are few
+    return owning(shares(similarities(own, terms, key, "window_no"), key, s), terms)
+
+
+def embedded_distribution(docs: DataFrame, key: str, topics: DataFrame, embed: Callable[[Column], Column], text: str = "paragraph", s: Settings = Settings()) -> DataFrame:
+    """``key, topic_nr, weight`` by the vectors of a document's windows. ``topics``: ``topic_nr, embedding``, outliers left out;
+    they are few, and checked to be; each window is compared with all of them where it is."""
+    known = topics.where(F.col("topic_nr") != OUTLIER).orderBy("topic_nr").limit(MAX_TOPICS + 1).collect()
+    if len(known) > MAX_TOPICS:
+        raise ValueError(f"more than {MAX_TOPICS} topics")
+    if not known:
+        return docs.select(key, F.lit(0).alias("topic_nr"), F.lit(0.0).alias("weight")).limit(0)
+    matrix = np.array([r["embedding"] for r in known], np.float64)
+    units = matrix / np.maximum(np.linalg.norm(matrix, axis=1, keepdims=True), 1e-300)
+
+    @F.pandas_udf("array<double>")
+    def cosines(found: pd.Series) -> pd.Series:
+        x = np.array(found.tolist(), np.float64).reshape(len(found), -1)
+        return pd.Series(list((x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)) @ units.T))
+
+    numbers = F.array(*[F.lit(r["topic_nr"]) for r in known])
+    sims = token_windows(docs, key, text, s).select(key, cosines(embed(F.col("window"))).alias("c"))
+    return shares(sims.select(key, F.posexplode("c").alias("at", "sim")).select(key, numbers[F.col("at")].alias("topic_nr"), "sim"), key, s)
+
+
+def reranked(words: DataFrame, means: DataFrame, embed: Callable[[Column], Column], s: Settings = Settings()) -> DataFrame:
+    """``topic_nr, rank, term, weight``: of a topic's heaviest terms (``topic_nr, term``), those whose vectors are most like the
+    mean vector of its representative documents (``topic_nr, mean``)."""
+    both = words.select("topic_nr", "term").join(means.select("topic_nr", "mean"), "topic_nr", "left").withColumn("e", embed(F.col("term")))
+    dot = F.aggregate(F.zip_with("e", "mean", lambda x, y: x.cast("double") * y), F.lit(0.0), lambda a, x: a + x)
+    return top_words(both.select("topic_nr", "term", F.coalesce(dot, F.lit(0.0)).alias("weight")), s)
+
+
 def distribution_wide(distribution: DataFrame, key: str, topics: list[int]) -> DataFrame:
     """One column per topic, the topics given, so that no pass is spent on finding them."""
     return distribution.groupBy(key).pivot("topic_nr", topics).agg(F.sum("weight")).na.fill(0.0)

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import cached_property
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docstrata import config
@@ -134,37 +135,47 @@ class TopicModel:
         return joined.select(F.col("key").alias("seed"), embedded(F.col("text"), self.embedder, dim).alias("embedding"))
 
     def guided(self) -> DataFrame:
-        """Vectors pulled a quarter of the way to the seed they are most like, unless the mean vector is more like them."""
-        dim = self.rows.select(F.size("embedding")).head()[0]
-        mean = vectors.as_arrays(vectors.centroids(self.rows.withColumn("seed", F.lit("")), "seed"), "seed")
-        seeds = self._seed_vectors(dim).select("seed", F.col("embedding").cast("array<double>").alias("embedding")).unionByName(mean)
-        near = vectors.nearest_seed(self.rows.select("vec_id", "embedding"), seeds).where("seed <> ''").join(F.broadcast(seeds.withColumnRenamed("embedding", "pull")), "seed")
-        pulled = F.when(F.col("pull").isNull(), F.col("embedding").cast("array<double>")).otherwise(F.zip_with(F.col("embedding").cast("array<double>"), "pull", lambda x, y: (x * 3 + y) / 4))
-        return self.rows.select("vec_id", "embedding").join(near.select("vec_id", "pull"), "vec_id", "left").select("vec_id", pulled.alias("embedding"))
+        """Vectors pulled to the seed topics that they are like."""
+        return vectors.guided(self.rows.select("vec_id", "embedding"), self._seed_vectors(self.dim))
+
+    @cached_property
+    def dim(self) -> int:
+        """Dimensions of the vectors."""
+        return self.rows.select(F.size("embedding")).head()[0]
 
     def run(self) -> TopicModel:
         """Reduce, cluster, merge topics, reassign outliers, describe, and save. Each step is a written table, which the
         next ones read, so that nothing is worked out twice and a lost executor costs one step at most."""
-        s, rows = self.s, self.rows
-        vecs = materialise(rows.select("vec_id", "embedding"), "vectors")
-        reduced = materialise(clustering.umap_layout(materialise(self.guided(), "guided"), dims=s.components, s=s).withColumnRenamed("coordinates", "embedding"), "reduced")
-        clustered = materialise(clustering.hdbscan(reduced, s=s), "clustered")
+        s, rows, steps = self.s, self.rows, []
+
+        def step(found: DataFrame, name: str) -> DataFrame:
+            written = materialise(found, name)
+            discard(found)  # the tables that it was made from
+            steps.append(written)
+            return written
+
+        vecs = step(rows.select("vec_id", "embedding"), "vectors")
+        placed = clustering.umap_layout(step(self.guided(), "guided"), dims=s.components, s=s)
+        reduced = step(placed.withColumnRenamed("coordinates", "embedding"), "reduced")
+        clustered = step(clustering.hdbscan(reduced, s=s), "clustered")
         means = vectors.as_arrays(vectors.centroids(vecs.join(clustered, "vec_id"), "topic_nr"), "topic_nr")
-        merged = clustered.join(F.broadcast(clustering.merge_topics(means, s.num_topics)), "topic_nr").select("vec_id", F.col("merged_topic").alias("topic_nr"))
-        docs = materialise(rows.select("vec_id", *KEYS, "paragraph").join(merged, "vec_id"), "merged")
-        new = topics.reassigned(docs, "vec_id", s=s).select("vec_id", F.col("new_topic"))
-        docs = materialise(docs.drop("topic_nr").join(new, "vec_id").withColumnRenamed("new_topic", "topic_nr"), "reassigned")
-        sizes = materialise(topics.sizes_relabelled(docs), "sizes")
+        merged = clustered.join(clustering.merge_topics(means, s.num_topics), "topic_nr").select("vec_id", F.col("merged_topic").alias("topic_nr"))
+        docs = step(rows.select("vec_id", *KEYS, "paragraph").join(merged, "vec_id"), "merged")
+        new = step(topics.reassigned(docs, "vec_id", s=s).select("vec_id", "new_topic"), "new")
+        docs = step(docs.drop("topic_nr").join(new, "vec_id").withColumnRenamed("new_topic", "topic_nr"), "reassigned")
+        sizes = step(topics.sizes_relabelled(docs), "sizes")
         number = sizes.select("topic_nr", F.col("new_topic").alias("t"))
-        docs = materialise(docs.join(number, "topic_nr").select("vec_id", *KEYS, "paragraph", F.col("t").alias("topic_nr")), "topics")
-        representatives = materialise(topics.representative_docs(docs, "vec_id", s=s), "representatives")
-        words = materialise(self.reranked(materialise(topics.ctfidf(topics.term_counts(docs, "topic_nr")), "weights"), representatives), "words")
+        docs = step(docs.join(number, "topic_nr").select("vec_id", *KEYS, "paragraph", F.col("t").alias("topic_nr")), "topics")
+        representatives = step(topics.representative_docs(docs, "vec_id", s=s), "representatives")
+        weights = step(topics.ctfidf(step(topics.term_counts(docs, "topic_nr"), "counts")), "weights")
+        words = step(self.reranked(weights, representatives), "words")
         flat = clustering.umap_layout(vecs, dims=2, s=s).select("vec_id", F.col("coordinates")[0].alias("x"), F.col("coordinates")[1].alias("y"))
         self.tables = {
             "assignments": docs.select("vec_id", *KEYS, "topic_nr"), "topic_words": words, "labels": topics.labels(words, s), "representatives": representatives,
-            "distribution": topics.topic_distribution(docs, "vec_id", s=s), "sizes": sizes, "coordinates": flat,
+            "distribution": self._distribution(docs, vecs), "sizes": sizes, "coordinates": flat,
         }
         sinks.save_model(self.tables, self.folder, s.num_topics)
+        discard(*steps)
         return self.load()
 
     def reranked(self, weights: DataFrame, representatives: DataFrame, candidates: int = 50) -> DataFrame:
@@ -172,11 +183,15 @@ class TopicModel:
         some = topics.top_words(weights, Settings(top_words=candidates))
         rep = representatives.join(self.rows.select("vec_id", "embedding"), "vec_id")
         means = vectors.as_arrays(vectors.centroids(rep, "topic_nr"), "topic_nr").withColumnRenamed("embedding", "mean")
-        dim = self.rows.select(F.size("embedding")).head()[0]
-        both = some.join(F.broadcast(means), "topic_nr", "left").withColumn("e", embedded(F.col("term"), self.embedder, dim))
-        dot = F.aggregate(F.zip_with("e", "mean", lambda x, y: x.cast("double") * y), F.lit(0.0), lambda a, x: a + x)
-        scored = both.select("topic_nr", "term", F.coalesce(dot, F.lit(0.0)).alias("weight"))
-        return topics.top_words(scored, self.s)
+        return topics.reranked(some, means, self._embed, self.s)
+
+    def _embed(self, text: Column) -> Column:
+        return embedded(text, self.embedder, self.dim)
+
+    def _distribution(self, docs: DataFrame, vecs: DataFrame) -> DataFrame:
+        """Shares of topics by the vectors of windows, as the embedder gives them, and of topics."""
+        means = vectors.as_arrays(vectors.centroids(vecs.join(docs.select("vec_id", "topic_nr"), "vec_id"), "topic_nr"), "topic_nr")
+        return topics.embedded_distribution(docs, "vec_id", means, self._embed, s=self.s)
 
     def load(self) -> TopicModel:
         self.tables = sinks.load_model(self.spark, self.folder, self.s.num_topics)

@@ -12,6 +12,7 @@ from docstrata.config import Settings
 from docstrata.functions import text as T
 from docstrata.operators import catalogue, clustering, layout, pages, paragraphs, topics, vectors
 from docstrata.plans import tables as M
+from docstrata.plans.embedding import DIM, HashedNgrams, embedded
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -406,6 +407,27 @@ def topic_distribution_wide(spark, sf):
     return wide.select("doc_id", *[F.round(F.col(str(t)), 6).alias(f"topic_{t}") for t in range(10)])
 
 
+def _embed(text):
+    return embedded(text, HashedNgrams(), DIM)
+
+
+def _topic_vectors(spark, sf):
+    """``topic_nr, embedding``: the mean vectors of the topics' documents."""
+    found = M.topic_docs(spark, sf).select("topic_nr", _embed(F.col("paragraph")).alias("embedding"))
+    return vectors.as_arrays(vectors.centroids(found, "topic_nr"), "topic_nr")
+
+
+@query()
+def topic_distribution_embedded(spark, sf):
+    return topics.embedded_distribution(M.topic_docs(spark, sf), "doc_id", _topic_vectors(spark, sf), _embed, s=S)
+
+
+@query()
+def topic_words_reranked(spark, sf):
+    some = topics.top_words(_weights(spark, sf), Settings(top_words=50))
+    return topics.reranked(some, _topic_vectors(spark, sf).withColumnRenamed("embedding", "mean"), _embed)
+
+
 # --- vectors
 
 
@@ -436,10 +458,49 @@ def knn16(spark, sf):
     return vectors.nearest(e, e, "vec_id")
 
 
-@query("SELECT count(*) AS n, 0.0001 AS sd_0, CAST(15 AS BIGINT) AS n_components FROM embeddings")
+GUIDED = f"""{CENTROIDS}, m AS (SELECT CAST(dim AS INTEGER) AS dim, avg(x) AS value FROM (SELECT unnest(e) AS x, unnest(generate_series(0, len(e) - 1)) AS dim FROM v) GROUP BY dim),
+s AS (SELECT CAST(label AS VARCHAR) AS seed, list(value ORDER BY dim) AS ce FROM c GROUP BY label UNION ALL SELECT '', list(value ORDER BY dim) FROM m),
+r AS (SELECT vec_id, e, seed, ce, round(list_dot_product(e, ce) / sqrt(list_dot_product(e, e) * list_dot_product(ce, ce)), 9) AS sim FROM v, s),
+near AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY sim DESC, seed) AS k FROM r) WHERE k = 1),
+pulled AS (SELECT vec_id, unnest(e) AS x, unnest(ce) AS y, unnest(generate_series(0, len(e) - 1)) AS dim, seed FROM near)"""
+
+
+@query(f"WITH {GUIDED} SELECT vec_id, CAST(dim AS INTEGER) AS dim, round(CASE WHEN seed = '' THEN x ELSE (x * 3 + y) / 4 END, 6) AS value FROM pulled")
+def guided_vectors(spark, sf):
+    seeds = _seeds(spark, sf).withColumn("seed", F.col("seed").cast("string"))
+    found = vectors.guided(M.table(spark, sf, "embeddings"), seeds)
+    return found.select("vec_id", F.posexplode("embedding").alias("dim", "value")).withColumn("value", F.round("value", 6))
+
+
+def _principal(k: int, squarings: int = 14) -> str:
+    """CTEs ``pc1`` ... with the variance of each principal component: the covariance matrix is squared so often that only its
+    first eigenvector is left, and freed of it for the next one."""
+    steps = [f"""{VEC}, long AS (SELECT vec_id, unnest(e) AS x, unnest(generate_series(1, len(e))) AS dim FROM v),
+centred AS (SELECT vec_id, dim, x - avg(x) OVER (PARTITION BY dim) AS x FROM long),
+col AS (SELECT dim AS i, list(x ORDER BY vec_id) AS r FROM centred GROUP BY dim),
+c1 AS MATERIALIZED (SELECT a.i, list(list_dot_product(a.r, b.r) / (len(a.r) - 1) ORDER BY b.i) AS r FROM col a, col b GROUP BY a.i)"""]
+    for j in range(1, k + 1):
+        steps.append(f"m{j}_0 AS MATERIALIZED (SELECT * FROM c{j})")
+        for q in range(1, squarings + 1):
+            last = f"m{j}_{q - 1}"
+            steps.append(f"""m{j}_{q} AS MATERIALIZED (SELECT i, list_transform(r, lambda x: x / f) AS r FROM {last}_sq, (SELECT max(sqrt(list_dot_product(r, r))) AS f FROM {last}_sq))""")
+            steps.insert(len(steps) - 1, f"{last}_sq AS MATERIALIZED (SELECT a.i, list(list_dot_product(a.r, b.r) ORDER BY b.i) AS r FROM {last} a, {last} b GROUP BY a.i)")
+        top = f"m{j}_{squarings}"
+        steps.append(f"""e{j} AS MATERIALIZED (SELECT list_transform(r, lambda x: x / sqrt(list_dot_product(r, r))) AS w FROM {top} ORDER BY list_dot_product(r, r) DESC LIMIT 1)""")
+        steps.append(f"""pc{j} AS MATERIALIZED (SELECT list_dot_product(list(list_dot_product(r, w) ORDER BY i), any_value(w)) AS variance FROM c{j}, e{j})""")
+        steps.append(f"""c{j + 1} AS MATERIALIZED (SELECT i, list_transform(list_zip(r, w), lambda z: z[1] - variance * w[i] * z[2]) AS r FROM c{j}, e{j}, pc{j})""")
+    return ",\n".join(steps)
+
+
+@query(f"WITH {_principal(15)}, " + "all_pc AS (" + " UNION ALL ".join(f"SELECT CAST({j} AS INTEGER) AS component, variance FROM pc{j}" for j in range(1, 16)) + """)
+SELECT component, round(sqrt(variance / (SELECT variance FROM pc1)), 5) AS scaled_deviation, round(variance, 5) AS variance FROM all_pc""")
 def pca_rescaled(spark, sf):
-    found = vectors.rescaled(vectors.components(M.table(spark, sf, "embeddings"), S.components))
-    return found.agg(F.count("*").alias("n"), F.round(F.stddev_pop(vectors.dimension(F.col("pc"), 0)), 9).alias("sd_0"), F.max(F.size("pc")).cast("long").alias("n_components"))
+    """Population deviations of all rescaled components, over the target, and the components' variances before."""
+    whole = vectors.components(M.table(spark, sf, "embeddings"), S.components)
+    spread_of = lambda rows, what: rows.select(F.posexplode("pc").alias("at", "x")).groupBy("at").agg(what.alias("x"))
+    scaled = spread_of(vectors.rescaled(whole), F.stddev_pop("x") * 10_000)
+    found = spread_of(whole, F.var_samp("x")).join(scaled.withColumnRenamed("x", "scaled"), "at")
+    return found.select((F.col("at") + 1).alias("component"), F.round("scaled", 5).alias("scaled_deviation"), F.round("x", 5).alias("variance"))
 
 
 @query()

@@ -127,3 +127,51 @@ def test_merge_and_layout(spark):
     df = vector_rows(spark, blobs())
     a, b = (rows(clustering.umap_layout(df), "vec_id") for _ in range(2))
     assert a == b and len(a) == 132
+
+
+def test_shares_of_topics_by_vectors(spark):
+    """Against a loop over windows, with vectors that can be worked out by hand."""
+    import pandas as pd
+
+    @F.pandas_udf("array<double>")
+    def embed(text: pd.Series) -> pd.Series:
+        return pd.Series([[float(t.count("a")), float(t.count("b")), 0.5] for t in text])
+
+    docs = spark.createDataFrame([(1, "aa ba ab aaa bbb ab aa bb"), (2, "cc cc"), (3, ""), (4, "bb bb bb bb bb bb bb")], "k long, paragraph string")
+    known = spark.createDataFrame([(0, [1.0, 0.0, 0.0]), (1, [0.0, 1.0, 0.0]), (-1, [0.0, 0.0, 9.0])], "topic_nr int, embedding array<double>")
+    s = Settings(min_similarity=0.3)
+    wanted = {}
+    for k, text in docs.collect():
+        w = text.split()
+        sums = {}
+        for i in range(0, max(1, len(w) - 4), 2) if w else []:
+            t = " ".join(w[i : i + 5])
+            v = np.array([t.count("a"), t.count("b"), 0.5])
+            for topic in (0, 1):
+                c = v[topic] / np.linalg.norm(v)
+                if c >= 0.3:
+                    sums[topic] = sums.get(topic, 0) + c
+        wanted |= {(k, t): x / sum(sums.values()) for t, x in sums.items()}
+    got = {(r["k"], r["topic_nr"]): r["weight"] for r in topics.embedded_distribution(docs, "k", known, embed, s=s).collect()}
+    assert got.keys() == wanted.keys() and all(abs(got[x] - wanted[x]) < 1e-9 for x in got)
+    assert topics.embedded_distribution(docs, "k", known.limit(0), embed, s=s).collect() == []
+    words = spark.createDataFrame([(0, "aab"), (0, "bbb"), (0, "a"), (1, "bbb"), (1, "ab"), (2, "x")], "topic_nr int, term string")
+    ranked = topics.reranked(words, known.withColumnRenamed("embedding", "mean"), embed, Settings(top_words=2)).collect()
+    assert sorted((r["topic_nr"], r["rank"], r["term"], r["weight"]) for r in ranked) == [(0, 1, "aab", 2.0), (0, 2, "a", 1.0), (1, 1, "bbb", 3.0), (1, 2, "ab", 1.0), (2, 1, "x", 0.0)]
+
+
+def test_neighbours_in_many_blocks(spark, monkeypatch):
+    """Blocks of a few vectors give what one block gives."""
+    r = np.random.default_rng(4)
+    rows = [(i, [float(x) for x in r.integers(-2, 3, 6)]) for i in range(300)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    whole = sorted(map(tuple, vectors.nearest(df, df, k=5).collect()))
+    monkeypatch.setattr(vectors, "BLOCK_BYTES", 1000)
+    assert sorted(map(tuple, vectors.nearest(df, df, k=5).collect())) == whole and len(whole) == 1500
+    x = np.array([v for _, v in rows])
+    x = x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
+    sims = np.round(x @ x.T, 9)
+    for i in range(300):
+        order = sorted((j for j in range(300) if j != i), key=lambda j: (-sims[i, j], j))[:5]
+        assert [n for k, _, n, _ in whole if k == i] == order
+    assert vectors.nearest(df, df.limit(0), k=5).collect() == [] and vectors.nearest(df.limit(0), df, k=5).collect() == []
