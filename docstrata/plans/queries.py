@@ -13,6 +13,7 @@ from docstrata.functions import text as T
 from docstrata.operators import catalogue, clustering, layout, pages, paragraphs, topics, vectors
 from docstrata.plans import tables as M
 from docstrata.plans.embedding import DIM, HashedNgrams, embedded
+from docstrata.sources.sinks import numbered
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -125,6 +126,12 @@ def seed_topic_table(spark, sf):
     return config.seed_topics(spark)
 
 
+@query(f"WITH {M.OVERVIEW} SELECT row_number() OVER (ORDER BY source_url, doc_id) - 1 AS row_number, doc_id, name FROM overview")
+def report_rows(spark, sf):
+    rows = M.overview(spark, sf).select("doc_id", "name", "source_url")
+    return numbered(rows, "source_url", "doc_id").toDF("row_number", "doc_id", "name", "source_url").drop("source_url")
+
+
 # --- recognised words
 
 
@@ -244,6 +251,15 @@ def sentence_split(spark, sf):
     return found.select("doc_id", "block_no", F.size("sentences").alias("n_sentences"), F.array_join("sentences", "|").alias("sentences"))
 
 
+ARABIC = f"list_filter(string_split(replace(regexp_replace(candidate, '([.!?]){BL}+', '\\1' || chr(1), 'g'), chr(1), '.'), '.'), lambda s: s <> '')"
+
+
+@query(f"WITH {CLEANED}, split AS (SELECT doc_id, block_no, {ARABIC} AS s FROM cleaned) SELECT doc_id, block_no, CAST(len(s) AS INTEGER) AS n_sentences, array_to_string(s, '|') AS sentences FROM split WHERE len(s) <> 1")
+def sentence_split_arabic(spark, sf):
+    found = paragraphs.split(paragraphs.cleaned(M.candidates(spark, sf)).withColumn("spoken", F.lit("ar")), "spoken")
+    return found.select("doc_id", "block_no", F.size("sentences").alias("n_sentences"), F.array_join("sentences", "|").alias("sentences"))
+
+
 @query(f"WITH {KEPT} SELECT doc_id, block_no, CAST(len(sentences) AS INTEGER) AS n_sentences FROM fit WHERE len(sentences) >= 2")
 def sentence_filters(spark, sf):
     found = paragraphs.filtered(paragraphs.split(paragraphs.cleaned(M.candidates(spark, sf))))
