@@ -21,34 +21,43 @@ from docstrata.llm.warc import archive_round_trip, archive_sql
 
 
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every document, learned from its labels; columns and cases as for ``toxicity``."""
     return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
 def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of every document, learned from its labels; columns and cases as for ``quality``."""
     return quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
 def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The verdict on every page; columns and cases as for ``filter_urls``."""
     return filter_urls(table(spark, sf_dir, "pages"))
 
 
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Exact copies among all documents; columns and cases as for ``exact_dedup``."""
     return exact_dedup(table(spark, sf_dir, "documents"))
 
 
 def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page written to archives, normalised and read back; columns and cases as for ``archive_round_trip``."""
     return archive_round_trip(table(spark, sf_dir, "pages"))
 
 
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicates among all documents; columns and cases as for ``near_duplicates``."""
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
 def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets in every document; columns and cases as for ``scan_secrets``."""
     return scan_secrets(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark passages in every document, items and their digest from ``contamination``; cases as there, but items
+    without id are not counted, since they cannot be listed."""
     found = contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     named = F.array_compact("items")  # items without id hit words, but cannot be listed
     return found.select(
@@ -58,10 +67,12 @@ def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the mix takes of every document; columns and cases as for ``mix``."""
     return mix(table(spark, sf_dir, "documents"))
 
 
 def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licenses in every document; columns and cases as for ``license_scan``."""
     return license_scan(table(spark, sf_dir, "documents"))
 
 
