@@ -120,6 +120,81 @@ def brute_components(fps):
     return [min((x for x in least[find(i)] if x is not None), default=None) for i in range(len(fps))]
 
 
+def brute_similar(texts):
+    """For each text the least index reachable by links of similar fingerprints, over all pairs that share a table's bits."""
+
+    def mix(h, salt):
+        h = (h ^ salt) & (1 << 64) - 1
+        h = (h ^ h >> 30) * 0xBF58476D1CE4E5B9 & (1 << 64) - 1
+        h = (h ^ h >> 27) * 0x94D049BB133111EB & (1 << 64) - 1
+        return h ^ h >> 31
+
+    def wide(text):
+        words = [w for w in re.split(rb"[\x20\x09-\x0d]+", (text or "").encode().lower()) if w]
+        h = [xxhash.xxh64(b" ".join(words[i : i + 5]), seed=42).intdigest() for i in range(max(1, len(words) - 4))] if words else []
+        out = 0
+        for w in range(4):
+            own = h if w == 0 else [mix(x, simhash.SALTS[w - 1]) for x in h]
+            out |= sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in own) > len(h)) << 64 * w
+        return out
+
+    fps = [wide(t) for t in texts]
+    masks = [sum(x << 64 * w for w, x in enumerate(m)) for m in simhash.sampled_masks(4)]
+    assert all(m.bit_count() == simhash.TABLE_BITS for m in masks)
+    root = list(range(len(fps)))
+
+    def find(a):
+        while root[a] != a:
+            a = root[a]
+        return a
+
+    for i in range(len(fps)):
+        for j in range(i):
+            d = fps[i] ^ fps[j]
+            if d.bit_count() <= simhash.SIMILAR["radius"] and any(d & m == 0 for m in masks):
+                a, b = find(i), find(j)
+                root[max(a, b)] = min(a, b)
+    return [find(i) for i in range(len(fps))]
+
+
+def test_similar_against_brute_force(spark):
+    r = random.Random(12)
+    base = [[f"w{r.randrange(3000)}" for _ in range(r.randrange(1, 150))] for _ in range(40)]
+    rows = [(i, " ".join(w)) for i, w in enumerate(base)]
+    for k in range(80):
+        w = list(r.choice(base))
+        for _ in range(r.randrange(1, 5)):
+            w[r.randrange(len(w))] = f"new{k}"
+        rows.append((1000 - k, " ".join(w)))
+    rows += [(5000, None), (5001, " \n"), (None, rows[3][1]), (3, rows[3][1]), (5002, "Long " * 40_000), (5003, "long " * 40_001)]
+    roots = brute_similar([t for _, t in rows])
+    least = {}
+    for root, (i, _) in zip(roots, rows):
+        least[root] = min(least.get(root, (True, 0)), (i is None, i or 0))
+    wanted = sorted(((i, least[root][1]) for root, (i, _) in zip(roots, rows)), key=str)
+    got = simhash.near_duplicates(frame(spark, rows), **simhash.SIMILAR).select("doc_id", "component_id", "fingerprint").collect()
+    assert sorted(((x[0], x[1]) for x in got), key=str) == wanted and all(len(x[2]) == 64 for x in got)
+    assert simhash.near_duplicates(frame(spark, rows).limit(0), **simhash.SIMILAR).collect() == []
+
+
+def test_similar_texts_are_found(spark):
+    """Pairs of a similarity of 0.8 and more are linked, nine in ten at least; unrelated texts are not."""
+    r = random.Random(13)
+    rows, pairs = [], []
+    for k in range(250):
+        w = [f"w{r.randrange(5000)}" for _ in range(r.randrange(60, 400))]
+        near = list(w)
+        for _ in range(r.randrange(1, max(2, len(w) // 45))):
+            near[r.randrange(len(w))] = "changed"
+        shingles = [{tuple(x[i : i + 5]) for i in range(len(x) - 4)} for x in (w, near)]
+        if len(shingles[0] & shingles[1]) >= 0.8 * len(shingles[0] | shingles[1]):
+            pairs.append((2 * k, 2 * k + 1))
+        rows += [(2 * k, " ".join(w)), (2 * k + 1, " ".join(near))]
+    got = {x["doc_id"]: x["component_id"] for x in simhash.near_duplicates(frame(spark, rows), **simhash.SIMILAR).collect()}
+    assert len(pairs) > 150 and sum(got[a] == got[b] for a, b in pairs) >= 0.9 * len(pairs)
+    assert all(got[i] in (i, i - i % 2) for i in got)
+
+
 def test_near_against_brute_force(spark):
     r = random.Random(5)
     vocabulary = [f"Wörd{i}" for i in range(500)]
@@ -151,6 +226,19 @@ def test_bit_slices(radius):
     assert (got == (np.bitwise_count(a[512:, None] ^ a[None, :512]) <= radius)).all()
 
 
+@pytest.mark.parametrize("words, radius", [(2, 20), (4, 46), (4, 0), (3, 63)])
+def test_wide_bit_slices(words, radius):
+    r = np.random.default_rng(words * radius)
+    a = r.integers(0, 1 << 63, (600, words), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+    for i in range(300, 600):
+        flips = np.zeros(64 * words, np.uint8)
+        flips[r.choice(64 * words, r.integers(0, 2 * radius + 2), replace=False)] = 1
+        a[i] = a[i - 300] ^ np.packbits(flips, bitorder="little").view(np.uint64)
+    wanted = np.full((88, 8), simhash.ALL_BITS)
+    got = np.unpackbits(simhash.within_radius(a[512:], simhash.bit_planes(a[:512]), wanted, radius).view(np.uint8), axis=1, bitorder="little").astype(bool)
+    assert (got == (np.bitwise_count(a[512:, None] ^ a[None, :512]).sum(axis=2) <= radius)).all() and got.any()
+
+
 def test_forest_connects_what_links_connect():
     r = np.random.default_rng(9)
     centre = r.integers(0, 1 << 63, dtype=np.uint64)

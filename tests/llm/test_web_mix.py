@@ -267,10 +267,10 @@ def test_pipeline(spark, sf):
                 best[key] = min(best.get(key, (0, 1 << 62)), (-len(r["text"] or ""), r["doc_id"]))
             wanted = sorted(i for _, i in best.values())
         elif number == 6:
-            from tests.llm.test_exact_near import brute_components, brute_fingerprint
+            from tests.llm.test_exact_near import brute_similar
 
-            rows = docs.select("doc_id", "text").collect()
-            wanted = sorted(set(brute_components([(r[0], brute_fingerprint(r[1])) for r in rows])))
+            rows = sorted(docs.select("doc_id", "text").collect())
+            wanted = sorted(rows[i][0] for i in set(brute_similar([r[1] for r in rows])))
         elif number == 8:
             wanted = ids(contamination(docs, table(spark, sf, "benchmark")).where("n_hit = 0"))
         else:
