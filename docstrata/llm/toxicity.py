@@ -16,6 +16,7 @@ import uuid
 from collections import Counter
 from collections.abc import Callable, Iterable, Iterator
 from functools import lru_cache
+from statistics import NormalDist
 
 import numpy as np
 import pyarrow as pa
@@ -28,9 +29,8 @@ from docstrata.llm.common import byte_texts, discard, held_out, materialise, sla
 
 #: Labelled rows that the classifier learns from at most, those with the least hash of their id.
 SAMPLE_ROWS = 6000
-#: How far a word or word beginning must lean to label 1 for the classifier to look at it: the signed root of its
-#: likelihood-ratio statistic, which is near a standard normal value where there is nothing in it.
-LEAST_Z = 3.5
+#: Words and word beginnings without any meaning that the classifier may look at, of all that the sample has.
+CHANCE = 3
 #: Character classes of the model: 0 break, 1-26 letters, 27 any byte of another script.
 N_CLASSES = 28
 CLASS_OF = np.array([0 if b < 128 and not 97 <= b <= 122 else b - 96 if b < 128 else 27 for b in range(256)], np.uint8)
@@ -372,7 +372,11 @@ def learn(sample: DataFrame, model: Broadcast) -> tuple[dict[str, float], tuple[
     rows = materialise(sample.mapInArrow(_feature_rows(model), "y int, features array<string>, words array<struct<word:string,n:int>>"), "features")
     n, pos = rows.agg(F.count("*"), F.coalesce(F.sum("y"), F.lit(0))).head()
     counted = rows.select("y", F.explode("features").alias("f")).groupBy("f").agg(F.sum("y").alias("a"), F.count("*").alias("n"))
-    chosen = sorted(r[0] for r in counted.where(leaning(F.col("a"), F.col("n"), pos, n) >= LEAST_Z).select("f").collect())
+    # so far that of all features without any meaning CHANCE are expected to lean as much
+    counted = materialise(counted.where("n > 1").withColumn("z", leaning(F.col("a"), F.col("n"), pos, n)), "leaning")
+    least = NormalDist().inv_cdf(1 - CHANCE / max(2 * CHANCE, counted.count()))
+    chosen = sorted(r[0] for r in counted.where(F.col("z") >= least).select("f").collect())
+    discard(counted)
     place = {f: i for i, f in enumerate(chosen)}
     is_mark = lambda w: F.concat(F.lit("="), w["word"]).isin(chosen) | F.left(w["word"], F.lit(4)).isin(chosen) | F.left(w["word"], F.lit(5)).isin(chosen)
     kept = F.filter("words", is_mark) if chosen else F.slice("words", 1, 0)
