@@ -33,16 +33,25 @@ RANDOM_ROWS, SAMPLE_ROWS = 4000, 500
 #: Words of identifiers, so that there are some without any document; and how often each pair of them counts.
 COMMON_WEIGHT = 2
 WORDS = (
-    "about", "above", "access", "account", "action", "active", "address", "after", "again", "agent", "amount", "another", "answer", "archive", "array", "attribute", "background", "balance", "before", "between",
-    "body", "border", "branch", "buffer", "builder", "button", "cache", "category", "change", "channel", "chapter", "check", "child", "choice", "city", "class", "client", "cloud", "color", "column",
-    "command", "company", "config", "connection", "content", "controller", "count", "country", "create", "current", "customer", "daily", "data", "date", "default", "delete", "device", "different", "display", "document",
-    "domain", "download", "driver", "editor", "element", "email", "empty", "engine", "error", "event", "example", "exchange", "export", "external", "factory", "family", "field", "file", "filter", "first",
-    "folder", "font", "format", "friday", "function", "general", "global", "group", "growth", "handler", "header", "health", "height", "history", "home", "house", "image", "import", "index", "info",
-    "input", "instance", "internal", "item", "january", "journal", "july", "june", "keyboard", "knowledge", "label", "language", "layout", "length", "level", "library", "light", "limit", "list", "local",
-    "machine", "manager", "market", "member", "message", "method", "model", "module", "month", "music", "name", "network", "node", "november", "number", "object", "office", "option", "order", "output",
-    "package", "page", "parent", "parser", "path", "people", "photo", "picture", "player", "policy", "position", "price", "process", "product", "profile", "project", "property", "public", "quality", "query",
-    "question", "random", "record", "region", "report", "request", "resource", "response", "result", "review", "school", "science", "search", "section", "server", "service", "session", "simple", "size", "source",
-    "special", "state", "station", "status", "string", "student", "summary", "system", "table", "target", "template", "text", "thread", "title", "type", "update", "user", "value", "version", "view",
+    "about", "above", "access", "account", "action", "active", "address", "after", "again", "agent", "amount",
+    "another", "answer", "archive", "array", "attribute", "background", "balance", "before", "between", "body",
+    "border", "branch", "buffer", "builder", "button", "cache", "category", "change", "channel", "chapter", "check",
+    "child", "choice", "city", "class", "client", "cloud", "color", "column", "command", "company", "config",
+    "connection", "content", "controller", "count", "country", "create", "current", "customer", "daily", "data",
+    "date", "default", "delete", "device", "different", "display", "document", "domain", "download", "driver",
+    "editor", "element", "email", "empty", "engine", "error", "event", "example", "exchange", "export", "external",
+    "factory", "family", "field", "file", "filter", "first", "folder", "font", "format", "friday", "function",
+    "general", "global", "group", "growth", "handler", "header", "health", "height", "history", "home", "house",
+    "image", "import", "index", "info", "input", "instance", "internal", "item", "january", "journal", "july",
+    "june", "keyboard", "knowledge", "label", "language", "layout", "length", "level", "library", "light", "limit",
+    "list", "local", "machine", "manager", "market", "member", "message", "method", "model", "module", "month",
+    "music", "name", "network", "node", "november", "number", "object", "office", "option", "order", "output",
+    "package", "page", "parent", "parser", "path", "people", "photo", "picture", "player", "policy", "position",
+    "price", "process", "product", "profile", "project", "property", "public", "quality", "query", "question",
+    "random", "record", "region", "report", "request", "resource", "response", "result", "review", "school",
+    "science", "search", "section", "server", "service", "session", "simple", "size", "source", "special", "state",
+    "station", "status", "string", "student", "summary", "system", "table", "target", "template", "text", "thread",
+    "title", "type", "update", "user", "value", "version", "view",
 )
 
 
@@ -50,27 +59,28 @@ def random_strings(spark: SparkSession, rows: int = RANDOM_ROWS) -> DataFrame:
     """``token``: strings without structure, from digests of numbers, in the usual alphabets."""
     digest = F.unhex(F.sha2(F.concat(F.lit("random-"), F.col("id").cast("string")), 256))
     plain = F.base64(digest)
-    return spark.range(rows).select(
-        F.explode(F.array(plain, F.lower(F.hex(digest)), F.translate(F.upper(plain), "+/=", "XYZ"), F.translate(plain, "+/=", "-_"), F.translate(plain, "+/=", "aB3"))).alias("token")
-    )
+    alphabets = [F.translate(F.upper(plain), "+/=", "XYZ"), F.translate(plain, "+/=", "-_"), F.translate(plain, "+/=", "aB3")]
+    return spark.range(rows).select(F.explode(F.array(plain, F.lower(F.hex(digest)), *alphabets)).alias("token"))
 
 
 def ordinary_identifiers(docs: DataFrame | None, labels: DataFrame | None, spark: SparkSession, rows: int = SAMPLE_ROWS) -> DataFrame:
-    """``token, n``, the latter how often it counts: identifiers composed of common words, and of words of at most ``rows`` labelled documents, those with
-    the least hash of their id."""
+    """``token, n``, the latter how often it counts: identifiers composed of common words, and of words of at most ``rows``
+    labelled documents that are not held out, those with the least hash of their id."""
     common = F.split(F.lit(",".join(WORDS)), ",")
-    words = spark.range(len(WORDS)).select(F.transform(common, lambda w, i: F.element_at(common, (i * (F.col("id") * 2 + 1) % len(WORDS) + 1).cast("int"))).alias("words"), F.lit(COMMON_WEIGHT).alias("n"))
+    shuffled = F.transform(common, lambda w, i: F.element_at(common, (i * (F.col("id") * 2 + 1) % len(WORDS) + 1).cast("int")))
+    words = spark.range(len(WORDS)).select(shuffled.alias("words"), F.lit(COMMON_WEIGHT).alias("n"))
     if docs is not None and labels is not None:
-        ids = labels.where(F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).select(F.col("doc_id").alias("_id")).distinct().orderBy(F.xxhash64("_id"), "_id").limit(rows)
+        known = labels.where(F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).select(F.col("doc_id").alias("_id"))
+        ids = known.distinct().orderBy(F.xxhash64("_id"), "_id").limit(rows)
         own = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(ids), F.col("doc_id") == F.col("_id"))
         words = words.unionByName(own.select(F.regexp_extract_all("text", F.lit("[A-Za-z]{4,}"), F.lit(0)).alias("words"), F.lit(1).alias("n")))
-    pairs = words.select("n", F.explode(F.arrays_zip(F.col("words").alias("a"), F.slice("words", 2, 100_000_000).alias("b"))).alias("p")).where("p.b is not null")
+    both = F.arrays_zip(F.col("words").alias("a"), F.slice("words", 2, 100_000_000).alias("b"))
+    pairs = words.select("n", F.explode(both).alias("p")).where("p.b is not null")
     a, b = F.col("p.a"), F.col("p.b")
     n = F.pmod(F.xxhash64(a, b), F.lit(3000)).cast("string")
-    return pairs.select(
-        "n",
-        F.explode(F.array(a, F.concat(a, F.lit("_"), b, F.lit("_"), n), F.concat(a, F.initcap(b), n), F.concat(F.initcap(a), F.initcap(b)), F.concat(F.upper(a), F.lit("_"), F.upper(b)), F.concat(a, F.lit("-"), b, F.lit("-"), n), F.concat(a, F.lit("/"), b, F.lit("/"), n))).alias("token")
-    )
+    joined = [F.concat(a, F.lit(mark), b, F.lit(mark), n) for mark in ("_", "-", "/")]
+    capital = [F.concat(a, F.initcap(b), n), F.concat(F.initcap(a), F.initcap(b)), F.concat(F.upper(a), F.lit("_"), F.upper(b))]
+    return pairs.select("n", F.explode(F.array(a, *joined, *capital)).alias("token"))
 
 
 def learn(random: DataFrame, ordinary: DataFrame) -> list[float]:
