@@ -123,8 +123,8 @@ STEPS = (
     (r"\r\n?", "\n"),
     (r"\n[\x20\t]*(?:dnl|rem)[\x20\t]", "\n"),  # the comment leaders that are letters
     (r"\x20v\.\x20", " v "),  # the one abbreviation of the wording
-    (r"\n(?:[^a-z0-9\n]*\n)+", "\x01"),
-    (r"[.!?:;]+[\"')\]]*(?:[\x20\t\x0B\x0C\n\x01]|$)", "\x01"),
+    (r"\n[^a-z0-9]*\n", "\x01"),
+    (r"[.!?:;][\"')\]]*(?:[\x20\t\x0B\x0C\n\x01]|$)", "\x01"),
     (r"\n", "\x02"),
     (r"[^a-z0-9\x01\x02]+", " "),
     (r"[\x01\x02\x20]*\x01[\x01\x02\x20]*", "\n\n"),

@@ -15,8 +15,8 @@ from docstrata.llm.components import components
 
 #: Host and path, and what is decided; the longest that fits wins. Order plays no part.
 RULES = (("org/", "allow"), ("example.org/es/", "block"), ("example.org/en/1", "block"), ("com/fr/", "allow"), ("com/de/", "block"))
-#: What holds no links; a canonical link, a refresh, a base, and their targets.
-NO_LINKS = r"(?i)<!--[\s\S]*?-->|<script\b[\s\S]*?</script\s*>"
+#: What holds no links, up to the end where it is not closed; a canonical link, a refresh, a base, and their targets.
+NO_LINKS = r"(?i)<!--[\s\S]*?(?:-->|\z)|<script\b[\s\S]*?(?:</script\s*>|\z)"
 LINK = r"""(?i)<link\b[^<>]*\brel\s*=\s*["']?\s*canonical\b[^<>]*>"""
 REFRESH = r"""(?i)<meta\b[^<>]*\bhttp-equiv\s*=\s*["']?\s*refresh\b[^<>]*>"""
 BASE = r"""(?i)<base\b[^<>]*>"""

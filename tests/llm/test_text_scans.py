@@ -308,6 +308,15 @@ def test_published_notices(spark):
     assert {r[0]: r[3] for r in con.sql(licenses.license_scan_sql()).fetchall()} == got
 
 
+def test_licences_of_very_long_texts(spark):
+    """Blank lines, signs and lines by the hundred thousand are no trouble to the patterns."""
+    notice = NOTICES["ISC"]
+    rows = [(0, "\n" * 300_000 + notice), (1, notice + "- * \n" * 200_000 + "MIT License"), (2, "word " * 400_000 + "\n\n" + notice), (3, "!" * 500_000 + "license" + " " * 500_000)]
+    rows += [(4, "line\n" * 300_000 + "\n" + notice), (5, "license.\n" * 200_000)]
+    got = {r["doc_id"]: r["licenses"] for r in licenses.license_scan(frame(spark, rows)).collect()}
+    assert got == {0: "ISC", 1: "ISC", 2: "ISC", 3: "", 4: "ISC", 5: ""}
+
+
 def test_rules_need_their_order():
     matches = lambda ids, rule: re.fullmatch(licenses.like_of(rule).replace("%", ".*"), ids) is not None
     assert [matches(x, ("a", "b")) for x in ("a,x,b,", "b,a,", "a,", "")] == [True, False, False, False]

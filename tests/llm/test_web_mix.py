@@ -55,6 +55,11 @@ def test_targets_as_the_standard_resolves_them(spark):
     assert url_filters.resolved(spark.createDataFrame([("none", "x"), ("none", "http://a/")], "n string, t string"), "n", "t", "v").select("v").collect() == [(None,), ("http://a/",)]
 
 
+def test_pages_that_are_not_closed(spark):
+    rows = [(1, "http://a.net/1", "<!-- " * 200_000 + "<link rel=canonical href=http://x.com/de/1>"), (2, "http://a.net/2", "<script>" + "<script " * 100_000 + "canonical"), (3, "http://a.net/3", "<p>" * 200_000 + "<link rel=canonical href=http://x.com/de/1>")]
+    assert {r["page_id"]: r["verdict"] for r in url_filters.filter_urls(pages(spark, rows)).collect()} == {1: "allow", 2: "allow", 3: "block"}
+
+
 def plain_node(url):
     p = urlsplit(url)
     host = p.netloc.rpartition("@")[2].lower()
@@ -247,6 +252,17 @@ def test_queries_beside_sql(spark, sf, name):
     assert sorted(tuple(str(r[c]) for c in columns) for r in got.collect()) == listed
 
 
+@pytest.mark.parametrize("name", sorted(queries.queries()))
+def test_nothing_is_left(spark, sf, name):
+    """A result that is no longer needed takes all tables of its making with it."""
+    folder = shared_dir(spark).removeprefix("file://") + "/docstrata"
+    before = set(os.listdir(folder)) if os.path.exists(folder) else set()
+    found = queries.queries()[name](spark, sf)
+    assert found.count() > 0
+    discard(found)
+    assert set(os.listdir(folder) if os.path.exists(folder) else ()) <= before
+
+
 def test_pipeline(spark, sf):
     """Each stage against what it must keep, worked out from its own input."""
     import corpus_pipeline
