@@ -7,16 +7,18 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docstrata.llm.common import table
+from docstrata.llm.common import materialise, owning, table
 from docstrata.llm.decontam import contamination
 from docstrata.llm.exact_dedup import exact_dedup
 from docstrata.llm.licenses import license_scan, license_scan_sql
 from docstrata.llm.mixing import mix
+from docstrata.llm.packing import pack
 from docstrata.llm.quality import quality
 from docstrata.llm.secret_scan import scan_secrets
 from docstrata.llm.simhash import near_duplicates
 from docstrata.llm.toxicity import toxicity
 from docstrata.llm.url_filters import filter_urls, filter_urls_sql
+from docstrata.llm.vector_codes import encode, hex_code, learn_codebooks, summed_by, vector_codes_sql
 from docstrata.llm.warc import archive_round_trip, archive_sql
 
 
@@ -76,6 +78,23 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan(table(spark, sf_dir, "documents"))
 
 
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The code of every well-formed vector, with its error and that of its label; cases as for ``learn_codebooks`` and
+    ``encode``; rows of other lengths than most have none."""
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label")
+    books = learn_codebooks(rows)
+    found = materialise(encode(rows, books, "vec_id", "label"), "codes")
+    told = summed_by(found, "label", "error", "label_error")
+    return owning(told.select("vec_id", hex_code().alias("code"), "error", "label_error", F.lit(books.digest()).alias("codebooks_sha256")), found)
+
+
+def op12_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in sequences of 2048 tokens; columns and cases as for ``pack``."""
+    import public_tokenizers
+
+    return pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
 EXACT_DEDUP_SQL = r"""
 WITH t AS (
   SELECT doc_id, coalesce(length(text), 0) AS n, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g') AS norm FROM documents
@@ -110,6 +129,7 @@ FROM d LEFT JOIN n_hit USING (doc_id) LEFT JOIN n_items USING (doc_id)"""
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = [
         op1_toxicity, op2_quality, op3_url_filter, op4_exact_dedup, op5_warc, op6_simhash, op7_secret_scan, op8_decontamination, op9_mixing, op10_license_scan,
+        op11_vector_codes, op12_packing,
     ]
     return {f.__name__: f for f in found}
 
@@ -121,4 +141,5 @@ def oracle_sql() -> dict[str, str]:
         "op5_warc": archive_sql(),
         "op8_decontamination": DECONTAMINATION_SQL,
         "op10_license_scan": license_scan_sql(),
+        "op11_vector_codes": vector_codes_sql(),
     }
