@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docstrata.llm.common import materialise, owning, table
+from docstrata.llm.conversations import damaged, repair, repair_sql
 from docstrata.llm.decontam import contamination
 from docstrata.llm.exact_dedup import exact_dedup
 from docstrata.llm.licenses import license_scan, license_scan_sql
@@ -95,6 +96,11 @@ def op12_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every conversation, damaged as ``damaged`` says, and its cheapest repair; columns and cases as for ``repair``."""
+    return repair(damaged(table(spark, sf_dir, "conversations")), gone="gone")
+
+
 EXACT_DEDUP_SQL = r"""
 WITH t AS (
   SELECT doc_id, coalesce(length(text), 0) AS n, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g') AS norm FROM documents
@@ -129,7 +135,7 @@ FROM d LEFT JOIN n_hit USING (doc_id) LEFT JOIN n_items USING (doc_id)"""
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = [
         op1_toxicity, op2_quality, op3_url_filter, op4_exact_dedup, op5_warc, op6_simhash, op7_secret_scan, op8_decontamination, op9_mixing, op10_license_scan,
-        op11_vector_codes, op12_packing,
+        op11_vector_codes, op12_packing, op13_conversation_repair,
     ]
     return {f.__name__: f for f in found}
 
@@ -142,4 +148,5 @@ def oracle_sql() -> dict[str, str]:
         "op8_decontamination": DECONTAMINATION_SQL,
         "op10_license_scan": license_scan_sql(),
         "op11_vector_codes": vector_codes_sql(),
+        "op13_conversation_repair": repair_sql(),
     }
