@@ -8,6 +8,7 @@ document's rest goes where follows from its number among the rests of its length
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -24,37 +25,64 @@ from docstrata.llm.common import bounded_batches, materialise, owning
 
 #: Tokens of a sequence, a power of two; the id that ends a document.
 CAPACITY, END_ID = 2048, 1
-#: Words whose ids a worker remembers, and the longest of them in characters.
-REMEMBERED, LONGEST_WORD = 1 << 18, 32
+#: Words whose ids a worker remembers in each of two generations, and the longest of them in characters.
+REMEMBERED, LONGEST_WORD = 1 << 19, 32
+#: Blanks to Python, but not to Unicode.
+SEPARATORS = re.compile("[\x1c-\x1f]")
+ASCII_BLANKS = re.compile("[ \t\n\x0b\x0c\r]+")
+#: What may stand after a word's letters and is a token of its own then.
+MARKS = ".,;:!?$%&*#"
+SMALL = re.compile("[a-z]+")
+
+
+class Words:
+    """Ids of texts, as little-endian 32-bit integers, by a tokenizer that never joins what blanks part.
+
+    Words are looked up. When as many are remembered as may be, those that were not asked for since the last time are
+    forgotten. A word that is not known is looked up without marks at its end, and in small letters if it is ASCII; one of
+    small ASCII letters needs no more than the tokenizer's merges.
+    """
 
-_known: dict[str, bytes] = {}
+    def __init__(self, path: str):
+        from tokenizers import Tokenizer
 
+        self.tokenizer = Tokenizer.from_file(path)
+        self.merges = self.tokenizer.model.tokenize
+        self.new: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
 
-@cache
-def _tokenizer(path: str):
-    from tokenizers import Tokenizer
+    def encode(self, text: str) -> bytes:
+        words = ASCII_BLANKS.split(text) if SEPARATORS.search(text) else text.split()
+        known, look = self.new.get, self.look
+        return b"".join([known(w) or look(w) for w in words])
 
-    return Tokenizer.from_file(path)
+    def look(self, word: str) -> bytes:
+        found = self.old.get(word)
+        if found is None:
+            plain = word.rstrip(MARKS)
+            marks = word[len(plain) :]
+            if SMALL.fullmatch(word):
+                found = np.array([t.id for t in self.merges(word)], "<u4").tobytes()
+            elif marks and plain and plain[-1] < "\u0250" and plain[-1].lower()[-1].isalpha():
+                found = (self.new.get(plain) or self.look(plain)) + (self.new.get(marks) or self.look(marks))
+            elif word.isascii() and (small := word.lower()) != word and "<|" not in word:
+                found = self.new.get(small) or self.look(small)
+            else:
+                found = np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
+        if len(word) <= LONGEST_WORD:
+            if len(self.new) >= REMEMBERED:
+                self.old, self.new = self.new, {}
+            self.new[word] = found
+        return found
 
 
-def token_bytes(text: str, path: str) -> bytes:
-    """Ids of a text as little-endian 32-bit integers. The tokenizer is one that never joins what ASCII blanks part, so words
-    are looked up; those that are short are remembered, up to a number at which the memory is emptied."""
-    ids = _tokenizer(path)
-    out = []
-    for word in text.translate(_BLANKS).split(" "):
-        found = _known.get(word)
-        if found is None:
-            found = np.array(ids.encode(word, add_special_tokens=False).ids, "<u4").tobytes() if word else b""
-            if len(word) <= LONGEST_WORD:
-                if len(_known) >= REMEMBERED:
-                    _known.clear()
-                _known[word] = found
-        out.append(found)
-    return b"".join(out)
+@cache
+def _words(path: str) -> Words:
+    return Words(path)
 
 
-_BLANKS = {c: " " for c in b"\t\n\x0b\x0c\r"}
+def token_bytes(text: str, path: str) -> bytes:
+    return _words(path).encode(text)
 
 
 def fillings(counts: dict[int, int], capacity: int) -> Iterator[tuple[dict[int, int], int]]:
