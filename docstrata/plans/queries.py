@@ -11,6 +11,7 @@ from docstrata import config
 from docstrata.config import Settings
 from docstrata.functions import text as T
 from docstrata.operators import catalogue, clustering, layout, pages, paragraphs, topics, vectors
+from docstrata.operators.neighbours import neighbours
 from docstrata.plans import tables as M
 from docstrata.plans.embedding import DIM, HashedNgrams, embedded
 from docstrata.sources.sinks import numbered
@@ -470,8 +471,7 @@ def nearest_seed(spark, sf):
 @query(f"""WITH {VEC}, r AS (SELECT a.vec_id, b.vec_id AS neighbour, round(list_cosine_similarity(a.e, b.e), 9) AS sim FROM v a JOIN v b ON a.vec_id <> b.vec_id)
 SELECT vec_id, CAST(rank AS INTEGER) AS rank, neighbour, sim FROM (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY sim DESC, neighbour) AS rank FROM r) WHERE rank <= 16""")
 def knn16(spark, sf):
-    e = M.table(spark, sf, "embeddings")
-    return vectors.nearest(e, e, "vec_id")
+    return neighbours(M.table(spark, sf, "embeddings"))
 
 
 GUIDED = f"""{CENTROIDS}, m AS (SELECT CAST(dim AS INTEGER) AS dim, avg(x) AS value FROM (SELECT unnest(e) AS x, unnest(generate_series(0, len(e) - 1)) AS dim FROM v) GROUP BY dim),
