@@ -41,20 +41,3 @@ def vote(votes: DataFrame, documents: DataFrame, s: Settings = Settings()) -> Da
     best = counted.groupBy("md5").agg(F.min(F.struct((-F.col("count")).alias("n"), "lang"))["lang"].alias("lang"), F.count("*").alias("n_languages"))
     joined = documents.select("md5").distinct().join(best, "md5", "left")
     return joined.select("md5", F.coalesce("lang", F.lit(s.default_language)).alias("language"), F.coalesce("n_languages", F.lit(0)).cast("long").alias("n_languages"))
-
-
-# Common short words of the languages that the vote knows, as a default detector.
-STOP_WORDS = {
-    "en": ("the", "and", "of", "to", "in", "is", "that", "for", "with", "are"),
-    "es": ("de", "la", "que", "el", "en", "los", "las", "una", "por", "con"),
-    "fr": ("de", "la", "les", "et", "des", "le", "que", "une", "dans", "pour"),
-    "de": ("der", "die", "und", "den", "das", "von", "mit", "ist", "ein", "auf"),
-}
-
-
-def guess_language(text: Column) -> Column:
-    """The language of which the text has most stop words, of equals the first by code; null without any."""
-    words = F.concat(F.lit(" "), F.regexp_replace(F.lower(text), r"[^\p{L}]+", "  "), F.lit(" "))
-    scored = F.array(*[F.struct((-sum(F.regexp_count(words, F.lit(f" {w} ")) for w in STOP_WORDS[lang])).alias("n"), F.lit(lang).alias("lang")) for lang in sorted(STOP_WORDS)])
-    best = F.array_min(scored)
-    return F.when(best["n"] < 0, best["lang"])

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from docstrata import config
 from docstrata.config import Settings
 from docstrata.functions import text as T
-from docstrata.operators import catalogue, clustering, layout, pages, paragraphs, topics, vectors
+from docstrata.operators import catalogue, clustering, languages, layout, pages, paragraphs, topics, vectors
 from docstrata.operators.neighbours import neighbours
 from docstrata.plans import tables as M
 from docstrata.plans.embedding import DIM, HashedNgrams, embedded
@@ -201,14 +201,38 @@ def language_vote(spark, sf):
     return pages.vote(votes, b)
 
 
-_COUNTS = {lang: " + ".join(f"len(regexp_extract_all(w, ' {x} '))" for x in pages.STOP_WORDS[lang]) for lang in sorted(pages.STOP_WORDS)}
+_GRAMS = """list_concat(list_concat(c, list_transform(generate_series(1, len(c) - 1), lambda i: c[i] || c[i + 1])), list_transform(generate_series(1, len(c) - 2), lambda i: c[i] || c[i + 1] || c[i + 2]))"""
+_CHARS = "string_split(' ' || trim(regexp_replace(lower(text), '[^\\p{L}]+', ' ', 'g')) || ' ', '')"
+_A = languages.SMOOTHING
+LANGUAGE_MODEL = f"""sampled AS (SELECT lang, text FROM documents WHERE doc_id % 5 <> 0 ORDER BY md5(CAST(doc_id AS VARCHAR)), doc_id LIMIT {languages.SAMPLE_ROWS}),
+counts AS (SELECT lang, gram, count(*) AS n FROM (SELECT lang, unnest({_GRAMS}) AS gram FROM (SELECT lang, {_CHARS} AS c FROM sampled WHERE lang IS NOT NULL)) GROUP BY ALL),
+totals AS (SELECT lang, length(gram) AS k, sum(n) AS total FROM counts GROUP BY ALL), kinds AS (SELECT length(gram) AS k, count(DISTINCT gram) AS v FROM counts GROUP BY k),
+model AS (
+  SELECT g.gram, t.lang, CAST(round(ln((coalesce(c.n, 0) + {_A}) / (t.total + {_A} * (v + 1))) * {languages.UNIT}) AS BIGINT) AS weight
+  FROM (SELECT DISTINCT gram, length(gram) AS k FROM counts UNION ALL SELECT '#' || k, k FROM kinds) g JOIN kinds USING (k) JOIN totals t USING (k) LEFT JOIN counts c ON c.gram = g.gram AND c.lang = t.lang
+)"""
+
+
+def _language_model(spark, sf):
+    d = M.table(spark, sf, "documents").where(F.col("doc_id") % 5 != 0)
+    return languages.learn(languages.labelled_sample(d.select("doc_id", "lang", "text"), "doc_id"))
+
+
+@query(f"WITH {LANGUAGE_MODEL} SELECT gram, lang, weight FROM model")
+def language_model(spark, sf):
+    """Weights of grams by language, learned from a sample of four fifths of the ids."""
+    return _language_model(spark, sf)
 
 
-@query(f"""WITH w AS (SELECT doc_id, ' ' || regexp_replace(lower(text), '[^\\p{{L}}]+', '  ', 'g') || ' ' AS w FROM documents),
-s AS (SELECT doc_id, list_min([{", ".join(f"{{'n': -({c}), 'lang': '{lang}'}}" for lang, c in _COUNTS.items())}]) AS b FROM w)
-SELECT doc_id, CASE WHEN b.n < 0 THEN b.lang END AS language FROM s""")
+@query(f"""WITH {LANGUAGE_MODEL}, grams AS (SELECT doc_id, gram, count(*) AS n FROM (SELECT doc_id, unnest({_GRAMS}) AS gram FROM (SELECT doc_id, {_CHARS} AS c FROM documents) WHERE len(c) > 2) GROUP BY ALL),
+known AS (SELECT DISTINCT gram FROM model), scored AS (
+  SELECT doc_id, lang, sum(n * weight) AS score FROM (SELECT doc_id, n, coalesce(known.gram, '#' || length(grams.gram)) AS gram FROM grams LEFT JOIN known USING (gram)) JOIN model USING (gram) GROUP BY ALL
+), best AS (SELECT doc_id, lang FROM scored QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, lang) = 1)
+SELECT doc_id, best.lang AS language FROM documents LEFT JOIN best USING (doc_id)""")
 def language_guess(spark, sf):
-    return M.table(spark, sf, "documents").select("doc_id", pages.guess_language(F.col("text")).alias("language"))
+    """The language of every document by the model of ``language_model``."""
+    guess = languages.identifier(_language_model(spark, sf))
+    return M.table(spark, sf, "documents").select("doc_id", guess(F.col("text")).alias("language"))
 
 
 # --- paragraphs

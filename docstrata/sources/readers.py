@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from docstrata import config
 from docstrata.functions import text as T
-from docstrata.operators import catalogue, pages
+from docstrata.operators import catalogue, languages, pages
 from docstrata.sources.files import opened, replace
 
 OVERVIEW_SCHEMA = ", ".join(f"{c} string" for c in config.OVERVIEW_COLUMNS)
@@ -222,7 +222,7 @@ def file_languages(files: DataFrame, read: Callable[[bytes], Iterator[tuple[int,
     """``md5, language, n_languages`` of PDF files, by vote of their text blocks; the default where none can be read."""
     found = pdf_blocks(files, read)
     voting = pages.voting_blocks(found.where("error is null"), settings)
-    votes = voting.select("md5", pages.guess_language(F.col("text")).alias("lang")).where("lang is not null")
+    votes = voting.select("md5", languages.guess_language(F.col("text")).alias("lang")).where("lang is not null")
     return pages.vote(votes, files.select(F.col("key").alias("md5")), settings)
 
 
