@@ -108,6 +108,8 @@ def learn(labelled: DataFrame, lang: str = "lang", text: str = "text") -> DataFr
     counts = rows.groupBy("gram", "lang").agg(F.count("*").alias("n"))
     told = counts.groupBy("lang", F.length("gram").alias("k")).agg(F.sum("n").alias("n")).collect()
     totals, langs = {(r["lang"], r["k"]): r["n"] for r in told}, sorted({r["lang"] for r in told})
+    if not langs:
+        return labelled.sparkSession.createDataFrame([], "gram string, lang string, weight long")
     per_gram = counts.groupBy("gram").agg(*[F.coalesce(F.sum(F.when(F.col("lang") == x, F.col("n"))), F.lit(0)).alias(f"n{i}") for i, x in enumerate(langs)])
     kinds = {r["k"]: r["count"] for r in per_gram.groupBy(F.length("gram").alias("k")).count().collect()}
     none = per_gram.sparkSession.createDataFrame([(f"#{k}", *[0] * len(langs)) for k in kinds], per_gram.schema)

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from docstrata import config
 from docstrata.config import Settings
-from docstrata.operators import catalogue, clustering, layout, pages, paragraphs, topics, vectors
+from docstrata.operators import boundaries, catalogue, clustering, layout, pages, paragraphs, topics, vectors
 from docstrata.plans.embedding import DIM, Embedder, HashedNgrams, embedded
 from docstrata.sources import readers, sinks
 from docstrata.sources.files import qualified
@@ -66,16 +66,24 @@ class Collection:
         discard(rest, spoken, words)
         return failed
 
-    def extract_paragraphs(self, words: DataFrame | None = None, votes: DataFrame | None = None, s: Settings = Settings()) -> Collection:
+    def extract_paragraphs(
+        self, words: DataFrame | None = None, votes: DataFrame | None = None, s: Settings = Settings(), learn_boundaries: bool = False
+    ) -> Collection:
         """From stored words, or from given words and language votes, to documents with paragraphs, stored. Documents that are
-        stored already are left alone, so a broken run is simply run again."""
+        stored already are left alone, so a broken run is simply run again. ``learn_boundaries``: sentences end as learned from
+        the texts at hand."""
         if words is None:
             words = readers.stored(self.spark, f"{self.folder}/ocr")
         words = catalogue.remaining(words, self._stored("docs", "md5_sum").withColumnRenamed("md5_sum", "md5"), "md5")
         language = words.groupBy("md5").agg(F.min("language").alias("language")) if votes is None else pages.vote(votes, words, s)
         found = layout.page_paragraphs(words, s).groupBy("md5", "page_no").agg(F.transform(F.sort_array(F.collect_list(F.struct("par_idx", "paragraph"))), lambda x: x["paragraph"]).alias("paragraphs"))
         candidates = pages.trim_pages(found).select("md5", "page_no", F.posexplode("paragraphs").alias("block_no", "candidate")).join(language, "md5")
-        kept = paragraphs.process(candidates, "language", s)
+        learned = None
+        if learn_boundaries:
+            told = boundaries.learn(paragraphs.cleaned(candidates), "language", "candidate")
+            learned = boundaries.Boundaries(told)
+            discard(told)
+        kept = paragraphs.process(candidates, "language", s, learned=learned)
         whole = kept.groupBy("md5", F.col("language")).agg(F.transform(F.sort_array(F.collect_list(F.struct("page_no", "block_no", "chunk_no", "paragraph"))), lambda x: x["paragraph"]).alias("paragraphs"))
         declared = self.documents.withColumnRenamed("language", "language_declared")
         sinks.write_documents(declared.join(whole.withColumnRenamed("md5", "md5_sum"), "md5_sum"), f"{self.folder}/docs")

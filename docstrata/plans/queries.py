@@ -10,10 +10,11 @@ from pyspark.sql import functions as F
 from docstrata import config
 from docstrata.config import Settings
 from docstrata.functions import text as T
-from docstrata.operators import catalogue, clustering, languages, layout, pages, paragraphs, topics, vectors
+from docstrata.operators import boundaries, catalogue, clustering, languages, layout, pages, paragraphs, topics, vectors
 from docstrata.operators.neighbours import neighbours
 from docstrata.plans import tables as M
 from docstrata.plans.embedding import DIM, HashedNgrams, embedded
+from docstrata.sources.shared import discard, owning
 from docstrata.sources.sinks import numbered
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -276,6 +277,92 @@ def sentence_split(spark, sf):
     return found.select("doc_id", "block_no", F.size("sentences").alias("n_sentences"), F.array_join("sentences", "|").alias("sentences"))
 
 
+def _word(c: str) -> str:
+    return f"lower(regexp_replace({c}, '[.!?]+$', ''))"
+
+
+def _core(t: str) -> str:
+    return f"regexp_replace({t}, '{boundaries.CORE}', '', 'g')"
+
+
+def _association(a: str, b: str, both: str, n: str) -> str:
+    """Dunning's ratio over four cells: -2 (sum of cells under one share - under two)."""
+    cell = lambda k, p: f"(CASE WHEN {k} = 0 THEN 0 ELSE ({k}) * ln({p}) END)"
+    cells = ((both, f"{b} / {n}", f"{both} / {a}"), (f"{a} - {both}", f"1 - {b} / {n}", f"1 - {both} / {a}"),
+             (f"{b} - {both}", f"{b} / {n}", f"({b} - {both}) / ({n} - {a})"), (f"{n} - {a} - {b} + {both}", f"1 - {b} / {n}", f"1 - ({b} - {both}) / ({n} - {a})"))
+    return f"-2 * ({' + '.join(cell(k, p) + ' - ' + cell(k, q) for k, p, q in cells)})"
+
+
+LEARNED = f"""{CLEANED}, cored AS (
+  SELECT lang, list_filter(list_transform(regexp_extract_all(candidate, '{NB}+'), lambda t: {_core('t')}), lambda c: {_word('c')} <> '') AS cores FROM cleaned WHERE lang IS NOT NULL
+), near AS (SELECT lang, cores[i - 1] AS p, cores[i] AS c FROM (SELECT lang, cores, unnest(generate_series(1, len(cores))) AS i FROM cored)
+), told AS (
+  SELECT lang, CASE WHEN p LIKE '%.' THEN {_word('p')} END AS before, {_word('c')} AS word, c LIKE '%.' AS dot, regexp_matches(c, '^\\p{{Lu}}') AS capital,
+         p IS NOT NULL AND NOT regexp_matches(p, '[.!?]$') AS inside, coalesce(regexp_matches(p, '[!?]$'), false) AS marked FROM near
+), totals AS (SELECT lang, count(*)::DOUBLE AS total, count(*) FILTER (dot)::DOUBLE AS total_dot FROM told GROUP BY lang
+), types AS (
+  SELECT lang, word, count(*)::DOUBLE AS n, count(*) FILTER (dot)::DOUBLE AS n_dot, count(*) FILTER (NOT capital) AS n_small, count(*) FILTER (capital AND inside) AS n_inside,
+         length(replace(word, '.', '')) AS len FROM told GROUP BY ALL
+), fits AS (
+  SELECT *, -2 * (n_dot * ln(total_dot / total) + (n - n_dot) * ln(1 - total_dot / total) - n_dot * ln(0.99::DOUBLE) - (n - n_dot) * ln(0.01::DOUBLE)) AS fit
+  FROM types JOIN totals USING (lang) WHERE n_dot > 0 AND regexp_matches(word, '\\p{{L}}') AND NOT regexp_matches(word, '^\\p{{L}}$')
+), short AS (
+  SELECT lang, 'abbreviation' AS kind, word, '' AS other, fit * exp(-len) * (length(word) - len + 1) * pow(len::DOUBLE, n_dot - n) AS score FROM fits
+  WHERE fit * exp(-len) * (length(word) - len + 1) * pow(len::DOUBLE, n_dot - n) >= {boundaries.ABBREVIATION}
+), after AS (SELECT t.*, s.word IS NOT NULL AS short, coalesce(regexp_matches(before, '^(\\p{{L}}|\\p{{N}}+)$'), false) AS open FROM told t LEFT JOIN short s ON s.lang = t.lang AND s.word = t.before
+), ends AS (SELECT lang, word, count(*)::DOUBLE AS k FROM after WHERE marked OR (before IS NOT NULL AND NOT short AND NOT open) GROUP BY ALL
+), starters AS (
+  SELECT lang, 'starter' AS kind, word, '' AS other, {_association('a', 'n', 'k', 'total')} AS score
+  FROM ends JOIN (SELECT lang, sum(k) AS a FROM ends GROUP BY lang) USING (lang) JOIN types USING (lang, word) JOIN totals USING (lang) WHERE regexp_matches(word, '\\p{{L}}') AND k * total > a * n
+), pairs AS (SELECT lang, before, word, count(*)::DOUBLE AS k FROM after WHERE open GROUP BY ALL HAVING count(*) >= {boundaries.PAIR_TIMES}
+), collocations AS (
+  SELECT p.lang, 'collocation' AS kind, p.before AS word, p.word AS other, {_association('f.n_dot', 't.n', 'k', 'total')} AS score
+  FROM pairs p JOIN types f ON f.lang = p.lang AND f.word = p.before JOIN types t ON t.lang = p.lang AND t.word = p.word JOIN totals ON totals.lang = p.lang
+  WHERE k * total > f.n_dot * t.n AND NOT EXISTS (SELECT 1 FROM starters s WHERE s.lang = p.lang AND s.word = p.word AND s.score >= {boundaries.STARTER})
+), openers AS (
+  SELECT DISTINCT t.lang, 'opener' AS kind, t.word, '' AS other, n_small::DOUBLE AS score FROM after a JOIN types t ON t.lang = a.lang AND t.word = a.word
+  WHERE capital AND (short OR regexp_matches(before, '^\\p{{L}}$')) AND n_small > 0 AND n_inside = 0
+), learned AS (
+  SELECT * FROM short UNION ALL SELECT * FROM starters WHERE score >= {boundaries.STARTER} UNION ALL SELECT * FROM collocations WHERE score >= {boundaries.COLLOCATION} UNION ALL SELECT * FROM openers
+)"""
+
+
+def _learned(spark, sf):
+    return boundaries.learn(paragraphs.cleaned(M.candidates(spark, sf)), "lang", "candidate")
+
+
+@query(f"WITH {LEARNED} SELECT lang, kind, word, other, round(score, 6) AS score FROM learned")
+def sentence_model(spark, sf):
+    """Abbreviations, sentence starters, collocations and openers of each language, learned from all candidates."""
+    found = _learned(spark, sf)
+    return owning(found.withColumn("score", F.round("score", 6)), found)
+
+
+def _has(kind: str, word: str, other: str = "''") -> str:
+    return f"(lang, '{kind}', {word}, {other}) IN (SELECT (lang, kind, word, other) FROM learned)"
+
+
+@query(f"""WITH {LEARNED}, pieces AS (SELECT doc_id, block_no, lang, {_split('candidate')} AS s FROM cleaned
+), lone AS (SELECT doc_id, block_no, lang, i, s[i] AS piece, {_core(f"regexp_extract(s[i], '({NB}+)$', 1)")} AS last, {_core(f"regexp_extract(s[i + 1], '^({NB}+)', 1)")} AS following, i = len(s) AS ends
+  FROM (SELECT *, unnest(generate_series(1, len(s))) AS i FROM pieces)
+), words AS (SELECT *, {_word('last')} AS word, coalesce({_word('following')}, '') AS other, regexp_matches(following, '^\\p{{Ll}}') AS small, regexp_matches(following, '^\\p{{Lu}}') AS capital FROM lone
+), judged AS (
+  SELECT *, capital AND ({_has('starter', 'other')} OR {_has('opener', 'other')}) AS begins, regexp_matches(word, '^\\p{{L}}$') AS initial, regexp_matches(word, '^\\p{{N}}+$') AS number FROM words
+), marked AS (
+  SELECT *, CASE WHEN ends THEN '' WHEN last LIKE '%.' AND (({_has('abbreviation', 'word')} AND NOT begins) OR (initial AND capital AND NOT begins)
+      OR ((initial OR number) AND (small OR {_has('collocation', 'word', 'other')}))) THEN ' ' ELSE chr(1) END AS sign FROM judged
+), found AS (SELECT doc_id, block_no, string_split(string_agg(piece || sign, '' ORDER BY i), chr(1)) AS s FROM marked GROUP BY ALL)
+SELECT doc_id, block_no, CAST(len(s) AS INTEGER) AS n_sentences, array_to_string(s, '|') AS sentences FROM found WHERE len(s) <> 1
+UNION ALL SELECT doc_id, block_no, 0, '' FROM pieces WHERE len(s) = 0""")
+def sentence_split_learned(spark, sf):
+    """Sentences of all candidates, by learned boundaries."""
+    told = _learned(spark, sf)
+    learned = boundaries.Boundaries(told)
+    discard(told)
+    found = paragraphs.split(paragraphs.cleaned(M.candidates(spark, sf)), "lang", learned)
+    return found.select("doc_id", "block_no", F.size("sentences").alias("n_sentences"), F.array_join("sentences", "|").alias("sentences"))
+
+
 ARABIC = f"list_filter(string_split(replace(regexp_replace(candidate, '([.!?]){BL}+', '\\1' || chr(1), 'g'), chr(1), '.'), '.'), lambda s: s <> '')"
 
 
