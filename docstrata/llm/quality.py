@@ -70,14 +70,18 @@ class Packed:
     last: np.ndarray  # index of the last filter position of each text
 
 
-def repeats(data: np.ndarray) -> np.ndarray:
-    """Where the four bytes that start here also start at most LAGS bytes before."""
+def repeats(data: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """Where the four bytes that start here also start at most LAGS bytes before, in the same text. ``starts``: of the texts."""
     out = np.zeros(len(data), bool)
     if len(data) > 4:
         four = np.lib.stride_tricks.sliding_window_view(data, 4)
         word = np.ascontiguousarray(four).view("<u4").ravel()
         for lag in range(1, min(LAGS, len(word) - 1) + 1):
-            out[lag : len(word)] |= word[lag:] == word[:-lag]
+            same = word[lag:] == word[:-lag]
+            walls = (starts[1:, None] + np.arange(lag)).ravel() - lag  # these would look back into the text before
+            same[walls[walls < len(same)]] = False
+            out[lag : len(word)] |= same
+        out[(starts[1:, None] - np.arange(1, 4)).ravel()] = False  # these would reach into the text after
     return out & (data > 0)
 
 
@@ -93,7 +97,7 @@ def pack(texts: list[bytes]) -> Packed:
         if rest:
             real[s + full] = -(-rest // STRIDE)
     chunk = real[:-1] + real[1:]
-    return Packed(data, repeats(data), halves, (1 / np.maximum(chunk, 1)).astype(np.float32), starts[1:] * HALF - 1)
+    return Packed(data, repeats(data, starts[:-1] * HALF_BYTES), halves, (1 / np.maximum(chunk, 1)).astype(np.float32), starts[1:] * HALF - 1)
 
 
 def forward(net: Net, p: Packed) -> dict[str, np.ndarray]:

@@ -97,9 +97,10 @@ def records_of(pieces: Iterator[bytes]) -> Iterator[bytes]:
 
 
 def inflated(read: Callable[[int], bytes]) -> Iterator[bytes]:
-    """The bytes of a gzip stream, of one member or several, in bounded pieces."""
+    """The bytes of a gzip stream, of one member or several, in bounded pieces. A stream that ends within a member, or within
+    the checksum after it, is an error: a cut may fall between two records."""
     z = zlib.decompressobj(GZIP)
-    left = b""
+    left, within = b"", False
     while True:
         data = left or read(PIECE)
         left = b""
@@ -107,9 +108,11 @@ def inflated(read: Callable[[int], bytes]) -> Iterator[bytes]:
             break
         while data:
             yield z.decompress(data, PIECE)
-            data = z.unconsumed_tail
+            data, within = z.unconsumed_tail, True
             if z.eof:
-                left, z, data = z.unused_data, zlib.decompressobj(GZIP), b""
+                left, z, data, within = z.unused_data, zlib.decompressobj(GZIP), b"", False
+    if within:
+        raise ValueError("the stream ends within a gzip member")
 
 
 def normalise(source: str, target: str, revisits: dict[int, int | None] | None = None) -> list[tuple[int, int, int]]:

@@ -458,8 +458,13 @@ def test_scores_by_definition():
     net = quality.new_net()
     for p in net.parts():
         p += (r.standard_normal(p.shape) * 0.1).astype(np.float32)
-    texts = [b"", b"a", b"word " * 60, bytes(r.integers(97, 110, 127, dtype=np.uint8))] + [bytes(r.integers(1, 256, n, dtype=np.uint8)) for n in (128, 129, 255, 256, 257, 700, 1500)]
+    english = b"the river and the old bridge near the market and the river again and the old bridge by the station and the market "
+    runs = [(english * 4)[:n] for n in (*range(253, 257), *range(381, 385), 256, 384, 256)]  # little or no padding before the next
+    texts = [*runs, b"", b"a", b"word " * 60, bytes(r.integers(97, 110, 127, dtype=np.uint8))] + [bytes(r.integers(1, 256, n, dtype=np.uint8)) for n in (128, 129, 255, 256, 257, 700, 1500)]
     assert np.allclose(quality.score(net, texts), [naive_score(net, t) for t in texts], atol=1e-4)
+    alone = {t: quality.score(net, [t])[0] for t in texts}
+    for order in (texts, texts[::-1], sorted(texts)):
+        assert np.allclose(quality.score(net, order), [alone[t] for t in order], atol=1e-6)
 
 
 def test_sample_is_of_whole_texts(spark):

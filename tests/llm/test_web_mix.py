@@ -3,8 +3,10 @@
 import gzip
 import hashlib
 import html
+import io
 import os
 import random
+import zlib
 from urllib.parse import urljoin, urlsplit
 
 import duckdb
@@ -296,3 +298,16 @@ def test_pipeline(spark, sf):
         assert number == 9 or after.columns == columns
         docs = after
     assert corpus_pipeline.run(spark, sf).count() == docs.count()
+
+
+def test_cut_streams_are_errors():
+    """Between two records, within a member, and within the checksum; whole ones of several members are none."""
+    record = b"WARC/1.0\r\nContent-Length: 5\r\n\r\nhello\r\n\r\n"
+    whole = gzip.compress(record * 3)
+    for data in (whole, whole + gzip.compress(record), b""):
+        assert len(list(warc.records_of(warc.inflated(io.BytesIO(data).read)))) in (3, 4, 0)
+    z = zlib.compressobj(6, zlib.DEFLATED, 31)
+    between = z.compress(record) + z.flush(zlib.Z_FULL_FLUSH)
+    for data in (between, whole[:-1], whole[:-8], whole[:20], whole + whole[:15]):
+        with pytest.raises(ValueError, match="ends within"):
+            list(warc.records_of(warc.inflated(io.BytesIO(data).read)))
