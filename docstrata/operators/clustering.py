@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from docstrata.config import Settings
 from docstrata.operators.vectors import compared, components, nearest, rescaled, unit
+from docstrata.sources.shared import discard, materialise
 
 #: Vectors that one task compares at once: their distance matrix takes 200 MB.
 FIT_ROWS = 5000
@@ -145,6 +146,8 @@ def spanning_tree_by_blocks(vectors: DataFrame, key: str, vector: str, keys: np.
                 a = parent[a]
             return a
 
+        if found.empty:
+            raise ValueError("some vectors have no distance to others: a component is not a number")
         for w, e in zip(found["w"].tolist(), found["e"].tolist()):
             a, b = find(component[e // n]), find(component[e % n])
             if a != b:
@@ -160,11 +163,15 @@ def spanning_tree_by_blocks(vectors: DataFrame, key: str, vector: str, keys: np.
 
 def hdbscan(vectors: DataFrame, key: str = "vec_id", vector: str = "embedding", s: Settings = Settings(), fit_rows: int = FIT_ROWS) -> DataFrame:
     """``key, topic_nr``: leaf clusters by density of all vectors, -1 for outliers. Beyond ``fit_rows`` vectors the distances
-    are worked out by blocks."""
+    are worked out by blocks, of rows with numbers of their own, since keys may occur more than once."""
     if vectors.count() > fit_rows:
-        keys = np.sort(vectors.select(F.col(key).cast("long")).toArrow().column(0).to_numpy())
-        labels = leaves(spanning_tree_by_blocks(vectors, key, vector, keys, s.min_samples), len(keys), s.min_cluster_size)
-        return vectors.sparkSession.createDataFrame(pa.table({key: keys, "topic_nr": labels.astype(np.int32)}))
+        rows = materialise(vectors.select(F.col(key).cast("long").alias("key"), F.col(vector).alias("v"), F.monotonically_increasing_id().alias("row")), "rows")
+        named = rows.select("row", "key").toArrow()
+        order = np.argsort(named.column(0).to_numpy())
+        numbers = named.column(0).to_numpy()[order]
+        labels = leaves(spanning_tree_by_blocks(rows, "row", "v", numbers, s.min_samples), len(numbers), s.min_cluster_size)
+        discard(rows)
+        return vectors.sparkSession.createDataFrame(pa.table({key: named.column(1).to_numpy()[order], "topic_nr": labels.astype(np.int32)}))
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(key)

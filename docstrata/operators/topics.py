@@ -193,11 +193,13 @@ def embedded_distribution(docs: DataFrame, key: str, topics: DataFrame, embed: C
     return shares(sims.select(key, F.posexplode("c").alias("at", "sim")).select(key, numbers[F.col("at")].alias("topic_nr"), "sim"), key, s)
 
 
-def reranked(words: DataFrame, means: DataFrame, embed: Callable[[Column], Column], s: Settings = Settings()) -> DataFrame:
+def reranked(words: DataFrame, means: DataFrame, embed: Callable[[Column], Column] | DataFrame, s: Settings = Settings()) -> DataFrame:
     """``topic_nr, rank, term, weight``: of a topic's heaviest terms (``topic_nr, term``), those whose vectors are most like the
-    mean vector of its representative documents (``topic_nr, mean``)."""
-    both = words.select("topic_nr", "term").join(means.select("topic_nr", "mean"), "topic_nr", "left").withColumn("e", embed(F.col("term")))
-    dot = F.aggregate(F.zip_with("e", "mean", lambda x, y: x.cast("double") * y), F.lit(0.0), lambda a, x: a + x)
+    mean vector of its representative documents (``topic_nr, mean``). ``embed``: a column function, or a table ``term, e``."""
+    both = words.select("topic_nr", "term").join(means.select("topic_nr", "mean"), "topic_nr", "left")
+    both = both.join(embed, "term", "left") if isinstance(embed, DataFrame) else both.withColumn("e", embed(F.col("term")))
+    product = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y), F.lit(0.0), lambda t, x: t + x)
+    dot = product("e", "mean") if not isinstance(embed, DataFrame) else product("e", "mean") / F.sqrt(product("e", "e"))
     return top_words(both.select("topic_nr", "term", F.coalesce(dot, F.lit(0.0)).alias("weight")), s)
 
 

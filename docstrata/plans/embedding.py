@@ -2,18 +2,20 @@
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections.abc import Iterator
 from typing import Protocol
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docstrata.config import EMBEDDING_MODEL
 
 DIM = 64
+WORD = re.compile(r"\w{2,}")
 
 
 class Embedder(Protocol):
@@ -34,6 +36,27 @@ class HashedNgrams:
         return out / np.where(norm > 0, norm, 1)
 
 
+class LearnedWords:
+    """Vectors of texts from a table of ``word_vectors.learn``, whose size its vocabulary bounds: the weighted mean of the words'
+    vectors at length one; zeros where no word is known."""
+
+    def __init__(self, learned: DataFrame):
+        rows = learned.select("word", "weight", "vector").collect()
+        self.places = {r["word"]: i for i, r in enumerate(rows)}
+        self.rows = np.array([[r["weight"] * x for x in r["vector"]] for r in rows]).reshape(len(rows), -1)
+
+    def embed(self, texts: list[str], dim: int) -> np.ndarray:
+        if len(self.places) and self.rows.shape[1] != dim:
+            raise ValueError(f"words have {self.rows.shape[1]} dimensions, not {dim}")
+        out = np.zeros((len(texts), dim))
+        for row, text in zip(out, texts):
+            at = [i for w in WORD.findall(text.lower()) if (i := self.places.get(w)) is not None]
+            if at:
+                row += self.rows[at].sum(axis=0)
+        norm = np.linalg.norm(out, axis=1, keepdims=True)
+        return out / np.where(norm > 0, norm, 1)
+
+
 _models: dict[str, object] = {}
 
 

@@ -10,11 +10,11 @@ from pyspark.sql import functions as F
 from docstrata import config
 from docstrata.config import Settings
 from docstrata.functions import text as T
-from docstrata.operators import boundaries, catalogue, clustering, languages, layout, pages, paragraphs, topics, vectors
+from docstrata.operators import boundaries, catalogue, clustering, languages, layout, pages, paragraphs, topics, vectors, word_vectors
 from docstrata.operators.neighbours import neighbours
 from docstrata.plans import tables as M
 from docstrata.plans.embedding import DIM, HashedNgrams, embedded
-from docstrata.sources.shared import discard, owning
+from docstrata.sources.shared import discard, materialise, owning
 from docstrata.sources.sinks import numbered
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -552,8 +552,31 @@ def topic_distribution_embedded(spark, sf):
 
 @query()
 def topic_words_reranked(spark, sf):
-    some = topics.top_words(_weights(spark, sf), Settings(top_words=50))
-    return topics.reranked(some, _topic_vectors(spark, sf).withColumnRenamed("embedding", "mean"), _embed)
+    """Top words by vectors learned from the topics' documents."""
+    docs = M.topic_docs(spark, sf)
+    known = materialise(word_vectors.learn(docs, "paragraph"), "words")
+    told = word_vectors.text_vectors(docs, known, "topic_nr", "doc_id", text="paragraph")
+    means = vectors.as_arrays(vectors.centroids(told, "topic_nr"), "topic_nr").withColumnRenamed("embedding", "mean")
+    some = materialise(topics.top_words(_weights(spark, sf), Settings(top_words=50)), "top")
+    terms = word_vectors.text_vectors(some.select("term").distinct(), known, "term", text="term").withColumnRenamed("embedding", "e")
+    return owning(topics.reranked(some, means, terms), known, some)
+
+
+@query(f"""WITH {M.TOPIC_DOCS}, tokens AS (SELECT doc_id, regexp_extract_all(lower(paragraph), '[\\p{{L}}\\p{{N}}_]{{2,}}') AS t FROM topic_docs),
+placed AS (SELECT doc_id, unnest(t) AS word, unnest(generate_series(1, len(t))) AS pos FROM tokens),
+vocabulary AS (SELECT word FROM placed GROUP BY word HAVING count(*) >= {word_vectors.LEAST_TIMES} ORDER BY count(*) DESC, word LIMIT {word_vectors.MOST_WORDS}),
+known AS (SELECT * FROM placed WHERE word IN (SELECT word FROM vocabulary)),
+met AS (SELECT a.word, b.word AS other, count(*) AS n FROM known a JOIN (SELECT doc_id, word, pos, unnest([{", ".join(str(d) for d in range(-word_vectors.REACH, word_vectors.REACH + 1) if d)}]) AS d FROM known) b
+  ON a.doc_id = b.doc_id AND a.pos = b.pos + b.d GROUP BY ALL),
+sums AS (SELECT word, sum(n)::DOUBLE AS s FROM met GROUP BY word)
+SELECT m.word, m.other, m.n, round(ln(m.n * (SELECT sum(s) FROM sums) / (a.s * b.s)), 6) AS ppmi FROM met m JOIN sums a ON a.word = m.word JOIN sums b ON b.word = m.other
+WHERE ln(m.n * (SELECT sum(s) FROM sums) / (a.s * b.s)) > 0""")
+def word_associations(spark, sf):
+    """Which words of the topics' documents meet more often than by chance."""
+    found, known = word_vectors.word_associations(M.topic_docs(spark, sf), "paragraph")
+    names = spark.createDataFrame([(i, w) for i, (w, _) in enumerate(known)], "i long, word string")
+    named = found.join(names, "i").join(names.select(F.col("i").alias("j"), F.col("word").alias("other")), "j")
+    return owning(named.select("word", "other", "n", F.round("ppmi", 6).alias("ppmi")), found)
 
 
 # --- vectors

@@ -1,6 +1,7 @@
 """Small cases of operators on tables."""
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from docstrata.config import Settings
@@ -121,6 +122,15 @@ def test_all_vectors_are_fitted_by_blocks(spark, monkeypatch):
     assert len(got) == len(x) == len({tuple(c) for c in got.values()})
 
 
+def test_keys_may_repeat_and_components_must_be_numbers(spark):
+    x, s = blobs(), Settings(min_cluster_size=15, min_samples=5)
+    df = vector_rows(spark, x).withColumn("vec_id", F.floor(F.col("vec_id") / 2).cast("long"))
+    found = clustering.hdbscan(df, s=s, fit_rows=50).collect()
+    assert len(found) == len(x) and sum(r["vec_id"] == 3 for r in found) == 2
+    with pytest.raises(ValueError, match="not a number"):
+        clustering.hdbscan(vector_rows(spark, np.full((60, 4), np.nan)), s=s, fit_rows=50)
+
+
 def test_merge_and_layout(spark):
     t = np.array([[1, 0], [0.9, 0.1], [0, 1], [0.1, 0.9]])
     assert clustering.merged(t, 2).tolist() == [0, 0, 1, 1] and clustering.merged(t, 9).tolist() == [0, 1, 2, 3]
