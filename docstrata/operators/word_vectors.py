@@ -19,7 +19,7 @@ from docstrata.functions import text as T
 from docstrata.sources.shared import discard, materialise
 
 #: Words of the vocabulary at most, the most frequent ones; times that a word occurs at least; words on either side of one.
-MOST_WORDS, LEAST_TIMES, REACH = 1 << 16, 5, 2
+MOST_WORDS, LEAST_TIMES, REACH = 1 << 15, 5, 2
 #: Dimensions of vectors, further ones that only the decomposition has, multiplications that sharpen it, seed.
 RANK, EXTRA, POWERS, SEED = 64, 16, 2, 42
 #: Of a word as frequent as this, half the weight counts in the mean of a text.
@@ -93,7 +93,7 @@ def times(matrix: DataFrame, x: np.ndarray) -> np.ndarray:
     out = np.zeros_like(x)
     for r in matrix.select("i", "j", "ppmi").mapInArrow(run, "i long, row binary").toLocalIterator():
         out[r["i"]] += np.frombuffer(r["row"])
-    thin.unpersist()
+    thin.destroy()
     return out
 
 

@@ -47,20 +47,27 @@ def free_name(df: DataFrame, name: str) -> str:
     return name
 
 
-def _delete(spark: SparkSession, path: str) -> None:
+def delete(spark: SparkSession, path: str) -> None:
     hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
     hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop, True)
 
 
+def folders(spark: SparkSession, path: str) -> list[str]:
+    """Paths of the folders within one; none where it does not exist."""
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+    system = hadoop.getFileSystem(spark._jsc.hadoopConfiguration())
+    return [f.getPath().toString() for f in system.listStatus(hadoop) if f.isDirectory()] if system.exists(hadoop) else []
+
+
 def discard(*frames: DataFrame) -> None:
     """Delete the files of tables that ``materialise`` itself returned, and those that a frame owns, when nothing reads them
     any more; any other frame's files are left alone."""
     for df in frames:
         for part in getattr(df, "_owned", ()):
             if isinstance(part, str):
-                _delete(df.sparkSession, part)
+                delete(df.sparkSession, part)
             else:
                 discard(part)
         path = getattr(df, "_written_to", None)
         if path:
-            _delete(df.sparkSession, path)
+            delete(df.sparkSession, path)

@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import time
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docstrata.config import Settings
 from docstrata.operators import catalogue
 from docstrata.sources import readers
-from docstrata.sources.shared import discard, free_name, materialise, owning
+from docstrata.sources.shared import delete, discard, folders, free_name, materialise, owning
 
 
 def write_overview(documents: DataFrame, path: str, mode: str = "overwrite") -> None:
@@ -57,12 +60,39 @@ def model_path(folder: str, num_topics: int = Settings.num_topics) -> str:
     return f"{folder.rstrip('/')}/t{num_topics}_model"
 
 
-def save_model(tables: dict[str, DataFrame], folder: str, num_topics: int, mode: str = "overwrite") -> None:
-    for name in BUNDLE:
-        if name in tables:
-            tables[name].write.mode(mode).parquet(f"{model_path(folder, num_topics)}/{name}")
+def _manifests(spark: SparkSession, base: str) -> list[tuple[str, list[str]]]:
+    """Snapshots that were written whole, and their tables, the newest first."""
+    try:
+        found = readers.existing(lambda: spark.read.schema("version string, tables array<string>").json(f"{base}/manifests/*"), base)
+    except FileNotFoundError:
+        return []
+    return [(r["version"], r["tables"]) for r in found.orderBy(F.desc("version")).collect()]
+
+
+def save_model(tables: dict[str, DataFrame], folder: str, num_topics: int, keep: int = 2) -> str:
+    """Write the tables of a model as a snapshot of its own, whose name is returned. Its manifest comes last, so a run that
+    breaks off leaves the older snapshots as they were, and readers see one or the other whole. The last ``keep`` snapshots
+    stay, since they may be read still; older ones go, and so does what broken runs have left before them. One run saves at a
+    time."""
+    spark, base = next(iter(tables.values())).sparkSession, model_path(folder, num_topics)
+    version = f"{time.time_ns():020d}-{uuid.uuid4().hex[:8]}"
+    names = [n for n in BUNDLE if n in tables]
+    for name in names:
+        tables[name].write.parquet(f"{base}/snapshots/{version}/{name}")
+    spark.createDataFrame([(version, names)], "version string, tables array<string>").coalesce(1).write.json(f"{base}/manifests/{version}")
+    kept = {v for v, _ in _manifests(spark, base)[:keep]}
+    for old in folders(spark, f"{base}/manifests") + folders(spark, f"{base}/snapshots"):
+        name = old.rstrip("/").rsplit("/", 1)[-1]
+        if name not in kept and name < version:
+            delete(spark, old)
+    return version
 
 
 def load_model(spark: SparkSession, folder: str, num_topics: int) -> dict[str, DataFrame]:
-    """The tables of a saved model; FileNotFoundError where none was saved for this number of topics."""
-    return {name: readers.stored(spark, f"{model_path(folder, num_topics)}/{name}") for name in BUNDLE}
+    """The tables of the last snapshot that was saved whole; FileNotFoundError where there is none for this number of topics."""
+    base = model_path(folder, num_topics)
+    found = _manifests(spark, base)
+    if not found:
+        raise FileNotFoundError(f"{base} not found")
+    version, names = found[0]
+    return {name: readers.stored(spark, f"{base}/snapshots/{version}/{name}") for name in names}

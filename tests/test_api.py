@@ -185,3 +185,21 @@ def test_stream(spark, tmp_path):
     stream = stateless.candidates(spark, str(tmp_path / "in"), "doc_id long, candidate string")
     stateless.to_paragraphs(stream, str(tmp_path / "out"), str(tmp_path / "state")).awaitTermination()
     assert [(r["doc_id"], r["paragraph"]) for r in spark.read.parquet(str(tmp_path / "out")).collect()] == [(1, text)]
+
+
+def test_a_broken_save_leaves_the_older_model_whole(spark, tmp_path):
+    folder = str(tmp_path / "models")
+    one = lambda i: {n: spark.createDataFrame([(i,)], "i int") for n in sinks.BUNDLE}
+    seen = lambda: {r["i"] for t in sinks.load_model(spark, folder, 5).values() for r in t.collect()}
+    sinks.save_model(one(1), folder, 5)
+    held = sinks.load_model(spark, folder, 5)
+    broken = one(2) | {"representatives": spark.range(1).select(F.raise_error(F.lit("broken")).alias("i"))}
+    with pytest.raises(Exception, match="broken"):
+        sinks.save_model(broken, folder, 5)
+    assert seen() == {1} and set(sinks.load_model(spark, folder, 5)) == set(sinks.BUNDLE)
+    sinks.save_model(one(3), folder, 5)
+    assert seen() == {3} and {r["i"] for t in held.values() for r in t.collect()} == {1}
+    sinks.save_model({"labels": one(4)["labels"]}, folder, 5)
+    assert seen() == {4} and list(sinks.load_model(spark, folder, 5)) == ["labels"]
+    left = os.listdir(f"{sinks.model_path(folder, 5)}/snapshots")
+    assert len(left) == 2 and sorted(os.listdir(f"{sinks.model_path(folder, 5)}/manifests")) == sorted(left)
