@@ -8,6 +8,8 @@ come from one written table of neighbours, aggregated before it moves.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -34,13 +36,16 @@ def word_of(found: Column) -> Column:
 def neighbours_of(texts: DataFrame, lang: str, text: str) -> DataFrame:
     """``lang, before, word, dot, capital, inside, n``: words of all texts, counted. ``before``: the word before if it ends with
     a full stop; ``inside``: whether the word before ends without a mark; ``dot``: whether the word itself ends with a stop."""
-    cores = F.filter(F.transform(F.regexp_extract_all(F.col(text), F.lit(T.NON_BLANK + "+"), F.lit(0)), core), lambda c: word_of(c) != "")
-    rows = texts.where(F.col(lang).isNotNull()).select(F.col(lang).alias("lang"), cores.alias("cores"))
-    earlier = F.concat(F.array(F.lit(None).cast("string")), F.slice("cores", F.lit(1), F.greatest(F.size("cores") - 1, F.lit(0))))
-    pairs = rows.where(F.size("cores") > 0).select("lang", F.explode(F.arrays_zip(earlier.alias("p"), F.col("cores").alias("c"))).alias("t")).select("lang", "t.p", "t.c")
+    tokens = F.regexp_extract_all(F.col(text), F.lit(T.NON_BLANK + "+"), F.lit(0))
+    known = F.transform(F.transform(tokens, core), lambda c: F.struct(c.alias("c"), word_of(c).alias("word")))
+    told = F.filter(known, lambda t: t["word"] != "")
+    rows = texts.where(F.col(lang).isNotNull()).select(F.col(lang).alias("lang"), F.explode(F.array(told)).alias("told")).where(F.size("told") > 0)
+    earlier = F.concat(F.slice("told", F.lit(1), F.lit(1)), F.slice("told", F.lit(1), F.greatest(F.size("told") - 1, F.lit(0))))
+    pairs = rows.select("lang", F.posexplode(F.arrays_zip(earlier.alias("p"), F.col("told").alias("t"))).alias("at", "z"))
+    first, p, c = F.col("at") == 0, F.col("z.p.c"), F.col("z.t.c")
     return pairs.groupBy(
-        "lang", F.when(F.col("p").endswith("."), word_of(F.col("p"))).alias("before"), word_of(F.col("c")).alias("word"), F.col("c").endswith(".").alias("dot"),
-        F.col("c").rlike(r"^\p{Lu}").alias("capital"), (F.col("p").isNotNull() & ~F.col("p").rlike(r"[.!?]$")).alias("inside"), F.col("p").rlike(r"[!?]$").alias("marked"),
+        "lang", F.when(~first & p.endswith("."), F.col("z.p.word")).alias("before"), F.col("z.t.word").alias("word"), c.endswith(".").alias("dot"),
+        c.rlike(r"^\p{Lu}").alias("capital"), (~first & ~F.right(p, F.lit(1)).isin(".", "!", "?")).alias("inside"), (~first & F.right(p, F.lit(1)).isin("!", "?")).alias("marked"),
     ).agg(F.count("*").alias("n"))
 
 
@@ -118,21 +123,37 @@ class Boundaries:
         return F.concat_ws(" ", lang, word, F.lit("") if other is None else other).isin(self.known[kind]) if self.known[kind] else F.lit(False)
 
     def goes_on(self, piece: Column, after: Column, lang: Column) -> Column:
-        """Whether a piece of text that ends with a mark goes on in the piece after it."""
-        last = core(F.regexp_extract(piece, f"({T.NON_BLANK}+)$", 1))
-        following = core(F.regexp_extract(after, f"^({T.NON_BLANK}+)", 1))
-        word, other = word_of(last), word_of(following)
-        small, capital = following.rlike(r"^\p{Ll}"), following.rlike(r"^\p{Lu}")
+        """Whether a piece of text that ends with a mark goes on in the piece after it; both as from ``_told``."""
+        word, other, first = piece["word"], after["other"], after["first"]
+        small, capital = first.rlike(r"^\p{Ll}"), first.rlike(r"^\p{Lu}")
         begins = capital & (self._is("starter", lang, other) | self._is("opener", lang, other))
         initial, number = word.rlike(r"^\p{L}$"), word.rlike(r"^\p{N}+$")
         short = self._is("abbreviation", lang, word) & ~begins
         name = initial & capital & ~begins
         together = (initial | number) & (small | self._is("collocation", lang, word, other))
-        return last.endswith(".") & (short | name | together)
+        return piece["dot"] & (short | name | together)
 
     def sentences(self, text: Column, language: Column) -> Column:
         """Sentences as by ``text.sentences``, joined by a blank where a stop does not end one."""
-        found = T.sentences(text, language)
-        after = F.slice(found, F.lit(2), F.greatest(F.size(found) - 1, F.lit(0)))
-        sign = lambda a, b: F.concat(a, F.when(b.isNull(), F.lit("")).when(self.goes_on(a, b, language), F.lit(" ")).otherwise(F.lit(T.MARK)))
-        return F.when(F.size(found) > 1, F.split(F.array_join(F.zip_with(found, after, sign), ""), T.MARK)).otherwise(found)
+
+        def parted(told: Column) -> Column:
+            after = F.slice(told, F.lit(2), F.greatest(F.size(told) - 1, F.lit(0)))
+            sign = lambda a, b: F.concat(a["piece"], F.when(b.isNull(), F.lit("")).when(self.goes_on(a, b, language), F.lit(" ")).otherwise(F.lit(T.MARK)))
+            return F.split(F.array_join(F.zip_with(told, after, sign), ""), T.MARK)
+
+        return let(T.sentences(text, language), lambda found: F.when(F.size(found) > 1, let(F.transform(found, _told), parted)).otherwise(found))
+
+
+def let(value: Column, f: Callable[[Column], Column]) -> Column:
+    """``f`` of a value that is worked out once: a plain column would be put in wherever ``f`` uses it."""
+    return F.get(F.transform(F.array(value), f), 0)
+
+
+def _told(piece: Column) -> Column:
+    """A piece with its last word, whether that has a stop, and the core and the word that it begins with."""
+    last = core(F.regexp_extract(piece, f"({T.NON_BLANK}+)$", 1))
+    first = core(F.regexp_extract(piece, f"^({T.NON_BLANK}+)", 1))
+    ends = lambda c: F.struct(c.endswith(".").alias("dot"), word_of(c).alias("word"))
+    begins = lambda c: F.struct(c.alias("first"), word_of(c).alias("other"))
+    whole = lambda e, b: F.struct(piece.alias("piece"), e["dot"].alias("dot"), e["word"].alias("word"), b["first"].alias("first"), b["other"].alias("other"))
+    return let(let(last, ends), lambda e: let(let(first, begins), lambda b: whole(e, b)))
