@@ -30,7 +30,7 @@ def core(token: Column) -> Column:
 
 def word_of(found: Column) -> Column:
     """The lower-cased word of a core, without end marks."""
-    return F.lower(F.regexp_replace(found, r"[.!?]+$", ""))
+    return F.lower(F.rtrim(found, F.lit(".!?")))
 
 
 def neighbours_of(texts: DataFrame, lang: str, text: str) -> DataFrame:
