@@ -120,8 +120,42 @@ def brute_components(fps):
     return [min((x for x in least[find(i)] if x is not None), default=None) for i in range(len(fps))]
 
 
+def roots_of(n, linked):
+    """For each of n the least that it reaches by pairs of which ``linked`` says that they are links."""
+    root = list(range(n))
+
+    def find(a):
+        while root[a] != a:
+            a = root[a]
+        return a
+
+    for i in range(n):
+        for j in range(i):
+            if linked(i, j):
+                a, b = find(i), find(j)
+                root[max(a, b)] = min(a, b)
+    return [find(i) for i in range(n)]
+
+
+def shingles(text):
+    """The five-word shingles of a text: strings, not hashes."""
+    words = [w for w in re.split(rb"[\x20\x09-\x0d]+", (text or "").encode().lower()) if w]
+    return {tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set()
+
+
+def alike(a, b):
+    """Jaccard similarity of 0.8 or more, in whole numbers; sets without shingles are alike."""
+    return 5 * len(a & b) >= 4 * len(a | b) if 5 * min(len(a), len(b)) >= 4 * max(len(a), len(b)) else False
+
+
+def true_similar(texts):
+    """For each text the least index reachable by true similarities, over all pairs."""
+    sets = [shingles(t) for t in texts]
+    return roots_of(len(sets), lambda i, j: alike(sets[i], sets[j]))
+
+
 def brute_similar(texts):
-    """For each text the least index reachable by links of similar fingerprints, over all pairs that share a table's bits."""
+    """The same over those pairs whose fingerprints are similar and share a table's bits."""
 
     def mix(h, salt):
         h = (h ^ salt) & (1 << 64) - 1
@@ -141,20 +175,13 @@ def brute_similar(texts):
     fps = [wide(t) for t in texts]
     masks = [sum(x << 64 * w for w, x in enumerate(m)) for m in simhash.sampled_masks(4)]
     assert all(m.bit_count() == simhash.TABLE_BITS for m in masks)
-    root = list(range(len(fps)))
+    sets = [shingles(t) for t in texts]
 
-    def find(a):
-        while root[a] != a:
-            a = root[a]
-        return a
+    def linked(i, j):
+        d = fps[i] ^ fps[j]
+        return d.bit_count() <= simhash.SIMILAR["radius"] and any(d & m == 0 for m in masks) and alike(sets[i], sets[j])
 
-    for i in range(len(fps)):
-        for j in range(i):
-            d = fps[i] ^ fps[j]
-            if d.bit_count() <= simhash.SIMILAR["radius"] and any(d & m == 0 for m in masks):
-                a, b = find(i), find(j)
-                root[max(a, b)] = min(a, b)
-    return [find(i) for i in range(len(fps))]
+    return roots_of(len(fps), linked)
 
 
 def test_similar_against_brute_force(spark):
@@ -167,7 +194,9 @@ def test_similar_against_brute_force(spark):
             w[r.randrange(len(w))] = f"new{k}"
         rows.append((1000 - k, " ".join(w)))
     rows += [(5000, None), (5001, " \n"), (None, rows[3][1]), (3, rows[3][1]), (5002, "Long " * 40_000), (5003, "long " * 40_001)]
-    roots = brute_similar([t for _, t in rows])
+    rows += [(6000 + k, "again " * 3000 + " ".join(f"own{k}_{i}" for i in range(40))) for k in range(3)]  # one fingerprint, other shingles
+    roots, true = brute_similar([t for _, t in rows]), true_similar([t for _, t in rows])
+    assert all(true[i] == true[r] for i, r in enumerate(roots)) and len(set(true)) <= len(set(roots)) <= len(set(true)) + 5
     least = {}
     for root, (i, _) in zip(roots, rows):
         least[root] = min(least.get(root, (True, 0)), (i is None, i or 0))
@@ -195,6 +224,45 @@ def test_similar_texts_are_found(spark):
     assert all(got[i] in (i, i - i % 2) for i in got)
 
 
+def test_similar_below_the_threshold_stay_apart(spark):
+    """Texts within the radius of each other, of a similarity below 0.8, are all kept, also where a third lies between."""
+    r = random.Random(14)
+    rows = []
+    for k in range(60):
+        w = [f"w{r.randrange(5000)}" for _ in range(300)]
+        step = 37 if k % 3 else 50  # a similarity of 0.76 or of 0.82
+        near = [f"x{i}" if i % step == k % step else x for i, x in enumerate(w)]
+        far = [f"y{i}" if i % 33 == 7 else x for i, x in enumerate(w)]
+        rows += [(3 * k, " ".join(w)), (3 * k + 1, " ".join(near)), (3 * k + 2, " ".join(far))]
+    true = true_similar([t for _, t in rows])
+    keyed, row = with_row_key(frame(spark, rows))
+    kept = {x["doc_id"] for x in simhash.near_duplicates(keyed, row=row, **simhash.SIMILAR).where("kept").collect()}
+    unverified = {**simhash.SIMILAR, "percent": 0}
+    assert set(true) <= kept and len(kept - set(true)) <= 2 and len(set(true)) == 160  # nine in ten are found, no other goes
+    assert len({x["component_id"] for x in simhash.near_duplicates(keyed, row=row, **unverified).collect()}) < len(kept) - 20
+
+
+def test_closest_links():
+    """Each row's three closest are among the links, which are no more than three for each row; links join what they should."""
+    r = np.random.default_rng(4)
+    fps = r.integers(0, 1 << 63, (1, 4), dtype=np.uint64).repeat(400, axis=0)
+    for x in fps:
+        for b in r.choice(256, r.integers(1, 40), replace=False):
+            x[b // 64] ^= np.uint64(1) << np.uint64(b % 64)
+    group = np.repeat([0, 1], 200)
+    a, b = simhash.closest_links(fps, group, 46)
+    pairs = {(min(x), max(x)) for x in zip(a.tolist(), b.tolist())}
+    assert len(pairs) == len(a) <= 3 * 400 and (group[a] == group[b]).all()
+    d = np.bitwise_count(fps[:, None] ^ fps[None]).sum(axis=2).astype(int)
+    assert (d[a, b] <= 46).all()
+    d[group[:, None] != group[None, :]] = 1000
+    np.fill_diagonal(d, 1000)
+    for i in range(400):
+        third = sorted(d[i])[2]
+        assert {(min(i, j), max(i, j)) for j in np.flatnonzero((d[i] < third) & (d[i] <= 46)).tolist()} <= pairs
+    assert [len(x) for x in simhash.closest_links(fps[:1], group[:1], 46)] == [0, 0]
+
+
 def test_near_against_brute_force(spark):
     r = random.Random(5)
     vocabulary = [f"Wörd{i}" for i in range(500)]
