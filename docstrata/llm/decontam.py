@@ -3,8 +3,8 @@
 The automaton's letters are the words of the benchmark, its patterns short blocks of words, every seventh, so that every
 window of ten holds one whole block; items of fewer words than a window are patterns themselves. A document is normalised
 (A-Z lower-cased, cut into words) and scanned once, one step a word. Where a block occurs, the windows that hold it are
-looked up among all windows of the benchmark and compared word by word; hits are then turned into offsets in the original
-text. So one automaton holds a benchmark of any size: of 5 million words, in 6.5 million nodes.
+looked up among the distinct windows of the benchmark and compared word by word; the items of a window are asked for once a
+text, however often it occurs and however many share it. Hits are then turned into offsets in the original text. So one automaton holds a benchmark of any size: of 5 million words, in 6.5 million nodes.
 """
 
 from __future__ import annotations
@@ -25,8 +25,9 @@ from docstrata.llm.common import bounded_batches, byte_texts
 
 #: Consecutive words of an item that make a window, and words of a block.
 WINDOW, BLOCK = 10, 4
-#: Bytes of text in a benchmark at most, which the driver packs and every worker holds.
-BENCHMARK_BYTES = 1 << 30
+#: Bytes of text in a benchmark at most, which the driver packs and every worker holds: about 5 million words, 6.5 million
+#: nodes of 40 bytes, and some 60 bytes a word beside them. Larger ones are scanned for part by part.
+BENCHMARK_BYTES = 1 << 25
 #: ASCII separators become blanks, A-Z become a-z, all other bytes stay; one byte stays one byte.
 TO_WORDS = bytes(ord(chr(b).lower()) if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 #: Different symbols: a word is written as the digits of its number, 0 for any word that the benchmark does not have. A node
@@ -49,9 +50,10 @@ class Packed:
     ids: np.ndarray  # the words of all items, end to end
     starts: np.ndarray  # where each item begins, and the end
     size: int  # words in a window
-    hashes: np.ndarray  # of the windows, sorted
+    hashes: np.ndarray  # of the distinct windows, sorted
     places: np.ndarray  # where each of them begins in ids
-    owners: np.ndarray  # the item of each
+    bounds: np.ndarray  # where the items of each begin in owners, and the end
+    owners: np.ndarray  # the items of each, ascending
 
 
 def window_hashes(ids: np.ndarray, size: int) -> np.ndarray:
@@ -77,8 +79,24 @@ def pack_benchmark(items: Iterable[tuple[str | None, str | None]], size: int = W
     owners = (np.searchsorted(starts, np.arange(len(hashes)), "right") - 1).astype(np.int32)
     whole = np.arange(len(hashes)) + size <= starts[owners + 1]
     places = np.flatnonzero(whole)
-    places = places[np.argsort(hashes[places], kind="stable")].astype(np.int32 if len(ids) < 1 << 31 else np.int64)
-    return Packed(names, list(numbers), all_ids, starts, size, hashes[places], places, owners[places])
+    places = places[np.argsort(hashes[places], kind="stable")]
+    if _different(hashes, all_ids, places, size, among_equal=True).any():  # two windows of one hash: their words decide the order
+        places = places[np.lexsort([places, *(all_ids[places + j] for j in reversed(range(size))), hashes[places]])]
+    new = _different(hashes, all_ids, places, size)
+    window, item = np.cumsum(new) - 1, owners[places]
+    once = new | np.append(True, item[1:] != item[:-1])[: len(item)]
+    bounds = np.searchsorted(window[once], np.arange(new.sum() + 1))
+    firsts = places[new].astype(np.int32 if len(ids) < 1 << 31 else np.int64)
+    return Packed(names, list(numbers), all_ids, starts, size, hashes[firsts], firsts, bounds, item[once])
+
+
+def _different(hashes: np.ndarray, ids: np.ndarray, places: np.ndarray, size: int, among_equal: bool = False) -> np.ndarray:
+    """Which of the windows at ``places`` are others than the one before, or are others though of the same hash."""
+    same_hash = hashes[places[1:]] == hashes[places[:-1]]
+    same = same_hash.copy()
+    for j in range(size):
+        same &= ids[places[1:] + j] == ids[places[:-1] + j]
+    return np.append(not among_equal, same_hash & ~same if among_equal else ~same)[: len(places)]
 
 
 class Matcher:
@@ -134,7 +152,7 @@ class Matcher:
             return len(words), [], set()
         get, other, width = self.letters.get, self.other, self.width
         letters = "".join([get(w, other) for w in words])
-        firsts, lasts, blocks, items = array("q"), array("q"), array("q"), set()
+        firsts, lasts, blocks, items, short = array("q"), array("q"), array("q"), set(), set()
         for end, value in self.automaton.iter(letters):
             if (end + 1) % width:
                 continue
@@ -142,15 +160,16 @@ class Matcher:
             if value & 1:
                 blocks.append(last - self.block)
             if value >> 1:
-                n, found = self.short[value >> 1]
-                firsts.append(last - n)
+                firsts.append(last - self.short[value >> 1][0])
                 lasts.append(last)
-                items |= found
+                short.add(value >> 1)
         if blocks:
             at, found = self.windows(self.numbers(letters), np.array(blocks))
             firsts.extend(at.tolist())
             lasts.extend((at + self.packed.size).tolist())
-            items |= found
+            items = found
+        for place in short:
+            items |= self.short[place][1]
         if not firsts:
             return len(words), [], set()
         cover = np.zeros(len(words) + 2, np.int64)
@@ -174,13 +193,13 @@ class Matcher:
             h = h * FACTOR + own[:, j].astype(np.uint64)
             h ^= h >> np.uint64(29)
         lo, hi = np.searchsorted(p.hashes, h), np.searchsorted(p.hashes, h, "right")
-        hits, items = [], set()
-        for k in np.flatnonzero(lo < hi).tolist():
-            equal = (p.ids[p.places[lo[k] : hi[k], None] + reach] == own[k]).all(axis=1)
-            if equal.any():
-                hits.append(k)
-                items.update(np.unique(p.owners[lo[k] : hi[k]][equal]).tolist())
-        return at[hits], items
+        window = np.full(len(at), -1)
+        for step in range((hi - lo).max()):  # more than one only where two windows have one hash
+            left = np.flatnonzero((lo + step < hi) & (window < 0))
+            equal = (p.ids[p.places[lo[left] + step, None] + reach] == own[left]).all(axis=1)
+            window[left[equal]] = lo[left[equal]] + step
+        lists = [p.owners[p.bounds[w] : p.bounds[w + 1]] for w in np.unique(window[window >= 0]).tolist()]
+        return at[window >= 0], set(np.unique(np.concatenate(lists)).tolist()) if lists else set()
 
 
 def offsets(text: bytes, ranges: list[tuple[int, int]]) -> list[tuple[int, int]]:

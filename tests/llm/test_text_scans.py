@@ -4,6 +4,7 @@ import hashlib
 import math
 import random
 import re
+import time
 
 import duckdb
 import numpy as np
@@ -87,6 +88,23 @@ def test_blocks_find_every_window():
     assert decontam.Matcher(decontam.pack_benchmark([])).scan(b"a b") == (2, [], set())
 
 
+def test_windows_of_one_hash_are_told_apart(monkeypatch):
+    """With a hash of the last word alone most windows collide."""
+    monkeypatch.setattr(decontam, "FACTOR", np.uint64(0))
+    test_blocks_find_every_window()
+
+
+def test_many_items_share_a_window():
+    """Fifty thousand items with one opening, a thousand times in a text: each distinct window is asked for its items once."""
+    opening = " ".join(f"a{i}" for i in range(10))
+    items = [(str(i), f"{opening} q{i} r{i}") for i in range(50_000)] + [(None, "only three words")] * 2000
+    packed = decontam.pack_benchmark(items)
+    assert len(packed.hashes) == len(packed.bounds) - 1 == 100_001 and len(packed.owners) == 150_000
+    matcher, start = decontam.Matcher(packed), time.perf_counter()
+    n, ranges, found = matcher.scan(" ".join([opening + " zz only three words"] * 1000).encode())
+    assert (n, len(ranges), found) == (14_000, 2000, set(range(52_000))) and time.perf_counter() - start < 2
+
+
 def test_large_benchmark_in_one_automaton():
     """200,000 words: every passage of a window or more is found, none of fewer words."""
     r = random.Random(9)
