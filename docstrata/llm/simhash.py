@@ -9,9 +9,11 @@ query adds the planes that differ into carry-save counters, and queries are aban
 the radius. A key with very many fingerprints is split into sub-blocks whose pairs go to different tasks. Only a spanning
 forest of the links of a key leaves its task.
 
-Wide fingerprints propose links only. Several forests without a common link leave the task, the closest links first, so
-that each fingerprint's closest links are among them; then the sets of shingles of both ends are compared, and links of too
-small a similarity connect nothing.
+Wide fingerprints propose links only: the sets of shingles of both ends are compared, and links of too small a similarity
+connect nothing. What they miss is found by an exact search behind them. Sets of a Jaccard similarity t share one of the first
+n - t n + 1 shingles in any order of all shingles, so texts meet by those; only pairs of different components are looked at, and
+of these only such as their sizes, the places of the shingle and the parities of their hashes leave possible. The order puts
+shingles last that are frequent in a sample: the sample bears on the work, not on what is found.
 """
 
 from __future__ import annotations
@@ -38,6 +40,15 @@ SHINGLE, RADIUS = 4, 4
 SIMILAR = {"k": 5, "radius": 52, "words": 4, "percent": 80}
 TABLES, TABLE_BITS = 80, 18
 FORESTS = 3
+#: Tables and forests where the exact search follows: what they miss it finds, so they only save it work.
+FIRST_TABLES, FIRST_FORESTS = 16, 1
+#: Rows from which frequent shingles are told, and shingles that come last in the order of prefixes at most.
+SAMPLED_ROWS, COMMON = 1 << 14, 1 << 17
+#: Words of 64 parities of a set's hashes.
+PARITIES = [f"odd_{w}" for w in range(4)]
+LISTS = ["odd", "prefix"]
+#: Shingles of several texts' prefixes that are broadcast at most; beyond it they are joined.
+BROADCAST_SHINGLES = 1 << 20
 #: Columns that tell sets of shingles apart.
 SHAPE = ["shape", "n"]
 #: What further words of a fingerprint are mixed with.
@@ -103,32 +114,99 @@ def word_names(words: int) -> list[str]:
     return ["fp", *(f"fp_{w}" for w in range(1, words))]
 
 
+def common_shingles(df: DataFrame, text_col: str, k: int, row: tuple[str, ...]) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of shingles of which many texts seem to have each, ascending, and their numbers of texts, by about
+    ``SAMPLED_ROWS`` rows of ``df``: no more than ``COMMON``. Only the order of prefixes hangs on them."""
+    bounded_batches(df.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for text in byte_texts(batch, "text"):
+                yield pa.RecordBatch.from_arrays([pa.array(shingle_set(text, k).view(np.int64))], names=["hash"])
+
+    one_in = max(1, df.count() // SAMPLED_ROWS)
+    texts = df.where(F.pmod(F.xxhash64(*row), F.lit(one_in)) == 0).select(F.col(text_col).cast("string").alias("text"))
+    counts = texts.mapInArrow(run, "hash long").groupBy("hash").count().where("count > 2")
+    found = counts.orderBy(F.desc("count"), "hash").limit(COMMON).toPandas()
+    hashes = found["hash"].to_numpy(np.int64).view(np.uint64)
+    order = np.argsort(hashes)
+    return hashes[order], found["count"].to_numpy(np.int64)[order]
+
+
+def prefix_of(hashes: np.ndarray, percent: int, common: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """Of the distinct hashes of a set, ascending, those of which any set of ``percent`` of its Jaccard similarity has one in its own
+    prefix, in the order of all hashes: common ones last, the most frequent at the end."""
+    size = len(hashes) - -(-percent * len(hashes) // 100) + 1 if len(hashes) else 0
+    known, counts = common
+    if not len(known):
+        return hashes[:size]
+    at = np.minimum(np.searchsorted(known, hashes), len(known) - 1)
+    return hashes[np.argsort(np.where(known[at] == hashes, counts[at], 0), kind="stable")[:size]]
+
+
+def parities(hashes: np.ndarray) -> np.ndarray:
+    """Words of bits, a power of two of them and a bit for each hash at least, each 1 if an odd number of the hashes fall to it."""
+    n_bits = max(64 * len(PARITIES), 1 << max(0, len(hashes) - 1).bit_length())
+    odd = np.bincount((hashes & np.uint64(n_bits - 1)).astype(np.int64), minlength=n_bits) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view("<u8")
+
+
+def folded(odd: np.ndarray, n_words: int = len(PARITIES)) -> np.ndarray:
+    """The parities of the same set in fewer words."""
+    return np.bitwise_xor.reduce(odd.reshape(-1, n_words), axis=0)
+
+
+def least_apart(a: np.ndarray, b: np.ndarray) -> int:
+    """Sets with these parities differ in no fewer members."""
+    n_words = min(len(a), len(b))
+    return int(np.bitwise_count(folded(a, n_words) ^ folded(b, n_words)).sum(dtype=np.int64))
+
+
 def fingerprints(
-    df: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = SHINGLE, row: tuple[str, ...] = (), words: int = 1, shapes: bool = False
+    df: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    k: int = SHINGLE,
+    row: tuple[str, ...] = (),
+    words: int = 1,
+    percent: int | None = None,
+    common: tuple[np.ndarray, np.ndarray] | None = None,
 ) -> DataFrame:
     """``doc_id, fp`` of each row (``fp, fp_1``... if there are several words), and the columns ``row`` by place (``row_0``...):
-    words as signed longs. Null and blank texts have fingerprint 0. ``shapes``: beside it ``shape``, a hash of the set of
-    shingles, and ``n``, their number."""
+    words as signed longs. Null and blank texts have fingerprint 0. ``percent``: beside it ``shape``, a hash of the set of
+    shingles, and ``n``, their number; with ``common`` shingles also its parities, ``odd`` and folded ``odd_0``..., and its
+    ``prefix``."""
     bounded_batches(df.sparkSession)
     names = ["doc_id", *(f"row_{i}" for i in range(len(row)))]
-    made = [*word_names(words), *SHAPE] if shapes else word_names(words)
+    made = [*word_names(words), *(SHAPE if percent is not None else []), *(PARITIES if common else [])]
+    lists = LISTS if common else []
 
-    def numbers(text: bytes) -> np.ndarray:
-        if not shapes:
-            return wide_fingerprint(text, k, words)
+    def numbers(text: bytes) -> tuple[np.ndarray, ...]:
+        if percent is None:
+            return (wide_fingerprint(text, k, words),)
         hashes = list(shingle_hashes(text, k))
         distinct = np.unique(np.concatenate([np.empty(0, "<u8"), *hashes]))
-        return np.append(wide_fingerprint(hashes, k, words), np.array([xxhash.xxh64_intdigest(distinct.tobytes(), SEED), len(distinct)], np.uint64))
+        told = np.append(wide_fingerprint(hashes, k, words), np.array([xxhash.xxh64_intdigest(distinct.tobytes(), SEED), len(distinct)], np.uint64))
+        if common is None:
+            return (told,)
+        odd = parities(distinct)
+        return np.append(told, folded(odd)), odd, prefix_of(distinct, percent, common)
+
+    def listed(arrays: list[np.ndarray]) -> pa.Array:
+        flat = np.concatenate([np.empty(0, np.uint64), *arrays])
+        return pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, arrays)]), pa.int32()), pa.array(flat.view(np.int64)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fps = np.array([numbers(x) for x in byte_texts(batch, "text")], np.uint64).reshape(-1, len(made)).view(np.int64)
+            told = [numbers(x) for x in byte_texts(batch, "text")]
+            fps = np.array([x[0] for x in told], np.uint64).reshape(-1, len(made)).view(np.int64)
             kept = [batch.column(i) for i in range(len(names))]
-            yield pa.RecordBatch.from_arrays([*kept, *(pa.array(np.ascontiguousarray(c)) for c in fps.T)], names=[*names, *made])
+            columns = [*kept, *(pa.array(np.ascontiguousarray(c)) for c in fps.T), *(listed([x[i + 1] for x in told]) for i in range(len(lists)))]
+            yield pa.RecordBatch.from_arrays(columns, names=[*names, *made, *lists])
 
     longs = [F.col(c).cast("long").alias(n) for c, n in zip((id_col, *row), names)]
     rows = df.select(*longs, F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(run, ", ".join(f"{n} long" for n in [*names, *made]))
+    return rows.mapInArrow(run, ", ".join([*(f"{n} long" for n in [*names, *made]), *(f"{n} array<long>" for n in lists)]))
 
 
 def _add3(a: np.ndarray, b: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -295,21 +373,24 @@ def sampled_masks(words: int, tables: int = TABLES, bits: int = TABLE_BITS, seed
     return [[sum(1 << int(b) % 64 for b in c if b // 64 == w) for w in range(words)] for c in chosen]
 
 
-def table_keys(words: int, n: int, radius: int, blocks: int | None = None) -> Column:
+def table_keys(words: int, n: int, radius: int, blocks: int | None = None, tables: int = TABLES) -> Column:
     """The keys of a fingerprint, one for each table: of one word the bits of each choice of blocks, so that no pair is missed,
     of several a hash of those that were drawn."""
     if words == 1:
         return F.array(*[F.col("fp").bitwiseAND(F.lit(_signed(m))) for m in block_masks(blocks or plan_blocks(n, radius), radius)])
-    masks = F.array(*[F.struct(*[F.lit(_signed(x)).alias(c) for x, c in zip(mask, word_names(words))]) for mask in sampled_masks(words)])
+    masks = F.array(*[F.struct(*[F.lit(_signed(x)).alias(c) for x, c in zip(mask, word_names(words))]) for mask in sampled_masks(words, tables)])
     return F.transform(masks, lambda m: F.xxhash64(*[F.col(c).bitwiseAND(m[c]) for c in word_names(words)]))
 
 
+def _links(u: np.ndarray, v: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], names=["u", "v"])
+
+
 def _forests(radius: int, n_words: int, forests: int):
     """Arrow function: rows of ``t, key, i, j, node`` and words, sorted by the first four, to links of each group's spanning
     forest, or of ``forests`` of them if it isn't 0, as nodes."""
 
-    def links(held: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
-        node, fp, group = (np.concatenate(x) for x in zip(*held)) if held else (np.empty(0, np.int64), np.empty((0, n_words), np.uint64), np.empty(0, np.int64))
+    def links(node: np.ndarray, fp: np.ndarray, group: np.ndarray) -> Iterator[pa.RecordBatch]:
         twin = group[1:] == group[:-1]
         several = np.append(twin, False) | np.append(False, twin) if len(fp) else np.empty(0, bool)
         node, fp, group = node[several], fp[several], group[several]  # most keys have one fingerprint only
@@ -319,7 +400,48 @@ def _forests(radius: int, n_words: int, forests: int):
             root = spanning_links(fp, group, radius)
             a = np.flatnonzero(root != np.arange(len(root)))
             b = root[a]
-        return pa.RecordBatch.from_arrays([pa.array(node[a]), pa.array(node[b])], names=["u", "v"])
+        yield _links(node[a], node[b])
+
+    return _by_group(n_words, links)
+
+
+def _candidates(percent: int):
+    """Arrow function: rows of ``t, key, i, j, node, part, n, at`` and parities, sorted by the first four, to pairs of nodes of
+    different parts (components) within a group, all that may have ``percent`` of Jaccard similarity among them."""
+
+    def pairs(node: np.ndarray, told: np.ndarray, group: np.ndarray) -> Iterator[pa.RecordBatch]:
+        if not len(node):
+            return
+        part = told[:, 0].view(np.int64)
+        starts = np.flatnonzero(np.append(True, group[1:] != group[:-1]))
+        several = np.minimum.reduceat(part, starts) != np.maximum.reduceat(part, starts)
+        open_ = np.repeat(several, np.diff(np.append(starts, len(group))))
+        node, told, group, part = node[open_], told[open_], group[open_], part[open_]
+        n, at, odd = told[:, 1].view(np.int64), told[:, 2].view(np.int64), told[:, 3:]
+        for t in range(0, len(node), LANES):
+            a = np.arange(t, min(t + LANES, len(node)))
+            for s in range(t, len(node), LANES):
+                b = np.arange(s, min(s + LANES, len(node)))
+                if group[b[0]] != group[a[-1]] and s > t:
+                    break
+                x, y = np.nonzero((group[a][:, None] == group[b]) & (part[a][:, None] != part[b]) & (a[:, None] < b))
+                x, y = a[x], b[y]
+                both = percent * (n[x] + n[y])
+                possible = (100 + percent) * (np.minimum(at[x], at[y]) + np.minimum(n[x] - at[x], n[y] - at[y])) >= both
+                x, y, both = x[possible], y[possible], both[possible]
+                apart = np.bitwise_count(odd[x] ^ odd[y]).sum(axis=1, dtype=np.int64)  # half of what is not apart is shared
+                possible = (100 + percent) * (n[x] + n[y] - apart) >= 2 * both
+                yield _links(node[x[possible]], node[y[possible]])
+
+    return _by_group(3 + len(PARITIES), pairs)
+
+
+def _by_group(n_words: int, links: Callable[[np.ndarray, np.ndarray, np.ndarray], Iterator[pa.RecordBatch]]):
+    """Arrow function: rows of ``t, key, i, j, node`` and at their end so many longs, sorted by the first four, to ``links`` of
+    nodes, words and numbers of groups, some whole groups at a time."""
+
+    def called(held: list[tuple[np.ndarray, ...]]) -> Iterator[pa.RecordBatch]:
+        yield from links(*((np.concatenate(x) for x in zip(*held)) if held else (np.empty(0, np.int64), np.empty((0, n_words), np.uint64), np.empty(0, np.int64))))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size, last, number = [], 0, None, 0
@@ -336,31 +458,22 @@ def _forests(radius: int, n_words: int, forests: int):
             node, fp = columns[4], np.stack(columns[-n_words:], axis=1).view(np.uint64)
             cut = int(np.searchsorted(ids, number))  # the last group may go on in the next batch
             if size + cut >= LANES and cut:
-                yield links([*held, (node[:cut], fp[:cut], ids[:cut])])
+                yield from called([*held, (node[:cut], fp[:cut], ids[:cut])])
                 held, size = [], 0
             else:
                 cut = 0
             held.append((node[cut:], fp[cut:], ids[cut:]))
             size += len(node) - cut
-        yield links(held)
+        yield from called(held)
 
     return run
 
 
-def near_links(distinct: DataFrame, radius: int = RADIUS, blocks: int | None = None, words: int = 1, forests: int = 0) -> DataFrame:
-    """Links ``u, v`` (nodes) that connect the same fingerprints as all links within the radius do that share a key: of each key
-    a spanning forest, or so many ``forests`` of the closest links. ``distinct``: a written table with one row for each
-    fingerprint; ``node`` tells them apart: of one word the word itself."""
-    spark = distinct.sparkSession
-    bounded_batches(spark)
-    columns = list(dict.fromkeys(["node", *word_names(words)])) if words > 1 else ["fp"]
-    node = columns[0]
-    tables = distinct.select(*columns, F.posexplode(table_keys(words, distinct.count(), radius, blocks)).alias("t", "key"))
-    hot = materialise(tables.groupBy("t", "key").count().where(F.col("count") > SUB_BLOCK).select("t", "key", F.ceil(F.col("count") / SUB_BLOCK).cast("int").alias("parts")), "hot")
-    n_hot = hot.count()
-    split = tables.join(F.broadcast(hot) if n_hot <= BROADCAST_KEYS else hot, ["t", "key"], "left") if n_hot else tables.withColumn("parts", F.lit(None).cast("int"))
+def _dealt(split: DataFrame, *columns: str) -> DataFrame:
+    """Rows ``t, key, i, j`` and ``columns``, the first the node: of a table's key each row once, or, if it has several ``parts``, in each
+    pair of its own sub-block and another. Each group lies in one partition, sorted by the node."""
     parts = F.coalesce("parts", F.lit(1))
-    own = F.pmod(F.xxhash64(node), parts).cast("int")
+    own = F.pmod(F.xxhash64(columns[0]), parts).cast("int")
     pairs = F.when(parts == 1, F.array(F.struct(F.lit(0).alias("i"), F.lit(0).alias("j")))).otherwise(
         F.transform(
             F.filter(F.sequence(F.lit(0), parts - 1), lambda x: x != own),
@@ -368,15 +481,49 @@ def near_links(distinct: DataFrame, radius: int = RADIUS, blocks: int | None = N
         )
     )
     dealt = split.select("t", "key", F.explode(pairs).alias("p"), *columns).select("t", "key", "p.i", "p.j", *columns)
-    sorted_rows = dealt.repartition("t", "key", "i", "j").sortWithinPartitions("t", "key", "i", "j", node)
-    return owning(sorted_rows.mapInArrow(_forests(radius, words, forests), "u long, v long"), hot)
+    return dealt.repartition("t", "key", "i", "j").sortWithinPartitions("t", "key", "i", "j", columns[0])
+
+
+def near_links(
+    distinct: DataFrame, radius: int = RADIUS, blocks: int | None = None, words: int = 1, forests: int = 0, tables: int = TABLES
+) -> DataFrame:
+    """Links ``u, v`` (nodes) that connect the same fingerprints as all links within the radius do that share a key: of each key
+    a spanning forest, or so many ``forests`` of the closest links. ``distinct``: a written table with one row for each
+    fingerprint; ``node`` tells them apart: of one word the word itself."""
+    spark = distinct.sparkSession
+    bounded_batches(spark)
+    columns = list(dict.fromkeys(["node", *word_names(words)])) if words > 1 else ["fp"]
+    node = columns[0]
+    keyed = distinct.select(*columns, F.posexplode(table_keys(words, distinct.count(), radius, blocks, tables)).alias("t", "key"))
+    hot = materialise(keyed.groupBy("t", "key").count().where(F.col("count") > SUB_BLOCK).select("t", "key", F.ceil(F.col("count") / SUB_BLOCK).cast("int").alias("parts")), "hot")
+    n_hot = hot.count()
+    split = keyed.join(F.broadcast(hot) if n_hot <= BROADCAST_KEYS else hot, ["t", "key"], "left") if n_hot else keyed.withColumn("parts", F.lit(None).cast("int"))
+    return owning(_dealt(split, *columns).mapInArrow(_forests(radius, words, forests), "u long, v long"), hot)
+
+
+def missed_links(distinct: DataFrame, found: DataFrame, percent: int) -> DataFrame:
+    """Pairs ``u, v`` of nodes in different components of ``found`` (``_node, root``), all that have ``percent`` of Jaccard similarity
+    among them: those that share a shingle of their prefixes and that their sizes, its places and their parities leave possible.
+
+    ``distinct``: a written table of ``node, n, prefix`` and parities. Keys are counted first: most shingles are one text's alone, and
+    only rows of the others are looked up and compared."""
+    bounded_batches(distinct.sparkSession)
+    keyed = distinct.select("node", F.posexplode("prefix").alias("at", "key"))
+    live = materialise(keyed.groupBy("key").count().where("count > 1").select("key", F.ceil(F.col("count") / SUB_BLOCK).cast("int").alias("parts")), "live")
+    met = materialise(keyed.join(F.broadcast(live) if live.count() <= BROADCAST_SHINGLES else live, "key"), "met")
+    told = distinct.select("node", "n", *PARITIES).join(found, F.col("node") == F.col("_node"), "left")
+    facts = materialise(told.select("node", F.coalesce("root", "node").alias("part"), "n", *PARITIES), "facts")
+    split = met.join(facts, "node").withColumn("t", F.lit(0))
+    pairs = _dealt(split, "node", "part", "n", "at", *PARITIES).mapInArrow(_candidates(percent), "u long, v long")
+    return owning(pairs, live, met, facts)
 
 
 def verified(links: DataFrame, distinct: DataFrame, df: DataFrame, text_col: str, k: int, row: tuple[str, ...], percent: int) -> DataFrame:
     """Those of ``links`` whose ends share at least ``percent`` of the shingles that they have together.
 
-    ``distinct``: a written table of ``node, n, least``; ``row``: columns of ``df`` by which the row of ``least`` is found.
-    Links between sets of too different sizes leave by their numbers alone; only texts at the end of another link are cut
+    ``distinct``: a written table of ``node, n, least`` and maybe ``odd``; ``row``: columns of ``df`` by which the row of ``least`` is found.
+    Links between sets of too different sizes leave by their numbers alone, others by the parities of all their hashes, a
+    sixty-fourth of the sets or little more; only texts at the end of another link are cut
     into shingles again, and what moves for a link is the shingles of its ends, of about the same number. Both sides of the joins are
     written tables, so that the adaptive planner splits a text that very many others are linked to.
     """
@@ -384,6 +531,19 @@ def verified(links: DataFrame, distinct: DataFrame, df: DataFrame, text_col: str
     once = materialise(links.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "proposed")
     sized = once.join(size("u"), "u").join(size("v"), "v")
     pairs = materialise(sized.where(100 * F.least("n_u", "n_v") >= percent * F.greatest("n_u", "n_v")), "pairs")
+
+    def possible(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            of_u, of_v = ([np.array(x, np.int64).view(np.uint64) for x in batch.column(c).to_pylist()] for c in ("of_u", "of_v"))
+            apart = np.array([least_apart(x, y) for x, y in zip(of_u, of_v)], np.int64)
+            both = batch.column("n_u").to_numpy() + batch.column("n_v").to_numpy()
+            yield batch.select(["u", "v", "n_u", "n_v"]).filter(pa.array((100 + percent) * (both - apart) >= 2 * percent * both))
+
+    if "odd" in distinct.columns:
+        bits = lambda end: distinct.select(F.col("node").alias(end), F.col("odd").alias(f"of_{end}"))
+        told = pairs.join(bits("u"), "u").join(bits("v"), "v").select("u", "v", "n_u", "n_v", "of_u", "of_v")
+        wide, pairs = pairs, materialise(told.mapInArrow(possible, "u long, v long, n_u long, n_v long"), "possible")
+        discard(wide)
     ends = pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct()
     places = materialise(distinct.join(ends, "node").select("node", *[F.col(f"least.row_{i}").alias(f"row_{i}") for i in range(len(row))]), "places")
 
@@ -427,29 +587,47 @@ def near_duplicates(
     Of ``words`` = 1 no link is missed. More words bring a pair together by tables of drawn bits, and take ``percent``, the least
     Jaccard similarity of the sets of shingles of linked texts (``**SIMILAR``: 80, of five-word shingles). Every link is then verified by
     the shingles themselves, equal fingerprints of different sets too, so rows are in one component only by a chain of such
-    pairs. Of pairs of similarity 0.8 more than nine in ten are proposed, of 0.9 nearly all.
+    pairs. Behind the tables an exact search compares texts of different components (``missed_links``), so no pair is missed;
+    a percentage of 0 takes what the tables propose, and nothing is searched for behind them.
 
     Only fingerprints and ids move, and the shingles of texts that are verified. Minima are aggregated and written before they are joined, so that the adaptive planner
     can split a fingerprint or a component that very many rows share.
     """
     if percent is not None and words == 1:
         raise ValueError("fingerprints of one word link by their bits alone; a percentage takes more words")
-    shapes, asked, given = percent is not None, row, df
+    shapes, exact, asked, given = percent is not None, bool(percent), row, df
     if shapes and not row:
         df, row = with_row_key(df)
     places = [f"row_{i}" for i in range(len(row))]
     names = [*word_names(words), *SHAPE] if shapes else word_names(words)
-    rows = materialise(fingerprints(df, id_col, text_col, k, row, words, shapes), "fingerprints")
+    common = common_shingles(df, text_col, k, row) if exact else None
+    rows = materialise(fingerprints(df, id_col, text_col, k, row, words, percent, common), "fingerprints")
     first = F.struct(F.isnull("doc_id").alias("unknown"), "doc_id", *places)
-    distinct = rows.groupBy(*names).agg(F.min(first).alias("least"))
+    told = [F.first(c).alias(c) for c in ([*PARITIES, *LISTS] if exact else [])]  # equal sets have equal ones
+    distinct = rows.groupBy(*names).agg(F.min(first).alias("least"), *told)
     distinct = materialise(distinct.withColumn("node", F.monotonically_increasing_id() if words > 1 else F.col("fp")), "distinct")
-    links = near_links(distinct, radius, words=words, forests=FORESTS if shapes else 0)
+    forests, tables = (FIRST_FORESTS, FIRST_TABLES) if exact else (FORESTS if shapes else 0, TABLES)
+    links = near_links(distinct, radius, words=words, forests=forests, tables=tables)
+
+    def connected(links: DataFrame) -> DataFrame:
+        stars = components(links)
+        found = materialise(stars.withColumnRenamed("node", "_node"), "components")
+        discard(stars)
+        return found
+
     if shapes:
         proposed, links = links, verified(links, distinct, df, text_col, k, row, percent)
         discard(proposed)
-    stars = components(links)
-    found = materialise(stars.withColumnRenamed("node", "_node"), "components")
-    discard(links, stars)
+    found = connected(links)
+    if exact:
+        missed = missed_links(distinct, found, percent)
+        more = verified(missed, distinct, df, text_col, k, row, percent)
+        discard(missed)
+        if more.head(1):
+            discard(found)
+            found = connected(links.unionByName(more))
+        discard(more)
+    discard(links)
     joined = distinct.join(found, distinct.node == F.col("_node"), "left")
     rooted = materialise(joined.select(*names, "least", F.coalesce("root", "node").alias("root")), "rooted")
     minima = materialise(rooted.groupBy("root").agg(F.min("least").alias("first")), "minima")

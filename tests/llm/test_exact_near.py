@@ -206,6 +206,50 @@ def test_similar_against_brute_force(spark):
     assert simhash.near_duplicates(frame(spark, rows).limit(0), **simhash.SIMILAR).collect() == []
 
 
+def test_no_similar_pair_is_missed(spark, monkeypatch):
+    """Every pair of 0.8 and more is in one component, whatever the tables bring together, of common and own shingles alike."""
+    r = random.Random(15)
+    frame_of = lambda own: ["all"] * 25 + own
+    rows = []
+    for k in range(150):
+        w = frame_of([f"w{r.randrange(5000)}" for _ in range(r.randrange(30, 200))])
+        near = list(w)
+        for at in range(30, len(w), 46):  # close above and below the threshold
+            near[at] = f"new{k}"
+        rows += [(2 * k, " ".join(w)), (2 * k + 1, " ".join(near))]
+    rows += [(1000 + k, " ".join(f"all{i}" for i in range(45)) + f" own{k}" + " z" * (k % 7)) for k in range(40)]  # a hot key
+    true = true_similar([t for _, t in rows])
+    least = {}
+    for root, (i, _) in zip(true, rows):
+        least[root] = min(least.get(root, i), i)
+    wanted = sorted((i, least[root]) for root, (i, _) in zip(true, rows))
+    found = lambda: sorted(tuple(x) for x in simhash.near_duplicates(frame(spark, rows), **simhash.SIMILAR).select("doc_id", "component_id").collect())
+    assert found() == wanted and 150 < len(set(true)) < 300
+    monkeypatch.setattr(simhash, "SUB_BLOCK", 8)
+    monkeypatch.setattr(simhash, "FIRST_TABLES", 1)  # nearly all is left to the exact search
+    monkeypatch.setattr(simhash, "LANES", 16)
+    assert found() == wanted
+
+
+@pytest.mark.parametrize("n_common", [0, 300])
+def test_prefixes_and_parities(n_common):
+    """Similar sets share a hash of their prefixes, and differ in as many members as parities at least."""
+    r = np.random.default_rng(16 + n_common)
+    pool = np.unique(r.integers(0, 1 << 63, 600, dtype=np.uint64) * np.uint64(2))
+    known = np.sort(r.choice(pool, n_common, replace=False))
+    common = known, r.integers(3, 9, n_common)
+    similar = 0
+    for step in range(400):
+        a = np.sort(r.choice(pool, r.integers(1, 120 if step % 4 else 500), replace=False))
+        b = np.unique(np.append(r.choice(a, max(1, len(a) - r.integers(0, len(a) // 8 + 2)), replace=False), r.choice(pool, r.integers(0, len(a) // 8 + 2))))
+        shared = len(np.intersect1d(a, b))
+        assert simhash.least_apart(simhash.parities(a), simhash.parities(b)) <= len(a) + len(b) - 2 * shared
+        if 5 * shared >= 4 * (len(a) + len(b) - shared):
+            similar += 1
+            assert len(np.intersect1d(simhash.prefix_of(a, 80, common), simhash.prefix_of(b, 80, common)))
+    assert similar > 100 and len(simhash.prefix_of(pool[:0], 80, common)) == 0
+
+
 def test_similar_texts_are_found(spark):
     """Pairs of a similarity of 0.8 and more are linked, nine in ten at least; unrelated texts are not."""
     r = random.Random(13)
