@@ -12,8 +12,9 @@ forest of the links of a key leaves its task.
 Wide fingerprints propose links only: the sets of shingles of both ends are compared, and links of too small a similarity
 connect nothing. What they miss is found by an exact search behind them. Sets of a Jaccard similarity t share one of the first
 n - t n + 1 shingles in any order of all shingles, so texts meet by those; only pairs of different components are looked at, and
-of these only such as their sizes, the places of the shingle and the parities of their hashes leave possible. The order puts
-shingles last that are frequent in a sample: the sample bears on the work, not on what is found.
+of these only such as their sizes, the places of the shingle and the parities of their hashes leave possible. Pairs are listed for
+shingles of a few texts only. What the pairs of other shingles connect is a family, whose sets are compared together, and of such a
+shingle or a family no more than a spanning forest leaves its task. The order puts shingles last that are frequent in a sample: the sample bears on the work, not on what is found.
 """
 
 from __future__ import annotations
@@ -49,6 +50,10 @@ PARITIES = [f"odd_{w}" for w in range(4)]
 LISTS = ["odd", "prefix"]
 #: Shingles of several texts' prefixes that are broadcast at most; beyond it they are joined.
 BROADCAST_SHINGLES = 1 << 20
+#: Texts with a shingle in their prefixes up to which all pairs of them are listed.
+FEW = 8
+#: Hashes of shingles in a sub-block of a family of texts that may be similar.
+FAMILY_HASHES = 1 << 20
 #: Columns that tell sets of shingles apart.
 SHAPE = ["shape", "n"]
 #: What further words of a fingerprint are mixed with.
@@ -436,6 +441,84 @@ def _candidates(percent: int):
     return _by_group(3 + len(PARITIES), pairs)
 
 
+def _roots(part: np.ndarray) -> np.ndarray:
+    """The first place of each part."""
+    _, first, inverse = np.unique(part, return_index=True, return_inverse=True)
+    return first[inverse]
+
+
+def _possible(n: np.ndarray, odd: list[np.ndarray], root: np.ndarray, percent: int) -> Iterator[tuple[int, np.ndarray]]:
+    """For sets in the order of their sizes ``n``, each and the later ones of other roots that their sizes and parities leave possible.
+    ``root`` may change on the way."""
+    firsts = {w: next(i for i, o in enumerate(odd) if len(o) >= w) for w in {len(o) for o in odd}}
+    in_words = {w: np.stack([folded(o, w) for o in odd[first:]]) for w, first in firsts.items()}
+    for i, own in enumerate(odd):
+        js = np.arange(i + 1, np.searchsorted(n, 100 * n[i] // percent, "right"))
+        js = js[root[js] != root[i]]
+        apart = np.bitwise_count(in_words[len(own)][js - firsts[len(own)]] ^ own).sum(axis=1, dtype=np.int64)
+        js = js[(100 + percent) * (n[i] + n[js] - apart) >= 2 * percent * (n[i] + n[js])]
+        if len(js):
+            yield i, js
+
+
+def possible_links(part: np.ndarray, n: np.ndarray, at: np.ndarray, odd: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
+    """Links of a spanning forest of the pairs of different parts that the sizes of sets, the places ``at`` of what they share and the
+    parities of all their hashes leave possible."""
+    order = np.argsort(n, kind="stable")
+    n, at, own = n[order], at[order], _roots(part[order])
+    root, out = np.arange(len(n)), []
+    for i, js in _possible(n, [odd[i] for i in order], root, percent):
+        js = js[own[js] != own[i]]
+        js = js[(100 + percent) * (np.minimum(at[i], at[js]) + np.minimum(n[i] - at[i], n[js] - at[js])) >= percent * (n[i] + n[js])]
+        js = js[np.unique(root[js], return_index=True)[1]]
+        _merge(root, np.full(len(js), i), js)
+        out += [(int(order[i]), int(order[j])) for j in js]
+    return out
+
+
+def similar_links(part: np.ndarray, sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
+    """Links between sets (distinct hashes, ascending) that share at least ``percent`` of what they have together: such as join
+    different parts, and no more than a spanning forest of them."""
+    order = np.argsort([len(s) for s in sets], kind="stable")
+    n, root, out = np.array([len(sets[i]) for i in order], np.int64), _roots(part[order]), []
+    for i, js in _possible(n, [parities(sets[i]) for i in order], root, percent):
+        own = sets[order[i]]
+        others = np.concatenate([sets[j] for j in order[js]])
+        met = own[np.minimum(np.searchsorted(own, others), len(own) - 1)] == others
+        shared = np.add.reduceat(met, np.cumsum(np.append(0, n[js][:-1])), dtype=np.int64)
+        js = js[100 * shared >= percent * (n[i] + n[js] - shared)]
+        js = js[np.unique(root[js], return_index=True)[1]]
+        _merge(root, np.full(len(js), i), js)
+        out += [(int(order[i]), int(order[j])) for j in js]
+    return out
+
+
+def _within_groups(links: Callable[[np.ndarray, list[np.ndarray]], list[tuple[int, int]]]):
+    """Arrow function: rows of ``t, key, i, j, node, part``, maybe further longs, and a list of longs, sorted by the first four, to ``links``
+    of each group as nodes. ``links`` has the longs from ``part`` on, a row each, and the lists."""
+
+    def called(longs: list[tuple[int, ...]], lists: list[np.ndarray]) -> pa.RecordBatch:
+        told = np.array(longs, np.int64).T
+        found = links(told[1:], lists) if (told[1] != told[1, 0]).any() else []
+        at = np.array(found, np.int64).reshape(-1, 2)
+        return _links(told[0, at[:, 0]], told[0, at[:, 1]])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        longs, lists, last = [], [], None
+        for batch in batches:
+            for at, x in enumerate(zip(*[c.to_pylist() for c in batch.columns[:-1]])):
+                if x[:4] != last and longs:
+                    yield called(longs, lists)
+                    longs, lists = [], []
+                last = x[:4]
+                longs.append(x[4:])
+                lists.append(batch.columns[-1][at].values.to_numpy().astype(np.int64).view(np.uint64))
+        if longs:
+            yield called(longs, lists)
+
+    return run
+
+
 def _by_group(n_words: int, links: Callable[[np.ndarray, np.ndarray, np.ndarray], Iterator[pa.RecordBatch]]):
     """Arrow function: rows of ``t, key, i, j, node`` and at their end so many longs, sorted by the first four, to ``links`` of
     nodes, words and numbers of groups, some whole groups at a time."""
@@ -501,21 +584,68 @@ def near_links(
     return owning(_dealt(split, *columns).mapInArrow(_forests(radius, words, forests), "u long, v long"), hot)
 
 
-def missed_links(distinct: DataFrame, found: DataFrame, percent: int) -> DataFrame:
-    """Pairs ``u, v`` of nodes in different components of ``found`` (``_node, root``), all that have ``percent`` of Jaccard similarity
-    among them: those that share a shingle of their prefixes and that their sizes, its places and their parities leave possible.
+def missed_links(distinct: DataFrame, found: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+    """What may be similar (``percent`` of Jaccard similarity) in different components of ``found`` (``_node, root``): nodes that share a
+    shingle of their prefixes and that their sizes, its places and their parities leave possible. Two frames of ``u, v``: all such pairs
+    that share a shingle of ``FEW`` prefixes at most, fewer than ``FEW`` for each of them; and of each other shingle a spanning forest of
+    such pairs, so that each of them is within what the second frame connects.
 
     ``distinct``: a written table of ``node, n, prefix`` and parities. Keys are counted first: most shingles are one text's alone, and
     only rows of the others are looked up and compared."""
     bounded_batches(distinct.sparkSession)
     keyed = distinct.select("node", F.posexplode("prefix").alias("at", "key"))
-    live = materialise(keyed.groupBy("key").count().where("count > 1").select("key", F.ceil(F.col("count") / SUB_BLOCK).cast("int").alias("parts")), "live")
+    counts = keyed.groupBy("key").count().where("count > 1").select("key", (F.col("count") > FEW).alias("many"), F.ceil(F.col("count") / SUB_BLOCK).cast("int").alias("parts"))
+    live = materialise(counts, "live")
     met = materialise(keyed.join(F.broadcast(live) if live.count() <= BROADCAST_SHINGLES else live, "key"), "met")
-    told = distinct.select("node", "n", *PARITIES).join(found, F.col("node") == F.col("_node"), "left")
-    facts = materialise(told.select("node", F.coalesce("root", "node").alias("part"), "n", *PARITIES), "facts")
-    split = met.join(facts, "node").withColumn("t", F.lit(0))
-    pairs = _dealt(split, "node", "part", "n", "at", *PARITIES).mapInArrow(_candidates(percent), "u long, v long")
-    return owning(pairs, live, met, facts)
+    facts = materialise(_with_part(distinct, found).select("node", "part", "n", *PARITIES, "odd"), "facts")
+    split = lambda many: met.where("many" if many else "not many").join(facts, "node").withColumn("t", F.lit(0))
+    pairs = _dealt(split(False), "node", "part", "n", "at", *PARITIES).mapInArrow(_candidates(percent), "u long, v long")
+    within = _within_groups(lambda told, odd: possible_links(told[0], told[1], told[2], odd, percent))
+    forests = _dealt(split(True), "node", "part", "n", "at", "odd").mapInArrow(within, "u long, v long")
+    return owning(pairs, live, met, facts), forests
+
+
+def _with_part(distinct: DataFrame, found: DataFrame) -> DataFrame:
+    """``distinct`` and the component of each node in ``found`` (``_node, root``) as ``part``, itself where it has none."""
+    return distinct.join(found, F.col("node") == F.col("_node"), "left").withColumn("part", F.coalesce("root", "node")).drop("_node", "root")
+
+
+def shingle_sets(ends: DataFrame, distinct: DataFrame, df: DataFrame, text_col: str, k: int, row: tuple[str, ...]) -> DataFrame:
+    """A written table ``node, hashes`` for the nodes ``ends`` (``node``, each once). ``distinct``: a written table of ``node, least``; ``row``:
+    columns of ``df`` by which the row of ``least`` is found."""
+    places = materialise(distinct.join(ends, "node").select("node", *[F.col(f"least.row_{i}").alias(f"row_{i}") for i in range(len(row))]), "places")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at, text in enumerate(byte_texts(batch, "text")):
+                hashes = pa.array([shingle_set(text, k).view(np.int64)], pa.list_(pa.int64()))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, 1), hashes], names=["node", "hashes"])
+
+    same = reduce(and_, [df[c] == places[f"row_{i}"] for i, c in enumerate(row)])
+    texts = df.join(places, same).select(places["node"], df[text_col].cast("string").alias("text"))
+    sets = materialise(texts.mapInArrow(run, "node long, hashes array<long>"), "shingles")
+    discard(places)
+    return sets
+
+
+def searched(missed: DataFrame, found: DataFrame, distinct: DataFrame, df: DataFrame, text_col: str, k: int, row: tuple[str, ...], percent: int) -> DataFrame:
+    """A written table of links ``u, v``: of what ``missed`` connects, all that two nodes of ``percent`` of Jaccard similarity in different
+    components of ``found`` need to be in one.
+
+    What ``missed`` connects is a family. Each text of a family is cut into shingles once, and its family's sets are compared where they
+    meet; of families with more than ``FAMILY_HASHES`` hashes, pairs of sub-blocks go to different tasks. Only forests leave a task."""
+    stars = components(missed)
+    families = materialise(stars.select(F.col("node").alias("_member"), F.col("root").alias("key")), "families")
+    discard(stars)
+    sets = shingle_sets(families.select(F.col("_member").alias("node")), distinct, df, text_col, k, row)
+    parted = _with_part(distinct.select("node", "n"), found)
+    members = materialise(parted.join(families, F.col("node") == F.col("_member")).drop("_member"), "members")
+    hot = materialise(members.groupBy("key").agg(F.ceil(F.sum("n") / FAMILY_HASHES).cast("int").alias("parts")).where("parts > 1"), "large")
+    n_hot = hot.count()
+    split = members.join(F.broadcast(hot) if n_hot <= BROADCAST_KEYS else hot, "key", "left").join(sets, "node").withColumn("t", F.lit(0))
+    alike = materialise(_dealt(split, "node", "part", "hashes").mapInArrow(_within_groups(lambda told, sets: similar_links(told[0], sets, percent)), "u long, v long"), "alike")
+    discard(families, sets, members, hot)
+    return alike
 
 
 def verified(links: DataFrame, distinct: DataFrame, df: DataFrame, text_col: str, k: int, row: tuple[str, ...], percent: int) -> DataFrame:
@@ -545,22 +675,12 @@ def verified(links: DataFrame, distinct: DataFrame, df: DataFrame, text_col: str
         wide, pairs = pairs, materialise(told.mapInArrow(possible, "u long, v long, n_u long, n_v long"), "possible")
         discard(wide)
     ends = pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct()
-    places = materialise(distinct.join(ends, "node").select("node", *[F.col(f"least.row_{i}").alias(f"row_{i}") for i in range(len(row))]), "places")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at, text in enumerate(byte_texts(batch, "text")):
-                hashes = pa.array([shingle_set(text, k).view(np.int64)], pa.list_(pa.int64()))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, 1), hashes], names=["node", "hashes"])
-
-    same = reduce(and_, [df[c] == places[f"row_{i}"] for i, c in enumerate(row)])
-    texts = df.join(places, same).select(places["node"], df[text_col].cast("string").alias("text"))
-    sets = materialise(texts.mapInArrow(run, "node long, hashes array<long>"), "shingles")
+    sets = shingle_sets(ends, distinct, df, text_col, k, row)
     own = lambda end: sets.select(F.col("node").alias(end), F.col("hashes").alias(f"of_{end}"))
     both = pairs.join(own("u"), "u").join(own("v"), "v")
     shared = F.size(F.array_intersect("of_u", "of_v")).cast("long")
     alike = materialise(both.where(100 * shared >= percent * (F.col("n_u") + F.col("n_v") - shared)).select("u", "v"), "alike")
-    discard(once, pairs, places, sets)
+    discard(once, pairs, sets)
     return alike
 
 
@@ -620,9 +740,11 @@ def near_duplicates(
         discard(proposed)
     found = connected(links)
     if exact:
-        missed = missed_links(distinct, found, percent)
-        more = verified(missed, distinct, df, text_col, k, row, percent)
-        discard(missed)
+        pairs, forests = missed_links(distinct, found, percent)
+        alone = verified(pairs, distinct, df, text_col, k, row, percent)
+        inside = searched(forests, found, distinct, df, text_col, k, row, percent)
+        more = owning(alone.unionByName(inside), alone, inside)
+        discard(pairs)
         if more.head(1):
             discard(found)
             found = connected(links.unionByName(more))

@@ -231,6 +231,59 @@ def test_no_similar_pair_is_missed(spark, monkeypatch):
     assert found() == wanted
 
 
+def test_what_the_search_lists_grows_with_a_family(spark, monkeypatch):
+    """Texts that are all alike by less than 0.8, and a few more alike: pairs are not listed, and none of 0.8 is missed."""
+    made, missed_links = [], simhash.missed_links
+
+    def counted(*args):
+        pairs, forests = missed_links(*args)
+        made[-1] += pairs.count() + forests.count()
+        return pairs, forests
+
+    monkeypatch.setattr(simhash, "missed_links", counted)
+    monkeypatch.setattr(simhash, "FIRST_TABLES", 1)
+    monkeypatch.setattr(simhash, "FAMILY_HASHES", 4000)  # sub-blocks
+    for m in (40, 160):
+        r = random.Random(17)
+        rows, frame_of = [], [f"all{i}" for i in range(200)]
+        for k in range(m):
+            own = [f"w{r.randrange(10**6)}" for _ in range(40)]
+            rows.append((k, " ".join(frame_of + own)))
+            if k % 20 == 0:
+                rows.append((1000 + k, " ".join(frame_of + own[:-12] + [f"new{k}_{i}" for i in range(12)])))
+        true = true_similar([t for _, t in rows])
+        made.append(0)
+        found = simhash.near_duplicates(frame(spark, rows), **simhash.SIMILAR).select("doc_id", "component_id").collect()
+        assert sorted(tuple(x) for x in found) == sorted((i, rows[root][0]) for root, (i, _) in zip(true, rows))
+        assert m <= len(set(true)) <= len(rows)
+    assert 0 < made[1] < 6 * made[0]
+
+
+def test_forests_of_possible_and_similar_sets():
+    """They connect what all similar pairs do, with no more links than parts to join."""
+    r = np.random.default_rng(18)
+    sets = []
+    for _ in range(6):
+        base = np.unique(r.integers(0, 1 << 63, int(r.integers(5, 900)), dtype=np.uint64))
+        for _ in range(12):
+            kept = base[r.random(len(base)) < r.uniform(0.75, 1)]
+            sets.append(np.union1d(kept, r.integers(0, 1 << 63, int(len(base) * r.uniform(0, 0.1)) + 1, dtype=np.uint64)))
+    part = r.integers(100, 160, len(sets))
+    true = np.array([[100 * len(np.intersect1d(a, b)) >= 80 * len(np.union1d(a, b)) for b in sets] for a in sets])
+
+    def joined(links):
+        root = simhash._roots(part)
+        simhash._merge(root, *np.array(list(links), int).reshape(-1, 2).T)
+        return root
+
+    wanted = joined(zip(*np.nonzero(true)))
+    links = simhash.similar_links(part, sets, 80)
+    assert (joined(links) == wanted).all() and len(links) == len(set(part)) - len(set(wanted)) and all(true[i, j] for i, j in links)
+    n = np.array([len(s) for s in sets])
+    wide = joined(simhash.possible_links(part, n, np.zeros(len(n), int), [simhash.parities(s) for s in sets], 80))
+    assert all(wide[i] == wide[j] for i, j in zip(*np.nonzero(true)))
+
+
 @pytest.mark.parametrize("n_common", [0, 300])
 def test_prefixes_and_parities(n_common):
     """Similar sets share a hash of their prefixes, and differ in as many members as parities at least."""
