@@ -47,8 +47,15 @@ def weighted(counts: DataFrame, idf: DataFrame, *by: str) -> DataFrame:
 
 
 def ctfidf(counts: DataFrame, by: str = "topic_nr") -> DataFrame:
-    """``topic_nr, term, n, weight``."""
-    return weighted(counts, term_idf(counts, by), by)
+    """``topic_nr, term, n, weight``, over a written table. Terms are counted once; what a class sums up to is one row for each class,
+    which is broadcast, and the rows of a term, one for each class at most, meet by the term alone: no task has a whole class."""
+    counts = materialise(counts, "counts")
+    sums = counts.groupBy(by).agg(F.sum("n").alias("total"))
+    named = F.collect_list(F.when(F.col(by).isNotNull(), F.struct(by, "total")))  # rows without a class count for the terms only
+    whole = sums.agg(F.map_from_entries(named).alias("totals"), F.floor(F.sum("total") / F.count(by)).alias("a"))
+    seen = counts.withColumn("f", F.sum("n").over(Window.partitionBy("term"))).where(F.col(by).isNotNull()).join(F.broadcast(whole))
+    weight = frequency(F.col("n"), F.col("totals")[F.col(by)]) * F.log(1 + F.col("a") / F.col("f"))
+    return owning(seen.select(by, "term", "n", weight.alias("weight")), counts)
 
 
 def top_words(weights: DataFrame, s: Settings = Settings()) -> DataFrame:

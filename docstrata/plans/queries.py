@@ -436,7 +436,8 @@ def _weights(spark, sf):
 
 
 def _top(spark, sf):
-    return topics.top_words(_weights(spark, sf))
+    weights = _weights(spark, sf)
+    return owning(topics.top_words(weights), weights)
 
 
 @query(f"WITH {CTFIDF} SELECT topic_nr, term, n FROM counts")
@@ -446,7 +447,8 @@ def ngram_counts(spark, sf):
 
 @query(f"WITH {CTFIDF} SELECT topic_nr, term, round(weight, 6) AS weight FROM weights")
 def ctfidf(spark, sf):
-    return _weights(spark, sf).select("topic_nr", "term", F.round("weight", 6).alias("weight"))
+    found = _weights(spark, sf)
+    return owning(found.select("topic_nr", "term", F.round("weight", 6).alias("weight")), found)
 
 
 @query(f"WITH {TOP} SELECT topic_nr, rank, term, round(weight, 6) AS weight FROM top")

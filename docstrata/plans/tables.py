@@ -12,8 +12,9 @@ from pyspark.sql import functions as F
 PREFIXES = ("* ", "Table ", "see http://a.b/c ", "me@a.org ", "cli- mate ", "Use coal, e.g. ", "", "")
 
 
-#: A table with fewer bytes for each core is dealt out anew: a small file may be one row group, and so one task.
-SPREAD_BYTES = 32 << 20
+#: Bytes of a stored table in one piece. A small file may be one row group, and so one task; a large one has tasks of 128 MB, and a
+#: task that cuts texts into words or pairs of words makes many times what it reads.
+PIECE_BYTES = 4 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,10 +22,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def spread(rows: DataFrame) -> DataFrame:
-    """Rows over all cores if the table is small; large tables stay as their files divide them, and nothing moves."""
+    """Rows over all cores, in pieces of a bounded size, however large the table is."""
     cores = rows.sparkSession.sparkContext.defaultParallelism
     known = int(rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
-    return rows.repartition(cores) if known < SPREAD_BYTES * cores else rows
+    return rows.repartition(max(cores, -(-known // PIECE_BYTES)))
 
 
 def overview(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,11 +1,14 @@
 """Small cases of operators on tables."""
 
+import math
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from docstrata.config import Settings
 from docstrata.operators import catalogue, clustering, layout, pages, topics, vectors
+from docstrata.plans import tables
 
 
 def rows(df, *order):
@@ -185,3 +188,28 @@ def test_neighbours_in_many_blocks(spark, monkeypatch):
         order = sorted((j for j in range(300) if j != i), key=lambda j: (-sims[i, j], j))[:5]
         assert [n for k, _, n, _ in whole if k == i] == order
     assert vectors.nearest(df, df.limit(0), k=5).collect() == [] and vectors.nearest(df.limit(0), df, k=5).collect() == []
+
+
+def test_pieces_of_a_table_are_bounded(spark, tmp_path, monkeypatch):
+    """A larger table has more pieces, not larger ones."""
+    spark.range(20_000).write.parquet(f"{tmp_path}/t.parquet")
+    rows = tables.table(spark, str(tmp_path), "t")
+    monkeypatch.setattr(tables, "PIECE_BYTES", 1000)
+    assert tables.spread(rows).rdd.getNumPartitions() > 2 * spark.sparkContext.defaultParallelism
+
+
+def test_terms_meet_without_their_classes(spark):
+    """No rows are moved by class, and terms without a class count for the others' idf only."""
+    counts = spark.createDataFrame([(0, "a", 2), (0, "b", 6), (1, "a", 4), (None, "a", 9)], "topic_nr int, term string, n long")
+    found = topics.ctfidf(counts)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(term" in plan and "hashpartitioning(topic_nr" not in plan.split("BroadcastExchange")[0]
+    got = {(x["topic_nr"], x["term"]): x["weight"] for x in found.collect()}
+    idf = {"a": math.log(1 + 10 / 15), "b": math.log(1 + 10 / 6)}
+    wanted = {(0, "a"): (2 / 8) ** 0.5 * idf["a"], (0, "b"): (6 / 8) ** 0.5 * idf["b"], (1, "a"): idf["a"]}
+    assert got == pytest.approx(wanted)
+
+
+def test_lines_move_to_their_page_once(spark):
+    words = spark.createDataFrame([("m", 0, 1, 0, 0, 0, 9.0, "a")], "md5 string, page_no int, word_no long, block_num int, par_num int, line_num int, conf double, text string")
+    assert layout.page_paragraphs(words)._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 2
