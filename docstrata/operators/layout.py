@@ -45,5 +45,6 @@ def paragraphs(numbered: DataFrame) -> DataFrame:
 
 
 def page_paragraphs(words: DataFrame, s: Settings = Settings()) -> DataFrame:
-    """From words to ``md5, page_no, par_idx, paragraph, n_lines, row_index``."""
-    return paragraphs(numbered_lines(lines(fit_words(words, s))))
+    """From words to ``md5, page_no, par_idx, paragraph, n_lines, row_index``. Lines move to their page once; numbers, paragraphs and
+    rows are found where they are then."""
+    return paragraphs(numbered_lines(lines(fit_words(words, s)).repartition(*PAGE)))
