@@ -21,11 +21,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def spread(rows: DataFrame) -> DataFrame:
-    """Rows over all cores, in pieces of a bounded size, however large the table is."""
+def spread(rows: DataFrame, *by: str) -> DataFrame:
+    """Rows over all cores, in pieces of a bounded size, however large the table is; dealt by keys if any are given, so that a join
+    on them takes the pieces as they are."""
     cores = rows.sparkSession.sparkContext.defaultParallelism
     known = int(rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
-    return rows.repartition(max(cores, -(-known // PIECE_BYTES)))
+    return rows.repartition(max(cores, -(-known // PIECE_BYTES)), *by)
 
 
 def overview(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -102,7 +103,7 @@ OCR_WORDS = f"""{BLOCKS}, ocr_words AS (
 def topic_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``doc_id, topic_nr, paragraph`` of the documents that have a vector; every seventh is an outlier."""
     e = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("doc_id"), F.when(F.col("vec_id") % 7 == 0, F.lit(-1)).otherwise(F.col("label")).alias("topic_nr"))
-    return e.join(spread(table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("paragraph"))), "doc_id")
+    return e.join(spread(table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("paragraph")), "doc_id"), "doc_id")
 
 
 TOPIC_DOCS = """topic_docs AS (

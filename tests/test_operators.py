@@ -1,6 +1,7 @@
 """Small cases of operators on tables."""
 
 import math
+import zlib
 
 import numpy as np
 import pytest
@@ -9,6 +10,7 @@ from pyspark.sql import functions as F
 from docstrata.config import Settings
 from docstrata.operators import catalogue, clustering, layout, pages, topics, vectors
 from docstrata.plans import tables
+from docstrata.plans.embedding import HashedNgrams, embedded
 
 
 def rows(df, *order):
@@ -213,3 +215,35 @@ def test_terms_meet_without_their_classes(spark):
 def test_lines_move_to_their_page_once(spark):
     words = spark.createDataFrame([("m", 0, 1, 0, 0, 0, 9.0, "a")], "md5 string, page_no int, word_no long, block_num int, par_num int, line_num int, conf double, text string")
     assert layout.page_paragraphs(words)._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 2
+
+
+def test_each_text_is_embedded_once(spark):
+    """Inferred filters repeated the embedder, and moved it below the join with the documents that have a vector."""
+    seen = spark.sparkContext.accumulator(0)
+
+    class Counted:
+        def embed(self, texts, dim):
+            seen.add(len(texts))
+            return np.ones((len(texts), dim))
+
+    kept = spark.createDataFrame([(1,), (2,)], "k long")
+    docs = kept.join(spark.createDataFrame([(i, "aa bb cc dd ee ff gg") for i in range(40)], "k long, paragraph string").repartition(2), "k")
+    vectors.centroids(docs.select("k", embedded(F.col("paragraph"), Counted(), 4).alias("embedding")), "k").collect()
+    assert seen.value == 2
+    known = spark.createDataFrame([(0, [1.0, 1.0, 1.0, 1.0])], "topic_nr int, embedding array<double>")
+    topics.embedded_distribution(docs, "k", known, lambda c: embedded(c, Counted(), 4)).collect()
+    assert seen.value == 2 + 2 * 2
+
+
+def test_hashed_ngrams_count_pieces():
+    text = "One two two\n" * 9 + "\u00e9t\u00e9 " + "x" * 70
+    row = np.zeros(8)
+    for word in text.lower().split():
+        for piece in (word, *(f"^{word}$"[i : i + 3] for i in range(len(word)))):
+            h = zlib.crc32(piece.encode())
+            row[h % 8] += 1 if h >> 16 & 1 else -1
+    small = HashedNgrams()
+    small.SLAB = 4
+    for embedder in (HashedNgrams(), small):
+        assert (embedder.embed(["", text, "one"], 8)[:2] == [np.zeros(8), row / np.linalg.norm(row)]).all()
+    assert HashedNgrams().embed([], 8).shape == (0, 8)
