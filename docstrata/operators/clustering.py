@@ -100,14 +100,18 @@ def leaves(tree: np.ndarray, n: int, min_cluster_size: int) -> np.ndarray:
     return labels
 
 
-def _compared(vectors: DataFrame, key: str, vector: str, keys: np.ndarray, found: Callable[..., list[np.ndarray]], schema: str) -> DataFrame:
-    """What ``found`` makes of the places in ``keys`` of some vectors and of others, and of their distances; all pairs."""
+def _compared(vectors: DataFrame, key: str, vector: str, keys: np.ndarray, found: Callable[..., list[np.ndarray]], schema: str, asked: Callable[[np.ndarray], np.ndarray] | None = None) -> DataFrame:
+    """What ``found`` makes of the places in ``keys`` of some vectors and of others, and of their distances; all pairs, or those
+    whose first place is ``asked`` for."""
     places = vectors.sparkSession.sparkContext.broadcast(keys)
 
     def run(own: np.ndarray, x: np.ndarray, others: np.ndarray, y: np.ndarray) -> Iterator[list[np.ndarray]]:
         j, squares = np.searchsorted(places.value, others), (y * y).sum(axis=1)
+        own = np.searchsorted(places.value, own)
+        if asked:
+            own, x = own[asked(own)], x[asked(own)]
         for a in range(0, len(own), 256):
-            i, z = np.searchsorted(places.value, own[a : a + 256]), x[a : a + 256]
+            i, z = own[a : a + 256], x[a : a + 256]
             d = np.sqrt(np.maximum((z * z).sum(axis=1)[:, None] + squares[None, :] - 2 * z @ y.T, 0))
             d[i[:, None] == j[None, :]] = 0
             yield found(i, j, d)
@@ -117,7 +121,7 @@ def _compared(vectors: DataFrame, key: str, vector: str, keys: np.ndarray, found
 
 def spanning_tree_by_blocks(vectors: DataFrame, key: str, vector: str, keys: np.ndarray, min_samples: int) -> np.ndarray:
     """``spanning_tree`` of the mutual reachability of all vectors (Boruvka): in each round every component finds its
-    shortest edge to another. ``keys``: theirs, sorted. The driver holds a component and a core distance for each vector."""
+    shortest edge to another, but for the largest, which the others' edges reach. ``keys``: theirs, sorted. The driver holds a component and a core distance for each vector."""
     sc, n = vectors.sparkSession.sparkContext, len(keys)
     m = min(min_samples, n)
     least = lambda i, j, d: [i, np.sort(np.partition(d, min(m, len(j)) - 1, axis=1)[:, :m], axis=1)]
@@ -125,19 +129,21 @@ def spanning_tree_by_blocks(vectors: DataFrame, key: str, vector: str, keys: np.
     core, component, edges = np.zeros(n), np.arange(n), []
     core[cores["i"].to_numpy()] = cores["core"].to_numpy()
     while len(edges) < n - 1:
-        state = sc.broadcast((core, component))
+        state = sc.broadcast((core, component, np.bincount(component).argmax() if len(edges) else -1))
 
         def shortest(i: np.ndarray, j: np.ndarray, d: np.ndarray, state=state) -> list[np.ndarray]:
-            core, component = state.value
+            core, component, _ = state.value
             d = np.maximum(d, np.maximum(core[i][:, None], core[j][None, :]))
             d[component[i][:, None] == component[j][None, :]] = np.inf
             w = d.min(axis=1)
-            lo, hi = np.minimum(i[:, None], j[None, :]), np.maximum(i[:, None], j[None, :])
-            code = np.where(d == w[:, None], lo * n + hi, np.iinfo(np.int64).max).min(axis=1)
+            row, col = np.nonzero(d == w[:, None])
+            code = np.full(len(i), np.iinfo(np.int64).max)
+            np.minimum.at(code, row, np.minimum(i[row], j[col]) * n + np.maximum(i[row], j[col]))
             on = np.isfinite(w)
             return [component[i][on], w[on], code[on]]
 
-        found = _compared(vectors, key, vector, keys, shortest, "c long, w double, e long").groupBy("c").agg(F.min(F.struct("w", "e")).alias("b")).select("b.w", "b.e").distinct().orderBy("w", "e").toPandas()
+        asked = lambda i, state=state: state.value[1][i] != state.value[2]
+        found = _compared(vectors, key, vector, keys, shortest, "c long, w double, e long", asked).groupBy("c").agg(F.min(F.struct("w", "e")).alias("b")).select("b.w", "b.e").distinct().orderBy("w", "e").toPandas()
         parent = np.arange(n)
 
         def find(a: int) -> int:

@@ -247,3 +247,17 @@ def test_hashed_ngrams_count_pieces():
     for embedder in (HashedNgrams(), small):
         assert (embedder.embed(["", text, "one"], 8)[:2] == [np.zeros(8), row / np.linalg.norm(row)]).all()
     assert HashedNgrams().embed([], 8).shape == (0, 8)
+
+
+def test_the_largest_component_is_not_compared_again(spark, monkeypatch):
+    asked, plain = [], clustering._compared
+
+    def counted(rows, key, vector, keys, found, schema, wanted=None):
+        asked.append(sum(wanted(np.arange(len(keys)))) if wanted else len(keys))
+        return plain(rows, key, vector, keys, found, schema, wanted)
+
+    monkeypatch.setattr(clustering, "_compared", counted)
+    x = blobs()
+    tree = clustering.spanning_tree_by_blocks(vector_rows(spark, x), "vec_id", "embedding", np.arange(len(x)), 5)
+    assert np.allclose(tree[:, 2], clustering.spanning_tree(clustering.mutual_reachability(x, 5))[:, 2], atol=1e-6)
+    assert asked[:2] == [132, 132] and all(n < 132 for n in asked[2:])
