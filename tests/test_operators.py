@@ -261,3 +261,14 @@ def test_the_largest_component_is_not_compared_again(spark, monkeypatch):
     tree = clustering.spanning_tree_by_blocks(vector_rows(spark, x), "vec_id", "embedding", np.arange(len(x)), 5)
     assert np.allclose(tree[:, 2], clustering.spanning_tree(clustering.mutual_reachability(x, 5))[:, 2], atol=1e-6)
     assert asked[:2] == [132, 132] and all(n < 132 for n in asked[2:])
+
+
+def test_documents_are_dealt_once_by_their_key(spark, sf):
+    """The join took pieces dealt at random and dealt them anew, into tasks of any size."""
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = tables.topic_docs(spark, sf)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert "RoundRobin" not in plan and plan.count("Exchange hashpartitioning") == 2
