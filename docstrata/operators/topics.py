@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from docstrata.config import Settings
 from docstrata.functions import text as T
 from docstrata.operators.catalogue import rank_within
+from docstrata.operators.shares import term_distribution
 from docstrata.sources.shared import discard, materialise, owning
 
 OUTLIER = -1
@@ -110,24 +111,6 @@ def similarities(own: DataFrame, terms: DataFrame, *key: str) -> DataFrame:
     return dots.join(length, list(key)).select(*key, "topic_nr", (F.col("dot") / F.col("length")).alias("sim"))
 
 
-def window_similarities(own: DataFrame, terms: DataFrame, key: str, least: float) -> DataFrame:
-    """``key, window_no, topic_nr, sim`` as for ``similarities``, but only those of ``least`` or more. ``own``: ``key, window_no,
-    term, n``; a window's terms are few.
-
-    No topic can be more like a window than the sum, over the window's terms, of the term's weight in the window times its
-    greatest weight in any topic. Windows whose sum stays below ``least`` are left out before their terms meet topics."""
-    inside = terms.select("term", "idf", F.filter("topics", lambda x: x["topic_nr"] != OUTLIER).alias("topics"))
-    told = inside.select("term", "idf", "topics", F.coalesce(F.array_max(F.transform("topics", lambda x: x["weight"])), F.lit(0.0)).alias("most"))
-    weight = F.sqrt("n") * F.col("idf")
-    met = own.join(told, "term").select(key, "window_no", weight.alias("w"), "most", "topics").repartition(key)
-    parts = F.collect_list(F.struct("w", "topics"))
-    whole = met.groupBy(key, "window_no").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("length"), F.sum(F.col("w") * F.col("most")).alias("reach"), parts.alias("parts"))
-    alive = whole.where(F.col("reach") >= F.col("length") * (least - 1e-9)).select(key, "window_no", "length", F.explode("parts").alias("p"))
-    dots = alive.select(key, "window_no", "length", F.col("p.w").alias("w"), F.explode("p.topics").alias("t"))
-    summed = dots.groupBy(key, "window_no", F.col("t.topic_nr").alias("topic_nr")).agg((F.sum(F.col("w") * F.col("t.weight")) / F.first("length")).alias("sim"))
-    return summed.where(F.col("sim") >= least)
-
-
 def reassigned(docs: DataFrame, key: str, text: str = "paragraph", s: Settings = Settings()) -> DataFrame:
     """``key, topic_nr, new_topic``: outliers go to the topic most like them, if any is like enough; of equals the least.
     ``docs``: ``key, topic_nr`` and a text."""
@@ -170,13 +153,7 @@ def shares(sims: DataFrame, key: str, s: Settings = Settings()) -> DataFrame:
 
 def topic_distribution(docs: DataFrame, key: str, text: str = "paragraph", s: Settings = Settings()) -> DataFrame:
     """``key, topic_nr, weight`` by the terms of a document's windows. Only topics with a weight have a row."""
-    terms = term_table(docs, text, s)
-    seen = docs.select(key, T.tokens(F.col(text)).alias("_words"))
-    seen = seen.select(key, F.posexplode(T.windows(F.col("_words"), s)).alias("window_no", "_words"))
-    found = seen.select(key, "window_no", F.explode(F.array(T.ngrams(F.col("_words")))).alias("_terms"))
-    counted = F.transform(F.array_distinct("_terms"), lambda t: F.struct(t.alias("term"), F.size(F.filter("_terms", lambda x: x == t)).alias("n")))
-    own = found.select(key, "window_no", F.explode(counted).alias("t")).select(key, "window_no", "t.term", "t.n")  # a window's terms are few
-    return owning(shares(window_similarities(own, terms, key, s.min_similarity), key, s), terms)
+    return term_distribution(docs, key, text, s)
 
 
 def embedded_distribution(docs: DataFrame, key: str, topics: DataFrame, embed: Callable[[Column], Column], text: str = "paragraph", s: Settings = Settings()) -> DataFrame:

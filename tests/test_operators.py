@@ -272,3 +272,47 @@ def test_documents_are_dealt_once_by_their_key(spark, sf):
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
     assert "RoundRobin" not in plan and plan.count("Exchange hashpartitioning") == 2
+
+
+def test_shares_of_topics_by_terms_in_small_blocks(spark, monkeypatch):
+    """Against a loop over windows, with repeated keys, texts and topics that are missing, whatever the size of blocks. Windows' terms
+    are not rows any more."""
+    import math
+    from collections import Counter, defaultdict
+
+    from docstrata.operators import shares
+
+    r = np.random.default_rng(3)
+    texts = [" ".join(f"w{i}" for i in r.zipf(1.5, n) % 40 + 10) for n in r.integers(0, 60, 40)]
+    data = [(i // 2 if i < 6 else i, [-1, 0, 1, 2, None][i % 5], t) for i, t in enumerate(texts)] + [(50, 1, None), (51, 0, "lone")]
+    words = [(k, t, (text or "").split()) for k, t, text in data]
+    terms = lambda w: w + [f"{a} {b}" for a, b in zip(w, w[1:])]
+    by_topic, of, wins = defaultdict(Counter), Counter(), defaultdict(Counter)
+    for k, t, w in words:
+        by_topic[t].update(terms(w))
+        of.update(terms(w))
+        for no, i in enumerate(range(0, max(len(w) - 5, 0) + 1, 2) if w else []):
+            wins[k, no].update(terms(w[i : i + 5]))
+    known = [t for t in by_topic if t is not None]
+    idf = {x: math.log(1 + sum(of.values()) // len(known) / n) for x, n in of.items()}
+    weight = {t: {x: math.sqrt(n / by_topic[t].total()) * idf[x] for x, n in by_topic[t].items()} for t in known}
+    length = {t: math.sqrt(sum(v * v for v in weight[t].values())) for t in known}
+    sums = defaultdict(lambda: defaultdict(float))
+    for (k, _), c in wins.items():
+        own = {x: math.sqrt(n) * idf[x] for x, n in c.items()}
+        for t in known:
+            sim = sum(v * weight[t].get(x, 0) for x, v in own.items()) / length[t] / math.sqrt(sum(v * v for v in own.values()))
+            if t != -1 and sim >= 0.02:
+                sums[k][t] += sim
+    wanted = {(k, t): x / sum(of_key.values()) for k, of_key in sums.items() for t, x in of_key.items()}
+    docs = spark.createDataFrame(data, "k long, topic_nr int, paragraph string")
+    for sizes in ((1 << 18, 1 << 20, 1 << 18), (30, 50, 20)):
+        for name, size in zip(("BLOCK_WORDS", "BUCKET_TERMS", "SLAB"), sizes):
+            monkeypatch.setattr(shares, name, size)
+        found = topics.topic_distribution(docs, "k", s=Settings(min_similarity=0.02))
+        got = {(x["k"], x["topic_nr"]): x["weight"] for x in found.collect()}
+        assert got.keys() == wanted.keys() and all(abs(got[x] - wanted[x]) < 1e-9 for x in got)
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        assert "Join" not in plan and "window_no" not in plan
+    nothing = topics.topic_distribution(docs.where("paragraph IS NULL"), "k")
+    assert nothing.collect() == [] and nothing.columns == ["k", "topic_nr", "weight"]
