@@ -7,6 +7,7 @@ distances are worked out block by block on all cores, and one task has the spann
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from concurrent.futures import ThreadPoolExecutor
 
 import numpy as np
 import pandas as pd
@@ -15,11 +16,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docstrata.config import Settings
-from docstrata.operators.vectors import compared, components, nearest, rescaled, unit
-from docstrata.sources.shared import discard, materialise
+from docstrata.operators.neighbours import neighbours
+from docstrata.operators.vectors import compared, components, rescaled, unit
+from docstrata.sources.shared import discard, materialise, owning
 
 #: Vectors that one task compares at once: their distance matrix takes 200 MB.
 FIT_ROWS = 5000
+#: Edges of a layout's graph that are worked out at once, and on how many threads: the layout is its stage's only task.
+SLAB, THREADS = 1 << 14, 4
 
 
 # --- density clustering
@@ -232,31 +236,47 @@ def layout(order: np.ndarray, distances: np.ndarray, init: np.ndarray, seed: int
     head, tail, w = fuzzy_union(order, fuzzy_weights(distances, k))
     a, b = 1.93, 0.79  # the curve for least distance 0 and spread 1
     p = w / w.max()
-    r, y = np.random.Generator(np.random.PCG64(seed)), init * 1e4 * 10
+    r, y, pool = np.random.Generator(np.random.PCG64(seed)), (init * 1e4 * 10).T, ThreadPoolExecutor(THREADS)
     for epoch in range(epochs):
         rate = 1 - epoch / epochs
         on = r.random(len(p)) < p
         i, j = head[on], tail[on]
-        diff = y[i] - y[j]
-        d2 = (diff * diff).sum(axis=1, keepdims=True)
-        pull = np.clip(-2 * a * b * np.power(d2, b - 1, where=d2 > 0, out=np.zeros_like(d2)) / (1 + a * d2**b) * diff, -4, 4) * rate
-        np.add.at(y, i, pull)
-        np.add.at(y, j, -pull)
-        far = r.integers(0, n, (len(i), 5))
-        diff = y[i][:, None, :] - y[far]
-        d2 = (diff * diff).sum(axis=2, keepdims=True)
-        push = np.clip(2 * b / ((0.001 + d2) * (1 + a * d2**b)) * diff, -4, 4) * rate
-        np.add.at(y, i, push.sum(axis=1))
-    return y
+        moves = np.empty((2, len(i)))
+        slabs = [slice(first, first + SLAB) for first in range(0, len(i), SLAB)]
+
+        def pull(x: slice, y: np.ndarray = y) -> None:
+            diff = y[:, i[x]] - y[:, j[x]]
+            d2 = (diff * diff).sum(axis=0)
+            moves[:, x] = np.clip(-2 * a * b * np.power(d2, b - 1, where=d2 > 0, out=np.zeros_like(d2)) / (1 + a * d2**b) * diff, -4, 4) * rate
+
+        list(pool.map(pull, slabs))
+        y = _added(_added(y, i, moves), j, -moves)
+
+        def push(x: slice, far: np.ndarray, y: np.ndarray = y) -> None:
+            diff = y[:, i[x], None] - y[:, far]
+            d2 = (diff * diff).sum(axis=0)
+            moves[:, x] = (np.clip(2 * b / ((0.001 + d2) * (1 + a * d2**b)) * diff, -4, 4) * rate).sum(axis=2)
+
+        list(pool.map(push, slabs, [r.integers(0, n, (len(i[x]), 5)) for x in slabs]))
+        y = _added(y, i, moves)
+    pool.shutdown()
+    return y.T
+
+
+def _added(y: np.ndarray, at: np.ndarray, moves: np.ndarray) -> np.ndarray:
+    """Points, a column each, after moves of those at some places, one after another."""
+    order = np.concatenate((np.arange(y.shape[1]), at))
+    return np.array([np.bincount(order, np.concatenate((c, m))) for c, m in zip(y, moves)])
 
 
 def umap_layout(vectors: DataFrame, key: str = "vec_id", vector: str = "embedding", dims: int = 2, s: Settings = Settings(), fit_rows: int = FIT_ROWS) -> DataFrame:
     """``key, coordinates``: a layout of all vectors from rescaled principal components, seeded. Beyond ``fit_rows`` vectors
-    neighbours and components are worked out by blocks, and one task lays their graph out."""
+    neighbours come from inverted lists, components from sums, and one task lays the graph out."""
     n = vectors.count()
     if n > fit_rows:
         k = min(s.neighbours, n - 1)
-        near = nearest(vectors, vectors, key, vector, k).groupBy(key).agg(F.sort_array(F.collect_list(F.struct("rank", "neighbour", "sim"))).alias("near"))
+        found = neighbours(vectors, key, vector, k)
+        near = found.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("rank", "neighbour", "sim"))).alias("near"))
         begun = rescaled(components(vectors, dims, key, vector)).withColumnRenamed("pc", "begin")
         graph = near.join(begun, key).select(key, "begin", F.transform("near", lambda x: x["neighbour"]).alias("others"), F.transform("near", lambda x: 1 - x["sim"]).alias("far"))
 
@@ -266,7 +286,7 @@ def umap_layout(vectors: DataFrame, key: str = "vec_id", vector: str = "embeddin
             order, d, init = np.searchsorted(keys, np.array(pdf["others"].tolist())), np.array(pdf["far"].tolist()), np.array(pdf["begin"].tolist())
             return pd.DataFrame({key: keys, "coordinates": list(layout(order, d, init, s.seed))})
 
-        return graph.groupBy(F.lit("all")).applyInPandas(run_graph, f"{key} long, coordinates array<double>")
+        return owning(graph.groupBy(F.lit("all")).applyInPandas(run_graph, f"{key} long, coordinates array<double>"), found)
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(key)

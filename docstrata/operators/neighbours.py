@@ -26,6 +26,8 @@ from docstrata.sources.shared import discard, materialise, owning
 SAMPLE_ROWS, BRANCH, LEVELS = 2048, 64, 8
 #: Similarities are rounded to nine places; a bound must be below by more than that to leave a list out.
 SLACK = 2e-9
+#: Groups of columns whose greatest similarities bound the k-th of all from below.
+GROUPS = 64
 
 
 def spread_centres(x: np.ndarray, k: int, rounds: int = 8) -> np.ndarray:
@@ -118,16 +120,21 @@ def inverted_lists(vectors: DataFrame, key: str, vector: str, limit: int | None
 def _ranked(keys: np.ndarray, sims: np.ndarray, others: np.ndarray, k: int, least: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """For each key the k greatest similarities, of equals those with the lesser others, but none below ``least``: rows of
     ``sims``, others and similarities, best first. A key's own column is left out."""
-    sims = np.round(sims, 9)
-    sims[keys[:, None] == others[None, :]] = -np.inf
-    if sims.shape[1] > k:
-        least = np.maximum(least, np.partition(sims, -k, axis=1)[:, -k])
-    row, col = np.nonzero((sims >= least[:, None]) & np.isfinite(sims))
-    order = np.lexsort((others[col], -sims[row, col], row))
-    row, col = row[order], col[order]
+    own = np.flatnonzero(np.isin(keys, others))
+    row, col = np.nonzero(keys[own, None] == others[None, :])
+    sims[own[row], col] = -np.inf
+    n, bound = sims.shape[1] // GROUPS * GROUPS, least - SLACK
+    if n and k <= GROUPS:  # the k-th of the greatest of each group of columns is no more than the k-th of all
+        most = sims[:, :n].reshape(len(sims), -1, GROUPS).max(axis=1)
+        bound = np.maximum(bound, np.partition(most, -k, axis=1)[:, -k] - SLACK)
+    row, col = np.nonzero(sims >= bound[:, None])
+    sim = np.round(sims[row, col], 9)
+    kept = (sim >= least[row]) & np.isfinite(sim)
+    row, col, sim = row[kept], col[kept], sim[kept]
+    order = np.lexsort((others[col], -sim, row))
+    row, col, sim = row[order], col[order], sim[order]
     place = np.arange(len(row)) - np.searchsorted(row, row)
-    row, col = row[place < k], col[place < k]
-    return row, others[col], sims[row, col]
+    return row[place < k], others[col][place < k], sim[place < k]
 
 
 def _kth(row: np.ndarray, sims: np.ndarray, n: int, k: int) -> np.ndarray:

@@ -663,7 +663,7 @@ def hdbscan_leaf(spark, sf):
 @query()
 def umap_2d(spark, sf):
     found = clustering.umap_layout(M.table(spark, sf, "embeddings"))
-    return found.select("vec_id", F.col("coordinates")[0].alias("x"), F.col("coordinates")[1].alias("y"))
+    return owning(found.select("vec_id", F.col("coordinates")[0].alias("x"), F.col("coordinates")[1].alias("y")), found)
 
 
 @query()

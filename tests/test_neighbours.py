@@ -3,6 +3,7 @@
 import numpy as np
 import pytest
 
+from docstrata.operators import neighbours as neighbours_module
 from docstrata.operators.neighbours import inverted_lists, neighbours
 from docstrata.sources.shared import discard
 
@@ -64,3 +65,20 @@ def test_lists_are_short_where_they_can_be(spark):
     sizes = [x["count"] for x in lists.groupBy("list").count().collect()]
     assert limit == 50 and sum(sizes) == 1000 and max(sizes) <= 50
     assert {x["key"] for x in lists.collect()} == set(range(1000))
+
+
+@pytest.mark.parametrize("least", [-np.inf, 0.2])
+@pytest.mark.parametrize("n,k", [(640, 16), (700, 1), (50, 16), (200, 70)])
+def test_the_greatest_are_found_without_ordering_all(monkeypatch, least, n, k):
+    """A bound from groups of columns leaves out most similarities before any is rounded or ordered; ties and own keys as in a loop."""
+    r = np.random.default_rng(n)
+    sims, keys, others = r.standard_normal((20, n)).round(1), np.arange(20), r.permutation(n)
+    sims[0], sims[1] = 0.5, -np.inf
+    sizes, partition = [], np.partition
+    monkeypatch.setattr(np, "partition", lambda a, *p, **q: (sizes.append(a.shape[1]), partition(a, *p, **q))[1])
+    row, other, sim = neighbours_module._ranked(keys, sims.copy(), others, k, np.full(20, least))
+    wanted = []
+    for i in range(20):
+        ranked = sorted((-s, o) for s, o in zip(sims[i], others) if o != keys[i] and s >= least and np.isfinite(s))[:k]
+        wanted += [(i, o, -s) for s, o in ranked]
+    assert list(zip(row, other, sim)) == wanted and all(size <= 64 for size in sizes)

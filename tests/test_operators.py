@@ -316,3 +316,13 @@ def test_shares_of_topics_by_terms_in_small_blocks(spark, monkeypatch):
         assert "Join" not in plan and "window_no" not in plan
     nothing = topics.topic_distribution(docs.where("paragraph IS NULL"), "k")
     assert nothing.collect() == [] and nothing.columns == ["k", "topic_nr", "weight"]
+
+
+def test_a_layout_takes_neighbours_from_lists_and_edges_in_slabs(spark, monkeypatch):
+    """Whatever the size of slabs, the same bits; no block of vectors is compared with all others and sorted whole."""
+    df = vector_rows(spark, np.random.default_rng(5).standard_normal((90, 6)))
+    once = rows(clustering.umap_layout(df, fit_rows=50), "vec_id")
+    monkeypatch.setattr(clustering, "SLAB", 50)
+    monkeypatch.setattr(vectors, "nearest", None)
+    monkeypatch.setattr(clustering, "nearest", None, raising=False)
+    assert rows(clustering.umap_layout(df, fit_rows=50), "vec_id") == once
