@@ -14,7 +14,7 @@ from docstrata.operators import boundaries, catalogue, clustering, layout, pages
 from docstrata.plans.embedding import DIM, Embedder, HashedNgrams, embedded
 from docstrata.sources import readers, sinks
 from docstrata.sources.files import qualified
-from docstrata.sources.shared import discard, materialise
+from docstrata.sources.shared import discard, materialise, owning
 
 KEYS = ("document_md5", "paragraph_id")
 
@@ -164,7 +164,7 @@ class TopicModel:
 
         vecs = step(rows.select("vec_id", "embedding"), "vectors")
         placed = clustering.umap_layout(step(self.guided(), "guided"), dims=s.components, s=s)
-        reduced = step(placed.withColumnRenamed("coordinates", "embedding"), "reduced")
+        reduced = step(owning(placed.withColumnRenamed("coordinates", "embedding"), placed), "reduced")
         clustered = step(clustering.hdbscan(reduced, s=s), "clustered")
         means = vectors.as_arrays(vectors.centroids(vecs.join(clustered, "vec_id"), "topic_nr"), "topic_nr")
         merged = clustered.join(clustering.merge_topics(means, s.num_topics), "topic_nr").select("vec_id", F.col("merged_topic").alias("topic_nr"))
@@ -177,7 +177,8 @@ class TopicModel:
         representatives = step(topics.representative_docs(docs, "vec_id", s=s), "representatives")
         weights = step(topics.ctfidf(step(topics.term_counts(docs, "topic_nr"), "counts")), "weights")
         words = step(self.reranked(weights, representatives), "words")
-        flat = clustering.umap_layout(vecs, dims=2, s=s).select("vec_id", F.col("coordinates")[0].alias("x"), F.col("coordinates")[1].alias("y"))
+        laid = clustering.umap_layout(vecs, dims=2, s=s)
+        flat = step(owning(laid.select("vec_id", F.col("coordinates")[0].alias("x"), F.col("coordinates")[1].alias("y")), laid), "coordinates")
         self.tables = {
             "assignments": docs.select("vec_id", *KEYS, "topic_nr"), "topic_words": words, "labels": topics.labels(words, s), "representatives": representatives,
             "distribution": self._distribution(docs, vecs), "sizes": sizes, "coordinates": flat,
