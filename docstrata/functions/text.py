@@ -49,9 +49,16 @@ def is_caption(text: Column) -> Column:
     return F.lower(F.left(text, F.lit(5))).isin(*config.CAPTIONS_5) | (F.lower(F.left(text, F.lit(6))) == config.CAPTION_6)
 
 
+def drop_links(text: Column) -> Column:
+    """Hyphens, urls and e-mail addresses, in this order. Only texts with the letters that an address must have are searched; the
+    steps before add none of them."""
+    whole = F.when(text.contains("http"), drop_urls(keep_hyphens(text))).otherwise(keep_hyphens(text))
+    return F.when(text.contains("@"), drop_emails(whole)).otherwise(whole)
+
+
 def clean(text: Column) -> Column:
     """Hyphens, urls, e-mail addresses and enumeration marks, in this order."""
-    return drop_enumeration(drop_emails(drop_urls(keep_hyphens(text))))
+    return drop_enumeration(drop_links(text))
 
 
 def sentences(text: Column, language: Column | None = None) -> Column:

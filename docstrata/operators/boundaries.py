@@ -22,6 +22,11 @@ ABBREVIATION, STARTER, COLLOCATION, PAIR_TIMES = 0.3, 30.0, 7.88, 2
 MOST_LEARNED = 100_000
 CORE = r"^[^\p{L}\p{N}]+|[^\p{L}\p{N}.!?]+$"
 
+#: All that ``core`` leaves of a text's tokens, but empty ones, in one pass: from a first letter or digit to the token's last one or its last end mark.
+CORES = rf"[\p{{L}}\p{{N}}](?:{T.NON_BLANK}*[\p{{L}}\p{{N}}.!?])?"
+#: The last word, from the end backwards; a search for a word at the end would try every letter before it.
+LAST = f"(?s)^(?:.*{T.BLANK})?({T.NON_BLANK}+)$"
+
 
 def core(token: Column) -> Column:
     """A token without signs before it, and without signs but end marks after it."""
@@ -36,15 +41,13 @@ def word_of(found: Column) -> Column:
 def neighbours_of(texts: DataFrame, lang: str, text: str) -> DataFrame:
     """``lang, before, word, dot, capital, inside, n``: words of all texts, counted. ``before``: the word before if it ends with
     a full stop; ``inside``: whether the word before ends without a mark; ``dot``: whether the word itself ends with a stop."""
-    tokens = F.regexp_extract_all(F.col(text), F.lit(T.NON_BLANK + "+"), F.lit(0))
-    known = F.transform(F.transform(tokens, core), lambda c: F.struct(c.alias("c"), word_of(c).alias("word")))
-    told = F.filter(known, lambda t: t["word"] != "")
+    told = F.regexp_extract_all(F.col(text), F.lit(CORES), F.lit(0))
     rows = texts.where(F.col(lang).isNotNull()).select(F.col(lang).alias("lang"), F.explode(F.array(told)).alias("told")).where(F.size("told") > 0)
     earlier = F.concat(F.slice("told", F.lit(1), F.lit(1)), F.slice("told", F.lit(1), F.greatest(F.size("told") - 1, F.lit(0))))
     pairs = rows.select("lang", F.posexplode(F.arrays_zip(earlier.alias("p"), F.col("told").alias("t"))).alias("at", "z"))
-    first, p, c = F.col("at") == 0, F.col("z.p.c"), F.col("z.t.c")
+    first, p, c = F.col("at") == 0, F.col("z.p"), F.col("z.t")
     return pairs.groupBy(
-        "lang", F.when(~first & p.endswith("."), F.col("z.p.word")).alias("before"), F.col("z.t.word").alias("word"), c.endswith(".").alias("dot"),
+        "lang", F.when(~first & p.endswith("."), word_of(p)).alias("before"), word_of(c).alias("word"), c.endswith(".").alias("dot"),
         c.rlike(r"^\p{Lu}").alias("capital"), (~first & ~F.right(p, F.lit(1)).isin(".", "!", "?")).alias("inside"), (~first & F.right(p, F.lit(1)).isin("!", "?")).alias("marked"),
     ).agg(F.count("*").alias("n"))
 
@@ -151,7 +154,7 @@ def let(value: Column, f: Callable[[Column], Column]) -> Column:
 
 def _told(piece: Column) -> Column:
     """A piece with its last word, whether that has a stop, and the core and the word that it begins with."""
-    last = core(F.regexp_extract(piece, f"({T.NON_BLANK}+)$", 1))
+    last = core(F.regexp_extract(piece, LAST, 1))
     first = core(F.regexp_extract(piece, f"^({T.NON_BLANK}+)", 1))
     ends = lambda c: F.struct(c.endswith(".").alias("dot"), word_of(c).alias("word"))
     begins = lambda c: F.struct(c.alias("first"), word_of(c).alias("other"))

@@ -17,8 +17,10 @@ def once(rows: DataFrame, name: str, value: Column) -> DataFrame:
 
 
 def cleaned(candidates: DataFrame) -> DataFrame:
-    """Candidates (column ``candidate``) cleaned, captions left out."""
-    return once(candidates, "candidate", T.clean(F.col("candidate"))).where(~T.is_caption(F.col("candidate")))
+    """Candidates (column ``candidate``) cleaned, captions left out. Enumeration marks are looked for in a column, else each look
+    would clean anew."""
+    found = once(candidates, "candidate", T.drop_links(F.col("candidate")))
+    return once(found, "candidate", T.drop_enumeration(F.col("candidate"))).where(~T.is_caption(F.col("candidate")))
 
 
 def sentences(text: Column, language: str | None = None, learned: Boundaries | None = None) -> Column:

@@ -72,3 +72,20 @@ def test_nothing_to_learn_from(spark):
     assert empty.columns == ["lang", "kind", "word", "other", "score"] and empty.collect() == []
     df = spark.createDataFrame([("en", "Dr. Smith. Left.")], "lang string, t string")
     assert df.select(B.Boundaries(empty).sentences(F.col("t"), F.col("lang"))).head()[0] == ["Dr.", "Smith.", "Left."]
+
+
+def test_words_are_found_in_one_pass(spark):
+    """Cores of a text and its last words as by token, and texts without an address are not searched for one; marks that lead are
+    looked for in a column, not by cleaning anew."""
+    from docstrata.functions import text as T
+    from docstrata.operators import boundaries, paragraphs
+
+    texts = ["", "  ", "«Dr.» (a,.) ...!? x-y's 3.5%, été\u0085  Z! -- a_b_", "foo\r", "a b. ", ".", "\U0001d400b, \U0001f600c?", "no end,\r\n", None]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    tokens = F.filter(F.transform(F.regexp_extract_all("t", F.lit(T.NON_BLANK + "+"), F.lit(0)), boundaries.core), lambda c: boundaries.word_of(c) != "")
+    pairs = df.select(F.regexp_extract_all("t", F.lit(boundaries.CORES), F.lit(0)), tokens, F.regexp_extract("t", boundaries.LAST, 1), F.regexp_extract("t", f"({T.NON_BLANK}+)$", 1)).collect()
+    assert all(a == b and c == d for a, b, c, d in pairs)
+    found = [r[0] for r in df.select(T.clean(F.col("t"))).collect()]
+    assert found == [r[0] for r in df.select(T.drop_enumeration(T.drop_emails(T.drop_urls(T.keep_hyphens(F.col("t")))))).collect()]
+    plan = paragraphs.cleaned(df.withColumnRenamed("t", "candidate"))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Generate explode") == 2 and "contains(" in plan.lower()
