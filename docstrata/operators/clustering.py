@@ -241,7 +241,7 @@ def layout(order: np.ndarray, distances: np.ndarray, init: np.ndarray, seed: int
         rate = 1 - epoch / epochs
         on = r.random(len(p)) < p
         i, j = head[on], tail[on]
-        moves = np.empty((2, len(i)))
+        moves = np.empty((len(y), len(i)))
         slabs = [slice(first, first + SLAB) for first in range(0, len(i), SLAB)]
 
         def pull(x: slice, y: np.ndarray = y) -> None:

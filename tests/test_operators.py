@@ -322,6 +322,7 @@ def test_a_layout_takes_neighbours_from_lists_and_edges_in_slabs(spark, monkeypa
     """Whatever the size of slabs, the same bits; no block of vectors is compared with all others and sorted whole."""
     df = vector_rows(spark, np.random.default_rng(5).standard_normal((90, 6)))
     once = rows(clustering.umap_layout(df, fit_rows=50), "vec_id")
+    assert all(len(c) == 5 for _, c in rows(clustering.umap_layout(df.limit(40), dims=5), "vec_id"))
     monkeypatch.setattr(clustering, "SLAB", 50)
     monkeypatch.setattr(vectors, "nearest", None)
     monkeypatch.setattr(clustering, "nearest", None, raising=False)
