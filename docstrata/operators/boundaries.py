@@ -8,6 +8,7 @@ come from one written table of neighbours, aggregated before it moves.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
@@ -18,8 +19,8 @@ from docstrata.sources.shared import materialise, owning
 
 #: Least scores of abbreviations, of words that begin sentences, of pairs; times that a pair must occur.
 ABBREVIATION, STARTER, COLLOCATION, PAIR_TIMES = 0.3, 30.0, 7.88, 2
-#: Rows of a learned table that go into a plan.
-MOST_LEARNED = 100_000
+#: Rows of a learned table in one bucket, on average.
+BUCKET_ROWS = 4
 CORE = r"^[^\p{L}\p{N}]+|[^\p{L}\p{N}.!?]+$"
 
 #: All that ``core`` leaves of a text's tokens, but empty ones, in one pass: from a first letter or digit to the token's last one or its last end mark.
@@ -112,39 +113,56 @@ def learn(texts: DataFrame, lang: str = "lang", text: str = "text") -> DataFrame
 
 
 class Boundaries:
-    """A learned table as column functions. The rows, whose number is checked, go into the plan as sets of literals."""
+    """A learned table as column functions. Its rows go into the plan as one literal, however many they are: a text for each
+    bucket by hash, so that a look-up reads one short text, and neither the plan nor its tasks have an expression for each row."""
 
     def __init__(self, learned: DataFrame):
-        rows = learned.select("lang", "kind", "word", "other").limit(MOST_LEARNED + 1).collect()
-        if len(rows) > MOST_LEARNED:
-            raise ValueError(f"more than {MOST_LEARNED} learned words")
-        self.known: dict[str, list[str]] = {k: [] for k in ("abbreviation", "starter", "collocation", "opener")}
-        for lang, kind, word, other in rows:
-            self.known[kind].append(f"{lang} {word} {other}")
-
-    def _is(self, kind: str, lang: Column, word: Column, other: Column | None = None) -> Column:
-        return F.concat_ws(" ", lang, word, F.lit("") if other is None else other).isin(self.known[kind]) if self.known[kind] else F.lit(False)
-
-    def goes_on(self, piece: Column, after: Column, lang: Column) -> Column:
-        """Whether a piece of text that ends with a mark goes on in the piece after it; both as from ``_told``."""
+        keys = learned.select(_key(F.col("kind"), _escaped(F.col("lang")), F.col("word"), F.col("other")).alias("key")).toArrow()["key"].to_pylist()
+        self.n = -(-len(keys) // BUCKET_ROWS)
+        buckets = [""] * self.n
+        for key in keys:
+            buckets[zlib.crc32(key.encode()) % self.n] += key
+        self.packed = "\t".join(buckets)
+
+    def _is(self, kind: str, known: Column, lang: Column, word: Column, other: Column | None = None) -> Column:
+        """Whether the buckets hold a row; ``lang`` as from ``_escaped``."""
+        if not self.n:
+            return F.lit(False)
+        asked = lambda key: F.get(known, F.pmod(F.crc32(key), F.lit(self.n)).cast("int")).contains(key)
+        return F.coalesce(let(_key(F.lit(kind), lang, word, F.lit("") if other is None else other), asked), F.lit(False))
+
+    def goes_on(self, piece: Column, after: Column, known: Column, lang: Column) -> Column:
+        """Whether a piece of text that ends with a mark goes on in the piece after it; both as from ``_told``. ``known``: the buckets."""
         word, other, first = piece["word"], after["other"], after["first"]
         small, capital = first.rlike(r"^\p{Ll}"), first.rlike(r"^\p{Lu}")
-        begins = capital & (self._is("starter", lang, other) | self._is("opener", lang, other))
+        begins = capital & (self._is("starter", known, lang, other) | self._is("opener", known, lang, other))
         initial, number = word.rlike(r"^\p{L}$"), word.rlike(r"^\p{N}+$")
-        short = self._is("abbreviation", lang, word) & ~begins
+        short = self._is("abbreviation", known, lang, word) & ~begins
         name = initial & capital & ~begins
-        together = (initial | number) & (small | self._is("collocation", lang, word, other))
+        together = (initial | number) & (small | self._is("collocation", known, lang, word, other))
         return piece["dot"] & (short | name | together)
 
     def sentences(self, text: Column, language: Column) -> Column:
         """Sentences as by ``text.sentences``, joined by a blank where a stop does not end one."""
 
-        def parted(told: Column) -> Column:
+        def parted(told: Column, known: Column, lang: Column) -> Column:
             after = F.slice(told, F.lit(2), F.greatest(F.size(told) - 1, F.lit(0)))
-            sign = lambda a, b: F.concat(a["piece"], F.when(b.isNull(), F.lit("")).when(self.goes_on(a, b, language), F.lit(" ")).otherwise(F.lit(T.MARK)))
+            sign = lambda a, b: F.concat(a["piece"], F.when(b.isNull(), F.lit("")).when(self.goes_on(a, b, known, lang), F.lit(" ")).otherwise(F.lit(T.MARK)))
             return F.split(F.array_join(F.zip_with(told, after, sign), ""), T.MARK)
 
-        return let(T.sentences(text, language), lambda found: F.when(F.size(found) > 1, let(F.transform(found, _told), parted)).otherwise(found))
+        known = F.split(F.lit(self.packed), "\t")
+        judged = lambda found: let(F.transform(found, _told), lambda told: let(known, lambda k: let(_escaped(language), lambda lang: parted(told, k, lang))))
+        return let(T.sentences(text, language), lambda found: F.when(F.size(found) > 1, judged(found)).otherwise(found))
+
+
+def _escaped(lang: Column) -> Column:
+    """A language without the blanks that part rows and buckets, and still told from any other."""
+    return F.replace(F.replace(F.replace(lang, F.lit("\\"), F.lit(r"\\")), F.lit("\n"), F.lit(r"\n")), F.lit("\t"), F.lit(r"\t"))
+
+
+def _key(kind: Column, lang: Column, word: Column, other: Column) -> Column:
+    """A learned row as text between line ends; words hold no blanks, so rows differ where their texts do."""
+    return F.concat(F.lit("\n"), F.concat_ws(" ", kind, lang, word, other), F.lit("\n"))
 
 
 def let(value: Column, f: Callable[[Column], Column]) -> Column:

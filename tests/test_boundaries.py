@@ -89,3 +89,16 @@ def test_words_are_found_in_one_pass(spark):
     assert found == [r[0] for r in df.select(T.drop_enumeration(T.drop_emails(T.drop_urls(T.keep_hyphens(F.col("t")))))).collect()]
     plan = paragraphs.cleaned(df.withColumnRenamed("t", "candidate"))._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Generate explode") == 2 and "contains(" in plan.lower()
+
+
+def test_any_number_of_rows_may_be_learned(spark):
+    """100,000 rows were the most, and each was an expression of the plan."""
+    many = spark.range(100_100).select(
+        F.lit("a\n\tb\\").alias("lang"), F.when(F.col("id") % 2 == 0, "abbreviation").otherwise("starter").alias("kind"), F.concat(F.lit("w"), "id").alias("word"), F.lit("").alias("other"), F.lit(1.0).alias("score")
+    )
+    found = B.Boundaries(many)
+    cases = [("a\n\tb\\", "A w100098. bcd. End.", ["A w100098. bcd.", "End."]), ("a\n\tb\\", "A w100098. W100099 b.", ["A w100098.", "W100099 b."]), ("a", "A w100098. b.", ["A w100098.", "b."]),
+             ("a\n\tb\\", "A w100099. b.", ["A w100099.", "b."]), (None, "A w100098. b.", ["A w100098.", "b."]), ("a\\n\\tb\\", "A w100098. b.", ["A w100098.", "b."])]
+    df = spark.createDataFrame([(lang, t, i) for i, (lang, t, _) in enumerate(cases)], "lang string, t string, i int")
+    split = df.select("i", found.sentences(F.col("t"), F.col("lang")).alias("s"))
+    assert [r["s"] for r in split.orderBy("i").collect()] == [wanted for _, _, wanted in cases]
