@@ -17,11 +17,14 @@ from pyspark.sql import functions as F
 
 from docstrata.config import Settings
 from docstrata.operators.neighbours import neighbours
-from docstrata.operators.vectors import compared, components, rescaled, unit
+from docstrata.operators.vectors import BLOCK_BYTES, LEAST_ROWS, components, matrix, rescaled, unit
 from docstrata.sources.shared import discard, materialise, owning
 
 #: Vectors that one task compares at once: their distance matrix takes 200 MB.
 FIT_ROWS = 5000
+#: Bytes of vectors that a task compares a block with; shortest edges of each vector that are kept; rows that meet a
+#: block at once; pairs whose differences a task holds.
+SLAB_BYTES, KEPT, ROWS, PAIRS = 32 << 20, 16, 256, 1 << 16
 #: Edges of a layout's graph that are worked out at once, and on how many threads: the layout is its stage's only task.
 SLAB, THREADS = 1 << 14, 4
 
@@ -104,50 +107,224 @@ def leaves(tree: np.ndarray, n: int, min_cluster_size: int) -> np.ndarray:
     return labels
 
 
-def _compared(vectors: DataFrame, key: str, vector: str, keys: np.ndarray, found: Callable[..., list[np.ndarray]], schema: str, asked: Callable[[np.ndarray], np.ndarray] | None = None) -> DataFrame:
-    """What ``found`` makes of the places in ``keys`` of some vectors and of others, and of their distances; all pairs, or those
-    whose first place is ``asked`` for."""
-    places = vectors.sparkSession.sparkContext.broadcast(keys)
+def _packed(pairs: Iterator[tuple[np.ndarray, np.ndarray]], limit: int) -> Iterator[pa.RecordBatch]:
+    """Places and vectors in blocks of ``limit`` rows, or less than twice as many."""
+    held, n = [], 0
 
-    def run(own: np.ndarray, x: np.ndarray, others: np.ndarray, y: np.ndarray) -> Iterator[list[np.ndarray]]:
-        j, squares = np.searchsorted(places.value, others), (y * y).sum(axis=1)
-        own = np.searchsorted(places.value, own)
-        if asked:
-            own, x = own[asked(own)], x[asked(own)]
-        for a in range(0, len(own), 256):
-            i, z = own[a : a + 256], x[a : a + 256]
-            d = np.sqrt(np.maximum((z * z).sum(axis=1)[:, None] + squares[None, :] - 2 * z @ y.T, 0))
-            d[i[:, None] == j[None, :]] = 0
-            yield found(i, j, d)
+    def block() -> pa.RecordBatch:
+        at, x = (np.concatenate(c) for c in zip(*held))
+        return pa.RecordBatch.from_pydict({"at": [at.astype(np.int64).tobytes()], "x": [x.tobytes()], "kind": [x.dtype.str]})
 
-    return compared(vectors, vectors, key, vector, run, schema)
+    for at, x in pairs:
+        for a in range(0, len(at), limit):
+            held.append((at[a : a + limit], x[a : a + limit]))
+            n += len(held[-1][0])
+            if n >= limit:
+                yield block()
+                held, n = [], 0
+    if n:
+        yield block()
+
+
+def _unpacked(batch: pa.RecordBatch, r: int, first: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    at, x, kind = (batch.column(first + c)[r].as_py() for c in range(3))
+    at = np.frombuffer(at, np.int64)
+    return at, np.frombuffer(x, np.dtype(kind)).reshape(len(at), -1)
+
+
+def _blocked(vectors: DataFrame, key: str, vector: str, keys: np.ndarray) -> DataFrame:
+    """``at, x, kind``: the vectors as a written table of blocks of bounded bytes: places in ``keys``, components, their type."""
+    sc = vectors.sparkSession.sparkContext
+    places, kind = sc.broadcast(keys), np.float32 if vectors.schema[vector].dataType.simpleString() == "array<float>" else np.float64
+    dim = vectors.agg(F.max(F.size(vector))).head()[0] or 1
+    limit = max(1, min(BLOCK_BYTES // (8 * max(1, dim)), max(LEAST_ROWS, -(-len(keys) // sc.defaultParallelism))))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from _packed(((np.searchsorted(places.value, b.column(0).to_numpy()), matrix(b.column(1)).astype(kind)) for b in batches if b.num_rows), limit)
+
+    dealt = vectors.select(F.col(key).cast("long"), vector).repartition(-(-len(keys) // limit))
+    return materialise(dealt.mapInArrow(run, "at binary, x binary, kind string"), "blocks")
+
+
+def _compared(blocks: DataFrame, key: str, vector: str, keys: np.ndarray, found: Callable[..., tuple[np.ndarray, np.ndarray]], schema: str, asked: Callable[[np.ndarray], np.ndarray] | None = None) -> DataFrame:
+    """What ``found`` makes, one after another, of a block, or of those of its places that are ``asked`` for, and of all blocks of a
+    slab: distances and edges of each place. Tasks read the written blocks anew for each slab and hold a slab beside one
+    block. Only results are shuffled, so disk grows as the vectors do, though all pairs are compared."""
+    columns, queries = [key, vector, "kind"], blocks
+    rows, size = blocks.agg(F.max(F.octet_length(key)), F.sum(F.octet_length(vector))).head()
+
+    def chosen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        read = (_unpacked(b, r) for b in batches for r in range(b.num_rows))
+        yield from _packed(((i[on], x[on]) for i, x in read if (on := asked(i)).any()), rows // 8)
+
+    if asked:
+        queries = materialise(blocks.select(*columns).mapInArrow(chosen, blocks.schema), "asked")
+    slabs = blocks.select(*[F.col(c).alias(f"other_{c}") for c in columns]).coalesce(-(-size // SLAB_BYTES))
+    met = queries.select(*columns).hint("shuffle_replicate_nl").crossJoin(slabs)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        name = i = x = best = None
+
+        def told() -> pa.RecordBatch:
+            w, e = best
+            on = np.isfinite(w)
+            near = pa.StructArray.from_arrays([pa.array(w[on]), pa.array(e[on])], ["w", "e"])
+            ends = np.concatenate(([0], on.sum(axis=1).cumsum())).astype(np.int32)
+            return pa.RecordBatch.from_arrays([pa.array(i), pa.ListArray.from_arrays(pa.array(ends), near)], names=["i", "near"])
+
+        for batch in batches:
+            for r in range(batch.num_rows):
+                if (block := batch.column(0)[r].as_py()) != name:
+                    if name is not None:
+                        yield told()
+                    name, best = block, None
+                    i, x = _unpacked(batch, r)
+                    x = x.astype(np.float64)
+                j, y = _unpacked(batch, r, 3)
+                best = found(i, x, j, y.astype(np.float64), best)
+        if name is not None:
+            yield told()
+
+    return owning(met.mapInArrow(run, schema), *([queries] if asked else []))
+
+
+def _nearest(i: np.ndarray, x: np.ndarray, j: np.ndarray, y: np.ndarray, best: tuple | None, k: int, n: int, core: np.ndarray, component: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+    """For each place in ``i`` the ``k`` least distances of mutual reachability and their edges (the lesser place times ``n``, plus the
+    other), of equals the first edges, among ``best`` and the places in ``j``; with components, those of other ones only.
+
+    Products give distances but for rounding, so they leave out what can't be among the least; the others are worked out
+    from differences, which are the same bits in any block and from either end.
+    """
+    if best is None:
+        best = np.full((len(i), k), np.inf), np.full((len(i), k), np.iinfo(np.int64).max)
+    least, edge = best
+    middle = y.mean(axis=0)
+    y0 = y - middle
+    squares = (y0 * y0).sum(axis=1)
+    right = np.concatenate((y0.T, squares[None, :]))
+    rights = {np.float32: right.astype(np.float32), np.float64: right}
+    for a in range(0, len(i), ROWS):
+        s = slice(a, a + ROWS)
+        z, own, w, e = x[s], i[s], least[s], edge[s]
+        z0 = z - middle
+        length, left = (z0 * z0).sum(axis=1), np.concatenate((-2 * z0, np.ones((len(z), 1))), axis=1)
+        for kind in (np.float32, np.float64):  # in single precision where its rounding bears on few pairs
+            slack = 4 * len(right) * np.finfo(kind).eps * (length + squares.max())
+            d = left.astype(kind) @ rights[kind]  # squares of distances, less those of lengths
+            bound = w[:, -1].copy()
+            for width in (2048, len(j)):
+                new = np.flatnonzero(np.isinf(bound))
+                if not len(new) or len(j) < k:
+                    break
+                reach = np.maximum(np.sqrt(np.maximum(d[new, :width] + (length + slack)[new, None], 0)), np.maximum(core[own[new], None], core[None, j[:width]]))
+                if component is not None:
+                    reach[component[own[new], None] == component[None, j[:width]]] = np.inf
+                bound[new] = np.partition(reach, k - 1, axis=1)[:, k - 1] if reach.shape[1] >= k else np.inf
+            far = bound * bound
+            if np.mean((slack <= far / 100) & (far > 1e-20)) > 0.9 and length.max() + squares.max() < 1e30:
+                break
+        limit = (far - length + slack).astype(kind)
+        at = np.flatnonzero(d <= np.nextafter(limit, kind(np.inf))[:, None])
+        parts = [(np.zeros(0, int), np.zeros(0), np.zeros(0, np.int64))]
+        for b in range(0, len(at), PAIRS):
+            row, col = np.divmod(at[b : b + PAIRS], len(j))
+            on = core[j[col]] <= bound[row]
+            if component is not None:
+                on &= component[own[row]] != component[j[col]]
+            row, col = row[on], col[on]
+            apart = z[row] - y[col]
+            reach = np.maximum(np.sqrt((apart * apart).sum(axis=1)), np.maximum(core[own[row]], core[j[col]]))
+            on = reach <= w[row, -1]
+            row, col, reach = row[on], col[on], reach[on]
+            parts = [_first(*(np.concatenate(c) for c in zip(*parts, (row, reach, np.minimum(own[row], j[col]) * n + np.maximum(own[row], j[col])))), k)]
+        row, reach, code = parts[0]
+        if len(row):
+            some = np.unique(row)
+            kept = np.isfinite(w[some])
+            old = np.repeat(some, kept.sum(axis=1)), w[some][kept], e[some][kept]
+            row, reach, code = _first(*(np.concatenate(c) for c in zip(old, (row, reach, code))), k)
+            place = np.arange(len(row)) - np.searchsorted(row, row)
+            w[row, place], e[row, place] = reach, code
+    return best
+
+
+def _first(row: np.ndarray, w: np.ndarray, e: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of each row the ``k`` least, by rows."""
+    order = np.lexsort((e, w, row))
+    row, w, e = row[order], w[order], e[order]
+    on = np.arange(len(row)) - np.searchsorted(row, row) < k
+    return row[on], w[on], e[on]
 
 
 def spanning_tree_by_blocks(vectors: DataFrame, key: str, vector: str, keys: np.ndarray, min_samples: int) -> np.ndarray:
     """``spanning_tree`` of the mutual reachability of all vectors (Boruvka): in each round every component finds its
-    shortest edge to another, but for the largest, which the others' edges reach. ``keys``: theirs, sorted. The driver holds a component and a core distance for each vector."""
+    shortest edge to another, but for the largest, which the others' edges reach. ``keys``: theirs, sorted.
+
+    The first pass over all pairs finds core distances, the second the KEPT shortest edges of each vector, a written table. Later
+    ones compare only vectors whose own edges all stay within their component, unless what is known of them bounds any other
+    edge from below by one that the component has. The driver holds a few numbers for each vector.
+    """
     sc, n = vectors.sparkSession.sparkContext, len(keys)
-    m = min(min_samples, n)
-    least = lambda i, j, d: [i, np.sort(np.partition(d, min(m, len(j)) - 1, axis=1)[:, :m], axis=1)]
-    cores = _compared(vectors, key, vector, keys, least, "i long, d array<double>").groupBy("i").agg(F.sort_array(F.flatten(F.collect_list("d")))[m - 1].alias("core")).toPandas()
-    core, component, edges = np.zeros(n), np.arange(n), []
-    core[cores["i"].to_numpy()] = cores["core"].to_numpy()
-    while len(edges) < n - 1:
-        state = sc.broadcast((core, component, np.bincount(component).argmax() if len(edges) else -1))
-
-        def shortest(i: np.ndarray, j: np.ndarray, d: np.ndarray, state=state) -> list[np.ndarray]:
-            core, component, _ = state.value
-            d = np.maximum(d, np.maximum(core[i][:, None], core[j][None, :]))
-            d[component[i][:, None] == component[j][None, :]] = np.inf
-            w = d.min(axis=1)
-            row, col = np.nonzero(d == w[:, None])
-            code = np.full(len(i), np.iinfo(np.int64).max)
-            np.minimum.at(code, row, np.minimum(i[row], j[col]) * n + np.maximum(i[row], j[col]))
-            on = np.isfinite(w)
-            return [component[i][on], w[on], code[on]]
+    blocks, schema = _blocked(vectors, key, vector, keys), "i long, near array<struct<w: double, e: long>>"
+
+    def least(k: int, core: np.ndarray, component: np.ndarray | None, asked: np.ndarray | None = None) -> DataFrame:
+        state = sc.broadcast((core, component, asked))
+        found = lambda i, x, j, y, best: _nearest(i, x, j, y, best, k, n, state.value[0], state.value[1])
+        met = _compared(blocks, "at", "x", keys, found, schema, None if asked is None else lambda i: state.value[2][i])
+        return owning(met.groupBy("i").agg(F.slice(F.sort_array(F.flatten(F.collect_list("near"))), 1, k).alias("near")), met)
+
+    def ends(found: DataFrame) -> tuple[np.ndarray, ...]:
+        last = found.select("i", F.try_element_at("near", F.lit(-1)).alias("b")).where("b IS NOT NULL").select("i", "b.w", "b.e").toArrow()
+        return tuple(last[c].to_numpy() for c in ("i", "w", "e"))
+
+    most, core, edges = np.iinfo(np.int64).max, np.full(n, np.nan), []
+    at, w, _ = ends(least(min(min_samples, n), np.zeros(n), None))
+    core[at] = w
+    if not np.isfinite(core).all():
+        raise ValueError("some vectors have no distance to others: a component is not a number")
+    component, kept = np.arange(n), min(KEPT, n - 1)
+    lists = materialise(least(kept, core, component), "lists")
+    # a vector's edges to other components that are neither in its list nor found later come after these
+    bound, code = np.full(n, np.inf), np.full(n, most)
+    if kept < n - 1:
+        at, w, e = ends(lists)
+        bound[at], code[at] = w, e
+    near, via = np.full(n, np.inf), np.zeros(n, np.int64)
 
-        asked = lambda i, state=state: state.value[1][i] != state.value[2]
-        found = _compared(vectors, key, vector, keys, shortest, "c long, w double, e long", asked).groupBy("c").agg(F.min(F.struct("w", "e")).alias("b")).select("b.w", "b.e").distinct().orderBy("w", "e").toPandas()
+    while len(edges) < n - 1:
+        largest = np.bincount(component).argmax() if edges else -1
+        state = sc.broadcast(component)
+
+        def leaving(batches: Iterator[pa.RecordBatch], state=state) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                found = batch.column(1).flatten()
+                w, e = found.field("w").to_numpy(), found.field("e").to_numpy()
+                c = state.value[np.repeat(batch.column(0).to_numpy(), batch.column(1).value_lengths().to_numpy())]
+                on = state.value[e // n] != state.value[e % n]
+                c, w, e = _first(c[on], w[on], e[on], 1)
+                yield pa.RecordBatch.from_arrays([pa.array(c), pa.array(w), pa.array(e)], names=["c", "w", "e"])
+
+        found = lists.mapInArrow(leaving, "c long, w double, e long").groupBy("c").agg(F.min(F.struct("w", "e")).alias("b")).select("c", "b.w", "b.e").toArrow()
+        first, through = np.full(n, np.inf), np.full(n, most)
+
+        def better(c: np.ndarray, w: np.ndarray, e: np.ndarray) -> None:
+            c, w, e = _first(c, w, e, 1)
+            on = (w < first[c]) | ((w == first[c]) & (e < through[c]))  # noqa: B023
+            first[c[on]], through[c[on]] = w[on], e[on]  # noqa: B023
+
+        better(*(found[c].to_numpy() for c in ("c", "w", "e")))
+        known = np.flatnonzero(np.isfinite(near))
+        known = known[component[via[known] // n] != component[via[known] % n]]
+        better(component[known], near[known], via[known])
+        asked = (component != largest) & ((bound < first[component]) | ((bound == first[component]) & (code < through[component])))
+        if asked.any():
+            met = least(1, core, component, asked)
+            at, w, e = ends(met)
+            discard(met)
+            near[asked], bound[asked], code[asked] = np.inf, np.inf, most
+            near[at], via[at], bound[at], code[at] = w, e, w, e
+            better(component[at], w, e)
+        on = np.isfinite(first) & (np.arange(n) != largest)
         parent = np.arange(n)
 
         def find(a: int) -> int:
@@ -156,9 +333,8 @@ def spanning_tree_by_blocks(vectors: DataFrame, key: str, vector: str, keys: np.
                 a = parent[a]
             return a
 
-        if found.empty:
-            raise ValueError("some vectors have no distance to others: a component is not a number")
-        for w, e in zip(found["w"].tolist(), found["e"].tolist()):
+        order, before = np.lexsort((through[on], first[on])), len(edges)
+        for w, e in zip(first[on][order].tolist(), through[on][order].tolist()):
             a, b = find(component[e // n]), find(component[e % n])
             if a != b:
                 parent[max(a, b)] = min(a, b)
@@ -167,6 +343,9 @@ def spanning_tree_by_blocks(vectors: DataFrame, key: str, vector: str, keys: np.
             parent = parent[parent]
         component = parent[component]
         state.unpersist()
+        if len(edges) == before:
+            raise ValueError("some vectors have no distance to others: a component is not a number")
+    discard(lists, blocks)
     edges.sort(key=lambda e: e[2])
     return np.array(edges).reshape(-1, 3)
 

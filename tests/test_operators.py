@@ -327,3 +327,46 @@ def test_a_layout_takes_neighbours_from_lists_and_edges_in_slabs(spark, monkeypa
     monkeypatch.setattr(vectors, "nearest", None)
     monkeypatch.setattr(clustering, "nearest", None, raising=False)
     assert rows(clustering.umap_layout(df, fit_rows=50), "vec_id") == once
+
+
+def test_all_pairs_meet_without_a_shuffle_of_vectors(spark, monkeypatch):
+    """Each block went through a shuffle once for each other one, in each round: disk by the square of the vectors. Vectors are compared
+    again only where their shortest edges don't tell."""
+    plans, asked, plain = [], [], clustering._compared
+
+    def seen(rows, key, vector, keys, found, schema, wanted=None):
+        out = plain(rows, key, vector, keys, found, schema, wanted)
+        plans.append(out._jdf.queryExecution().executedPlan().toString())
+        asked.append(sum(wanted(np.arange(len(keys)))) if wanted else len(keys))
+        return out
+
+    monkeypatch.setattr(clustering, "_compared", seen)
+    x = np.random.default_rng(4).standard_normal((300, 3))
+    tree = clustering.spanning_tree_by_blocks(vector_rows(spark, x), "vec_id", "embedding", np.arange(len(x)), 5)
+    assert np.allclose(tree[:, 2], clustering.spanning_tree(clustering.mutual_reachability(x, 5))[:, 2], atol=1e-6)
+    assert all("Exchange" not in plan and "CartesianProduct" in plan for plan in plans)
+    assert asked[:2] == [300, 300] and sum(asked[2:]) < 300
+
+
+@pytest.mark.parametrize(
+    "kept,block,slab,scale,offset", [(16, 4 << 20, 32 << 20, 1, 0), (3, 1500, 2000, 1, 0), (1, 1500, 2000, 1, 1e7), (3, 1500, 2000, 1e-15, 0), (3, 1500, 2000, 1e20, 0)]
+)
+def test_edges_are_the_same_in_any_blocks(spark, monkeypatch, kept, block, slab, scale, offset):
+    """As by all pairs in order of distance and places, with many equal vectors, far from zero, minute and huge ones."""
+    r = np.random.default_rng(6)
+    x = (np.vstack([r.standard_normal((60, 5)), np.ones((25, 5)), r.standard_normal((40, 5)) * 0.01 + 4, np.zeros((12, 5))]) + offset) * scale
+    for name, value in (("KEPT", kept), ("BLOCK_BYTES", block), ("SLAB_BYTES", slab), ("LEAST_ROWS", 16), ("PAIRS", 100)):
+        monkeypatch.setattr(clustering, name, value)
+    n, d = len(x), np.sqrt(((x[:, None] - x[None, :]) ** 2).sum(axis=2))
+    core = np.sort(d, axis=1)[:, 4]
+    reach = np.maximum(d, np.maximum(core[:, None], core[None, :]))
+    a, b = np.triu_indices(n, 1)
+    parent, wanted = list(range(n)), set()
+    for e in np.lexsort((a * n + b, reach[a, b])):
+        i, j = parent[a[e]], parent[b[e]]
+        if i != j:
+            parent = [i if p == j else p for p in parent]
+            wanted.add((a[e], b[e], reach[a[e], b[e]]))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    tree = clustering.spanning_tree_by_blocks(df, "vec_id", "embedding", np.arange(n), 5)
+    assert {tuple(e) for e in tree} == wanted
